@@ -129,3 +129,11 @@ def first_case(*pairs: tuple[Column, object], default: object = None) -> Column:
         v = value if isinstance(value, Column) else F.lit(value)
         out = F.when(cond, v) if out is None else out.when(cond, v)
     return out.otherwise(default if isinstance(default, Column) else F.lit(default))
+
+
+def let(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` evaluated once per row, however often the body uses it.
+
+    A plain nested expression would be re-evaluated at every use, also inside lambdas.
+    """
+    return F.transform(F.array(value), body)[0]

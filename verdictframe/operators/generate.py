@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.columns import hash_rank, ratio
+from ..functions.columns import hash_rank, let, ratio
 from .ordering import lowest_hashes
 
 # Replacement characters of the character-swap perturbation.
@@ -23,41 +23,37 @@ def char_swap(df: DataFrame, text: str, key: str, seed: int, max_changes: Column
     """Replace up to ``max_changes`` distinct letters or digits by another character of the alphabet.
 
     Positions are a simple random sample (one hash per changed character); the text
-    never leaves its row.  Upper case stays upper case.
+    never leaves its row and is split into characters once.  Upper case stays upper case.
     """
     limit = F.lit(max_changes) if isinstance(max_changes, int) else max_changes
-    src = df.withColumn("_chars", F.split(F.coalesce(F.col(text), F.lit("")), ""))
-    positions = F.filter(
-        F.sequence(F.lit(1), F.size("_chars")),
-        lambda i: F.element_at(F.col("_chars"), i).rlike(r"[\p{L}\p{N}]"))
-    src = src.withColumn("_pos", positions).withColumn("_k", F.least(limit, F.size("_pos")))
+    source = F.coalesce(F.col(text), F.lit(""))
 
     def draw(taken: Column, j: Column) -> Column:
         # sampling without replacement: step j picks among 0..j, a repeat takes j itself
         pick = (hash_rank(seed, key, F.lit("p"), j) % (j + 1)).cast("int")
         return F.concat(taken, F.array(F.when(F.array_contains(taken, pick), j).otherwise(pick)))
 
-    steps = F.when(F.col("_k") > 0, F.sequence(F.size("_pos") - F.col("_k"), F.size("_pos") - 1)).otherwise(
-        F.array().cast("array<int>"))
-    chosen = F.aggregate(steps, F.array().cast("array<int>"), draw)
-    src = src.withColumn("_at", F.transform(chosen, lambda o: F.element_at(F.col("_pos"), o + 1)))
+    def choose(spots: Column) -> Column:
+        k = F.least(limit, F.size(spots))
+        steps = F.when(k > 0, F.sequence(F.size(spots) - k, F.size(spots) - 1)).otherwise(F.array().cast("array<int>"))
+        drawn = F.aggregate(steps, F.array().cast("array<int>"), draw)
+        return F.transform(drawn, lambda o: F.element_at(spots, o + 1))
 
-    def new_char(at: Column) -> Column:
-        old = F.element_at(F.col("_chars"), at)
+    def swap(current: Column, at: Column) -> Column:
+        old = F.substr(current, at, F.lit(1))
         same = F.position(F.lower(old), F.lit(ALPHABET))
         h = hash_rank(seed, key, F.lit("c"), at)
         plain = (h % len(ALPHABET)).cast("int")
         skip = (h % (len(ALPHABET) - 1)).cast("int")
         index = F.when(same == 0, plain).when(skip >= same - 1, skip + 1).otherwise(skip)
         char = F.substr(F.lit(ALPHABET), index + 1, F.lit(1))
-        return F.when((old == F.upper(old)) & (old != F.lower(old)), F.upper(char)).otherwise(char)
-
-    src = src.withColumn("_new", F.map_from_arrays(F.col("_at"), F.transform(F.col("_at"), new_char)))
-    swapped = F.when(
-        F.size("_at") > 0,
-        F.array_join(F.transform(F.col("_chars"), lambda c, i: F.coalesce(F.try_element_at(F.col("_new"), i + 1), c)), ""),
-    ).otherwise(F.col(text))
-    return src.withColumn(out, swapped).drop("_chars", "_pos", "_k", "_at", "_new")
+        char = F.when((old == F.upper(old)) & (old != F.lower(old)), F.upper(char)).otherwise(char)
+        return F.overlay(current, char, at, F.lit(1))
+
+    spots = F.filter(F.transform(F.split(source, ""), lambda c, i: F.when(c.rlike(r"[\p{L}\p{N}]"), i + 1)),
+                     lambda i: i.isNotNull())
+    chosen = let(spots, choose)
+    return df.withColumn(out, F.aggregate(chosen, F.col(text), swap))
 
 
 def perturb_coverage(df: DataFrame, by: list[str], text: str = "text", attacked: str = "attacked") -> DataFrame:
