@@ -126,7 +126,8 @@ FROM (
                 WHEN doc_id % 5 = 0 AND doc_id % 9 = 1 THEN 'notes.txt'
                 WHEN doc_id % 5 = 0 THEN 'model.safetensors'
                 WHEN doc_id % 5 = 1 THEN 'config.json' WHEN doc_id % 5 = 2 THEN 'tokenizer.json'
-                WHEN doc_id % 5 = 3 THEN 'vocab.txt' ELSE 'README.md' END AS name
+                WHEN doc_id % 5 = 3 THEN 'vocab.txt' WHEN doc_id % 20 = 4 THEN 'model.safetensors.index.json'
+                ELSE 'README.md' END AS name
     FROM documents
   ) a
 ) b
