@@ -14,6 +14,7 @@ from ..functions.columns import contains_any, first_case, let, reasons, strip
 from .ordering import latest
 
 MIN_BODY = 20
+_LINE_ENDS = ("\r", "\x0b", "\x0c", "\x1c", "\x1d", "\x1e", "\x85", "\u2028", "\u2029")
 
 # Bodies that hub templates leave behind (after normalisation).
 PLACEHOLDERS = ("more information needed", "n a", "na", "tbd", "to be determined", "coming soon", "none", "not available")
@@ -78,14 +79,21 @@ def normalize_heading(c: Column) -> Column:
 
 
 def nontrivial(body: Column) -> Column:
-    """At least 20 characters and not a template placeholder."""
+    """At least 20 characters and not, after normalisation, a template placeholder.
+
+    The placeholder test anchors at the first word, so a long body is left at once.
+    """
     b = strip(F.coalesce(body, F.lit("")))
-    return (F.length(b) >= MIN_BODY) & ~normalize_heading(b).isin(*PLACEHOLDERS)
+    gap = r"[^\p{L}\p{N}_]"
+    options = "|".join(p.replace(" ", gap + "+") for p in PLACEHOLDERS)
+    return (F.length(b) >= MIN_BODY) & ~b.rlike(rf"(?i)^{gap}*(?:{options}){gap}*$")
 
 
 def sections(text: Column) -> Column:
     """array<struct<heading, body>>: lines of 1-3 '#' start a section, the first of equal headings wins."""
-    unix = F.regexp_replace(F.coalesce(text, F.lit("")), "\r\n|[\r\x0b\x0c\x1c\x1d\x1e\x85  ]", "\n")
+    plain = F.coalesce(text, F.lit(""))
+    odd = contains_any(plain, _LINE_ENDS)  # rare, so the replacement pass is skipped for most cards
+    unix = F.when(odd, F.regexp_replace(plain, "\r\n|[" + "".join(_LINE_ENDS) + "]", "\n")).otherwise(plain)
     head = r"#{1,3}[^\S\n][^\n]"
     pieces = F.filter(F.split(unix, rf"(?md)^(?={head})"), lambda p: p.rlike(rf"^{head}"))
     parsed = F.transform(pieces, lambda p: F.struct(
@@ -107,7 +115,7 @@ def match_alias(heading: Column, aliases: dict[str, tuple[str, ...]]) -> Column:
     ranked = sorted(
         ((alias, key, i) for i, (key, names) in enumerate(aliases.items()) for alias in names),
         key=lambda t: (-len(t[0]), t[2]))
-    return first_case(*[(heading.contains(alias), key) for alias, key, _ in ranked])
+    return let(heading, lambda h: first_case(*[(h.contains(alias), key) for alias, key, _ in ranked]))
 
 
 def present_sections(text: Column, aliases: dict[str, tuple[str, ...]], fallbacks: dict[str, list[tuple[str, Column]]]) -> Column:
@@ -157,10 +165,10 @@ def contradiction_flags(text: Column, license_: Column, limitations_present: Col
     body = strip(F.coalesce(text, F.lit("")))
     lic = F.lower(_license(license_))
     restricted = F.coalesce(contains_any(lic, RESTRICTIVE_LICENSES), F.lit(True))
-    low = F.lower(body)
-    return F.when(F.length(body) == 0, F.array(F.lit("empty_card"))).otherwise(reasons(
+    flags = let(F.lower(body), lambda low: reasons(
         (contains_any(low, OPEN_CLAIMS) & restricted, "open_claim_vs_restrictive_license"),
         (contains_any(low, PRODUCTION_CLAIMS) & ~limitations_present, "no_limitations_but_production_claim")))
+    return F.when(F.length(body) == 0, F.array(F.lit("empty_card"))).otherwise(flags)
 
 
 def documentation_verdict(cards: DataFrame, key: str, fallbacks: dict, text: str = "card_text", license_: str = "license") -> DataFrame:
