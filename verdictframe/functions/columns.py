@@ -39,6 +39,12 @@ def hash_rank(seed: int | str | Column, *keys: Column | str) -> Column:
 
 
 def clamp(c: Column, lo: float, hi: float) -> Column:
+    """Limit to [lo, hi]; NULL stays NULL (least and greatest alone would skip it)."""
+    return F.when(c.isNotNull(), F.greatest(F.lit(lo), F.least(F.lit(hi), c)))
+
+
+def limit(c: Column, lo: float, hi: float) -> Column:
+    """As :func:`clamp` for callers that rule out NULL; refers to ``c`` once."""
     return F.greatest(F.lit(lo), F.least(F.lit(hi), c))
 
 
@@ -64,7 +70,7 @@ def wilson(k: Column | str, n: Column | str, z: float = Z95) -> tuple[Column, Co
 
 def band(c: Column) -> Column:
     """Clamp a rating component to 1..9 (0 and 10 are reserved for people)."""
-    return F.greatest(F.lit(1), F.least(F.lit(9), c)).cast("int")
+    return limit(c, 1, 9).cast("int")
 
 
 def scale_band(share: Column) -> Column:
@@ -81,7 +87,7 @@ def detectability(width: Column, base: int | Column = 8) -> Column:
 
 def max_changes(budget: Column | str) -> Column:
     """Attack budget to number of changed characters, 1..8."""
-    return F.greatest(F.lit(1), F.least(F.lit(8), F.bround(col(budget) * 100.0, 0).cast("int")))
+    return clamp(F.bround(col(budget) * 100.0, 0).cast("int"), 1, 8)
 
 
 def risk_score(o: Column | str, s: Column | str, d: Column | str) -> Column:
@@ -97,10 +103,10 @@ def risk_score(o: Column | str, s: Column | str, d: Column | str) -> Column:
 
 def geometric_mean(values: list[Column]) -> Column:
     """Geometric mean of values in [0, 1]; a zero absorbs."""
-    capped = [clamp(v, 0.0, 1.0) for v in values]
+    capped = [limit(v, 0.0, 1.0) for v in values]
     any_zero = reduce(lambda a, b: a | b, [v == 0.0 for v in capped])
     logs = reduce(lambda a, b: a + b, [F.ln(F.when(v > 0, v)) for v in capped])
-    return F.when(any_zero, F.lit(0.0)).otherwise(clamp(F.exp(logs / len(capped)), 0.0, 1.0))
+    return F.when(any_zero, F.lit(0.0)).otherwise(limit(F.exp(logs / len(capped)), 0.0, 1.0))
 
 
 def geometric_mean_agg(value: Column) -> Column:
