@@ -25,60 +25,85 @@ ACTIVE = ("PENDING", "RUNNING", "PROBES_COMPLETED", "AGENT_COMPLETED")
 LEGACY = "legacy"
 
 
+def _state(name: str) -> int:
+    return STATES.index(name)
+
+
 def _apply(event: Column, state: Column) -> Column:
-    """Next state of a compare-and-set transition; an event from a wrong state changes nothing."""
-    pairs = [((event == name) & state.isin(*allowed), target) for name, (target, allowed) in TRANSITIONS.items()]
-    return first_case(*pairs, default=state)
+    """Next state number of a compare-and-set transition; an event from a wrong state changes nothing."""
+    return first_case(*[
+        ((event == name) & state.isin(*[_state(x) for x in sources]), _state(target))
+        for name, (target, sources) in TRANSITIONS.items()], default=state)
+
+
+def _compose(maps: Column, start: Column) -> Column:
+    """State after a sequence of transition maps; a map lists the end state of every start state."""
+    return F.aggregate(maps, start, lambda s, m: F.element_at(m, s + 1))
+
+
+def _starts() -> list[Column]:
+    return [F.lit(i) for i in range(len(STATES))]
+
+
+def _blocks(events: DataFrame, by: list[str], order: str, event: str, block: int, span: int) -> DataFrame:
+    """Blocks of consecutive ids with their events in order and their transition map."""
+    b = F.floor(F.col(order) / block).cast("bigint")
+    item = F.struct(F.col(order).cast("bigint").alias("id"), F.col(event).alias("e"))
+    packed = events.groupBy(*by, b.alias("_b")).agg(F.sort_array(F.collect_list(item)).alias("_ev"))
+    ends = F.array(*[F.aggregate("_ev", s, lambda acc, x: _apply(x["e"], acc)) for s in _starts()])
+    return packed.withColumn("_map", ends).withColumn("_span", F.floor(F.col("_b") / span).cast("bigint"))
 
 
-def _fold(events: Column, start: Column) -> Column:
-    return F.aggregate(events, start, lambda s, e: _apply(e, s))
+def _spans(blocks: DataFrame, by: list[str]) -> DataFrame:
+    """Transition map of every span of blocks."""
+    maps = F.transform(F.sort_array(F.collect_list(F.struct("_b", "_map"))), lambda x: x["_map"])
+    packed = blocks.groupBy(*by, "_span").agg(maps.alias("_maps"))
+    return packed.select(*by, "_span", F.array(*[_compose(F.col("_maps"), s) for s in _starts()]).alias("_smap"))
 
 
-def _block_maps(events: DataFrame, by: list[str], order: str, event: str, block: int) -> DataFrame:
-    """Per block of consecutive ids: the events in order and the end state for every start state."""
-    src = events.withColumn("_b", F.floor(F.col(order) / block).cast("bigint"))
-    packed = src.groupBy(*by, "_b").agg(F.sort_array(F.collect_list(F.struct(F.col(order).alias("id"), F.col(event).alias("e")))).alias("_ev"))
-    seq = F.transform("_ev", lambda x: x["e"])
-    ends = F.map_from_arrays(F.array(*[F.lit(s) for s in STATES]), F.array(*[_fold(seq, F.lit(s)) for s in STATES]))
-    return packed.withColumn("_map", ends)
+def _name(state: Column) -> Column:
+    return F.element_at(F.array(*[F.lit(s) for s in STATES]), state + 1)
 
 
-def replay_status(events: DataFrame, by: list[str], order: str = "id", event: str = "event_type", block: int = 10_000) -> DataFrame:
+def replay_status(events: DataFrame, by: list[str], order: str = "id", event: str = "event_type", block: int = 10_000,
+                  span: int = 1_000) -> DataFrame:
     """Accepted or rejected per event, and the state after it, in id order.
 
-    The transition of a block of events is a map from start state to end state.  Blocks
-    hold at most ``block`` events and are folded apart; their maps are then chained, so
-    one busy evaluation is spread over many tasks.
+    A block of events is a map from start state to end state.  Blocks hold at most
+    ``block`` events and are folded apart; spans of blocks are composed the same way, and
+    only their maps are chained, so one busy evaluation is spread over many tasks.
     """
-    blocks = _block_maps(events, by, order, event, block)
-    before = W.partitionBy(*by).orderBy("_b").rowsBetween(W.unboundedPreceding, -1)
-    chained = blocks.withColumn("_prev", F.collect_list("_map").over(before)).withColumn(
-        "_start", F.aggregate(F.col("_prev"), F.lit("NONE"), lambda s, m: F.element_at(m, s)))
-    step = F.struct(F.lit(None).cast("bigint").alias("id"), F.lit("").alias("e"), F.lit(True).alias("ok"), F.col("_start").alias("s"))
+    blocks = _blocks(events, by, order, event, block, span)
+    earlier = W.partitionBy(*by).orderBy("_span").rowsBetween(W.unboundedPreceding, -1)
+    entry = _spans(blocks, by).select(*by, "_span", _compose(F.collect_list("_smap").over(earlier), F.lit(0)).alias("_enter"))
+    inside = W.partitionBy(*by, "_span").orderBy("_b").rowsBetween(W.unboundedPreceding, -1)
+    started = blocks.withColumn("_before", F.collect_list("_map").over(inside)).join(entry, [*by, "_span"]).withColumn(
+        "_start", _compose(F.col("_before"), F.col("_enter")))
+    # running states of a block: each event knows the state it met
+    met = F.aggregate(
+        F.col("_ev"), F.array(F.col("_start")), lambda acc, x: F.concat(acc, F.array(_apply(x["e"], F.element_at(acc, -1)))))
+    rows = started.withColumn("_met", met).select(*by, "_met", F.posexplode("_ev").alias("_i", "_x"))
+    before, after = F.element_at("_met", F.col("_i") + 1), F.element_at("_met", F.col("_i") + 2)
+    return rows.select(*by, F.col("_x.id").alias(order), F.col("_x.e").alias(event),
+                       (before != after).alias("accepted"), _name(after).alias("state"))
 
-    def advance(acc: Column, x: Column) -> Column:
-        state = F.element_at(acc, -1)["s"]
-        after = _apply(x["e"], state)
-        allowed = first_case(*[(x["e"] == name, state.isin(*src)) for name, (_, src) in TRANSITIONS.items()], default=False)
-        return F.concat(acc, F.array(F.struct(x["id"].alias("id"), x["e"].alias("e"), allowed.alias("ok"), after.alias("s"))))
 
-    walked = F.aggregate(F.col("_ev"), F.array(step), advance)
-    return chained.select(*by, F.explode(F.slice(walked, 2, block + 1)).alias("w")).select(
-        *by, F.col("w.id").alias(order), F.col("w.e").alias(event), F.col("w.ok").alias("accepted"), F.col("w.s").alias("state"))
+def final_states(events: DataFrame, by: list[str], order: str = "id", event: str = "event_type", block: int = 10_000,
+                 span: int = 1_000) -> DataFrame:
+    """Last state per evaluation, from the composed maps only."""
+    spans = _spans(_blocks(events, by, order, event, block, span), by)
+    maps = F.transform(F.sort_array(F.collect_list(F.struct("_span", "_smap"))), lambda x: x["_smap"])
+    return spans.groupBy(*by).agg(maps.alias("_maps")).select(*by, _name(_compose(F.col("_maps"), F.lit(0))).alias("state"))
 
 
-def final_states(events: DataFrame, by: list[str], order: str = "id", event: str = "event_type", block: int = 10_000) -> DataFrame:
-    """Last state per evaluation from the chained block maps."""
-    maps = F.transform(F.sort_array(F.collect_list(F.struct("_b", F.map_entries("_map").alias("m")))), lambda x: F.map_from_entries(x["m"]))
-    return _block_maps(events, by, order, event, block).groupBy(*by).agg(maps.alias("_maps")).select(
-        *by, F.aggregate("_maps", F.lit("NONE"), lambda s, m: F.element_at(m, s)).alias("state"))
+def _micros(c: Column) -> Column:
+    return F.unix_micros(c.cast("timestamp"))
 
 
 def timeline(events: DataFrame, by: list[str], order: str = "id", ts: str = "created_at") -> DataFrame:
     """Events in id order with the seconds since the one before."""
     prev = previous_by_id(events, by, order, [ts])
-    gap = F.unix_micros(ts) - F.unix_micros(f"prev_{ts}")
+    gap = _micros(F.col(ts)) - _micros(F.col(f"prev_{ts}"))
     return prev.withColumn("gap_s", (gap / F.lit(1e6))).drop(f"prev_{ts}")
 
 
@@ -148,7 +173,7 @@ def publish(selected: DataFrame, published: DataFrame, by: list[str], at: Column
 def stuck_runs(events: DataFrame, states: DataFrame, by: list[str], now: Column, seconds: float, ts: str = "created_at") -> DataFrame:
     """Evaluations in progress without an event for ``seconds``."""
     last = events.groupBy(*by).agg(F.max(ts).alias("last_event"))
-    idle = (F.unix_micros(now) - F.unix_micros("last_event")) / F.lit(1e6)
+    idle = (_micros(now) - _micros(F.col("last_event"))) / F.lit(1e6)
     return states.filter(F.col("state").isin(*IN_PROGRESS)).join(last, by).withColumn("idle_s", idle).filter(F.col("idle_s") > seconds)
 
 
