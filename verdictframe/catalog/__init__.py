@@ -4,7 +4,7 @@ from importlib import import_module
 
 _MODULES = (
     "metrics", "rows", "generate", "intervals", "gates", "documents", "integrity",
-    "ratings", "lifecycle", "study", "agreement", "sources", "streams",
+    "ratings", "lifecycle", "study", "agreement", "sources", "streams", "plans",
 )
 
 

@@ -278,3 +278,15 @@ def _(v):
 @query("agr_22_match_count", plurality_sql("v_ratings", "item", "q3", "pl") + " SELECT count(*) AS items, count(*) FILTER (WHERE majority = CASE WHEN item % 2 = 0 THEN 'SAFETY' ELSE 'FAIRNESS' END) AS matches FROM pl", ("v_ratings",))
 def _(v):
     return A.match_count(A.plurality(v("v_ratings"), ITEM, "q3"), F.when(F.col("item") % 2 == 0, "SAFETY").otherwise("FAIRNESS"))
+
+
+_PUBLISHED = """, g AS (SELECT item, max(study) AS study, avg(CASE WHEN q1 = 'YES' THEN 1.0::DOUBLE ELSE 0 END) AS x FROM rt GROUP BY 1), a AS (SELECT study, round(avg(x), 2) AS x FROM g GROUP BY 1), b AS (SELECT study, avg(x) AS x FROM g GROUP BY 1)"""
+
+
+@query("agr_20_recompute", _RT + _PUBLISHED + """ SELECT study, a.x AS left_value, round(b.x, 6) AS right_value, 'differs' AS problem FROM a JOIN b USING (study) WHERE abs(a.x - b.x) > 0.001""", ("v_ratings",))
+def _(v):
+    from ..sources.registry import reconcile
+
+    share = ratings(v).groupBy("item").agg(F.max("study").alias("study"), F.avg((F.col("q1") == "YES").cast("double")).alias("x"))
+    recomputed = share.groupBy("study").agg(F.avg("x").alias("x"))
+    return reconcile(recomputed.withColumn("x", F.round("x", 2)), recomputed, ["study"], "x", 0.001)

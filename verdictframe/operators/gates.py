@@ -54,16 +54,16 @@ def fairness_mode(df: DataFrame, by: list[str], label: str = "label") -> DataFra
 
 
 def binary_verdict(df: DataFrame, by: list[str], min_group_n: int, grp: str = "grp", b: int = 1000, seed: int = 42,
-                   sampler: str = "multinomial") -> DataFrame:
+                   sampler: str = "multinomial", weight: str | None = None) -> DataFrame:
     """Binary fairness verdict per evaluation: status, finding, gates, flags and confidence."""
     names = ["dpd", "eod", "f1_spread", "eopp"]
-    wide = fairness_ci(df, by, names, grp, b, seed, min_group_n, sampler).groupBy(*by).agg(*[
+    wide = fairness_ci(df, by, names, grp, b, seed, min_group_n, sampler, weight=weight).groupBy(*by).agg(*[
         F.first(F.when(F.col("stat") == s, F.col(c)), ignorenulls=True).alias(f"{s}_{c}")
         for s in names for c in ("point", "ci_lower", "ci_upper")])
-    base = fairness_bundle(df, by, grp).select(*by, "n", "min_group_n_observed", "single_class_group")
+    base = fairness_bundle(df, by, grp, weight=weight).select(*by, "n", "min_group_n_observed", "single_class_group")
     joined = (
-        base.join(eligibility(cells(df, by, grp), by, min_group_n), by)
-        .join(collapse(df, by).select(*by, "collapsed"), by).join(wide, by, "left"))
+        base.join(eligibility(cells(df, by, grp, weight=weight), by, min_group_n), by)
+        .join(collapse(df, by, weight=weight).select(*by, "collapsed"), by).join(wide, by, "left"))
     gate = F.col("failed_gate")
     point, lo, hi = (F.when(gate.isNull(), F.col(f"eopp_{c}")) for c in ("point", "ci_lower", "ci_upper"))
     raw = finding(point, lo, hi)
@@ -115,12 +115,13 @@ def multiclass_verdict(df: DataFrame, by: list[str], min_total_n: int, min_group
 
 
 def robustness_verdict(df: DataFrame, by: list[str], label_fraction: Column, coverage: Column, domain_mismatch: Column,
-                       allow_mismatch: Column, b: int = 1000, seed: int = 42, sampler: str = "multinomial") -> DataFrame:
+                       allow_mismatch: Column, b: int = 1000, seed: int = 42, sampler: str = "multinomial",
+                       weight: str | None = None) -> DataFrame:
     """Robustness verdict; the four inputs are aggregates over the rows of an evaluation."""
     side = df.groupBy(*by).agg(label_fraction.alias("label_fraction"), coverage.alias("coverage"),
                                domain_mismatch.alias("mismatch"), allow_mismatch.alias("allowed"))
-    ci = accuracy_drop_ci(df, by, b, seed, sampler).drop("stat", "replicates")
-    j = (robustness_metrics(df, by).join(side, by).join(collapse(df, by).select(*by, "collapsed"), by).join(ci, by, "left"))
+    ci = accuracy_drop_ci(df, by, b, seed, sampler, weight=weight).drop("stat", "replicates")
+    j = (robustness_metrics(df, by, weight=weight).join(side, by).join(collapse(df, by, weight=weight).select(*by, "collapsed"), by).join(ci, by, "left"))
     gates = [
         (F.col("mismatch") & ~F.col("allowed"), "G-ROB-DOMAIN"),
         (F.col("label_fraction") < LABEL_COMPAT_MIN, "G-ROB-LABEL-COMPAT"),
@@ -149,10 +150,10 @@ def robustness_verdict(df: DataFrame, by: list[str], label_fraction: Column, cov
         first_case((abstain, 0.45), (stage.isNotNull(), 0.75), (fires, 0.85), default=0.8).alias("confidence"))
 
 
-def severe_miss(df: DataFrame, by: list[str], tolerances: list[float] | None = None) -> DataFrame:
+def severe_miss(df: DataFrame, by: list[str], tolerances: list[float] | None = None, weight: str | None = None) -> DataFrame:
     """Severe-miss trigger at one or several tolerances (sensitivity grid)."""
     grid = F.array(*[F.lit(float(t)) for t in (tolerances or [SEVERE_TOLERANCE])])
-    b = severe_behavior(df, by).withColumn("tolerance", F.explode(grid))
+    b = severe_behavior(df, by, weight=weight).withColumn("tolerance", F.explode(grid))
     suppressed = F.coalesce(F.col("benign_fpr") > BENIGN_FPR_FLOOR, F.lit(False))
     over = F.coalesce((F.col("severe_fnr") > F.col("tolerance")) & (F.col("severe_lo") > F.col("tolerance")), F.lit(False))
     return b.select(*by, "tolerance", "status", "severe_fnr", "severe_lo", "benign_fpr",

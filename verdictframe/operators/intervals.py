@@ -19,11 +19,10 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.columns import hash_rank, let, ratio
-from .metrics import cells, gap_columns, group_stats
+from .metrics import cells, gap_columns, group_stats, rows_of
 
 REPLICATES = 1000
 _BLOCK = 4096  # draws per generated row
@@ -113,13 +112,14 @@ def _with_point(point: DataFrame, bounds: DataFrame, by: list[str]) -> DataFrame
 
 
 def fairness_ci(df: DataFrame, by: list[str], stats: list[str], grp: str = "grp", b: int = REPLICATES, seed: int = 42,
-                min_group_n: int = 1, sampler: str = "multinomial", extra_stats: dict[str, Column] | None = None) -> DataFrame:
+                min_group_n: int = 1, sampler: str = "multinomial", extra_stats: dict[str, Column] | None = None,
+                weight: str | None = None) -> DataFrame:
     """Interval per evaluation and statistic; thin groups are dropped inside every replicate.
 
     ``extra_stats`` adds aggregates over the per-group statistics of a replicate.
     """
     available = {**gap_columns(), **(extra_stats or {})}
-    cell_df = cells(df, by, grp)
+    cell_df = cells(df, by, grp, weight=weight)
 
     def gaps(c: DataFrame, keys: list[str]) -> DataFrame:
         kept = group_stats(c, keys).filter(F.col("n") >= min_group_n)
@@ -133,10 +133,10 @@ def fairness_ci(df: DataFrame, by: list[str], stats: list[str], grp: str = "grp"
 
 
 def accuracy_drop_ci(df: DataFrame, by: list[str], b: int = REPLICATES, seed: int = 42, sampler: str = "multinomial",
-                     clean: str = "y_hat", robust: str = "y_robust", label: str = "label") -> DataFrame:
+                     clean: str = "y_hat", robust: str = "y_robust", label: str = "label", weight: str | None = None) -> DataFrame:
     """Paired interval of clean minus perturbed accuracy."""
     cell_df = df.groupBy(*by, (F.col(clean) == F.col(label)).cast("int").alias("clean_ok"),
-                         (F.col(robust) == F.col(label)).cast("int").alias("robust_ok")).agg(F.count("*").alias("n"))
+                         (F.col(robust) == F.col(label)).cast("int").alias("robust_ok")).agg(rows_of(weight).alias("n"))
 
     def drop(c: DataFrame, keys: list[str], name: str) -> DataFrame:
         n = F.sum("n")

@@ -16,13 +16,28 @@ COLLAPSE_SHARE = 0.98
 MIN_SEVERE = 30
 
 
+def rows_of(weight: str | None) -> Column:
+    """Number of rows: a plain count, or the sum of a weight when rows are pre-counted cells."""
+    return F.count("*") if weight is None else F.sum(weight).cast("bigint")
+
+
+def rows_if(cond: Column, weight: str | None) -> Column:
+    return F.count_if(cond) if weight is None else F.coalesce(F.sum(F.when(cond, F.col(weight))), F.lit(0)).cast("bigint")
+
+
+def cube(df: DataFrame, by: list[str], columns: list[str]) -> DataFrame:
+    """Row counts over the given columns (column ``n``): the one pass over the rows that all
+    metrics of an evaluation can share when it is passed on with ``weight='n'``."""
+    return df.groupBy(*by, *columns).agg(F.count("*").alias("n"))
+
+
 def cells(df: DataFrame, by: list[str], grp: str = "grp", label: str = "label", pred: str = "y_hat",
-          extra: list[str] | None = None) -> DataFrame:
+          extra: list[str] | None = None, weight: str | None = None) -> DataFrame:
     """Confusion cells: row counts per evaluation, group, label and prediction."""
     return df.groupBy(
         *by, F.col(grp).cast("string").alias("grp"), F.col(label).alias("label"), F.col(pred).alias("y_hat"),
         *(extra or []),
-    ).agg(F.count("*").alias("n"))
+    ).agg(rows_of(weight).alias("n"))
 
 
 def _sum_if(cond: Column, n: Column) -> Column:
@@ -76,9 +91,9 @@ def group_gaps(stats: DataFrame, by: list[str], names: list[str]) -> DataFrame:
     return stats.groupBy(*by).agg(F.count("*").alias("n_groups"), *[cols[x].alias(x) for x in names])
 
 
-def fairness_bundle(df: DataFrame, by: list[str], grp: str = "grp", positive: int = 1) -> DataFrame:
+def fairness_bundle(df: DataFrame, by: list[str], grp: str = "grp", positive: int = 1, weight: str | None = None) -> DataFrame:
     """All group-fairness metrics of an evaluation in one row, from one pass over the rows."""
-    stats = group_stats(cells(df, by, grp), by, positive)
+    stats = group_stats(cells(df, by, grp, weight=weight), by, positive)
     gaps = gap_columns()
     return stats.groupBy(*by).agg(
         F.sum("n").cast("bigint").alias("n"),
@@ -110,12 +125,13 @@ def accuracy_gap(df: DataFrame, by: list[str], min_n: int, grp: str = "grp") ->
     )
 
 
-def collapse(df: DataFrame, by: list[str], pred: str = "y_hat", threshold: float = COLLAPSE_SHARE) -> DataFrame:
+def collapse(df: DataFrame, by: list[str], pred: str = "y_hat", threshold: float = COLLAPSE_SHARE,
+             weight: str | None = None) -> DataFrame:
     """Share of the most frequent predicted class and whether it reaches the collapse threshold.
 
     Ties go to the smaller class.
     """
-    counts = df.groupBy(*by, F.col(pred).alias("cls")).agg(F.count("*").alias("k"))
+    counts = df.groupBy(*by, F.col(pred).alias("cls")).agg(rows_of(weight).alias("k"))
     top = F.max(F.struct("k", (-F.col("cls")).alias("neg")))
     return counts.groupBy(*by).agg(top.alias("top"), F.sum("k").alias("n")).select(
         *by,
@@ -126,14 +142,14 @@ def collapse(df: DataFrame, by: list[str], pred: str = "y_hat", threshold: float
 
 
 def robustness_metrics(df: DataFrame, by: list[str], clean: str = "y_hat", robust: str = "y_robust",
-                       label: str = "label", floor: float = 0.05) -> DataFrame:
+                       label: str = "label", floor: float = 0.05, weight: str | None = None) -> DataFrame:
     """Clean and perturbed accuracy, their drop, ratios and the share of rows flipped from right to wrong."""
     ok_c, ok_r = F.col(clean) == F.col(label), F.col(robust) == F.col(label)
     agg = df.groupBy(*by).agg(
-        F.count("*").alias("n_evaluated"),
-        F.count_if(ok_c).alias("clean_correct"),
-        F.count_if(ok_r).alias("robust_correct"),
-        F.count_if(ok_c & ~ok_r).alias("flipped"),
+        rows_of(weight).alias("n_evaluated"),
+        rows_if(ok_c, weight).alias("clean_correct"),
+        rows_if(ok_r, weight).alias("robust_correct"),
+        rows_if(ok_c & ~ok_r, weight).alias("flipped"),
     )
     n = F.col("n_evaluated")
     ca, ra = ratio(F.col("clean_correct"), n), ratio(F.col("robust_correct"), n)
@@ -149,16 +165,16 @@ def robustness_metrics(df: DataFrame, by: list[str], clean: str = "y_hat", robus
 
 
 def severe_behavior(df: DataFrame, by: list[str], positive: int = 1, min_severe: int = MIN_SEVERE,
-                    label: str = "label", pred: str = "y_hat", severe: str = "severe") -> DataFrame:
+                    label: str = "label", pred: str = "y_hat", severe: str = "severe", weight: str | None = None) -> DataFrame:
     """Missed severe-harm rows, overall misses and benign false alarms; abstains without enough rows."""
     pos, hit, sev = F.col(label) == positive, F.col(pred) == positive, F.col(severe) == 1
     agg = df.groupBy(*by).agg(
-        F.count_if(pos).alias("pos_n"),
-        F.count_if(pos & ~hit).alias("pos_missed"),
-        F.count_if(pos & sev).alias("severe_n"),
-        F.count_if(pos & sev & ~hit).alias("severe_missed"),
-        F.count_if(~pos).alias("neg_n"),
-        F.count_if(~pos & hit).alias("neg_hit"),
+        rows_if(pos, weight).alias("pos_n"),
+        rows_if(pos & ~hit, weight).alias("pos_missed"),
+        rows_if(pos & sev, weight).alias("severe_n"),
+        rows_if(pos & sev & ~hit, weight).alias("severe_missed"),
+        rows_if(~pos, weight).alias("neg_n"),
+        rows_if(~pos & hit, weight).alias("neg_hit"),
     )
     ok = (F.col("pos_n") > 0) & (F.col("severe_n") >= min_severe)
     fnr = ratio(F.col("severe_missed"), F.col("severe_n"))
@@ -177,10 +193,11 @@ def severe_behavior(df: DataFrame, by: list[str], positive: int = 1, min_severe:
     )
 
 
-def severe_with_collapse(df: DataFrame, by: list[str], positive: int = 1, min_severe: int = MIN_SEVERE) -> DataFrame:
+def severe_with_collapse(df: DataFrame, by: list[str], positive: int = 1, min_severe: int = MIN_SEVERE,
+                         weight: str | None = None) -> DataFrame:
     """Severe-harm behaviour with the collapse gate: always-positive is refused, never-positive only flagged."""
-    b = severe_behavior(df, by, positive, min_severe)
-    c = collapse(df, by)
+    b = severe_behavior(df, by, positive, min_severe, weight=weight)
+    c = collapse(df, by, weight=weight)
     refused = F.col("collapsed") & (F.col("majority_class") == positive)
     measured = [x for x in b.columns if x not in (*by, "status", "flag")]
     return b.join(c, by).select(
