@@ -78,30 +78,44 @@ def normalize_heading(c: Column) -> Column:
     return strip(F.regexp_replace(plain, r"\s+", " "))
 
 
-def nontrivial(body: Column) -> Column:
+def nontrivial(body: Column, stripped: bool = False) -> Column:
     """At least 20 characters and not, after normalisation, a template placeholder.
 
     The placeholder test anchors at the first word, so a long body is left at once.
     """
-    b = strip(F.coalesce(body, F.lit("")))
     gap = r"[^\p{L}\p{N}_]"
     options = "|".join(p.replace(" ", gap + "+") for p in PLACEHOLDERS)
-    return (F.length(b) >= MIN_BODY) & ~b.rlike(rf"(?i)^{gap}*(?:{options}){gap}*$")
+    pattern = rf"(?i)^{gap}*(?:{options}){gap}*$"
+    if stripped:
+        return (F.length(body) >= MIN_BODY) & ~body.rlike(pattern)
+    return let(strip(F.coalesce(body, F.lit(""))), lambda b: (F.length(b) >= MIN_BODY) & ~b.rlike(pattern))
+
+
+def _unix_lines(plain: Column) -> Column:
+    odd = contains_any(plain, _LINE_ENDS)  # rare, so the replacement pass is skipped for most cards
+    return F.when(odd, F.regexp_replace(plain, "\r\n|[" + "".join(_LINE_ENDS) + "]", "\n")).otherwise(plain)
 
 
 def sections(text: Column) -> Column:
     """array<struct<heading, body>>: lines of 1-3 '#' start a section, the first of equal headings wins."""
-    plain = F.coalesce(text, F.lit(""))
-    odd = contains_any(plain, _LINE_ENDS)  # rare, so the replacement pass is skipped for most cards
-    unix = F.when(odd, F.regexp_replace(plain, "\r\n|[" + "".join(_LINE_ENDS) + "]", "\n")).otherwise(plain)
     head = r"#{1,3}[^\S\n][^\n]"
-    pieces = F.filter(F.split(unix, rf"(?md)^(?={head})"), lambda p: p.rlike(rf"^{head}"))
-    parsed = F.transform(pieces, lambda p: F.struct(
-        strip(F.regexp_extract(p, r"^#{1,3}[^\S\n]+([^\n]*)", 1)).alias("heading"),
-        strip(F.regexp_replace(p, r"^[^\n]*\n?", "")).alias("body")))
-    return let(parsed, lambda all_: let(
-        F.transform(all_, lambda s: s["heading"]),
-        lambda names: F.filter(all_, lambda s, i: F.array_position(names, s["heading"]) == i + 1)))
+
+    def section(p: Column) -> Column:
+        return let(F.substring_index(p, "\n", 1), lambda line: F.struct(
+            strip(F.regexp_extract(line, r"^#{1,3}[^\S\n]+([^\n]*)", 1)).alias("heading"),
+            strip(F.substr(p, F.length(line) + 2)).alias("body")))
+
+    def parse(unix: Column) -> Column:
+        # only first lines meet a regular expression once the text is cut
+        cut = F.split(unix, rf"(?md)^(?={head})")
+        return F.transform(F.filter(cut, lambda p: F.substring_index(p, "\n", 1).rlike(rf"^{head}")), section)
+
+    def first_wins(all_: Column) -> Column:
+        return let(F.transform(all_, lambda s: s["heading"]),
+                   lambda names: F.filter(all_, lambda s, i: F.array_position(names, s["heading"]) == i + 1))
+
+    parsed = let(F.coalesce(text, F.lit("")), lambda plain: parse(_unix_lines(plain)))
+    return let(parsed, first_wins)
 
 
 def split_sections(cards: DataFrame, key: str, text: str = "card_text") -> DataFrame:
@@ -121,7 +135,7 @@ def match_alias(heading: Column, aliases: dict[str, tuple[str, ...]]) -> Column:
 def present_sections(text: Column, aliases: dict[str, tuple[str, ...]], fallbacks: dict[str, list[tuple[str, Column]]]) -> Column:
     """array<struct<key, present, matched_heading>> over all keys, structured fields as fallback."""
     found = F.transform(
-        F.filter(sections(text), lambda s: nontrivial(s["body"])),
+        F.filter(sections(text), lambda s: nontrivial(s["body"], stripped=True)),
         lambda s: F.struct(match_alias(normalize_heading(s["heading"]), aliases).alias("key"), s["heading"].alias("heading")))
 
     def first_of(hits: Column, key: str) -> Column:
@@ -174,8 +188,8 @@ def contradiction_flags(text: Column, license_: Column, limitations_present: Col
 def documentation_verdict(cards: DataFrame, key: str, fallbacks: dict, text: str = "card_text", license_: str = "license") -> DataFrame:
     """Documentation completeness and contradictions per card; an empty card abstains."""
     body = strip(F.coalesce(F.col(text), F.lit("")))
-    src = cards.select(key, body.alias("_body"), F.col(license_).alias("_lic"),
-                       present_sections(body, SECTION_ALIASES, fallbacks).alias("_found"))
+    src = cards.withColumn("_body", body).select(
+        key, "_body", F.col(license_).alias("_lic"), present_sections(F.col("_body"), SECTION_ALIASES, fallbacks).alias("_found"))
     n = len(REQUIRED_SECTIONS)
     present = _count_present(F.col("_found"), REQUIRED_SECTIONS)
     limits = F.exists("_found", lambda f: f["present"] & (f["key"] == "limitations"))
@@ -200,8 +214,9 @@ def documentation_verdict(cards: DataFrame, key: str, fallbacks: dict, text: str
 def disclosure_verdict(cards: DataFrame, key: str, fallbacks: dict, text: str = "card_text") -> DataFrame:
     """Safety-disclosure completeness and high-impact phrases per card."""
     body = strip(F.coalesce(F.col(text), F.lit("")))
-    src = cards.select(key, body.alias("_body"), present_sections(body, DISCLOSURE_ALIASES, fallbacks).alias("_found"),
-                       families(body, IMPACT_PHRASES).alias("high_impact_claims"))
+    src = cards.withColumn("_body", body).select(
+        key, "_body", present_sections(F.col("_body"), DISCLOSURE_ALIASES, fallbacks).alias("_found"),
+        families(F.col("_body"), IMPACT_PHRASES).alias("high_impact_claims"))
     n = len(REQUIRED_DISCLOSURES)
     src = src.withColumn("checks_present", _count_present(F.col("_found"), REQUIRED_DISCLOSURES))
     empty, k = F.length("_body") == 0, F.col("checks_present")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.columns import contains_any, first_case, reasons, strip
+from ..functions.columns import contains_any, first_case, let, reasons, strip
 from .documents import REPRO_SIGNALS, families
 
 # License wording in a card, weight formats and the files a loader reads.
@@ -63,7 +63,7 @@ def integrity_verdict(models: DataFrame, key: str) -> DataFrame:
     empty = rev.isNull() & ~has_files & ~has_card
     content_addressed = F.col("model_ref").rlike(r"^[/.]") & bare_hash(F.col("local_hash")).isNotNull()
     pinned = content_addressed | sha_like(rev)
-    card_open = has_card & contains_any(F.lower(card), OPEN_LICENSE_HINTS)
+    card_open = has_card & let(F.lower(card), lambda low: contains_any(low, OPEN_LICENSE_HINTS))
     license_file = F.exists(f, lambda x: F.lower(x).rlike(r"(^|/)license(\.[a-z0-9]+)?$"))
     repro = families(card, REPRO_SIGNALS)
     src = src.select(

@@ -248,8 +248,9 @@ def total_score(risks: DataFrame, by: list[str], weights: DataFrame | None = Non
         F.count_if(F.col("weight").isNull() | F.col("aspect_score").isNull()).alias("_unmatched"))
     bad = reasons(
         (F.col("_bad"), "component_out_of_range"), ((F.col("aspects") != len(DIMENSIONS)) | (F.col("_unknown") > 0), "needs_exactly_five_aspects"),
-        (F.col("_unmatched") > 0, "weights_do_not_match"), (F.col("_min") < MIN_WEIGHT, "weight_below_minimum"),
-        (F.abs(F.col("_sum") - 1.0) > 1e-6, "weights_do_not_sum_to_one"))
+        *([] if weights is None else [
+            (F.col("_unmatched") > 0, "weights_do_not_match"), (F.col("_min") < MIN_WEIGHT, "weight_below_minimum"),
+            (F.abs(F.col("_sum") - 1.0) > 1e-6, "weights_do_not_sum_to_one")]))
     return out.withColumn("violations", bad).select(
         *by, "aspects", "violations", F.when(F.size("violations") == 0, F.round("_total", 4)).alias("score"))
 
