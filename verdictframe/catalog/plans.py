@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from ..operators.ordering import latest
+from ..operators.ordering import latest_wide
 from ..plans import audit as P
 from ..session import materialize
 from .base import query
@@ -11,7 +11,7 @@ from .base import query
 def _inputs(v):
     """Predictions per nation; the newest card of each owner documents the evaluation with its number."""
     rows = v("v_pred_big").drop("evaluation_id").withColumnRenamed("nation", "evaluation_id")
-    newest = materialize(latest(v("v_cards"), ["owner"], ["card_id"]))  # one card per owner, read by three probes
+    newest = materialize(latest_wide(v("v_cards"), ["owner"], "card_id"))  # one card per owner, read by three probes
     cards = newest.withColumn("evaluation_id", F.concat(F.lit("N"), F.substring("owner", 4, 10)))
     listed = F.filter(F.split("files", ";"), lambda x: x != "")
     return rows, cards.withColumn("files", listed).withColumn("live_files", F.split("live_files", ";"))

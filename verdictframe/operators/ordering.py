@@ -122,3 +122,12 @@ def latest(df: DataFrame, keys: list[str], order: list[str], count_as: str | Non
         aggs.append((F.count("*") - 1).alias(count_as))
     out = df.groupBy(*[F.col(k).alias(f"_k_{k}") for k in keys]).agg(*aggs)
     return out.select("_row.*", *([count_as] if count_as else []))
+
+
+def latest_wide(df: DataFrame, keys: list[str], order: str) -> DataFrame:
+    """As :func:`latest` for wide rows with a unique order column.
+
+    Only keys and order values are aggregated; the wide columns are read for the winners.
+    """
+    last = df.groupBy(*keys).agg(F.max(order).alias(order))
+    return df.join(last, [*keys, order], "left_semi")
