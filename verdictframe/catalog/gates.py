@@ -36,7 +36,7 @@ _W = "(max(ci_upper) FILTER (WHERE stat = '{s}') - max(ci_lower) FILTER (WHERE s
   coalesce({_W.format(s='dpd')}, false) AS wdp, coalesce({_W.format(s='eod')}, false) AS weo, coalesce({_W.format(s='f1_spread')}, false) AS wf1 FROM ci GROUP BY 1),
  bb AS (SELECT evaluation_id, min(n) < 20 AS thin, bool_or(label_rate IN (0, 1)) AS single FROM gs GROUP BY 1),
  j AS (SELECT eg.evaluation_id, failed_gate AS gate, collapsed, thin, single, wdp, weo, wf1, CASE WHEN failed_gate IS NULL THEN p0 END AS p, CASE WHEN failed_gate IS NULL THEN lo0 END AS lo, CASE WHEN failed_gate IS NULL THEN hi0 END AS hi
-  FROM eg JOIN co USING (evaluation_id) JOIN bb USING (evaluation_id) JOIN w USING (evaluation_id)),
+  FROM eg JOIN co USING (evaluation_id) JOIN bb USING (evaluation_id) LEFT JOIN w USING (evaluation_id)),
  k AS (SELECT *, {_FIND.format(p='p', lo='lo', hi='hi')} AS raw, coalesce(hi - lo > 0.15, false) AS too_wide FROM j),
  l AS (SELECT *, collapsed OR raw = 'INSUFFICIENT_EVIDENCE' AS abst FROM k)
 SELECT evaluation_id, CASE WHEN abst THEN 'INSUFFICIENT_EVIDENCE' ELSE 'EVALUATED' END AS status, CASE WHEN abst OR too_wide THEN 'INSUFFICIENT_EVIDENCE' ELSE raw END AS finding,
