@@ -115,8 +115,8 @@ def _(v):
     return L.stamp(v("v_probes")).select("evaluation_id", "dimension", "rule_version", "required_aspects_rule")
 
 
-@query("life_12_todo", """SELECT m.model, s.seed FROM (SELECT DISTINCT model FROM v_runs) m CROSS JOIN (SELECT DISTINCT seed FROM v_runs) s WHERE NOT EXISTS
+@query("life_12_todo", """SELECT m.model, s.seed FROM (SELECT DISTINCT model FROM v_runs) m CROSS JOIN (SELECT unnest(range(1995, 2002)) AS seed) s WHERE NOT EXISTS
  (SELECT 1 FROM v_runs r WHERE r.model = m.model AND r.seed = s.seed AND status = 'FINALIZED' AND score > 9.3)""", ("v_runs",))
 def _(v):
     r = v("v_runs")
-    return L.todo(r, r, r.filter("status = 'FINALIZED' and score > 9.3"))
+    return L.todo(r, list(range(1995, 2002)), r.filter("status = 'FINALIZED' and score > 9.3"))

@@ -88,7 +88,7 @@ def _(v):
 def _(v):
     r = v("v_runs")
     best = lambda s, n: r.filter(F.col("status") == s).groupBy("model", "seed").agg(F.max("score").alias(n))
-    return U.correlations(best("FINALIZED", "a").join(best("FAILED", "b"), ["model", "seed"]), ["model"], "a", "b")
+    return U.correlations(best("FINALIZED", "a").join(best("FAILED", "b"), ["model", "seed"]), ["model"], "a", "b", many_values=False)
 
 
 @query("stu_09_probe_coverage", _SEEDED + """, l AS (SELECT 'FAIRNESS' AS probe, (fairness_skip IS NOT NULL)::INT AS skip FROM sd UNION ALL SELECT 'ROBUSTNESS', (robustness_skip <> '')::INT FROM sd UNION ALL SELECT 'SAFETY', 0 FROM sd)
@@ -99,7 +99,7 @@ def _(v):
 
 @query("stu_10_correlations", corr_sql("v_runs", "model", "score", "confidence") + " SELECT k AS model, n, round(pearson, 6) AS pearson, round(spearman, 6) AS spearman, round(mae, 6) AS mae FROM cr", ("v_runs",))
 def _(v):
-    return U.correlations(v("v_runs"), ["model"], "score", "confidence", many_values=True)
+    return U.correlations(v("v_runs"), ["model"], "score", "confidence")
 
 
 @query("stu_10_average_ranks", "SELECT DISTINCT model, wall_s, rank() OVER (PARTITION BY model ORDER BY wall_s) + (count(*) OVER (PARTITION BY model, wall_s) - 1) / 2.0::DOUBLE AS rank FROM v_runs", ("v_runs",))
@@ -201,7 +201,7 @@ def _(v):
 def _(v):
     lv = v("v_probes").filter(F.col("dimension").isin("SAFETY", "FAIRNESS")).select(
         "dimension", (F.expr("cast(substr(model, 2) as int) % 6") / 5.0).alias("rate"), F.coalesce("severe_fnr", "dpd").alias("e"))
-    return U.correlations(lv, ["dimension"], "rate", "e").select("dimension", "n", F.when(F.col("n") >= 3, F.col("spearman")).alias("spearman"))
+    return U.correlations(lv, ["dimension"], "rate", "e", many_values=False).select("dimension", "n", F.when(F.col("n") >= 3, F.col("spearman")).alias("spearman"))
 
 
 @query("stu_18_monotonicity", """, s AS (SELECT model, run_id, CASE WHEN status <> 'FAILED' THEN wall_s END AS y FROM v_runs), t AS (SELECT *, lag(y) OVER (PARTITION BY model ORDER BY run_id) AS p FROM s WHERE y IS NOT NULL)

@@ -183,9 +183,8 @@ def stamp(df: DataFrame, version: str = "rule_version") -> DataFrame:
     return df.withColumn(version, v).withColumn("required_aspects_rule", F.when(v == LEGACY, "fixed_five").otherwise("without_not_applicable"))
 
 
-def todo(models: DataFrame, seeds: DataFrame, done: DataFrame, keys: tuple[str, str] = ("model", "seed")) -> DataFrame:
-    """Planned (model, seed) pairs that have not run; the pairs are the plan itself, not row pairs."""
-    plan = models.select(keys[0]).distinct().crossJoin(F.broadcast(seeds.select(keys[1]).distinct()))
+def todo(models: DataFrame, seeds: list[int], done: DataFrame, keys: tuple[str, str] = ("model", "seed")) -> DataFrame:
+    """Planned (model, seed) runs that have not finished; the seeds are part of the plan, so they are literals."""
+    planned = F.explode(F.array(*[F.lit(s).cast("bigint") for s in seeds]))
+    plan = models.select(keys[0]).distinct().withColumn(keys[1], planned)
     return plan.join(done.select(*keys), list(keys), "left_anti")
-
-

@@ -26,19 +26,22 @@ def pearson_agg(x: str, y: str) -> Column:
     return F.when((F.count(a) >= 2) & (den > 1e-15), F.covar_pop(a, b) / F.when(den > 1e-15, den))
 
 
-def average_ranks(df: DataFrame, by: list[str], value: str, out: str = "rank", many_values: bool = False) -> DataFrame:
+def average_ranks(df: DataFrame, by: list[str], value: str, out: str = "rank", many_values: bool = True) -> DataFrame:
     """Rank of every distinct value with ties averaged: (by, value, rank).
 
-    Equal values are counted first, so a frequent value is one row.  With
-    ``many_values`` the running count is taken over range partitions instead of one
-    window per key.
+    Equal values are counted first, so a frequent value is one row.  The running count
+    is taken over checkpointed range partitions; ``many_values=False`` uses one window
+    per key where distinct values are few.
     """
     hist = df.filter(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("_n"))
     return _weighted_ranks(hist, by, value, out, many_values)
 
 
-def correlations(df: DataFrame, by: list[str], x: str, y: str, many_values: bool = False) -> DataFrame:
-    """n, Pearson, Spearman (Pearson on average ranks) and mean absolute difference."""
+def correlations(df: DataFrame, by: list[str], x: str, y: str, many_values: bool = True) -> DataFrame:
+    """n, Pearson, Spearman (Pearson on average ranks) and mean absolute difference.
+
+    ``many_values=False`` saves the checkpoint where a key has few distinct values.
+    """
     pairs = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull()).groupBy(*by, F.col(x).alias("_x"), F.col(y).alias("_y")).agg(F.count("*").alias("_n"))
     rx = _weighted_ranks(pairs, by, "_x", "_rx", many_values)
     ry = _weighted_ranks(pairs, by, "_y", "_ry", many_values)
@@ -132,7 +135,7 @@ def wall_clock(runs: DataFrame, by: list[str], wall: str = "wall_s") -> DataFram
 def confidence_rank(models: DataFrame, cols: dict[str, tuple[str, str]]) -> DataFrame:
     """Named correlations over one row per model: {name: (x, y)}."""
     long = F.inline(F.array(*[F.struct(F.lit(n).alias("pair"), F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")) for n, (x, y) in cols.items()]))
-    return correlations(models.select(long), ["pair"], "x", "y").drop("mae")
+    return correlations(models.select(long), ["pair"], "x", "y", many_values=False).drop("mae")  # one row per model
 
 
 def determinism(runs: DataFrame, keys: list[str], cols: list[str], check: str = "det-check", base: str = "seed-") -> DataFrame:
@@ -280,7 +283,7 @@ def hypotheses(table: DataFrame, target_rate: float = 0.4) -> DataFrame:
         F.count_if(ctrl & F.col("flagged")).alias("flagged_controls"), F.avg(F.when(strong, F.col("flagged").cast("double"))).alias("recall"),
         F.sum("insufficient").alias("insufficient_runs"), F.sum("blocked").alias("blocked_runs"))
     levels = table.filter((F.col("role") == "injected") & F.col("evidence").isNotNull()).withColumn("_g", F.lit(1))
-    rho = correlations(levels, ["_g"], "rate", "evidence").select(
+    rho = correlations(levels, ["_g"], "rate", "evidence", many_values=False).select(
         F.when(F.col("n") >= 3, F.col("spearman")).alias("spearman"), F.col("n").alias("n_levels"))
     return counts.join(F.broadcast(rho)).select(
         "flagged_controls", (F.col("flagged_controls") == 0).alias("h1"), "recall", (F.col("recall") == 1.0).alias("h2"),
