@@ -5,6 +5,30 @@ from __future__ import annotations
 _WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
+OP4 = rf"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all({_LOWER}, '{_WORD}') AS w FROM documents
+), t AS (
+  SELECT r, i, w[i] AS w, CASE WHEN i > 1 THEN w[i - 1] END AS p FROM (SELECT r, w, unnest(range(1, len(w) + 1)) AS i FROM d)
+), u AS (SELECT w, count(*) AS n FROM t GROUP BY w),
+b AS (SELECT p, w, count(*) AS n FROM t WHERE p IS NOT NULL GROUP BY p, w),
+du AS (SELECT r, w, count(*) AS n FROM t GROUP BY r, w),
+db AS (SELECT r, p, w, count(*) AS n FROM t WHERE p IS NOT NULL GROUP BY r, p, w),
+x AS (
+  SELECT t.r, (SELECT count(*) FROM t) - len(d.w) AS others, u.n - du.n AS c1, cu.n - cdu.n AS ctx, coalesce(b.n - db.n, 0) AS c2, t.p IS NULL AS start_word
+  FROM t JOIN d USING (r) JOIN u ON u.w = t.w JOIN du ON du.r = t.r AND du.w = t.w
+  LEFT JOIN u AS cu ON cu.w = t.p LEFT JOIN du AS cdu ON cdu.r = t.r AND cdu.w = t.p
+  LEFT JOIN b ON b.p = t.p AND b.w = t.w LEFT JOIN db ON db.r = t.r AND db.p = t.p AND db.w = t.w
+), s AS (
+  SELECT r, CASE WHEN c2 > 0 THEN ln(c2 / ctx)
+      ELSE CASE WHEN start_word THEN 0 ELSE ln(0.4) END + CASE WHEN c1 > 0 THEN ln(c1 / others) ELSE ln(0.4) - ln(others + 1) END END AS s,
+    CASE WHEN start_word THEN c1 <= 0 ELSE c2 <= 0 END AS low
+  FROM x
+), g AS (SELECT r, sum(s) AS s, count(*) AS n, count(*) FILTER (low) AS low FROM s GROUP BY r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(round(s, 6), 0.0) AS log_score, round(s / n, 6) AS mean_log_score, CAST(coalesce(low, 0) AS BIGINT) AS n_backoff
+FROM d LEFT JOIN g USING (r)
+"""
+
 OP6 = r"""
 WITH t AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
@@ -90,6 +114,7 @@ FROM rated JOIN v ON rated.source IS NOT DISTINCT FROM v.source
 """
 
 ORACLE_SQL: dict[str, str] = {
+    "op4_lm_backoff": OP4,
     "op6_chat_format": OP6,
     "op8_suffix_decontamination": OP8,
     "op10_host_rules": OP10,

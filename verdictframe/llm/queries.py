@@ -8,7 +8,7 @@ from functools import partial
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import op1_sharding, op2_line_dedup, op3_license, op5_packing, op6_chat, op7_dart_minhash, op8_suffix, op10_host_quality
+from . import op1_sharding, op2_line_dedup, op3_license, op4_backoff, op5_packing, op6_chat, op7_dart_minhash, op8_suffix, op10_host_quality
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -26,6 +26,10 @@ def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op3_license.scan(table(spark, sf_dir, "documents"))
 
 
+def op4_lm_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op4_backoff.score(table(spark, sf_dir, "documents"))
+
+
 def op5_packing_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op5_packing.pack(table(spark, sf_dir, "documents"))
 
@@ -54,4 +58,4 @@ def op10_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
-    op1_sharding_slots, op2_line_winnowing, op3_license_scan, op5_packing_columns, op6_chat_format, op7_near_dedup, op8_suffix_decontamination, op10_host_rules)}
+    op1_sharding_slots, op2_line_winnowing, op3_license_scan, op4_lm_backoff, op5_packing_columns, op6_chat_format, op7_near_dedup, op8_suffix_decontamination, op10_host_rules)}
