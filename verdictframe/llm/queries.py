@@ -8,7 +8,7 @@ from functools import partial
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import op1_sharding, op2_line_dedup, op3_license, op4_backoff, op5_packing, op6_chat, op7_dart_minhash, op8_suffix, op10_host_quality
+from . import op1_sharding, op2_line_dedup, op3_license, op4_backoff, op5_packing, op6_chat, op7_dart_minhash, op8_suffix, op9_mincut, op10_host_quality
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -53,9 +53,13 @@ def op8_suffix_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op8_suffix.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op9_html_mincut(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op9_mincut.extract(table(spark, sf_dir, "pages"))
+
+
 def op10_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op10_host_quality.judge(table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
-    op1_sharding_slots, op2_line_winnowing, op3_license_scan, op4_lm_backoff, op5_packing_columns, op6_chat_format, op7_near_dedup, op8_suffix_decontamination, op10_host_rules)}
+    op1_sharding_slots, op2_line_winnowing, op3_license_scan, op4_lm_backoff, op5_packing_columns, op6_chat_format, op7_near_dedup, op8_suffix_decontamination, op9_html_mincut, op10_host_rules)}
