@@ -146,6 +146,9 @@ def keep_good(docs: DataFrame, text: str = "text", host: str = "source", max_rat
     hosts = stash(host_verdicts(view.select("host", (rules_failed() > 0).alias("failed")), "host", "failed", max_rate))
     bad = hosts.where("__h_rejected").select("__h_host")
     own = docs.columns
-    probe = docs.select(F.struct(*[F.col(f"`{c}`") for c in own]).alias("__q_row"), F.col(text).alias("text"), F.col(host).alias("host"))
-    good = facts(probe, "text").where(~base_failed())
-    return good.join(bad, good["host"].eqNullSafe(bad["__h_host"]), "left_anti").select("__q_row.*")
+    probe = docs.select(F.struct(*[F.col(f"`{c}`") for c in own]).alias("__k_row"), F.col(text).alias("text"), F.col(host).alias("host"))
+    # a filter on a projected column is rewritten in terms of the texts, which repeats nested expressions; a generator
+    # of one element keeps the facts as they are
+    judged = facts(probe, "text").select("__k_row", "host", F.explode(F.array(F.struct(*FACTS))).alias("f")).select("__k_row", "host", "f.*")
+    good = judged.where(~base_failed())
+    return good.join(bad, good["host"].eqNullSafe(bad["__h_host"]), "left_anti").select("__k_row.*")
