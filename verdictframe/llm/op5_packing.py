@@ -8,7 +8,10 @@ ranked by hash and id, take the places that the patterns have for it.
 
 from __future__ import annotations
 
+import json
+import re
 import zlib
+from bisect import bisect_left, insort
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
@@ -47,9 +50,6 @@ class _Encoder(dict):
     LIMIT = 400_000
 
     def __init__(self, path: str) -> None:
-        import json
-        import re
-
         self.whole = Tokenizer.from_file(path)
         model = json.load(open(path, encoding="utf-8"))
         self.special = [x["content"] for x in model.get("added_tokens", ())]
@@ -137,36 +137,60 @@ def _knapsack(lengths: np.ndarray, prices: np.ndarray, capacity: int) -> tuple[f
     return float(best[capacity]), out
 
 
-def patterns(histogram: dict[int, int], capacity: int, rounds: int = 400, gap: float = 1e-4) -> list[tuple[Counter, float]]:
+def _greedy(need: dict[int, float], capacity: int) -> list[tuple[Counter, float]]:
+    """First fit by falling length, in whole patterns: each is used until one of its lengths runs out, so there are as
+    many patterns as lengths, each with its own that ran out."""
+    left, out = dict(need), []
+    while left:
+        room, pattern = capacity, Counter()
+        for x in sorted(left, reverse=True):
+            if room >= x:
+                pattern[x] = room // x
+                room -= pattern[x] * x
+        times = min(left[x] / n for x, n in pattern.items())
+        gone = [x for x, n in pattern.items() if left[x] - n * times <= 1e-9]
+        out.append((pattern, times))
+        out += [(Counter({x: capacity // x}), 0.0) for x in gone[1:]]
+        for x, n in pattern.items():
+            left[x] -= n * times
+        for x in gone:
+            del left[x]
+    return out
+
+
+def patterns(histogram: dict[int, int], capacity: int, rounds: int = 1500, gap: float = 1e-3) -> list[tuple[Counter, float]]:
     """(pattern, how often) of a linear program that covers the histogram with few sequences.
 
-    Revised simplex: the basis has one pattern per length, prices are its dual solution, and the knapsack gives the
-    pattern that enters. It ends when no pattern can lower the total by more than ``gap`` of it, or after ``rounds``
-    patterns. Its size depends on the number of lengths, not of documents.
+    Revised simplex from a greedy start: the basis has one pattern per length, prices are its dual solution, and the
+    knapsack gives the pattern that enters. It ends when no pattern is worth more than 1 + ``gap`` of a sequence, so the
+    total is within ``gap`` of the best, or after ``rounds`` patterns. Its size depends on the number of lengths, not of
+    documents.
     """
     lengths = np.array(sorted(histogram))
     need = np.array([histogram[int(x)] for x in lengths], dtype=float)
     row = {int(x): i for i, x in enumerate(lengths)}
-    basis = [Counter({int(x): capacity // int(x)}) for x in lengths]
-    inverse = np.diag([1.0 / p[int(x)] for p, x in zip(basis, lengths)])
-    use = inverse @ need
+
+    def column(pattern: Counter) -> np.ndarray:
+        c = np.zeros(len(lengths))
+        for x, n in pattern.items():
+            c[row[x]] = n
+        return c
+
+    basis = [p for p, _ in _greedy({int(x): float(n) for x, n in zip(lengths, need)}, capacity)]
+    inverse = np.linalg.inv(np.array([column(p) for p in basis]).T)
+    use = np.maximum(inverse @ need, 0.0)
     for _ in range(rounds):
-        prices = np.maximum(inverse.sum(axis=0), 0.0)
-        value, entering = _knapsack(lengths, prices, capacity)
+        value, entering = _knapsack(lengths, np.maximum(inverse.sum(axis=0), 0.0), capacity)
         if value <= 1 + gap:
             break
-        column = np.zeros(len(lengths))
-        for x, n in entering.items():
-            column[row[x]] = n
-        d = inverse @ column
+        d = inverse @ column(entering)
         ratio = np.where(d > 1e-9, use / np.where(d > 1e-9, d, 1.0), np.inf)
         out = int(np.argmin(ratio))
         if not np.isfinite(ratio[out]):
             break
         step = ratio[out]
-        use -= step * d
+        use = np.maximum(use - step * d, 0.0)
         use[out] = step
-        use = np.maximum(use, 0.0)
         pivot = inverse[out] / d[out]
         inverse -= np.outer(d, pivot)
         inverse[out] = pivot
@@ -174,62 +198,87 @@ def patterns(histogram: dict[int, int], capacity: int, rounds: int = 400, gap: f
     return [(p, float(u)) for p, u in zip(basis, use) if u > 1e-9]
 
 
+def _take(left: Counter, stock: list[int], room: int) -> Counter:
+    """The longest items of ``stock`` (lengths, falling) that fit ``room`` one after the other."""
+    chosen: Counter = Counter()
+    for x in stock:
+        n = min(left[x], room // x)
+        if n:
+            chosen[x] = n
+            room -= n * x
+    return chosen
+
+
 def plan(histogram: dict[int, int], capacity: int, classes: int = 128) -> list[tuple[Counter, int]]:
     """(pattern over exact lengths, how often) that places every item of the histogram exactly once.
 
     The linear program sees lengths rounded up to ``classes`` steps, which bounds its size. Each pattern is used as
-    often as its rounded-down value; its places are filled with the longest items of the class, equal fillings in a row
-    being one entry. What is left, and the room left in sequences, is settled by best fit over the histogram, a few
-    items per class.
+    often as its rounded-down value; its places take the longest items of the class, equal fillings in a row being one
+    entry. What is left, a few items per class, goes by best fit. Items below three steps stay out of the program and
+    fill the room that is left in sequences, the fullest first.
     """
     step = max(1, capacity // classes)
-    up = lambda x: -(-x // step) * step
+    up = lambda x: -(-x // step)
+    small = {x for x in histogram if x < 3 * step} if capacity >= 8 * classes else set()
     left = Counter({x: n for x, n in histogram.items() if n})
     rough: Counter = Counter()
-    for x, n in left.items():
-        rough[up(x)] += n
     stock: dict[int, list[int]] = {}
-    for x in sorted(left):
-        stock.setdefault(up(x), []).append(x)  # the longest last
+    for x in sorted(left, reverse=True):
+        if x not in small:
+            rough[up(x)] += left[x]
+            stock.setdefault(up(x), []).append(x)
     out: list[tuple[Counter, int]] = []
-
-    def fill(pattern: Counter, times: int) -> None:
+    for pattern, use in sorted(patterns(dict(rough), capacity // step) if rough else [], key=lambda p: sorted(p[0].items())):
+        times = int(use + 1e-9)
         while times > 0:
-            # what one sequence takes now; the same filling holds until one of its lengths runs short
             chosen: Counter = Counter()
             for c, n in pattern.items():
-                for x in reversed(stock.get(c, ())):
-                    take = min(n, left[x] - chosen[x])
-                    if take > 0:
+                for x in stock.get(c, ()):
+                    take = min(n, left[x])
+                    if take:
                         chosen[x] += take
                         n -= take
                     if not n:
                         break
             if not chosen:
-                return
+                break
+            # the same filling holds until one of its lengths runs short
             again = min(times, min(left[x] // n for x, n in chosen.items()))
             for x, n in chosen.items():
                 left[x] -= n * again
-                if not left[x]:
-                    stock[up(x)].remove(x)
             out.append((chosen, again))
             times -= again
-
-    for pattern, use in sorted(patterns(dict(rough), capacity) if rough else [], key=lambda p: sorted(p[0].items())):
-        fill(pattern, int(use + 1e-9))
-    rest = sorted((x for x, n in left.items() for _ in range(n)), reverse=True)
-    open_at: list[tuple[int, Counter]] = []  # (room, content), sorted by room
-    from bisect import bisect_left, insort
-
-    for x in rest:
-        i = bisect_left(open_at, x, key=lambda o: o[0])
-        if i < len(open_at):
-            room, content = open_at.pop(i)
-        else:
-            room, content = capacity, Counter()
-        content[x] += 1
-        insort(open_at, (room - x, content), key=lambda o: o[0])
-    return out + [(content, 1) for _, content in open_at]
+    out += _best_fit(left, [x for x in left if x not in small], capacity)
+    size = lambda p: sum(x * n for x, n in p.items())
+    fillers, done = sorted(small, reverse=True), []
+    for pattern, times in sorted(out, key=lambda e: -size(e[0])):
+        while times:
+            more = _take(left, fillers, capacity - size(pattern))
+            again = min([times, *(left[x] // n for x, n in more.items())])
+            for x, n in more.items():
+                left[x] -= n * again
+            done.append((pattern + more, again))
+            times -= again
+    while any(left[x] for x in fillers):
+        more = _take(left, fillers, capacity)
+        again = min(left[x] // n for x, n in more.items())
+        for x, n in more.items():
+            left[x] -= n * again
+        done.append((more, again))
+    return done
+
+
+def _best_fit(left: Counter, lengths: list[int], capacity: int) -> list[tuple[Counter, int]]:
+    """Items of ``lengths``, falling, each into the sequence with the least room that takes it."""
+    open_at: list[tuple[int, Counter]] = []
+    for x in sorted(lengths, reverse=True):
+        for _ in range(left[x]):
+            i = bisect_left(open_at, x, key=lambda o: o[0])
+            room, content = open_at.pop(i) if i < len(open_at) else (capacity, Counter())
+            content[x] += 1
+            insort(open_at, (room - x, content), key=lambda o: o[0])
+        left[x] = 0
+    return [(content, 1) for _, content in open_at]
 
 
 def pack(docs: DataFrame, path: str | None = None, sequence: int = SEQUENCE, end_id: int = END_ID) -> DataFrame:
