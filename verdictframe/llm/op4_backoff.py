@@ -21,7 +21,7 @@ from .wordhash import ALNUM, U, grams, mix, slices, split
 ORDER = 2
 ALPHA = 0.4
 #: Bytes of text in a block. Large corpora take larger blocks, as blocks times ranges is the number of messages.
-BLOCK_BYTES = 16_000_000
+BLOCK_BYTES = 6_000_000
 
 
 def block_bytes(total: int) -> int:
