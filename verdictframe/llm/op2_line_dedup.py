@@ -46,33 +46,40 @@ def windows(data: np.ndarray, offsets: np.ndarray, min_words: int = MIN_WORDS) -
     empty = {k: np.zeros(0, np.int64) for k in ("doc", "fingerprint", "content", "start", "stop")}
     if not lines:
         return empty
-    # hash of a run of words from prefix sums over places, so that any run costs the same
-    odd = U(0x9E3779B97F4A7C15)
-    up = np.full(len(w.hash) + 1, odd, dtype=U)
-    up[0] = 1
-    up = np.multiply.accumulate(up)
-    down = np.full(len(w.hash) + 1, U(pow(int(odd), -1, 1 << 64)), dtype=U)
-    down[0] = 1
-    down = np.multiply.accumulate(down)
-    total = np.concatenate([np.zeros(1, U), np.cumsum(w.hash * up[:-1], dtype=U)])
-    run = lambda a, b: mix((total[b] - total[a]) * down[a] + (b - a).astype(U))
-    line_hash = run(first[:-1], first[1:])
-    doc = w.doc[first[:-1]]
+    run_of_words, doc = _run_hash(w.hash), w.doc[first[:-1]]
+    line_hash = run_of_words(first[:-1], first[1:])
     # the window from each line: up to the first line that completes min_words, within the text
     last = np.searchsorted(first, first[:-1] + min_words) - 1
     ok = (last < lines) & (doc[np.minimum(last, lines - 1)] == doc)
     a = np.flatnonzero(ok)
+    b = last[a]
+    # and the shortest one that ends a text, so that a copy is covered to its end
+    end = np.flatnonzero(np.append(doc[1:] != doc[:-1], True))
+    begin = np.searchsorted(first, first[end + 1] - min_words, side="right") - 1
+    own = (first[end + 1] - first[np.maximum(begin, 0)] >= min_words) & (begin >= 0)
+    begin, end = begin[own], end[own]
+    own = (doc[begin] == doc[end]) & (last[begin] != end)
+    a, b = np.concatenate([a, begin[own]]), np.concatenate([b, end[own]])
     if not len(a):
         return empty
-    b = last[a]
     low = _range_min(line_hash, a, b)
     chars = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
     base = chars[offsets[doc[a]]]
     # from the window's first character to the end of its last word
-    return {"doc": doc[a], "fingerprint": low.view(np.int64), "content": run(first[a], first[b + 1]).view(np.int64),
+    return {"doc": doc[a], "fingerprint": low.view(np.int64), "content": _run_hash(line_hash)(a, b + 1).view(np.int64),
             "start": chars[w.at[first[a]]] - base, "stop": chars[w.end[first[b + 1] - 1]] - base}
 
 
+def _run_hash(h: np.ndarray):
+    """Function of (starts, ends) that hashes runs of ``h``, from prefix sums, so that any run costs the same."""
+    odd = 0x9E3779B97F4A7C15
+    up, down = (np.full(len(h) + 1, U(x), dtype=U) for x in (odd, pow(odd, -1, 1 << 64)))
+    up[0] = down[0] = 1
+    up, down = np.multiply.accumulate(up), np.multiply.accumulate(down)
+    total = np.concatenate([np.zeros(1, U), np.cumsum(h * up[:-1], dtype=U)])
+    return lambda a, b: mix((total[b] - total[a]) * down[a] + (b - a).astype(U))
+
+
 def _range_min(x: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """min(x[a..b]) for each pair, from minima over powers of two."""
     level, out = x, np.empty(len(a), x.dtype)
@@ -98,20 +105,39 @@ def _cutter(min_words: int):
     return go
 
 
+def _marker(min_words: int):
+    def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for _, data, off in slices(b.column(0)):
+                w = windows(data, off, min_words)
+                new = np.ones(len(w["doc"]), dtype=bool)
+                new[1:] = (w["doc"][1:] != w["doc"][:-1]) | (w["fingerprint"][1:] != w["fingerprint"][:-1])
+                # a window that stands twice in its own text counts twice
+                order = np.lexsort((w["content"], w["doc"]))
+                doc, content = w["doc"][order], w["content"][order]
+                again = order[1:][(doc[1:] == doc[:-1]) & (content[1:] == content[:-1])]
+                marks = np.concatenate([w["fingerprint"][new], w["fingerprint"][again], w["fingerprint"][again]])
+                yield pa.RecordBatch.from_arrays([pa.array(marks, pa.int64())], ["fingerprint"])
+
+    return go
+
+
 def repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """doc_id, th (hash of the text), start, stop: runs to cut, as code points, disjoint within a text.
 
     The first place of a run is the one with the smallest (doc_id, text hash, start); null ids come first. Rows that
-    agree in doc_id and text are one document and are cut alike.
+    agree in doc_id and text are one document and are cut alike. Texts are read once for the fingerprints and once for
+    the windows at those that occur twice, which costs less than keeping all windows.
     """
     t = text_of()
     keyed = docs.select("doc_id", F.xxhash64(t).alias("th"), t.alias("text"))
     kind = docs.schema["doc_id"].dataType.simpleString()
-    every = stash(keyed.mapInArrow(_cutter(min_words), f"doc_id {kind}, th long, {_WINDOW}"))
+    marks = keyed.select("text").mapInArrow(_marker(min_words), "fingerprint long")
+    shared = marks.groupBy("fingerprint").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1).select("fingerprint")
+    every = keyed.mapInArrow(_cutter(min_words), f"doc_id {kind}, th long, {_WINDOW}")
+    near = stash(every.join(shared, "fingerprint", "left_semi").select("doc_id", "th", "content", "start", "stop"))
+    # the first place of each content, unless it is the only one
     place = F.struct("doc_id", "th", "start")
-    # a count needs one long per fingerprint; a row that is there twice may pass, and is dropped by the next step
-    shared = every.groupBy("fingerprint").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1).select("fingerprint")
-    near = every.join(shared, "fingerprint", "left_semi")
     firsts = near.groupBy("content").agg(F.min(place).alias("a"), F.max(place).alias("b"))
     firsts = firsts.where(~F.col("a").eqNullSafe(F.col("b"))).select("content", F.col("a").alias("source"))
     later = near.join(firsts, "content").where(~place.eqNullSafe(F.col("source"))).select("doc_id", "th", "start", "stop").distinct()
