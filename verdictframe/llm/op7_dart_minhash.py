@@ -5,9 +5,9 @@ weight times a rank axis); a dart lands on a coordinate of the signature, and ea
 earliest rank. The chance that two sets keep the same dart is their weighted Jaccard similarity. Only the ranks that a
 set needs are thrown, about k log k darts for k coordinates, however many elements it has.
 
-Equal texts are one node. Nodes with an equal band of the signature are linked to the band's hub, the link is checked
-on the shingles themselves, and links are closed to classes. Where a band's members are still in several classes, they
-are compared in blocks, so that a class does not hang on one hub.
+Equal texts are one node. Nodes with an equal band of the signature are linked to the band's hub, the node of most
+copies, the link is checked on the shingles themselves, and links are closed to classes. Bands whose members are still
+in several classes take other hubs; what is still open then is compared in blocks, so that no class hangs on a hub.
 """
 
 from __future__ import annotations
@@ -29,9 +29,11 @@ K = BANDS * ROWS
 SIMILAR = (4, 5)
 #: Members of a band are compared in blocks of so many.
 BLOCK = 256
-#: Pairs of a block are checked on their shingles if so many coordinates agree: six standard deviations under the mean
-#: at the limit, so a pair at the limit is missed once in a thousand million.
-AGREE = int(K * 0.8 - 6.4 * (K * 0.8 * 0.2) ** 0.5)
+#: Pairs of a block are checked on their shingles if so many coordinates agree: four standard deviations under the mean
+#: at the limit, so a pair just at the limit that no hub has linked is missed three times in 100,000.
+AGREE = int(K * 0.8 - 4 * (K * 0.8 * 0.2) ** 0.5)
+#: How often bands that are still in several classes take another hub.
+HUB_ROUNDS = 3
 
 
 def weighted_sets(data: np.ndarray, offsets: np.ndarray, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -133,7 +135,7 @@ def _signer(weighted: bool):
                 some = np.bincount(doc, minlength=n) > 0
                 keys = band_keys(sig)[some]
                 bands = _lists(keys.reshape(-1).view(np.int64), np.where(some, BANDS, 0), pa.int64())
-                short = (sig & U(0xFFFFFFFF)).astype("<u4")
+                short = (sig & U(0xFF)).astype(np.uint8)
                 blob = pa.array([short[j].tobytes() if some[j] else b"" for j in range(n)], pa.binary())
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(i, n), b.column(1).slice(i, n), bands, blob], ["doc_id", "node", "bands", "sig"])
 
@@ -145,7 +147,7 @@ def _shingler(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for i, data, off in slices(b.column(1)):
             n = len(off) - 1
             doc, element, _ = weighted_sets(data, off)
-            yield pa.RecordBatch.from_arrays([b.column(0).slice(i, n), _lists(element.view(np.int64), np.bincount(doc, minlength=n), pa.int64())], ["node", "shingles"])
+            yield pa.RecordBatch.from_arrays([b.column(0).slice(i, n), _lists((element >> U(32)).astype(np.uint32).view(np.int32), np.bincount(doc, minlength=n), pa.int32())], ["node", "shingles"])
 
 
 def nodes_of(docs: DataFrame, weighted: bool = False) -> DataFrame:
@@ -156,27 +158,40 @@ def nodes_of(docs: DataFrame, weighted: bool = False) -> DataFrame:
         _signer(weighted), f"doc_id {kind}, node long, bands array<long>, sig binary")
 
 
-def _hub_pairs(bands: DataFrame) -> DataFrame:
-    """Every member of a band with the band's hub, its smallest node; the count per band combines on the map side."""
-    hubs = bands.groupBy("band").agg(F.min("node").alias("hub"), F.max("node").alias("other")).where("hub <> other").select("band", "hub")
-    return bands.join(hubs, "band").where("node <> hub").select(F.col("node").alias("b"), F.col("hub").alias("a")).distinct()
+def _hub_pairs(bands: DataFrame, rooted: DataFrame | None, turn: int) -> DataFrame:
+    """Every member of a band with the band's hub: the node of most copies, in later turns the least of another order.
+
+    With ``rooted``, bands whose members are in one class and members of the hub's class are left out. The hub of a
+    band combines on the map side.
+    """
+    if rooted is not None:
+        bands = bands.join(rooted, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        bands = bands.withColumn("order", F.xxhash64(F.lit(turn), "node"))
+    else:
+        bands = bands.withColumn("root", F.col("node"))
+    hubs = bands.groupBy("band").agg(F.min_by("node", "order").alias("hub"), F.min_by("root", "order").alias("hub_root"), F.min("root").alias("p"), F.max("root").alias("q"))
+    hubs = hubs.where("p <> q").select("band", "hub", "hub_root")
+    return bands.join(hubs, "band").where("root <> hub_root").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
 
 
-def similar_pairs(pairs: DataFrame, docs: DataFrame, chosen: DataFrame, similar: tuple[int, int] = SIMILAR) -> DataFrame:
-    """The pairs (a, b) whose sets of shingles have at least the similarity.
+def sets_of(docs: DataFrame, chosen: DataFrame) -> DataFrame:
+    """node, shingles (their hashes to 32 bits) of the chosen nodes.
 
-    ``chosen``: node and the doc_id of one of its rows; texts are fetched by both, so a text with many copies is
-    read from one row and no key is frequent.
+    ``chosen``: node and the doc_id of one of its rows; texts are fetched by both, so a text with many copies is read
+    from one row and no key is frequent.
     """
-    some = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    keys = chosen.join(some, "node", "left_semi").select(F.col("node").alias("k_node"), F.col("doc_id").alias("k_id"))
+    keys = chosen.select(F.col("node").alias("k_node"), F.col("doc_id").alias("k_id"))
     t = text_of()
     rows = docs.select("doc_id", F.xxhash64(t).alias("node"), t.alias("text"))
     texts = rows.join(keys, (rows["node"] == keys["k_node"]) & rows["doc_id"].eqNullSafe(keys["k_id"])).select("node", "text")
-    sets = stash(texts.mapInArrow(_shingler, "node long, shingles array<long>").groupBy("node").agg(F.first("shingles").alias("shingles")))
-    left = sets.select(F.col("node").alias("a"), F.col("shingles").alias("x"))
-    right = sets.select(F.col("node").alias("b"), F.col("shingles").alias("y"))
-    both = pairs.join(left, "a").join(right, "b")
+    return texts.mapInArrow(_shingler, "node long, shingles array<int>").groupBy("node").agg(F.first("shingles").alias("shingles"))
+
+
+def similar_pairs(pairs: DataFrame, sets: DataFrame, similar: tuple[int, int] = SIMILAR) -> DataFrame:
+    """The pairs (a, b) whose sets of shingles have at least the similarity. The set of ``b``, the member, travels with
+    the pair; that of ``a``, the hub, is one row."""
+    member = pairs.join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b")
+    both = member.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a")
     common = F.size(F.array_intersect("x", "y"))
     return both.where(common * similar[1] >= (F.size("x") + F.size("y") - common) * similar[0]).select("a", "b")
 
@@ -205,30 +220,34 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def _block_compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Likely pairs of two blocks of a band's members, each pair in the first band that it shares."""
     for b in batches:
         a, c = [], []
-        for x_nodes, x_roots, x_sigs, y_nodes, y_roots, y_sigs in zip(*(col.to_pylist() for col in b.columns)):
-            xs, ys = (np.frombuffer(b"".join(s), dtype="<u4").reshape(len(s), -1) for s in (x_sigs, y_sigs))
+        for number, x_nodes, x_roots, x_sigs, y_nodes, y_roots, y_sigs in zip(*(col.to_pylist() for col in b.columns)):
+            xs, ys = (np.frombuffer(b"".join(s), dtype=np.uint8).reshape(len(s), -1) for s in (x_sigs, y_sigs))
             xr, yr = np.array(x_roots), np.array(y_roots)
             for i in range(len(xs)):
-                for j in np.flatnonzero((yr != xr[i]) & ((ys == xs[i]).sum(axis=1) >= AGREE)):
-                    a.append(min(x_nodes[i], y_nodes[j]))
-                    c.append(max(x_nodes[i], y_nodes[j]))
+                same = ys == xs[i]
+                near = (yr != xr[i]) & (same.sum(axis=1) >= AGREE)
+                for j in np.flatnonzero(near):
+                    if int(np.argmax(same[j].reshape(BANDS, ROWS).all(axis=1))) == number:
+                        a.append(min(x_nodes[i], y_nodes[j]))
+                        c.append(max(x_nodes[i], y_nodes[j]))
         yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(c, pa.int64())], ["a", "b"])
 
 
 def _open_pairs(bands: DataFrame, rooted: DataFrame, signed: DataFrame) -> DataFrame:
     """Likely pairs within bands whose members are in several classes: members in blocks, blocks against blocks."""
-    with_root = bands.join(rooted, "node", "left").select("band", "node", F.coalesce("root", "node").alias("root"))
+    with_root = bands.join(rooted, "node", "left").select("band", "number", "node", F.coalesce("root", "node").alias("root"))
     stats = with_root.groupBy("band").agg(F.min("root").alias("p"), F.max("root").alias("q"), F.count(F.lit(1)).alias("n"))
     mixed = stats.where("p <> q").select("band", F.ceil(F.col("n") / BLOCK).alias("blocks"))
-    member = with_root.join(mixed, "band").select("band", "blocks", "node", "root", F.pmod(F.xxhash64("node"), F.col("blocks")).alias("block"))
-    # one class in one band needs one row per class and block only if it is the same text; all members are compared
-    member = member.join(signed, "node")
-    block = member.groupBy("band", "block").agg(F.collect_list(F.struct("node", "root", "sig")).alias("m"), F.first("blocks").alias("blocks"))
-    left = block.select("band", F.col("m").alias("x"), F.explode(F.sequence(F.col("block"), F.col("blocks") - 1)).alias("other"))
+    member = with_root.join(mixed, "band").join(signed, "node")
+    member = member.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
+    block = member.groupBy("band", "number", "block").agg(F.collect_list(F.struct("node", "root", "sig")).alias("m"), F.first("blocks").alias("blocks"))
+    left = block.select("band", "number", F.col("m").alias("x"), F.explode(F.sequence(F.col("block"), F.col("blocks") - 1)).alias("other"))
     right = block.select("band", F.col("block").alias("other"), F.col("m").alias("y"))
-    both = left.join(right, ["band", "other"]).select("x.node", "x.root", "x.sig", F.col("y.node").alias("n2"), F.col("y.root").alias("r2"), F.col("y.sig").alias("s2"))
+    both = left.join(right, ["band", "other"]).select(
+        "number", "x.node", "x.root", "x.sig", F.col("y.node").alias("n2"), F.col("y.root").alias("r2"), F.col("y.sig").alias("s2"))
     return both.mapInArrow(_block_compare, "a long, b long").distinct()
 
 
@@ -240,15 +259,31 @@ def classes(docs: DataFrame, weighted: bool = False, similar: tuple[int, int] =
     A text without words is linked to nothing else. ``weighted`` signs multiplicities; the check on sets is the same.
     """
     signed = stash(nodes_of(docs, weighted))
-    # dealt per text: the map side keeps one row of all copies of a text in a task
-    chosen = stash(signed.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("bands").alias("bands"), F.first("sig").alias("sig")))
-    bands = chosen.select("node", F.explode("bands").alias("band"))
-    pairs = stash(_hub_pairs(bands))
-    links = stash(similar_pairs(pairs, docs, chosen, similar))
-    rooted = components(links)
-    extra = stash(_open_pairs(bands, rooted, chosen.select("node", "sig")).join(pairs, ["a", "b"], "left_anti"))
-    more = stash(similar_pairs(extra, docs, chosen, similar))
-    if more.limit(1).count():
+    # one row of all copies of a text
+    chosen = stash(signed.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("copies")))
+    keys = chosen.select(F.col("node").alias("k_node"), F.col("doc_id").alias("k_id"), "copies")
+    reps = signed.join(keys, (signed["node"] == keys["k_node"]) & signed["doc_id"].eqNullSafe(keys["k_id"]))
+    order = F.xxhash64("node").bitwiseAND(F.lit((1 << 40) - 1)) - F.least("copies", F.lit(1 << 22)) * F.lit(1 << 40)
+    reps = stash(reps.select("node", order.alias("order"), "bands", "sig"))
+    bands = reps.select("node", "order", F.posexplode("bands").alias("number", "band"))
+    # bands of several nodes are few; all that follows works on them
+    shared = bands.groupBy("band").agg(F.min("node").alias("p"), F.max("node").alias("q")).where("p <> q").select("band")
+    bands = stash(bands.join(shared, "band", "left_semi"))
+    sets = stash(sets_of(docs, chosen.join(bands.select("node").distinct(), "node", "left_semi")))
+    links, rooted, tried = None, None, []
+    for turn in range(HUB_ROUNDS):
+        pairs = stash(_hub_pairs(bands, rooted, turn))
+        if turn and pairs.isEmpty():
+            break
+        tried.append(pairs)
+        found = similar_pairs(pairs, sets, similar)
+        links = stash(found if links is None else links.unionByName(found))
+        rooted = components(links)
+    likely = stash(_open_pairs(bands, rooted, reps.select("node", "sig").dropDuplicates(["node"])))
+    for pairs in tried:
+        likely = likely.join(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
+    more = stash(similar_pairs(likely, sets, similar))
+    if not more.isEmpty():
         rooted = components(links.unionByName(more))
     names = chosen.select("node", "doc_id").join(rooted, "node", "left").select("node", "doc_id", F.coalesce("root", "node").alias("root"))
     least = names.groupBy("root").agg(F.min("doc_id").alias("class_id"))
