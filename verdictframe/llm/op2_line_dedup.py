@@ -1,8 +1,8 @@
 """Line dedup by winnowing.
 
 A text is a sequence of lines; a long line is folded after words that their hash picks, so that a passage meets the
-same folds wherever it stands. Windows are the shortest runs of lines with enough words. The smallest line hash of each
-window is a fingerprint, and two equal windows have equal fingerprints. Fingerprints that occur once can't begin a
+same folds wherever it stands. Windows are the shortest runs of lines with enough words. The smallest hash of two
+neighbouring lines in a window is its fingerprint, and two equal windows have equal fingerprints. Fingerprints that occur once can't begin a
 match; windows at the others are looked up at their first place in the corpus, matches grow both ways as neighbouring
 windows match too, and the grown runs are cut from all but the first place.
 """
@@ -62,7 +62,11 @@ def windows(data: np.ndarray, offsets: np.ndarray, min_words: int = MIN_WORDS) -
     a, b = np.concatenate([a, begin[own]]), np.concatenate([b, end[own]])
     if not len(a):
         return empty
-    low = _range_min(line_hash, a, b)
+    # pairs of lines, as one short line may stand anywhere; a window of one line is its own fingerprint
+    low = line_hash[a]
+    more = b > a
+    if more.any():
+        low[more] = _range_min(mix(line_hash[:-1] * U(0x9E3779B97F4A7C15) + line_hash[1:]), a[more], b[more] - 1)
     chars = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
     base = chars[offsets[doc[a]]]
     # from the window's first character to the end of its last word
