@@ -325,8 +325,10 @@ def fit(pages: DataFrame, sample_pages: int = SAMPLE_PAGES, pull: float = 5.0, r
     """Weights of the logistic model, by Newton steps on a bounded sample: the first ``sample_pages`` pages by hash, and
     of each the first ``SAMPLE_BLOCKS`` blocks whose place in the tree names their role. ``pull``: strength of the draw
     to ``PRIOR``, which also is the result where no block has such a place."""
-    sample = pages.select("html", F.xxhash64("url", "page_id").alias("h")).orderBy("h").limit(sample_pages).select("html")
-    rows = sample.mapInArrow(_labelled, "x array<double>, y boolean").collect()
+    mark = F.xxhash64("url", "page_id")
+    # hashes alone are ordered; pages are read once the last one's is known
+    last = pages.select(mark.alias("h")).orderBy("h").limit(sample_pages).agg(F.max("h")).first()[0]
+    rows = pages.where(mark <= F.lit(last)).select("html").limit(sample_pages).mapInArrow(_labelled, "x array<double>, y boolean").collect()
     if not rows:
         return PRIOR
     x, y = np.array([r["x"] for r in rows]), np.array([r["y"] for r in rows], dtype=float)
