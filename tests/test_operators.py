@@ -21,9 +21,11 @@ from verdictframe.operators import lifecycle as L
 from verdictframe.operators import metrics as M
 from verdictframe.operators import ratings as S
 from verdictframe.operators import rows as R
+from verdictframe.operators import study as T
 from verdictframe.operators.ordering import cumulative_counts, hash_ranks, lowest_hashes, previous_by_id
 from verdictframe.sources import labelled as B
 from verdictframe.sources import registry as Q
+from verdictframe.streaming import operators as W
 
 DIMS = S.DIMENSIONS
 
@@ -124,17 +126,15 @@ def test_decode_edges(spark):
     assert [r["m"] for r in rows] == [1.0, None, 0.0]
 
 
-def test_literal_hits_match_brute_force(spark, monkeypatch):
+def test_literal_hits_match_brute_force(spark):
     rnd = random.Random(3)
     words = [f"w{i}" for i in range(40)]
     docs = [(i, " ".join(rnd.choices(words, k=60)).replace(" w7 ", "\nw7  ")) for i in range(60)]
     lits = [(j, docs[j][1][20:20 + rnd.choice([3, 9, 40, 90])]) for j in range(30)] + [(99, "absent text that is nowhere to be found")]
     want = {(i, j) for i, t in docs for j, x in lits if x and x in t}
     d, x = spark.createDataFrame(docs, "doc int, text string"), spark.createDataFrame(lits, "lit int, v string")
-    for limit in (2000, 0):  # direct comparison of short values, and the equi-join used for many of them
-        monkeypatch.setattr(R, "SMALL_LITERALS", limit)
-        got = {(r["doc"], r["lit"]) for r in R.literal_hits(d, "doc", "text", x, "lit", "v").collect()}
-        assert got == want
+    got = {(r["doc"], r["lit"]) for r in R.literal_hits(d, "doc", "text", x, "lit", "v").collect()}
+    assert got == want
 
 
 # --- generation --------------------------------------------------------------
@@ -280,6 +280,74 @@ def test_pages_cover_everything_once(spark):
     assert sorted(seen) == list(range(25)) and len(seen) == 25
 
 
+def test_page_honours_its_limit(spark):
+    df = spark.range(700).withColumn("ts", F.lit("2024-01-01").cast("timestamp"))
+    assert L.page(df, "ts", "id", 500).count() == 500
+    with pytest.raises(ValueError):
+        L.page(df, "ts", "id", 0)
+
+
+# --- null keys, digests, evidence --------------------------------------------
+
+
+def test_null_keys_are_a_key(spark):
+    df = spark.createDataFrame([(None, 1), (None, 2), ("a", 1), ("a", 2)], "k string, id bigint").withColumn("h", F.col("id") * 3)
+    assert hash_ranks(df, "h", ["k"]).count() == 4
+    assert lowest_hashes(df, F.lit(1), "h", ["k"]).count() == 2
+    assert {(r["k"], r["id"], r["prev_id"]) for r in previous_by_id(df, ["k"], "id", ["id"]).collect()} == {(None, 1, None), (None, 2, 1), ("a", 1, None), ("a", 2, 1)}
+    xy = df.withColumn("x", F.col("id").cast("double"))
+    assert {(r["k"], r["n"], r["pearson"]) for r in T.correlations(xy, ["k"], "x", "x").collect()} == {(None, 2, 1.0), ("a", 2, 1.0)}
+
+
+def test_correlation_of_small_numbers(spark):
+    df = spark.createDataFrame([("a", i * 1e-8, i * 2e-8) for i in range(10)] + [("b", 0.3, float(i)) for i in range(10)], "k string, x double, y double")
+    got = {r["k"]: r["pearson"] for r in T.correlations(df, ["k"], "x", "y").collect()}
+    assert abs(got["a"] - 1) < 1e-9 and got["b"] is None
+
+
+def test_digest_tells_fields_and_nulls_apart(spark):
+    rows = [("1", "a|b", "c"), ("2", "a", "b|c"), ("3", None, "x"), ("4", "", "x")]
+    df = spark.createDataFrame(rows, "g string, t string, u string").withColumns({"id": F.lit(1), "label": F.lit(1)})
+    out = N.dataset_manifest(df, ["g"], "id", ["t", "u"]).collect()
+    assert len({r["digest"] for r in out}) == 4
+    twice = N.dataset_manifest(df.withColumn("g", F.lit("z")).orderBy(F.desc("t")), ["g"], "id", ["t", "u"])
+    assert one(twice)["digest"] == one(N.dataset_manifest(df.withColumn("g", F.lit("z")), ["g"], "id", ["t", "u"]))["digest"]
+
+
+def test_evidence_states_cover_five_dimensions(spark):
+    rows = [(1, "M0", "FAIRNESS", None, None, [], None, None), (1, "M0", "SAFETY", "EVALUATED", "scored_risk", [], 0.1, 0.2), (2, "M1", "SAFETY", "EVALUATED", "no_material_risk", [], 0.1, 0.05)]
+    df = spark.createDataFrame(rows, "evaluation_id int, model string, dimension string, probe_status string, aspect_scoring string, risks array<string>, severe_fnr double, ci_lower double")
+    got = {(r["evaluation_id"], r["dimension"]): r["state"] for r in T.evidence_states(df, "M0").collect()}
+    assert len(got) == 10 and got[1, "SAFETY"] == "FLAGGED" and got[2, "SAFETY"] == "NOT_FLAGGED"
+    assert sum(x == "ABSTAINED" for x in got.values()) == 8
+
+
+def test_registry_sink_keeps_rows_of_a_replayed_epoch(spark, tmp_path):
+    path = str(tmp_path / "registry")
+    spark.createDataFrame([("old",)], "sha256 string").write.parquet(f"{path}/epoch=0")
+    sink = W.upsert_registry(path, lambda batch, known: batch.join(known, "sha256", "left_anti"))
+    batch = spark.createDataFrame([("old",), ("a",), ("b",)], "sha256 string")
+    for _ in range(2):
+        sink(batch, 1)
+        assert sorted(r["sha256"] for r in spark.read.schema("sha256 string").parquet(path).collect()) == ["a", "b", "old"]
+
+
+def test_manifest_sets_keep_their_path(spark, tmp_path):
+    for d in ("x/a", "y/a"):
+        (tmp_path / d).mkdir(parents=True)
+        (tmp_path / d / "config.json").write_bytes(d.encode())
+    (tmp_path / "top.txt").write_bytes(b"t")
+    got = {(r["set_id"], r["name"]) for r in I.build_manifest(spark, str(tmp_path)).collect()}
+    assert got == {("x/a", "config.json"), ("y/a", "config.json"), (".", "top.txt")}
+    assert {r["name"] for r in I.build_manifest(spark, str(tmp_path), by_folder=False).collect()} == {"x/a/config.json", "y/a/config.json", "top.txt"}
+
+
+def test_all_flags_are_returned(spark):
+    probes = spark.createDataFrame([(1, [f"flag{i:02d}" for i in range(12)])], "e int, flags array<string>")
+    aspects = spark.createDataFrame([(1, "O", 0)], "e int, aspect string, aspect_score int")
+    assert len(one(S.score_notes(aspects, probes, ["e"]))["flags"]) == 12
+
+
 # --- agreement ---------------------------------------------------------------
 
 

@@ -133,9 +133,15 @@ def _(v):
     return G.severity_grid(v("v_pred_text"), "row_id", where, 1, [0.0, 0.2, 0.5, 1.0], 9).select("rate", "row_id", "flipped", "label")
 
 
-@query("gen_12_manifest", """, h AS (SELECT lang AS grp, quality AS label, CAST('0x' || substr(md5(concat_ws('|', d.doc_id::STRING, text, quality::STRING)), 1, 8) AS BIGINT) AS piece FROM documents d JOIN labels l ON l.doc_id = d.doc_id)
+@query("gen_12_manifest", """, h AS (
+  SELECT lang AS grp, quality AS label,
+    sha256(length(d.doc_id::STRING) || ':' || d.doc_id || coalesce(length(text) || ':' || text, '-') || coalesce(length(quality::STRING) || ':' || quality, '-')) AS x
+  FROM documents d JOIN labels l ON l.doc_id = d.doc_id
+), p AS (SELECT grp, label, list_transform(range(8), lambda k: CAST('0x' || substr(x, 1 + 8 * k, 8) AS BIGINT)) AS p FROM h)
 SELECT grp, count(*) AS size, count(*) FILTER (WHERE label = 1) AS positives, round(count(*) FILTER (WHERE label = 1)::DOUBLE / count(*), 6) AS positive_rate,
- 0::BIGINT AS rows_flipped, md5(sum(piece)::STRING || ':' || bit_xor(piece)::STRING) AS digest FROM h GROUP BY 1""".replace(", h AS", "WITH h AS", 1))
+ 0::BIGINT AS rows_flipped,
+ sha256(concat_ws(':', sum(p[1])::STRING, sum(p[2])::STRING, sum(p[3])::STRING, sum(p[4])::STRING, sum(p[5])::STRING, sum(p[6])::STRING, sum(p[7])::STRING, sum(p[8])::STRING)) AS digest
+FROM p GROUP BY 1""".replace(", h AS", "WITH h AS", 1))
 def _(v):
     df = v("documents").join(v("labels"), "doc_id").select("doc_id", "text", F.col("lang").alias("grp"), F.col("quality").alias("label"))
     return G.dataset_manifest(df, ["grp"], "doc_id", ["text", "label"])

@@ -41,7 +41,7 @@ def _(v):
     return latest(v("v_runs"), ["model"], ["created_at", "run_id"]).select("model", "run_id", "status", "score")
 
 
-@query("life_04_page", """SELECT run_id, model, status FROM v_runs WHERE created_at < TIMESTAMP '1999-06-01' OR (created_at = TIMESTAMP '1999-06-01' AND run_id < 5000) ORDER BY created_at DESC, run_id DESC LIMIT 200""", ("v_runs",))
+@query("life_04_page", """SELECT run_id, model, status FROM v_runs WHERE created_at < TIMESTAMP '1999-06-01' OR (created_at = TIMESTAMP '1999-06-01' AND run_id < 5000) ORDER BY created_at DESC, run_id DESC LIMIT 500""", ("v_runs",))
 def _(v):
     return L.page(v("v_runs"), "created_at", "run_id", 500, ("1999-06-01 00:00:00", 5000)).select("run_id", "model", "status")
 

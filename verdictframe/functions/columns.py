@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Tokens that count as "no value" after trimming and lower-casing.
@@ -143,3 +143,10 @@ def let(value: Column, body) -> Column:
     A plain nested expression would be re-evaluated at every use, also inside lambdas.
     """
     return F.transform(F.array(value), body)[0]
+
+
+def join_keys(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """Join on equal keys, NULL being equal to NULL; the keys are those of ``left``."""
+    other = right.withColumnsRenamed({k: f"_right_{k}" for k in keys})
+    on = [F.col(f"`{k}`").eqNullSafe(F.col(f"`_right_{k}`")) for k in keys]
+    return left.join(other, on, how).drop(*[f"_right_{k}" for k in keys])

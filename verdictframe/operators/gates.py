@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import first_case, is_missing, reasons, strip
+from ..functions.columns import first_case, is_missing, join_keys, reasons, strip
 from .intervals import accuracy_drop_ci, fairness_ci
 from .metrics import cells, collapse, fairness_bundle, group_stats, robustness_metrics, severe_behavior
 
@@ -62,8 +62,8 @@ def binary_verdict(df: DataFrame, by: list[str], min_group_n: int, grp: str = "g
         for s in names for c in ("point", "ci_lower", "ci_upper")])
     base = fairness_bundle(df, by, grp, weight=weight).select(*by, "n", "min_group_n_observed", "single_class_group")
     joined = (
-        base.join(eligibility(cells(df, by, grp, weight=weight), by, min_group_n), by)
-        .join(collapse(df, by, weight=weight).select(*by, "collapsed"), by).join(wide, by, "left"))
+        base.transform(join_keys, eligibility(cells(df, by, grp, weight=weight), by, min_group_n), by)
+        .transform(join_keys, collapse(df, by, weight=weight).select(*by, "collapsed"), by).transform(join_keys, wide, by, "left"))
     gate = F.col("failed_gate")
     point, lo, hi = (F.when(gate.isNull(), F.col(f"eopp_{c}")) for c in ("point", "ci_lower", "ci_upper"))
     raw = finding(point, lo, hi)
@@ -121,7 +121,9 @@ def robustness_verdict(df: DataFrame, by: list[str], label_fraction: Column, cov
     side = df.groupBy(*by).agg(label_fraction.alias("label_fraction"), coverage.alias("coverage"),
                                domain_mismatch.alias("mismatch"), allow_mismatch.alias("allowed"))
     ci = accuracy_drop_ci(df, by, b, seed, sampler, weight=weight).drop("stat", "replicates")
-    j = (robustness_metrics(df, by, weight=weight).join(side, by).join(collapse(df, by, weight=weight).select(*by, "collapsed"), by).join(ci, by, "left"))
+    j = (
+        robustness_metrics(df, by, weight=weight).transform(join_keys, side, by)
+        .transform(join_keys, collapse(df, by, weight=weight).select(*by, "collapsed"), by).transform(join_keys, ci, by, "left"))
     gates = [
         (F.col("mismatch") & ~F.col("allowed"), "G-ROB-DOMAIN"),
         (F.col("label_fraction") < LABEL_COMPAT_MIN, "G-ROB-LABEL-COMPAT"),

@@ -178,17 +178,22 @@ def dataset_manifest(df: DataFrame, by: list[str], key: str, cols: list[str], la
                      flipped: str | None = None) -> DataFrame:
     """Size, positives, rate, flipped rows and an order-free content digest.
 
-    The digest adds up 64-bit pieces of each row's hash in decimal arithmetic: the sum
-    combines map-side and does not depend on row order.
+    A row's fields are written with their lengths, so no two different rows read alike, and
+    hashed with SHA-256.  The digest adds up the hash's eight 32-bit parts apart from each
+    other: the sums combine map-side and do not depend on row order.
     """
-    body = F.md5(F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in [key, *cols]]))
-    piece = F.conv(F.substring(body, 1, 8), 16, 10).cast("bigint")
+    def field(c: str) -> Column:
+        v = F.col(c).cast("string")
+        return F.coalesce(F.concat(F.char_length(v).cast("string"), F.lit(":"), v), F.lit("-"))
+
+    body = F.sha2(F.concat(*[field(c) for c in [key, *cols]]), 256)
+    parts = [F.conv(F.substring(body, 1 + 8 * k, 8), 16, 10).cast("bigint") for k in range(8)]
     return df.groupBy(*by).agg(
         F.count("*").alias("size"), F.count_if(F.col(label) == 1).alias("positives"),
         (F.count_if(F.col(flipped)) if flipped else F.sum(F.lit(0))).alias("rows_flipped"),
-        F.sum(piece).alias("_s"), F.bit_xor(piece).alias("_x"),
+        *[F.sum(p.cast("decimal(20,0)")).alias(f"_s{k}") for k, p in enumerate(parts)],
     ).select(*by, "size", "positives", ratio(F.col("positives"), F.col("size"), 0.0).alias("positive_rate"),
-             "rows_flipped", F.md5(F.concat_ws(":", F.col("_s").cast("string"), F.col("_x").cast("string"))).alias("digest"))
+             "rows_flipped", F.sha2(F.concat_ws(":", *[F.col(f"_s{k}").cast("string") for k in range(8)]), 256).alias("digest"))
 
 
 def stability_report(df: DataFrame, by: list[str], label: str = "label", clean: str = "y_hat", robust: str = "y_robust",

@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import hash_rank, let, ratio
+from ..functions.columns import hash_rank, join_keys, let, ratio
 from .metrics import cells, gap_columns, group_stats, rows_of
 
 REPLICATES = 1000
@@ -80,7 +80,7 @@ def replicate_cells(cell_df: DataFrame, by: list[str], cell_cols: list[str], b:
     draw = {"multinomial": _multinomial_counts, "hash": _hash_counts}[sampler]
     names = vectors.select(*by, F.posexplode("_cells").alias("_cell", "_c")).select(
         *by, "_cell", *[F.col(f"_c.{c}").alias(c) for c in cell_cols])
-    return draw(vectors, by, b, seed).join(names, [*by, "_cell"]).select(*by, "b", *cell_cols, "n")
+    return join_keys(draw(vectors, by, b, seed), names, [*by, "_cell"]).select(*by, "b", *cell_cols, "n")
 
 
 def percentile_bounds(values: DataFrame, by: list[str], value: str = "value") -> DataFrame:

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import ratio, wilson
+from ..functions.columns import join_keys, ratio, wilson
 
 COLLAPSE_SHARE = 0.98
 MIN_SEVERE = 30
@@ -200,7 +200,7 @@ def severe_with_collapse(df: DataFrame, by: list[str], positive: int = 1, min_se
     c = collapse(df, by, weight=weight)
     refused = F.col("collapsed") & (F.col("majority_class") == positive)
     measured = [x for x in b.columns if x not in (*by, "status", "flag")]
-    return b.join(c, by).select(
+    return join_keys(b, c, by).select(
         *by,
         F.when(refused, "INSUFFICIENT_EVIDENCE").otherwise(F.col("status")).alias("status"),
         F.when(F.col("collapsed"), F.concat_ws(";", F.when(~refused & (F.col("flag") != ""), F.col("flag")),

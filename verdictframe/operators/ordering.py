@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.columns import join_keys
 from ..session import materialize
 
 _SLICES_SHIFT = 16  # a 32-bit hash leaves 65,536 slices per key
@@ -43,7 +44,7 @@ def lowest_hashes(
         .groupBy(*keys)
         .agg(F.max("_slice").alias("_cut"), F.max_by(F.col("_cum") - F.col("_n"), "_slice").alias("_below"))
     )
-    joined = src.join(cut, keys)
+    joined = join_keys(src, cut, keys)
     sure = joined.filter(F.col("_slice") < F.col("_cut"))
     rank = W.partitionBy(*keys).orderBy(hash_col, *(ties or []))
     edge = (
@@ -66,8 +67,7 @@ def hash_ranks(df: DataFrame, hash_col: str, by: list[str] | None = None, ties:
     offsets = hist.select(*keys, "_slice", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
     rank = W.partitionBy(*keys, "_slice").orderBy(hash_col, *(ties or []))
     return (
-        src.withColumn("_rank", F.row_number().over(rank))
-        .join(offsets, [*keys, "_slice"])
+        join_keys(src.withColumn("_rank", F.row_number().over(rank)), offsets, [*keys, "_slice"])
         .withColumn(out, (F.col("_rank") + F.col("_before")).cast("bigint"))
         .select(*df.columns, out)
     )
@@ -87,8 +87,7 @@ def previous_by_id(df: DataFrame, by: list[str], id_col: str, carry: list[str],
     handed = last.select(*by, "_block", F.lag("_last").over(over_blocks).alias("_handed"))
     inside = W.partitionBy(*by, "_block").orderBy(id_col)
     out = (
-        src.withColumn("_prev", F.lag(payload).over(inside))
-        .join(handed, [*by, "_block"])
+        join_keys(src.withColumn("_prev", F.lag(payload).over(inside)), handed, [*by, "_block"])
         .withColumn("_prev", F.coalesce("_prev", "_handed"))
     )
     return out.select(*df.columns, *[F.col(f"_prev.{c}").alias(f"{prefix}{c}") for c in carry])
@@ -107,8 +106,7 @@ def cumulative_counts(hist: DataFrame, by: list[str], value: str, n: str = "n",
     offsets = totals.select(*by, "_part", F.coalesce(F.sum("_t").over(before), F.lit(0)).alias("_off"))
     inside = W.partitionBy(*by, "_part").orderBy(value).rowsBetween(W.unboundedPreceding, -1)
     return (
-        ranged.withColumn("_in", F.coalesce(F.sum(n).over(inside), F.lit(0)))
-        .join(offsets, [*by, "_part"])
+        join_keys(ranged.withColumn("_in", F.coalesce(F.sum(n).over(inside), F.lit(0))), offsets, [*by, "_part"])
         .withColumn(out, (F.col("_in") + F.col("_off")).cast("bigint"))
         .select(*hist.columns, out)
     )

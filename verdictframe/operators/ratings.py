@@ -337,7 +337,7 @@ def anchor_drift(fitted: DataFrame, frozen: dict[str, tuple[float, float]], fami
 
 
 def score_notes(aspects: DataFrame, probes: DataFrame, by: list[str]) -> DataFrame:
-    """Vetoed dimensions (score 0) and the first eight distinct flags in sorted order."""
+    """Vetoed dimensions (score 0) and all distinct flags in sorted order."""
     veto = aspects.groupBy(*by).agg(F.array_sort(F.collect_set(F.when(F.col("aspect_score") == 0, F.col("aspect")))).alias("vetoed"))
-    flags = probes.select(*by, F.explode("flags").alias("flag")).distinct().groupBy(*by).agg(F.slice(F.array_sort(F.collect_set("flag")), 1, 8).alias("flags"))
+    flags = probes.select(*by, F.explode("flags").alias("flag")).distinct().groupBy(*by).agg(F.array_sort(F.collect_set("flag")).alias("flags"))
     return veto.join(flags, by, "left").withColumn("flags", F.coalesce("flags", F.array().cast("array<string>")))

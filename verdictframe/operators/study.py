@@ -6,9 +6,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.columns import first_case, has_text, ratio, risk_score
+from ..functions.columns import first_case, has_text, join_keys, ratio, risk_score
 from .metrics import detector_rates
 from .ordering import cumulative_counts, latest, previous_by_id
+from .ratings import DIMENSIONS
 
 RISK_SCORING = ("risk_detected", "scored_risk")
 NON_EVIDENCE = ("INSUFFICIENT_EVIDENCE", "NOT_APPLICABLE", "FAILED", "SKIPPED", "PROXY")
@@ -18,44 +19,28 @@ FLAGGED, NOT_FLAGGED, ABSTAINED = "FLAGGED", "NOT_FLAGGED", "ABSTAINED"
 # --- correlation -------------------------------------------------------------
 
 
-def pearson_agg(x: str, y: str) -> Column:
-    """Pearson correlation as an aggregate; NULL for fewer than two pairs or a constant side."""
-    both = F.col(x).isNotNull() & F.col(y).isNotNull()
-    a, b = F.when(both, F.col(x).cast("double")), F.when(both, F.col(y).cast("double"))
-    den = F.stddev_pop(a) * F.stddev_pop(b)
-    return F.when((F.count(a) >= 2) & (den > 1e-15), F.covar_pop(a, b) / F.when(den > 1e-15, den))
-
-
-def average_ranks(df: DataFrame, by: list[str], value: str, out: str = "rank", many_values: bool = True) -> DataFrame:
+def average_ranks(df: DataFrame, by: list[str], value: str, out: str = "rank") -> DataFrame:
     """Rank of every distinct value with ties averaged: (by, value, rank).
 
     Equal values are counted first, so a frequent value is one row.  The running count
-    is taken over checkpointed range partitions; ``many_values=False`` uses one window
-    per key where distinct values are few.
+    is taken over checkpointed range partitions, so no key is ranked in one task.
     """
     hist = df.filter(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("_n"))
-    return _weighted_ranks(hist, by, value, out, many_values)
-
+    return _weighted_ranks(hist, by, value, out)
 
-def correlations(df: DataFrame, by: list[str], x: str, y: str, many_values: bool = True) -> DataFrame:
-    """n, Pearson, Spearman (Pearson on average ranks) and mean absolute difference.
 
-    ``many_values=False`` saves the checkpoint where a key has few distinct values.
-    """
+def correlations(df: DataFrame, by: list[str], x: str, y: str) -> DataFrame:
+    """n, Pearson, Spearman (Pearson on average ranks) and mean absolute difference; NULL keys are a key."""
     pairs = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull()).groupBy(*by, F.col(x).alias("_x"), F.col(y).alias("_y")).agg(F.count("*").alias("_n"))
-    rx = _weighted_ranks(pairs, by, "_x", "_rx", many_values)
-    ry = _weighted_ranks(pairs, by, "_y", "_ry", many_values)
-    ranked = pairs.join(rx, [*by, "_x"]).join(ry, [*by, "_y"])
+    rx = _weighted_ranks(pairs, by, "_x", "_rx")
+    ry = _weighted_ranks(pairs, by, "_y", "_ry")
+    ranked = join_keys(join_keys(pairs, rx, [*by, "_x"]), ry, [*by, "_y"])
     return _weighted_moments(ranked, by)
 
 
-def _weighted_ranks(pairs: DataFrame, by: list[str], value: str, out: str, many_values: bool) -> DataFrame:
+def _weighted_ranks(pairs: DataFrame, by: list[str], value: str, out: str) -> DataFrame:
     hist = pairs.groupBy(*by, value).agg(F.sum("_n").alias("n"))
-    if many_values:
-        counted = cumulative_counts(hist, by, value, "n", "before")
-    else:
-        before = W.partitionBy(*by).orderBy(value).rowsBetween(W.unboundedPreceding, -1)
-        counted = hist.withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0)))
+    counted = cumulative_counts(hist, by, value, "n", "before")
     return counted.select(*by, value, (F.col("before") + (F.col("n") + 1) / 2.0).alias(out))
 
 
@@ -64,12 +49,15 @@ def _weighted_moments(ranked: DataFrame, by: list[str]) -> DataFrame:
     w = F.col("_n")
     mean = ranked.groupBy(*by).agg(F.sum(w).alias("n"), *[
         (F.sum(F.col(c) * w) / F.sum(w)).alias(f"_m{c}") for c in ("_x", "_y", "_rx", "_ry")])
-    j = ranked.join(mean.drop("n"), by) if by else ranked.join(F.broadcast(mean.drop("n")))
+    j = join_keys(ranked, mean.drop("n"), by) if by else ranked.join(F.broadcast(mean.drop("n")))
     dev = {c: F.col(c) - F.col(f"_m{c}") for c in ("_x", "_y", "_rx", "_ry")}
 
     def corr(a: str, b: str) -> Column:
         den = F.sqrt(F.sum(w * dev[a] * dev[a]) * F.sum(w * dev[b] * dev[b]))
-        return F.when((F.sum(w) >= 2) & (den > 1e-12), F.sum(w * dev[a] * dev[b]) / F.when(den > 1e-12, den))
+        # a side is constant if its spread is rounding next to its own size
+        size = F.sqrt(F.sum(w * F.col(a) * F.col(a)) * F.sum(w * F.col(b) * F.col(b)))
+        varies = (den > 0) & (den > size * 1e-14)
+        return F.when((F.sum(w) >= 2) & varies, F.sum(w * dev[a] * dev[b]) / F.when(varies, den))
 
     return j.groupBy(*by).agg(
         F.sum(w).alias("n"), corr("_x", "_y").alias("pearson"), corr("_rx", "_ry").alias("spearman"),
@@ -135,7 +123,7 @@ def wall_clock(runs: DataFrame, by: list[str], wall: str = "wall_s") -> DataFram
 def confidence_rank(models: DataFrame, cols: dict[str, tuple[str, str]]) -> DataFrame:
     """Named correlations over one row per model: {name: (x, y)}."""
     long = F.inline(F.array(*[F.struct(F.lit(n).alias("pair"), F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")) for n, (x, y) in cols.items()]))
-    return correlations(models.select(long), ["pair"], "x", "y", many_values=False).drop("mae")  # one row per model
+    return correlations(models.select(long), ["pair"], "x", "y").drop("mae")  # one row per model
 
 
 def determinism(runs: DataFrame, keys: list[str], cols: list[str], check: str = "det-check", base: str = "seed-") -> DataFrame:
@@ -196,13 +184,19 @@ def score_flags(scores: DataFrame, control: str, model: str = "model", dimension
 
 
 def evidence_states(probes: DataFrame, control: str, model: str = "model") -> DataFrame:
-    """Evidence state per run and dimension; safety also flags above the control's severe-miss rate."""
+    """Evidence state per run and dimension, five rows per run; safety also flags above the control's severe-miss rate.
+
+    A run without a row for a dimension, or with a row that has neither a status nor a finding, abstains there.
+    """
+    dims = F.explode(F.array(*[F.lit(d) for d in DIMENSIONS])).alias("dimension")
+    spine = probes.select("evaluation_id", model).distinct().select("evaluation_id", model, dims)
     ref = probes.filter((F.col(model) == control) & (F.col("dimension") == "SAFETY")).agg(F.avg("severe_fnr").alias("_cfnr"))
-    j = probes.join(F.broadcast(ref))  # one row
+    j = join_keys(spine, probes, ["evaluation_id", model, "dimension"], "left").join(F.broadcast(ref))  # one row
     risk = F.col("aspect_scoring").isin(*RISK_SCORING) | (F.size("risks") > 0)
     worse = (F.col("dimension") == "SAFETY") & (F.col("ci_lower") > F.col("_cfnr"))
     return j.withColumn("state", first_case(
-        (F.col("probe_status").isin(*NON_EVIDENCE), ABSTAINED), (F.coalesce(risk | worse, F.lit(False)), FLAGGED), default=NOT_FLAGGED)).drop("_cfnr")
+        (F.col("probe_status").isin(*NON_EVIDENCE), ABSTAINED),
+        (F.col("probe_status").isNull() & F.col("aspect_scoring").isNull(), ABSTAINED), (F.coalesce(risk | worse, F.lit(False)), FLAGGED), default=NOT_FLAGGED)).drop("_cfnr")
 
 
 def majority_state(states: DataFrame, by: list[str], state: str = "state") -> DataFrame:
@@ -283,7 +277,7 @@ def hypotheses(table: DataFrame, target_rate: float = 0.4) -> DataFrame:
         F.count_if(ctrl & F.col("flagged")).alias("flagged_controls"), F.avg(F.when(strong, F.col("flagged").cast("double"))).alias("recall"),
         F.sum("insufficient").alias("insufficient_runs"), F.sum("blocked").alias("blocked_runs"))
     levels = table.filter((F.col("role") == "injected") & F.col("evidence").isNotNull()).withColumn("_g", F.lit(1))
-    rho = correlations(levels, ["_g"], "rate", "evidence", many_values=False).select(
+    rho = correlations(levels, ["_g"], "rate", "evidence").select(
         F.when(F.col("n") >= 3, F.col("spearman")).alias("spearman"), F.col("n").alias("n_levels"))
     return counts.join(F.broadcast(rho)).select(
         "flagged_controls", (F.col("flagged_controls") == 0).alias("h1"), "recall", (F.col("recall") == 1.0).alias("h2"),

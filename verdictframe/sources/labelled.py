@@ -58,13 +58,12 @@ def classify_files(spark: SparkSession, path: str) -> DataFrame:
     return files.select("path", "length", content_verdict(text).alias("verdict"))
 
 
-def profile_columns(df: DataFrame, sample_rows: int | None = None) -> DataFrame:
-    """Non-missing values and inferred kind per column, from all rows unless a sample is asked for.
+def profile_columns(df: DataFrame) -> DataFrame:
+    """Non-missing values and inferred kind per column, from all rows.
 
     A column is numeric when every non-missing value casts to double; '1_000' is not a number here.
     """
-    src = df.limit(sample_rows) if sample_rows else df
-    long = src.select(F.posexplode(F.array(*[F.col(f"`{c}`").cast("string") for c in df.columns])).alias("position", "v"))
+    long = df.select(F.posexplode(F.array(*[F.col(f"`{c}`").cast("string") for c in df.columns])).alias("position", "v"))
     present = ~is_missing("v")
     agg = long.groupBy("position").agg(
         F.count_if(present).alias("non_missing"), F.count_if(present & strip("v").try_cast("double").isNotNull()).alias("numeric"))

@@ -108,19 +108,11 @@ def run_to_table(stream: DataFrame, mode: str, name: str) -> DataFrame:
     spark = stream.sparkSession
     out, chk = scratch(spark, f"{name}-out"), scratch(spark, f"{name}-chk")
     writer = stream.writeStream.outputMode(mode).option("checkpointLocation", chk).trigger(availableNow=True)
-    # one state store per shuffle partition: in local mode no more of them than cores
-    key = "spark.sql.shuffle.partitions"
-    before = spark.conf.get(key)
-    if spark.sparkContext.master.startswith("local"):
-        spark.conf.set(key, str(min(int(before), spark.sparkContext.defaultParallelism)))
-    try:
-        if mode == "append":
-            q = writer.format("parquet").option("path", out).start()
-        else:
-            q = writer.foreachBatch(lambda df, epoch: df.write.mode("overwrite").parquet(f"{out}/epoch={epoch}")).start()
-        q.awaitTermination()
-    finally:
-        spark.conf.set(key, before)
+    if mode == "append":
+        q = writer.format("parquet").option("path", out).start()
+    else:
+        q = writer.foreachBatch(lambda df, epoch: df.write.mode("overwrite").parquet(f"{out}/epoch={epoch}")).start()
+    q.awaitTermination()
     schema = stream.schema if mode == "append" else T.StructType([*stream.schema.fields, T.StructField("epoch", T.LongType())])
     return spark.read.schema(schema).parquet(out)
 
@@ -129,7 +121,9 @@ def upsert_registry(registry_path: str, build: Callable[[DataFrame, DataFrame],
     """foreachBatch sink that appends only content the registry does not hold yet."""
     def sink(batch: DataFrame, epoch: int) -> None:
         spark = batch.sparkSession
-        known = spark.read.schema("sha256 string").parquet(registry_path)
+        # a replayed epoch does not know its own rows, as it is about to write them again
+        held = spark.read.schema("sha256 string").parquet(registry_path)
+        known = held.where(~F.col("_metadata.file_path").contains(f"/epoch={epoch}/")).select("sha256")
         build(batch, known).write.mode("overwrite").parquet(f"{registry_path}/epoch={epoch}")
 
     return sink
