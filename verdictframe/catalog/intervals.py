@@ -75,9 +75,18 @@ def _(v):
     return U.fairness_ci(v("v_pred_text"), BY, ["acc_gap"], b=120, seed=42, min_group_n=20, sampler="hash")
 
 
-@query("unc_03_bootstrap_big")
+_POINTS_BIG = (", ce AS (SELECT evaluation_id, grp, label, y_hat, count(*) AS n FROM v_pred_big GROUP BY ALL)"
+               + group_rep_sql("ce", "evaluation_id", "gp", 20)
+               + ", pt AS (" + " UNION ALL ".join(f"SELECT evaluation_id, '{x}' AS stat, {x} AS x FROM gp1" for x in FAIR_STATS) + ")")
+
+
+@query("unc_03_bootstrap_big", _POINTS_BIG + """ SELECT evaluation_id, stat, round(x, 6) AS point, 1000 AS replicates, true AS in_order, true AS in_range
+FROM pt WHERE x IS NOT NULL""", ("v_pred_big",))
 def _(v):
-    return U.fairness_ci(v("v_pred_big"), BY, ["acc_gap", "dpd", "eod", "f1_spread", "eopp"], min_group_n=20)
+    """Bounds are random draws: SQL states the points and what must hold of the bounds."""
+    ci = U.fairness_ci(v("v_pred_big"), BY, FAIR_STATS, min_group_n=20).filter("point is not null")
+    return ci.select("evaluation_id", "stat", "point", "replicates", (F.col("ci_lower") <= F.col("ci_upper")).alias("in_order"),
+                     ((F.col("ci_lower") >= 0) & (F.col("ci_upper") <= 1)).alias("in_range"))
 
 
 @query("unc_04_bootstrap_all_stats", FAIR_CI_SQL + " SELECT * FROM ci", ("v_pred_text",))
@@ -97,9 +106,22 @@ def _(v):
     return U.accuracy_drop_ci(v("v_pred_text"), BY, b=150, seed=42, sampler="hash")
 
 
-@query("unc_05_accuracy_drop_big")
+@query("unc_05_accuracy_drop_big", """, d AS (SELECT evaluation_id, (y_hat = label)::INT - (y_robust = label)::INT AS d FROM v_pred_big),
+ m AS (SELECT evaluation_id, count(*) AS n, sum(d)::BIGINT AS s, sum(d * d)::BIGINT AS q FROM d GROUP BY 1)
+SELECT evaluation_id, round(s::DOUBLE / n, 6) AS point, round(sqrt((q::DOUBLE / n - (s::DOUBLE / n) * (s::DOUBLE / n)) / n), 6) AS standard_error,
+ 1000 AS replicates, true AS bounds_near FROM m""", ("v_pred_big",))
 def _(v):
-    return U.accuracy_drop_ci(v("v_pred_big"), BY)
+    """The bootstrap's bounds against those of the normal law: at 1,000 draws a bound varies by 0.085 standard errors,
+    so four of these, and what one row weighs, are allowed."""
+    rows = v("v_pred_big")
+    d = (F.col("y_hat") == F.col("label")).cast("int") - (F.col("y_robust") == F.col("label")).cast("int")
+    m = rows.groupBy(*BY).agg(F.count("*").alias("n"), F.sum(d).alias("s"), F.sum(d * d).alias("q"))
+    mean = F.col("s") / F.col("n")
+    m = m.select("evaluation_id", "n", F.sqrt((F.col("q") / F.col("n") - mean * mean) / F.col("n")).alias("standard_error"))
+    slack = F.col("standard_error") * 0.34 + 2 / F.col("n")
+    near = lambda bound, z: F.abs(F.col(bound) - F.col("point") - F.col("standard_error") * z) <= slack
+    return U.accuracy_drop_ci(rows, BY).join(m, BY).select(
+        "evaluation_id", "point", "standard_error", "replicates", (near("ci_lower", -1.96) & near("ci_upper", 1.96)).alias("bounds_near"))
 
 
 @query("unc_06_bootstrap_mean", "WITH g AS (SELECT (doc_id % 4)::STRING AS evaluation_id, round(quality * 0.7 + toxic * 0.1, 3)::DOUBLE AS value FROM labels)"

@@ -1,6 +1,6 @@
 """Row preparation, decoding, scoring and screening (ROW)."""
 
-import zlib
+import hashlib
 
 import pandas as pd
 from pyspark.sql import functions as F
@@ -122,11 +122,12 @@ def _(v):
 
 
 def _checksum_model():
-    """Deterministic stand-in for a classifier: the lowest bit of the text's CRC-32."""
-    return lambda texts: pd.Series([zlib.crc32((t or "").encode()) & 1 for t in texts])
+    """Deterministic stand-in for a classifier: a bit of the text's MD5, which SQL can state too."""
+    return lambda texts: pd.Series([int(hashlib.md5((t or "").encode()).hexdigest()[0], 16) & 1 for t in texts])
 
 
-@query("row_11_score")
+@query("row_11_score", """SELECT lang, count(*) AS n, CAST(sum(CAST('0x' || substr(md5(coalesce(text, '')), 1, 1) AS BIGINT) & 1) AS BIGINT) AS positives
+FROM documents GROUP BY 1""")
 def _(v):
     scored = R.score(v("documents").select("doc_id", "lang", "text"), _checksum_model)
     return scored.groupBy("lang").agg(F.count("*").alias("n"), F.sum("y_hat").alias("positives"))
