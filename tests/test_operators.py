@@ -9,6 +9,8 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from verdictframe.catalog import load_all
+from verdictframe.catalog.base import run
 from verdictframe.functions import columns as C
 from verdictframe.functions import sqlfuncs
 from verdictframe.operators import agreement as A
@@ -322,6 +324,14 @@ def test_evidence_states_cover_five_dimensions(spark):
     assert sum(x == "ABSTAINED" for x in got.values()) == 8
 
 
+def test_audit_has_five_rows_per_evaluation(spark):
+    load_all()
+    rows = run("plan_verdicts", spark, "/root/testdata/sf0.001").select("evaluation_id", "dimension", "probe_status").collect()
+    keys = {r["evaluation_id"] for r in rows}
+    assert sorted((r["evaluation_id"], r["dimension"]) for r in rows) == sorted((k, d) for k in keys for d in DIMS)
+    assert all(r["probe_status"] for r in rows)
+
+
 def test_registry_sink_keeps_rows_of_a_replayed_epoch(spark, tmp_path):
     path = str(tmp_path / "registry")
     spark.createDataFrame([("old",)], "sha256 string").write.parquet(f"{path}/epoch=0")

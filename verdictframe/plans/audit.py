@@ -12,7 +12,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import reasons
+from ..functions.columns import join_keys, reasons
 from ..operators import documents as D
 from ..operators import gates as G
 from ..operators import integrity as I
@@ -32,6 +32,9 @@ VERDICT = {
     "fnr_ratio": "double", "benign_fpr": "double", "behavior_status": "string", "rule_version": "string", "confidence": "double"}
 
 
+NO_INPUT = "G-NO-INPUT"
+
+
 def verdict_row(df: DataFrame, by: list[str], dimension: str, **columns: Column | str) -> DataFrame:
     """Project a probe's result onto the common verdict row; what it does not measure is NULL."""
     given = {k: (F.col(c) if isinstance(c, str) else c) for k, c in columns.items()}
@@ -95,15 +98,30 @@ def verdicts(rows: DataFrame, models: DataFrame, key: str, min_group_n: int = 30
     """Verdict rows of all five dimensions for every evaluation.
 
     The prediction rows are read once: they are counted into a cube whose size does not
-    depend on their number, and every probe works on that cube.
+    depend on their number, and every probe works on that cube.  Every evaluation of either
+    input has five rows: one without a card keeps what was measured on its rows, and a probe
+    without any input has insufficient evidence.
     """
     by, fb = [key], fallbacks or {}
     rows = materialize(M.cube(rows, by, ["grp", "label", "y_hat", "y_robust", "severe"]))
+    every = rows.select(key).union(models.select(key)).distinct()
+    models = join_keys(every, models, by, "left")
     full = F.lit(1.0)
     probes = [
         fairness_probe(rows, by, min_group_n, seed), robustness_probe(rows, by, full, full, seed), integrity_probe(models, by),
         documentation_probe(models, by, fb), safety_probe(rows, models, by, fb)]
-    graded = S.confidence_factors(reduce(DataFrame.unionByName, probes))
+    spine = every.select(key, F.explode(F.array(*[F.lit(d) for d in S.DIMENSIONS])).alias("dimension"))
+    found = join_keys(spine, reduce(DataFrame.unionByName, probes), [key, "dimension"], "left")
+    missing = F.col("probe_status").isNull()
+    empty = F.array().cast(_STRINGS)
+    filled = found.withColumns({
+        **{c: F.coalesce(c, empty) for c, t in VERDICT.items() if t == _STRINGS},
+        **{c: F.coalesce(c, F.lit(False)) for c in ("has_evidence", "has_checks", "needs_human_review")},
+        "rule_version": F.coalesce("rule_version", F.lit("current")),
+        "failed_gates": F.when(missing, F.array(F.lit(NO_INPUT))).otherwise(F.col("failed_gates")),
+        "aspect_scoring": F.when(missing, "not_scored").otherwise(F.col("aspect_scoring")),
+        "probe_status": F.coalesce("probe_status", F.lit("INSUFFICIENT_EVIDENCE"))})
+    graded = S.confidence_factors(filled)
     return graded.withColumn("confidence", F.col("combined"))
 
 
