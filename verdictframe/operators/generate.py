@@ -135,26 +135,27 @@ def flip_labels(df: DataFrame, key: str, where: Column, to: int, rate: float, se
     flip = F.col("_cand") & F.coalesce(
         (F.col("_hash") < F.col("_ch")) | ((F.col("_hash") == F.col("_ch")) & (F.col(key) <= F.col("_ck"))), F.lit(False))
     # the cut is one row
-    return src.join(F.broadcast(cut.drop("rate", "n_flip"))).withColumn(mark, flip).withColumn(
+    return src.join(F.broadcast(cut.drop("rate"))).withColumn(mark, flip).withColumn(
         label, F.when(F.col(mark), F.lit(to)).otherwise(F.col(label))).drop("_hash", "_cand", "_ch", "_ck")
 
 
 def _flip_cut(src: DataFrame, key: str, rates: list[float]) -> DataFrame:
     """(hash, key) of the last flipped candidate per rate: one row per rate."""
     cand = src.filter("_cand").select("_hash", F.col(key).alias("_key"))
-    total = cand.agg(F.count("*").alias("_n"))
     grid = src.sparkSession.createDataFrame([(float(r),) for r in rates], "rate double")
-    quota = grid.join(F.broadcast(total)).select("rate", F.bround(F.col("_n") * F.col("rate"), 0).cast("bigint").alias("n_flip"))
     hist = cand.groupBy(F.shiftright("_hash", 16).alias("_slice")).agg(F.count("*").alias("_c"))
-    upto = W.orderBy("_slice").rowsBetween(W.unboundedPreceding, W.currentRow)  # at most 65,536 slices
-    cum = hist.withColumn("_cum", F.sum("_c").over(upto))
-    edge = quota.join(cum, (F.col("_cum") - F.col("_c") < F.col("n_flip")) & (F.col("_cum") >= F.col("n_flip")), "left").select(
-        "rate", "n_flip", "_slice", (F.col("n_flip") - (F.col("_cum") - F.col("_c"))).alias("_within"))
-    inside = cand.withColumn("_slice", F.shiftright("_hash", 16)).join(F.broadcast(edge.filter("_slice is not null")), "_slice")
+    # at most 65,536 slices; their sum is the number of candidates, so rows are not counted again
+    upto = W.orderBy("_slice").rowsBetween(W.unboundedPreceding, W.currentRow)
+    cum = hist.withColumns({"_cum": F.sum("_c").over(upto), "_n": F.sum("_c").over(W.partitionBy())})
+    each = cum.withColumn("rate", F.explode(F.array(*[F.lit(float(r)) for r in rates])))
+    n_flip = F.bround(F.col("_n") * F.col("rate"), 0).cast("bigint")
+    edge = each.filter((F.col("_cum") - F.col("_c") < n_flip) & (F.col("_cum") >= n_flip)).select(
+        "rate", "_slice", (n_flip - (F.col("_cum") - F.col("_c"))).alias("_within"))
+    inside = cand.withColumn("_slice", F.shiftright("_hash", 16)).join(F.broadcast(edge), "_slice")  # a row per rate
     rank = W.partitionBy("rate", "_slice").orderBy("_hash", "_key")
     last = inside.withColumn("_r", F.row_number().over(rank)).filter(F.col("_r") == F.col("_within")).select(
         "rate", F.col("_hash").alias("_ch"), F.col("_key").alias("_ck"))
-    return quota.join(F.broadcast(last), "rate", "left")
+    return grid.join(F.broadcast(last), "rate", "left")
 
 
 def flip_chain(df: DataFrame, key: str, specs: list[tuple[str, Column, int, float, int]], label: str = "label") -> DataFrame:
@@ -171,7 +172,7 @@ def severity_grid(df: DataFrame, key: str, where: Column, to: int, rates: list[f
     flip = F.col("_cand") & F.coalesce(
         (F.col("_hash") < F.col("_ch")) | ((F.col("_hash") == F.col("_ch")) & (F.col(key) <= F.col("_ck"))), F.lit(False))
     return src.join(cuts).withColumn("flipped", flip).withColumn(
-        label, F.when(F.col("flipped"), F.lit(to)).otherwise(F.col(label))).drop("_hash", "_cand", "_ch", "_ck", "n_flip")
+        label, F.when(F.col("flipped"), F.lit(to)).otherwise(F.col(label))).drop("_hash", "_cand", "_ch", "_ck")
 
 
 def dataset_manifest(df: DataFrame, by: list[str], key: str, cols: list[str], label: str = "label",
