@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -42,6 +42,15 @@ def same(a: Column, b: Column) -> Column:
     return a.eqNullSafe(b)
 
 
-def lateral(fn: Callable[..., DataFrame], *args, **kwargs) -> Callable[[DataFrame], DataFrame]:
-    """Adapter for ``DataFrame.transform`` with bound arguments."""
-    return lambda df: fn(df, *args, **kwargs)
+def inverse(matrix: np.ndarray) -> np.ndarray:
+    """Inverse of a small matrix by elimination with row pivots; no threaded linear-algebra library in the driver."""
+    n = len(matrix)
+    both = np.hstack([matrix.astype(float), np.eye(n)])
+    for i in range(n):
+        top = i + int(np.argmax(np.abs(both[i:, i])))
+        both[[i, top]] = both[[top, i]]
+        both[i] /= both[i, i]
+        factor = both[:, i].copy()
+        factor[i] = 0.0
+        both -= factor[:, None] * both[i]
+    return both[:, n:]

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 from tokenizers import Tokenizer
 
-from .common import stash
+from .common import inverse, stash
 
 SEQUENCE = 2048
 END_ID = 1
@@ -148,7 +148,7 @@ def _greedy(need: dict[int, float], capacity: int) -> list[tuple[Counter, float]
                 pattern[x] = room // x
                 room -= pattern[x] * x
         times = min(left[x] / n for x, n in pattern.items())
-        gone = [x for x, n in pattern.items() if left[x] - n * times <= 1e-9]
+        gone = [x for x, n in pattern.items() if left[x] <= n * times * (1 + 1e-9)]
         out.append((pattern, times))
         out += [(Counter({x: capacity // x}), 0.0) for x in gone[1:]]
         for x, n in pattern.items():
@@ -177,13 +177,13 @@ def patterns(histogram: dict[int, int], capacity: int, rounds: int = 1500, gap:
         return c
 
     basis = [p for p, _ in _greedy({int(x): float(n) for x, n in zip(lengths, need)}, capacity)]
-    inverse = np.linalg.inv(np.array([column(p) for p in basis]).T)
-    use = np.maximum(inverse @ need, 0.0)
+    undo = inverse(np.array([column(p) for p in basis]).T)
+    use = np.maximum((undo * need).sum(axis=1), 0.0)
     for _ in range(rounds):
-        value, entering = _knapsack(lengths, np.maximum(inverse.sum(axis=0), 0.0), capacity)
+        value, entering = _knapsack(lengths, np.maximum(undo.sum(axis=0), 0.0), capacity)
         if value <= 1 + gap:
             break
-        d = inverse @ column(entering)
+        d = (undo * column(entering)).sum(axis=1)
         ratio = np.where(d > 1e-9, use / np.where(d > 1e-9, d, 1.0), np.inf)
         out = int(np.argmin(ratio))
         if not np.isfinite(ratio[out]):
@@ -191,9 +191,9 @@ def patterns(histogram: dict[int, int], capacity: int, rounds: int = 1500, gap:
         step = ratio[out]
         use = np.maximum(use - step * d, 0.0)
         use[out] = step
-        pivot = inverse[out] / d[out]
-        inverse -= np.outer(d, pivot)
-        inverse[out] = pivot
+        pivot = undo[out] / d[out]
+        undo -= d[:, None] * pivot
+        undo[out] = pivot
         basis[out] = entering
     return [(p, float(u)) for p, u in zip(basis, use) if u > 1e-9]
 

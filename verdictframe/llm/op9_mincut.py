@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import inverse
+
 # Elements by their role in HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCK = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol option optgroup p pre search section select summary table tbody td tfoot th thead tr ul".split())
@@ -304,8 +306,8 @@ def main_text(page: str, weights: np.ndarray = PRIOR) -> str:
     found = blocks(page)
     if not found:
         return ""
-    score = np.array([b.features() for b in found], dtype=float) @ weights
-    keep = minimum_cut(score.tolist(), edges(found))
+    score = np.array([b.features() for b in found], dtype=float) * weights
+    keep = minimum_cut(score.sum(axis=1).tolist(), edges(found))
     return "\n".join(b.text for b, k in zip(found, keep) if k)
 
 
@@ -334,10 +336,10 @@ def fit(pages: DataFrame, sample_pages: int = SAMPLE_PAGES, pull: float = 5.0, r
     x, y = np.array([r["x"] for r in rows]), np.array([r["y"] for r in rows], dtype=float)
     w = PRIOR.copy()
     for _ in range(rounds):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        gradient = x.T @ (p - y) / len(y) * 50 + pull * (w - PRIOR)
-        hessian = (x * (p * (1 - p))[:, None]).T @ x / len(y) * 50 + pull * np.eye(len(w))
-        step = np.linalg.solve(hessian, gradient)
+        p = 1 / (1 + np.exp(-np.clip((x * w).sum(axis=1), -30, 30)))
+        gradient = (x * (p - y)[:, None]).sum(axis=0) / len(y) * 50 + pull * (w - PRIOR)
+        hessian = np.einsum("ni,nj->ij", x * (p * (1 - p))[:, None], x) / len(y) * 50 + pull * np.eye(len(w))
+        step = (inverse(hessian) * gradient).sum(axis=1)
         w = w - step
         if np.abs(step).max() < 1e-9:
             break
