@@ -7,7 +7,7 @@ set needs are thrown, about k log k darts for k coordinates, however many elemen
 
 Equal texts are one node. Nodes with an equal band of the signature are linked to the band's hub, the node of most
 copies, the link is checked on the shingles themselves, and links are closed to classes. Bands whose members are still
-in several classes take other hubs; what is still open then is compared in blocks, so that no class hangs on a hub.
+in several classes take other hubs, the most central node first; what is still open then is compared in blocks, so that no class hangs on a hub.
 """
 
 from __future__ import annotations
@@ -158,15 +158,24 @@ def nodes_of(docs: DataFrame, weighted: bool = False) -> DataFrame:
         _signer(weighted), f"doc_id {kind}, node long, bands array<long>, sig binary")
 
 
+def _central(bands: DataFrame) -> DataFrame:
+    """The bands with the order of their nodes by centrality, most central first: an original from which many near copies
+    were made shares larger bands, and more of them, than its copies do with each other."""
+    size = bands.groupBy("band").agg(F.count(F.lit(1)).alias("n"))
+    weight = bands.join(size, "band").groupBy("node").agg(F.sum("n").alias("weight"))
+    tie = F.xxhash64("node").bitwiseAND(F.lit((1 << 20) - 1))
+    return bands.drop("order").join(weight, "node").withColumn("order", tie - F.col("weight") * F.lit(1 << 20)).drop("weight")
+
+
 def _hub_pairs(bands: DataFrame, rooted: DataFrame | None, turn: int) -> DataFrame:
-    """Every member of a band with the band's hub: the node of most copies, in later turns the least of another order.
+    """Every member of a band with the band's hub: the node of most copies, then the most central one, then another.
 
     With ``rooted``, bands whose members are in one class and members of the hub's class are left out. The hub of a
     band combines on the map side.
     """
     if rooted is not None:
         bands = bands.join(rooted, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        bands = bands.withColumn("order", F.xxhash64(F.lit(turn), "node"))
+        bands = _central(bands) if turn == 1 else bands.withColumn("order", F.xxhash64(F.lit(turn), "node"))
     else:
         bands = bands.withColumn("root", F.col("node"))
     hubs = bands.groupBy("band").agg(F.min_by("node", "order").alias("hub"), F.min_by("root", "order").alias("hub_root"), F.min("root").alias("p"), F.max("root").alias("q"))
