@@ -142,8 +142,8 @@ def repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     near = stash(every.join(shared, "fingerprint", "left_semi").select("doc_id", "th", "content", "start", "stop"))
     # the first place of each content, unless it is the only one
     place = F.struct("doc_id", "th", "start")
-    firsts = near.groupBy("content").agg(F.min(place).alias("a"), F.max(place).alias("b"))
-    firsts = firsts.where(~F.col("a").eqNullSafe(F.col("b"))).select("content", F.col("a").alias("source"))
+    firsts = near.groupBy("content").agg(F.min(place).alias("source"), F.count(F.lit(1)).alias("n"))
+    firsts = firsts.where(F.col("n") > 1).select("content", "source")
     later = near.join(firsts, "content").where(~place.eqNullSafe(F.col("source"))).select("doc_id", "th", "start", "stop").distinct()
     return _grown(later)
 
