@@ -311,6 +311,22 @@ def test_keep_one(spark):
     assert op7_dart_minhash.keep_one(alone).count() == 1
 
 
+@pytest.mark.parametrize("kind", ["long", "int", "string"])
+def test_null_and_repeated_ids_name_no_class(spark, kind):
+    rng = random.Random(8)
+    a, b, c, d, e = (" ".join(prose(rng, 60)) for _ in range(5))
+    near = b.rsplit(" ", 1)[0]
+    rows = [(None, a), (None, a), (None, b), (None, near), (None, None), (7, c), (7, d), (7, d), (2, e), (None, e), (9, f"{e} x")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("doc_id", F.col("doc_id").cast(kind))
+    kept = op7_dart_minhash.keep_one(df).collect()
+    assert Counter(r["text"] in (b, near) or r["text"] for r in kept) == Counter([a, True, None, c, d, e])
+    assert sorted(str(r["doc_id"]) for r in kept) == ["2", "7", "7", "None", "None", "None"]
+    got = op7_dart_minhash.report(df).collect()
+    assert len(got) == len(rows) and None not in {r["class_id"] for r in got} and len({r["class_id"] for r in got}) == 6
+    assert Counter(Counter(r["class_id"] for r in got).values()) == Counter([2, 2, 1, 1, 2, 3])
+    assert [str(r["class_id"]) for r in got if str(r["doc_id"]) in ("2", "9")] == ["2", "2"]
+
+
 def test_darts_estimate_weighted_similarity():
     rng = np.random.default_rng(3)
     n, k = 60, 4000

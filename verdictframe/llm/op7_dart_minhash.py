@@ -261,7 +261,8 @@ def _open_pairs(bands: DataFrame, rooted: DataFrame, signed: DataFrame) -> DataF
 
 
 def classes(docs: DataFrame, weighted: bool = False, similar: tuple[int, int] = SIMILAR) -> DataFrame:
-    """doc_id, node, class_id of every row; class_id is the smallest doc_id of the class, null only if all are null.
+    """doc_id, node, root, class_id of every row. The root is the class's smallest node. class_id is the smallest doc_id
+    of the class, or the root if that id doesn't name one class: if all are null, or if another class has the same.
 
     Two texts are linked if their sets of five-word shingles (ASCII letters lower-cased) have a Jaccard similarity of
     0.8 or more; classes are the closure of links. Equal texts are in one class, also empty ones; null is an empty text.
@@ -295,9 +296,19 @@ def classes(docs: DataFrame, weighted: bool = False, similar: tuple[int, int] =
     if not more.isEmpty():
         rooted = components(links.unionByName(more))
     names = chosen.select("node", "doc_id").join(rooted, "node", "left").select("node", "doc_id", F.coalesce("root", "node").alias("root"))
-    least = names.groupBy("root").agg(F.min("doc_id").alias("class_id"))
-    named = stash(names.join(least, "root").select("node", "class_id"))
-    return signed.select("doc_id", "node").join(named, "node").select("doc_id", "node", "class_id")
+    least = names.groupBy("root").agg(F.min("doc_id").alias("least"))
+    named = stash(names.join(_named(least), "root").select("node", "root", "class_id"))
+    return signed.select("doc_id", "node").join(named, "node").select("doc_id", "node", "root", "class_id")
+
+
+def _named(least: DataFrame) -> DataFrame:
+    """root, class_id: the class's smallest doc_id, or the root itself if that id is null or another class has it too."""
+    kind = least.schema["least"].dataType.simpleString()
+    kind = "long" if kind in ("tinyint", "smallint", "int", "bigint") else "string"
+    keyed = least.withColumn("key", F.when(F.col("least").isNull(), F.col("root")).otherwise(F.xxhash64("least")))
+    twice = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key", F.lit(True).alias("twice"))
+    own = F.when(F.col("least").isNull() | F.col("twice").isNotNull(), F.col("root").cast(kind)).otherwise(F.col("least").cast(kind))
+    return keyed.join(twice, "key", "left").select("root", own.alias("class_id"))
 
 
 def report(docs: DataFrame) -> DataFrame:
@@ -306,17 +317,18 @@ def report(docs: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """One row of each class, with the columns of ``docs``: the one with the class's smallest doc_id.
+    """One row of each class, with the columns of ``docs``: the one with the class's smallest doc_id, null after all others.
 
-    Among rows of that id the smallest node stays, among equal rows any. The texts of all but the kept rows are left
+    Classes are told apart by their roots, so ids may be null or repeated. Among rows of that id the smallest node
+    stays, among equal rows any. The texts of all but the kept rows are left
     behind before the shuffle that removes equal rows.
     """
     rooted = classes(docs.select("doc_id", "text"))
-    best = rooted.where(F.col("doc_id").eqNullSafe(F.col("class_id"))).groupBy("class_id").agg(F.min("node").alias("k_node"))
-    best = best.select(F.col("class_id").alias("k_id"), "k_node")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "node"))
+    best = rooted.groupBy("root").agg(first.alias("k"))
     own = docs.columns
     # one key of id and text: the join and the removal of equal rows then share their exchange
-    best = best.select(F.xxhash64("k_id", "k_node").alias("__d_key")).distinct()
+    best = best.select(F.xxhash64("k.doc_id", "k.node").alias("__d_key")).distinct()
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in own]).alias("__d_row"), F.xxhash64("doc_id", F.xxhash64(text_of())).alias("__d_key"))
     kept = rows.join(best, "__d_key", "left_semi")
     return kept.groupBy("__d_key").agg(F.first("__d_row").alias("__d_row")).select("__d_row.*")
