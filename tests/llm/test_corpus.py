@@ -311,6 +311,31 @@ def test_keep_one(spark):
     assert op7_dart_minhash.keep_one(alone).count() == 1
 
 
+def test_blocks_emit_each_pair_once_where_it_is_grouped(monkeypatch):
+    rng = random.Random(4)
+    words = prose(rng, 300)
+    texts = [" ".join([*words[:k], f"x{k}", *words[k + 1 :]]) for k in range(5, 295, 10)]
+    whole = op7_dart_minhash.signatures
+
+    def shaped(*args):  # the first bands differ, but not in their last eight bits
+        sig = whole(*args)
+        sig[:, :40] = (np.arange(1, len(sig) + 1, dtype=np.uint64) << np.uint64(8))[:, None]
+        return sig
+
+    monkeypatch.setattr(op7_dart_minhash, "signatures", shaped)
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts)))] * 2 + [pa.array(texts)], ["doc_id", "node", "text"])
+    signed = [r for b in op7_dart_minhash._signer(False)(iter([batch])) for r in b.to_pylist()]
+    pairs = Counter()
+    for number in range(op7_dart_minhash.BANDS):
+        for key in {r["bands"][number] for r in signed}:
+            own = [r for r in signed if r["bands"][number] == key]
+            side = [[[r[k] for r in own]] for k in ("node", "node", "sig")]
+            block = pa.RecordBatch.from_arrays([pa.array(x) for x in [[number], *side, *side]], list("nabcdef"))
+            pairs.update(p for b in op7_dart_minhash._block_compare(iter([block])) for p in zip(b.column(0).to_pylist(), b.column(1).to_pylist()))
+    grouped = {(i, j) for i, j in itertools.combinations(range(len(signed)), 2) if set(signed[i]["bands"]) & set(signed[j]["bands"])}
+    assert len(grouped) > 300 and pairs == Counter({p: 2 for p in grouped})  # a block with itself: each pair from both ends
+
+
 @pytest.mark.parametrize("kind", ["long", "int", "string"])
 def test_null_and_repeated_ids_name_no_class(spark, kind):
     rng = random.Random(8)

@@ -29,9 +29,9 @@ K = BANDS * ROWS
 SIMILAR = (4, 5)
 #: Members of a band are compared in blocks of so many.
 BLOCK = 256
-#: Pairs of a block are checked on their shingles if so many coordinates agree: four standard deviations under the mean
-#: at the limit, so a pair just at the limit that no hub has linked is missed three times in 100,000.
-AGREE = int(K * 0.8 - 4 * (K * 0.8 * 0.2) ** 0.5)
+#: Pairs of a block are checked on their shingles if so many coordinates agree: 6.4 standard deviations under the mean
+#: at the limit. Coordinates are compared in their last eight bits, which can only let more pairs through.
+AGREE = int(K * 0.8 - 6.4 * (K * 0.8 * 0.2) ** 0.5)
 #: How often bands that are still in several classes take another hub.
 HUB_ROUNDS = 3
 
@@ -135,8 +135,9 @@ def _signer(weighted: bool):
                 some = np.bincount(doc, minlength=n) > 0
                 keys = band_keys(sig)[some]
                 bands = _lists(keys.reshape(-1).view(np.int64), np.where(some, BANDS, 0), pa.int64())
-                short = (sig & U(0xFF)).astype(np.uint8)
-                blob = pa.array([short[j].tobytes() if some[j] else b"" for j in range(n)], pa.binary())
+                short, whole = (sig & U(0xFF)).astype(np.uint8)[some], keys.view(np.uint8).reshape(len(keys), -1)
+                both = iter(np.hstack([short, whole]))
+                blob = pa.array([next(both).tobytes() if x else b"" for x in some], pa.binary())
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(i, n), b.column(1).slice(i, n), bands, blob], ["doc_id", "node", "bands", "sig"])
 
     return go
@@ -151,7 +152,10 @@ def _shingler(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def nodes_of(docs: DataFrame, weighted: bool = False) -> DataFrame:
-    """doc_id, node, bands, sig of every row; ``node`` is the hash of the whole text, null counting as empty."""
+    """doc_id, node, bands, sig of every row; ``node`` is the hash of the whole text, null counting as empty.
+
+    ``sig`` has the last eight bits of each coordinate and then the bands' keys, for the comparison in blocks.
+    """
     kind = docs.schema["doc_id"].dataType.simpleString()
     t = text_of()
     return docs.select("doc_id", F.xxhash64(t).alias("node"), t.alias("text")).mapInArrow(
@@ -229,19 +233,19 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def _block_compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Likely pairs of two blocks of a band's members, each pair in the first band that it shares."""
+    """Likely pairs of two blocks of a band's members, each pair in the first band whose key it shares."""
     for b in batches:
         a, c = [], []
         for number, x_nodes, x_roots, x_sigs, y_nodes, y_roots, y_sigs in zip(*(col.to_pylist() for col in b.columns)):
             xs, ys = (np.frombuffer(b"".join(s), dtype=np.uint8).reshape(len(s), -1) for s in (x_sigs, y_sigs))
+            xk, yk = (np.ascontiguousarray(s[:, K:]).view(np.int64) for s in (xs, ys))
+            xs, ys = xs[:, :K], ys[:, :K]
             xr, yr = np.array(x_roots), np.array(y_roots)
             for i in range(len(xs)):
-                same = ys == xs[i]
-                near = (yr != xr[i]) & (same.sum(axis=1) >= AGREE)
-                for j in np.flatnonzero(near):
-                    if int(np.argmax(same[j].reshape(BANDS, ROWS).all(axis=1))) == number:
-                        a.append(min(x_nodes[i], y_nodes[j]))
-                        c.append(max(x_nodes[i], y_nodes[j]))
+                near = np.flatnonzero((yr != xr[i]) & ((ys == xs[i]).sum(axis=1) >= AGREE))
+                for j in near[np.argmax(yk[near] == xk[i], axis=1) == number]:
+                    a.append(min(x_nodes[i], y_nodes[j]))
+                    c.append(max(x_nodes[i], y_nodes[j]))
         yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(c, pa.int64())], ["a", "b"])
 
 
