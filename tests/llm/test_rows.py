@@ -164,6 +164,40 @@ def test_license_rules_suppress_and_prefer():
             assert any(k in plain for k in r.keywords), (r, plain)
 
 
+def reading(rng, parsed):
+    """A random string that the parsed pattern matches."""
+    out = ""
+    for op, arg in parsed:
+        match str(op):
+            case "LITERAL":
+                out += chr(arg)
+            case "IN":
+                assert str(arg[0][0]) in ("LITERAL", "CATEGORY")
+                out += chr(arg[0][1]) if str(arg[0][0]) == "LITERAL" else rng.choice("0123456789")
+            case "BRANCH":
+                out += reading(rng, rng.choice(arg[1]))
+            case "SUBPATTERN":
+                out += reading(rng, arg[3])
+            case "MAX_REPEAT":
+                out += "".join(reading(rng, arg[2]) for _ in range(rng.randint(arg[0], min(arg[1], arg[0] + 2))))
+            case _:
+                raise ValueError(op)
+    return out
+
+
+def test_license_gate_loses_nothing():
+    rng = random.Random(12)
+    machine, compiled = op3_license._compiled()
+    every = op3_license.rules()
+    for _, rule in compiled:
+        for text in {reading(rng, re._parser.parse(rule.pattern)) for _ in range(30)}:
+            spans = [(m.start(), m.end(), r.priority) for p, r in compiled for m in p.finditer(text)]
+            word = lambda at: text.count(" ", 0, at)  # noqa: E731, B023
+            want = [(word(s), word(e - 1) + 1, every[p].label, every[p].weight) for s, e, p in op3_license.survivors(spans)]
+            assert any(k in text for k in rule.keywords) and want and op3_license.detect(text)[1] == want, text
+    assert [x[2] for x in op3_license.detect("cc attribution sharealike 4 0")[1]] == ["cc-by-sa-4.0"]
+
+
 def test_license_edges(spark):
     df = docs_of(spark, ODD).withColumn("labels", F.lit(1))
     assert op3_license.scan(df).count() == len(ODD) and op3_license.scan(df.limit(0)).count() == 0

@@ -108,7 +108,7 @@ _CC_VERSIONS = ("1 0", "2 0", "2 5", "3 0", "4 0")
 def rules() -> tuple[Rule, ...]:
     """All rules in order of priority: versions before families, statements and tags before bare names."""
     out: list[tuple[int, str, str, tuple[str, ...], float]] = []
-    spdx, commons = ("spdx license",), ("creative commons", "cc by")
+    spdx, commons = ("spdx license",), ("creative commons", "cc by", "cc attribution")
     for phrase, label in BASE:
         out.append((40, label, phrase, (phrase,), 0.6))
     for name, words, keys, versions, later in _VERSIONED:
