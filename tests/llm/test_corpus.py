@@ -92,6 +92,20 @@ def test_line_dedup_equals_brute_force(spark):
             assert r["text"] == texts[r["doc_id"]]
 
 
+def test_line_dedup_finds_passages_of_21_to_60_words_within_lines(spark):
+    rng = random.Random(17)
+    texts, want = [], {}
+    for k in range(21, 61):
+        for _ in range(4):
+            p = prose(rng, k, 10**6)
+            for copy in range(2):
+                left, right = prose(rng, 30, 10**6), prose(rng, 30, 10**6)
+                start = len(" ".join(left)) + 1
+                want[len(texts)] = f"{start}-{start + len(' '.join(p))}" if copy else ""
+                texts.append(" ".join([*left, *p, *right]))
+    assert {r["doc_id"]: r["runs"] for r in op2_line_dedup.report(docs_of(spark, texts)).collect()} == want
+
+
 def test_line_dedup_cuts_only_what_it_reports(spark):
     _, texts = line_fixture()
     for r in op2_line_dedup.report(docs_of(spark, texts)).collect():

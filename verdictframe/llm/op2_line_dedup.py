@@ -1,10 +1,10 @@
 """Line dedup by winnowing.
 
-A text is a sequence of lines; a long line is folded after words that their hash picks, so that a passage meets the
-same folds wherever it stands. Windows are the shortest runs of lines with enough words. The smallest hash of two
-neighbouring lines in a window is its fingerprint, and two equal windows have equal fingerprints. Fingerprints that occur once can't begin a
-match; windows at the others are looked up at their first place in the corpus, matches grow both ways as neighbouring
-windows match too, and the grown runs are cut from all but the first place.
+A window is a run of ``min_words`` words, wherever it stands in its lines. Its fingerprint is the smallest hash of the
+runs of GRAM words in it, so equal windows have equal fingerprints and neighbouring windows mostly share theirs. A
+fingerprint that stands in one place only can't begin a match; windows at the others are looked up word by word at their
+first place in the corpus, so that matches reach to their true ends both ways, and the runs of matched windows are cut
+from all but the first place. A text that equals another one is cut as a whole, without its windows.
 """
 
 from __future__ import annotations
@@ -22,56 +22,29 @@ from .wordhash import INK, U, mix, slices, split
 
 #: A repeated run has at least so many words.
 MIN_WORDS = 20
-#: A line is folded after words whose hash is 0 modulo this.
-FOLD = 8
-
-_WINDOW = "fingerprint long, content long, start long, stop long"
-
-
-def _lines(data: np.ndarray, w) -> tuple[np.ndarray, np.ndarray]:
-    """First word of each line (with one more entry for the end), and the line of each word."""
-    n = len(w.hash)
-    breaks = np.concatenate([[0], np.cumsum(data == 10)])
-    new = np.ones(n, dtype=bool)
-    if n:
-        new[1:] = (w.doc[1:] != w.doc[:-1]) | (breaks[w.at[1:]] != breaks[w.at[:-1]]) | (w.hash[:-1] % U(FOLD) == 0)
-    return np.append(np.flatnonzero(new), n), np.cumsum(new) - 1
+#: Every word may begin and end a match: there are no longer units.
+FOLD = 1
+#: Words of a hash that a fingerprint is chosen from.
+GRAM = 6
 
 
 def windows(data: np.ndarray, offsets: np.ndarray, min_words: int = MIN_WORDS) -> dict[str, np.ndarray]:
     """All windows of a slice of texts: doc, fingerprint, content, and the bounds as code points of the text."""
     w = split(data, offsets, kind=INK, lower=False)
-    first, _ = _lines(data, w)
-    lines = len(first) - 1
-    empty = {k: np.zeros(0, np.int64) for k in ("doc", "fingerprint", "content", "start", "stop")}
-    if not lines:
-        return empty
-    run_of_words, doc = _run_hash(w.hash), w.doc[first[:-1]]
-    line_hash = run_of_words(first[:-1], first[1:])
-    # the window from each line: up to the first line that completes min_words, within the text
-    last = np.searchsorted(first, first[:-1] + min_words) - 1
-    ok = (last < lines) & (doc[np.minimum(last, lines - 1)] == doc)
-    a = np.flatnonzero(ok)
-    b = last[a]
-    # and the shortest one that ends a text, so that a copy is covered to its end
-    end = np.flatnonzero(np.append(doc[1:] != doc[:-1], True))
-    begin = np.searchsorted(first, first[end + 1] - min_words, side="right") - 1
-    own = (first[end + 1] - first[np.maximum(begin, 0)] >= min_words) & (begin >= 0)
-    begin, end = begin[own], end[own]
-    own = (doc[begin] == doc[end]) & (last[begin] != end)
-    a, b = np.concatenate([a, begin[own]]), np.concatenate([b, end[own]])
+    a = np.flatnonzero(w.doc[: max(0, len(w.hash) - min_words + 1)] == w.doc[min_words - 1 :])
     if not len(a):
-        return empty
-    # pairs of lines, as one short line may stand anywhere; a window of one line is its own fingerprint
-    low = line_hash[a]
-    more = b > a
-    if more.any():
-        low[more] = _range_min(mix(line_hash[:-1] * U(0x9E3779B97F4A7C15) + line_hash[1:]), a[more], b[more] - 1)
+        return {k: np.zeros(0, np.int64) for k in ("doc", "fingerprint", "content", "start", "stop")}
+    size = min(GRAM, min_words)
+    m = len(w.hash) - size + 1
+    g = w.hash[:m].copy()
+    for k in range(1, size):
+        g = mix(g * U(0x9E3779B97F4A7C15) + w.hash[k : k + m])
     chars = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
-    base = chars[offsets[doc[a]]]
+    base = chars[offsets[w.doc[a]]]
     # from the window's first character to the end of its last word
-    return {"doc": doc[a], "fingerprint": low.view(np.int64), "content": _run_hash(line_hash)(a, b + 1).view(np.int64),
-            "start": chars[w.at[first[a]]] - base, "stop": chars[w.end[first[b + 1] - 1]] - base}
+    return {"doc": w.doc[a], "fingerprint": _range_min(g, a, a + min_words - size).view(np.int64),
+            "content": _run_hash(w.hash)(a, a + min_words).view(np.int64),
+            "start": chars[w.at[a]] - base, "stop": chars[w.end[a + min_words - 1]] - base}
 
 
 def _run_hash(h: np.ndarray):
@@ -97,31 +70,55 @@ def _range_min(x: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def _cutter(min_words: int):
+    """Windows of each text at the text's repeated fingerprints."""
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i, data, off in slices(b.column(2)):
                 w = windows(data, off, min_words)
-                take = pa.array(w["doc"] + i)
+                own = np.flatnonzero(np.isin(w["fingerprint"], b.column(3).slice(i, len(off) - 1).flatten().to_numpy()))
+                take = pa.array(w["doc"][own] + i)
                 yield pa.RecordBatch.from_arrays(
-                    [b.column(0).take(take), b.column(1).take(take)] + [pa.array(w[k], pa.int64()) for k in ("fingerprint", "content", "start", "stop")],
-                    ["doc_id", "th", "fingerprint", "content", "start", "stop"])
+                    [b.column(0).take(take), b.column(1).take(take)] + [pa.array(w[k][own], pa.int64()) for k in ("content", "start", "stop")],
+                    ["doc_id", "th", "content", "start", "stop"])
 
     return go
 
 
 def _marker(min_words: int):
+    """Fingerprints of each text; ``twice`` if a window of it stands twice in the text."""
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for _, data, off in slices(b.column(0)):
+            for i, data, off in slices(b.column(1)):
                 w = windows(data, off, min_words)
                 new = np.ones(len(w["doc"]), dtype=bool)
                 new[1:] = (w["doc"][1:] != w["doc"][:-1]) | (w["fingerprint"][1:] != w["fingerprint"][:-1])
-                # a window that stands twice in its own text counts twice
-                order = np.lexsort((w["content"], w["doc"]))
-                doc, content = w["doc"][order], w["content"][order]
-                again = order[1:][(doc[1:] == doc[:-1]) & (content[1:] == content[:-1])]
-                marks = np.concatenate([w["fingerprint"][new], w["fingerprint"][again], w["fingerprint"][again]])
-                yield pa.RecordBatch.from_arrays([pa.array(marks, pa.int64())], ["fingerprint"])
+                new = np.flatnonzero(new)
+                key = mix(w["doc"].astype(U) + U(1)) + w["content"].astype(np.int64).view(U)
+                order = np.argsort(key)
+                again = order[1:][key[order[1:]] == key[order[:-1]]]
+                # each fingerprint once a text, so that one which fills a text isn't frequent
+                at = np.concatenate([again, new])
+                _, own = np.unique(mix(w["doc"][at].astype(U) + U(1)) + w["fingerprint"][at].view(U), return_index=True)
+                at = at[own]
+                yield pa.RecordBatch.from_arrays(
+                    [b.column(0).take(pa.array(w["doc"][at] + i)), pa.array(w["fingerprint"][at], pa.int64()), pa.array(own < len(again))],
+                    ["th", "fingerprint", "twice"])
+
+    return go
+
+
+def _bounder(min_words: int):
+    """First word's start and last word's end of each text of enough words."""
+    def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i, data, off in slices(b.column(2)):
+                w = split(data, off, kind=INK, lower=False)
+                own = np.flatnonzero(w.counts >= max(1, min_words))
+                chars = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
+                base, take = chars[off[own]], pa.array(own + i)
+                yield pa.RecordBatch.from_arrays(
+                    [b.column(0).take(take), b.column(1).take(take), pa.array(chars[w.at[w.first[own]]] - base, pa.int64()), pa.array(chars[w.end[w.first[own + 1] - 1]] - base, pa.int64())],
+                    ["doc_id", "th", "start", "stop"])
 
     return go
 
@@ -130,22 +127,29 @@ def repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """doc_id, th (hash of the text), start, stop: runs to cut, as code points, disjoint within a text.
 
     The first place of a run is the one with the smallest (doc_id, text hash, start); null ids come first. Rows that
-    agree in doc_id and text are one document and are cut alike. Texts are read once for the fingerprints and once for
-    the windows at those that occur twice, which costs less than keeping all windows.
+    agree in doc_id and text are one document and are cut alike. Texts are read for their bounds, for the fingerprints
+    and for the windows at those that stand in several places; only the last sends a text on, once for all its copies.
     """
     t = text_of()
     keyed = docs.select("doc_id", F.xxhash64(t).alias("th"), t.alias("text"))
     kind = docs.schema["doc_id"].dataType.simpleString()
-    marks = keyed.select("text").mapInArrow(_marker(min_words), "fingerprint long")
-    shared = marks.groupBy("fingerprint").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1).select("fingerprint")
-    every = keyed.mapInArrow(_cutter(min_words), f"doc_id {kind}, th long, {_WINDOW}")
-    near = stash(every.join(shared, "fingerprint", "left_semi").select("doc_id", "th", "content", "start", "stop"))
+    whole = stash(keyed.mapInArrow(_bounder(min_words), f"doc_id {kind}, th long, start long, stop long"))
+    # the first of equal texts stands for them all, the others are cut from their first word to their last
+    first = stash(whole.groupBy("th").agg(F.min(F.struct("doc_id")).alias("f"), F.max(F.struct("doc_id")).alias("l")).select("th", F.col("f.doc_id").alias("f_id"), (~F.col("f").eqNullSafe(F.col("l"))).alias("copied")))
+    copies = whole.join(first.where("copied").select("th", "f_id"), "th").where(~F.col("doc_id").eqNullSafe(F.col("f_id")))
+    marks = keyed.select("th", "text").mapInArrow(_marker(min_words), "th long, fingerprint long, twice boolean")
+    spread = marks.groupBy("fingerprint").agg(F.min("th").alias("p"), F.max("th").alias("q"), F.max("twice").alias("twice"))
+    shared = spread.where("p <> q or twice").select("fingerprint")
+    wanted = marks.select("th", "fingerprint").join(shared, "fingerprint", "left_semi").groupBy("th").agg(F.collect_set("fingerprint").alias("prints"))
+    wanted = stash(wanted.join(first.select("th", "f_id"), "th").select(F.col("th").alias("w_th"), "f_id", "prints"))
+    texts = keyed.join(wanted, (keyed["th"] == wanted["w_th"]) & keyed["doc_id"].eqNullSafe(wanted["f_id"])).select("doc_id", "th", "text", "prints")
+    near = stash(texts.mapInArrow(_cutter(min_words), f"doc_id {kind}, th long, content long, start long, stop long"))
     # the first place of each content, unless it is the only one
     place = F.struct("doc_id", "th", "start")
     firsts = near.groupBy("content").agg(F.min(place).alias("source"), F.count(F.lit(1)).alias("n"))
     firsts = firsts.where(F.col("n") > 1).select("content", "source")
     later = near.join(firsts, "content").where(~place.eqNullSafe(F.col("source"))).select("doc_id", "th", "start", "stop").distinct()
-    return _grown(later)
+    return _grown(later).unionByName(copies.select("doc_id", "th", "start", "stop").distinct())
 
 
 def _grown(matches: DataFrame) -> DataFrame:
