@@ -113,9 +113,77 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 FROM rated JOIN v ON rated.source IS NOT DISTINCT FROM v.source
 """
 
+OP11 = r"""
+WITH w AS (
+  SELECT coalesce(source, '') AS part, doc_id, coalesce(text, '') AS t,
+    regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w, min(doc_id) OVER (PARTITION BY coalesce(text, '')) AS first FROM documents
+), l AS (SELECT doc_id, bool_or(coalesce(quality = 1, false)) AS good, bool_or(coalesce(toxic = 1, false)) AS toxic FROM labels GROUP BY doc_id),
+m AS (
+  SELECT part, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic,
+    [len(w) < 50, 100 * len(list_distinct(w)) < 65 * len(w), 100 * len(regexp_extract_all(t, '[A-Z]')) > 5 * length(t),
+     regexp_matches(t, '[#$%&*|]'), coalesce(doc_id > first, false)] AS bad
+  FROM w LEFT JOIN l USING (doc_id)
+), g AS (SELECT part, bad, count(*) AS n, count(*) FILTER (good) AS good, count(*) FILTER (toxic) AS toxic FROM m GROUP BY part, bad),
+f AS (SELECT unnest(range(1, 6)) AS f),
+o AS (
+  SELECT [a.f, b.f, c.f, d.f, e.f] AS ord FROM f a, f b, f c, f d, f e
+  WHERE len(list_distinct([a.f, b.f, c.f, d.f, e.f])) = 5
+), s AS (SELECT ord, step, ord[step] AS f, ord[1 : step - 1] AS earlier FROM o, (SELECT unnest(range(1, 6)) AS step)),
+r AS (
+  SELECT part, ord, step, s.f,
+    CAST(coalesce(sum(n) FILTER (NOT hit), 0) AS BIGINT) AS kept_before,
+    CAST(coalesce(sum(n) FILTER (bad[s.f] AND NOT hit), 0) AS BIGINT) AS removed,
+    CAST(coalesce(sum(n) FILTER (bad[s.f] AND hit), 0) AS BIGINT) AS redundant,
+    CAST(coalesce(sum(n) FILTER (bad[s.f] AND len(list_filter(bad, lambda x: x)) = 1), 0) AS BIGINT) AS unique_fails,
+    CAST(coalesce(sum(good) FILTER (bad[s.f] AND NOT hit), 0) AS BIGINT) AS good_lost,
+    CAST(coalesce(sum(toxic) FILTER (bad[s.f] AND NOT hit), 0) AS BIGINT) AS toxic_lost
+  FROM (SELECT g.*, s.*, len(list_filter(s.earlier, lambda k: g.bad[k])) > 0 AS hit FROM g, s) s GROUP BY ALL
+)
+SELECT part, array_to_string([substr('ABCDE', CAST(k AS INT), 1) for k in ord], '') AS filter_order, CAST(step AS INTEGER) AS step, substr('ABCDE', CAST(f AS INT), 1) AS filter,
+  kept_before - removed AS kept, removed, redundant, unique_fails, good_lost, toxic_lost,
+  CAST(sum(removed) OVER (PARTITION BY part, f) AS BIGINT) AS shapley
+FROM r
+"""
+
+#: DuckDB has no crc32; it is computed bit by bit over the decimal digits.
+OP13 = r"""
+WITH RECURSIVE t AS (
+  SELECT conv_id AS c, coalesce(role, '') AS role, coalesce(text, '') AS txt, row_number() OVER (
+    PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), sha256(concat(strlen(coalesce(role, '')), ':', coalesce(role, ''), coalesce(text, '')))) AS p
+  FROM conversations WHERE conv_id IS NOT NULL
+), crc AS (
+  SELECT c, 0 AS i, 4294967295::UBIGINT AS v FROM (SELECT DISTINCT c FROM t)
+  UNION ALL
+  SELECT c, i + 1, CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384::UBIGINT) ELSE x >> 1 END
+  FROM (SELECT c, i, CASE WHEN i % 8 = 0 THEN xor(v, ascii(substr(c::VARCHAR, i // 8 + 1, 1))::UBIGINT) ELSE v END AS x FROM crc WHERE i < 8 * length(c::VARCHAR))
+), h AS (SELECT c, CAST(xor(v, 4294967295::UBIGINT) % 6 AS BIGINT) AS h FROM crc WHERE i = 8 * length(c::VARCHAR)),
+b AS (
+  SELECT h.c, 0 AS own, p, role, txt FROM h JOIN t ON t.c = h.c - h.c % 100 AND p <= h
+  UNION ALL SELECT t.c, 1, p, role, txt FROM t JOIN h USING (c) WHERE p > h
+), n AS (
+  SELECT c, row_number() OVER (PARTITION BY c ORDER BY own, p) AS d, sha256(role || chr(0) || txt) AS x, length(txt) AS chars FROM b
+), r AS (
+  SELECT h.c, coalesce(list(x ORDER BY d) FILTER (x IS NOT NULL), []) AS path, coalesce(list(chars ORDER BY d) FILTER (x IS NOT NULL), []) AS chars
+  FROM h LEFT JOIN n USING (c) GROUP BY h.c
+), pre AS (
+  SELECT c, len(path) AS total, d, path[1 : d] AS path, CASE WHEN d > 0 THEN chars[d] ELSE 0 END AS chars FROM (SELECT *, unnest(range(0, len(path) + 1)) AS d FROM r)
+), node AS (
+  SELECT path, min(c) AS conv_id, d AS depth, count(*) AS n_convs, max(chars) AS chars, count(*) FILTER (total = d) AS ending,
+    sha256(coalesce(string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) FILTER (total = d), '')) AS ends_sha256
+  FROM pre GROUP BY path, d
+), sub AS (
+  SELECT path[1 : d] AS path, count(*) FILTER (depth = d + 1) AS n_children, count(*) FILTER (ending = n_convs) AS n_leaves, sum((n_convs - 1) * chars) AS saved
+  FROM (SELECT *, unnest(range(0, depth + 1)) AS d FROM node) GROUP BY path[1 : d]
+)
+SELECT a.conv_id, a.depth, p.conv_id AS parent_conv_id, a.n_convs, s.n_children, s.n_leaves, CAST(s.saved AS BIGINT) AS saved_tokens, a.ends_sha256
+FROM node a JOIN sub s USING (path) LEFT JOIN node p ON a.depth > 0 AND p.path = a.path[1 : a.depth - 1]
+"""
+
 ORACLE_SQL: dict[str, str] = {
     "op4_lm_backoff": OP4,
     "op6_chat_format": OP6,
     "op8_suffix_decontamination": OP8,
     "op10_host_rules": OP10,
+    "op11_filter_audit_lists": OP11,
+    "op13_prefix_trie_rollup": OP13,
 }

@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import partial
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import op1_sharding, op2_line_dedup, op3_license, op4_backoff, op5_packing, op6_chat, op7_dart_minhash, op8_suffix, op9_mincut, op10_host_quality
+from . import op1_sharding, op2_line_dedup, op3_license, op4_backoff, op5_packing, op6_chat, op7_dart_minhash, op8_suffix, op9_mincut, op10_host_quality, op11_filter_audit, op12_bpe, op13_prefix_trie
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -61,5 +61,19 @@ def op10_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op10_host_quality.judge(table(spark, sf_dir, "documents"))
 
 
+def op11_filter_audit_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op11_filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op12_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vocabulary = op12_bpe.Vocabulary.read(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    return op12_bpe.digests(table(spark, sf_dir, "documents"), vocabulary)
+
+
+def op13_prefix_trie_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op13_prefix_trie.trie(op13_prefix_trie.rebuilt(table(spark, sf_dir, "conversations")))
+
+
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
-    op1_sharding_slots, op2_line_winnowing, op3_license_scan, op4_lm_backoff, op5_packing_columns, op6_chat_format, op7_near_dedup, op8_suffix_decontamination, op9_html_mincut, op10_host_rules)}
+    op1_sharding_slots, op2_line_winnowing, op3_license_scan, op4_lm_backoff, op5_packing_columns, op6_chat_format, op7_near_dedup, op8_suffix_decontamination, op9_html_mincut, op10_host_rules,
+    op11_filter_audit_lists, op12_byte_bpe, op13_prefix_trie_rollup)}
