@@ -28,39 +28,21 @@ def joined(rng, words):
 
 
 def brute_runs(rows, min_words):
-    """Cut bounds by id: every window of a text that stands earlier (smaller id, or before it in the text)."""
-    seen, out = {}, {}
+    """Cut bounds by id: every window of so many words that stands earlier (smaller id, or before it in the text)."""
+    seen, out = set(), {}
     for i, t in sorted(rows):
         words = [(m[0], m.start(), m.end()) for m in re.finditer(r"[^\x20\x09-\x0D]+", t)]
-        lines, now = [], []
-        for k, (w, a, b) in enumerate(words):
-            if now and "\n" in t[words[k - 1][2] : a]:
-                lines.append(now)
-                now = []
-            now.append((w, a, b))
-            raw = np.frombuffer(w.encode(), np.uint8)
-            if int(wordhash.split(raw, np.array([0, len(raw)]), kind=wordhash.INK, lower=False).hash[0]) % op2_line_dedup.FOLD == 0:
-                lines.append(now)
-                now = []
-        if now:
-            lines.append(now)
-        size = lambda a, b: sum(map(len, lines[a:b]))  # noqa: E731, B023
-        n = len(lines)
-        bounds = {(a, min(b for b in range(a, n + 1) if size(a, b) >= min_words)) for a in range(n) if size(a, n) >= min_words}
-        bounds |= {(max(a for a in range(n) if size(a, n) >= min_words), n)} if size(0, n) >= min_words else set()
-        cut = []
-        for a, b in sorted(bounds):
-            key = tuple(tuple(w for w, _, _ in x) for x in lines[a:b])
-            if key in seen:
-                cut.append((lines[a][0][1], lines[b - 1][-1][2]))
-            else:
-                seen[key] = i
         merged = []
-        for s, e in sorted(cut):
-            if merged and s <= merged[-1][1] + 1:
-                merged[-1][1] = max(merged[-1][1], e)
+        for k in range(len(words) - min_words + 1):
+            key = tuple(w for w, _, _ in words[k : k + min_words])
+            if key not in seen:
+                seen.add(key)
+                continue
+            start, end = words[k][1], words[k + min_words - 1][2]
+            if merged and start <= merged[-1][1] + 1:
+                merged[-1][1] = max(merged[-1][1], end)
             else:
-                merged.append([s, e])
+                merged.append([start, end])
         out[i] = ",".join(f"{s}-{e}" for s, e in merged)
     return out
 
@@ -492,6 +474,11 @@ def test_pages_of_the_table(spark):
     assert op9_mincut.extract(null.limit(0)).count() == 0
 
 
+def test_texts_without_words_in_partitions_of_their_own(spark):
+    df = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in enumerate(["", None, "!?", " ", "...", None])], DOCS).repartition(6, "doc_id")
+    assert sorted(r["doc_id"] for r in op7_dart_minhash.report(df).collect()) == list(range(6))
+
+
 def test_pipeline_stages(spark):
     docs = {r["doc_id"]: r for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
     bench = [(r["item_id"], r["text"]) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
@@ -499,7 +486,8 @@ def test_pipeline_stages(spark):
     columns = df.columns
     results = []
     for _, stage in corpus_pipeline.STAGES:
-        df = spark.createDataFrame(stage(spark, df, SF).collect(), stage(spark, df, SF).schema)
+        out = stage(spark, df, SF)
+        df = spark.createDataFrame(out.collect(), out.schema)
         results.append(df)
         if len(results) < 5:
             assert df.columns == columns

@@ -22,8 +22,6 @@ from .wordhash import INK, U, mix, slices, split
 
 #: A repeated run has at least so many words.
 MIN_WORDS = 20
-#: Every word may begin and end a match: there are no longer units.
-FOLD = 1
 #: Words of a hash that a fingerprint is chosen from.
 GRAM = 6
 

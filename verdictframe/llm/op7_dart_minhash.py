@@ -135,7 +135,7 @@ def _signer(weighted: bool):
                 some = np.bincount(doc, minlength=n) > 0
                 keys = band_keys(sig)[some]
                 bands = _lists(keys.reshape(-1).view(np.int64), np.where(some, BANDS, 0), pa.int64())
-                short, whole = (sig & U(0xFF)).astype(np.uint8)[some], keys.view(np.uint8).reshape(len(keys), -1)
+                short, whole = (sig & U(0xFF)).astype(np.uint8)[some], keys.view(np.uint8).reshape(len(keys), 8 * BANDS)
                 both = iter(np.hstack([short, whole]))
                 blob = pa.array([next(both).tobytes() if x else b"" for x in some], pa.binary())
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(i, n), b.column(1).slice(i, n), bands, blob], ["doc_id", "node", "bands", "sig"])
