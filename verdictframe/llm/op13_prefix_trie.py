@@ -25,7 +25,8 @@ BLOCK = 8
 #: Turns that may come from the conversation whose id is the next lower multiple of 100.
 SHARED = 5
 ROOT = b"\0" * 16
-_COLUMNS = [f"t{j}" for j in range(1, BLOCK + 1)]
+#: The rollup's columns: the turns of a block, the last one told by the key of the block's end.
+_COLUMNS = [*(f"t{j}" for j in range(1, BLOCK)), "full"]
 
 
 def _digest(*parts):
@@ -66,33 +67,32 @@ def rebuilt(conversations: DataFrame) -> DataFrame:
 
 
 def blocks(built: DataFrame) -> DataFrame:
-    """One row per conversation and block: conv_id, q from 0, prior (key of the block's root), t1 to t8, size, full, last, total.
+    """One row per conversation and block: conv_id, q from 0, prior (key of the block's root), t1 to t7, full, n1 to n8, size, total.
 
-    ``full`` is the key of the block's end and null in a block that has free columns.
+    ``full`` is the key of the block's end and null in a block that has free columns; n1 to n8 are the turns' code points.
     """
-    total = built.groupBy("conv_id").agg(F.coalesce(F.max("pos"), F.lit(0)).alias("total"))
     j = (F.col("pos") - 1) % BLOCK
     q = F.coalesce(F.floor((F.col("pos") - 1) / BLOCK), F.lit(0)).cast("int")
+    slots = range(1, BLOCK + 1)
     packed = built.groupBy("conv_id", q.alias("q")).agg(
-        *[F.max(F.when(j == k, F.col("t"))).alias(c) for k, c in enumerate(_COLUMNS)], F.count("pos").cast("int").alias("size"))
-    content = _digest(F.lit(b"block"), *[F.coalesce(F.col(c)["id"], F.lit(b"")) for c in _COLUMNS])
+        *[F.max(F.when(j == k - 1, F.col("t")["id"])).alias(f"t{k}") for k in slots], *[F.max(F.when(j == k - 1, F.col("t")["n"])).alias(f"n{k}") for k in slots],
+        F.count("pos").cast("int").alias("size"))
+    total = built.groupBy("conv_id").agg(F.coalesce(F.max("pos"), F.lit(0)).alias("total"))
+    content = _digest(F.lit(b"block"), *[F.coalesce(f"t{k}", F.lit(b"")) for k in slots])
     rows = stash(packed.join(total, "conv_id").withColumn("x", content))
-    long_ones = rows.filter(F.col("total") > BLOCK).select("conv_id", "q", "x")
+    kept = [*_COLUMNS[:-1], *[f"n{k}" for k in slots], "size", "total"]
     longest = rows.agg(F.max("q").alias("q")).first()["q"] or 0
-    span = 1
+    if not longest:
+        return rows.select("conv_id", "q", F.lit(ROOT).alias("prior"), *kept, F.when(F.col("size") == BLOCK, F.col("x")).alias("full"))
+    ends, span = rows.filter(F.col("total") > BLOCK).select("conv_id", "q", "x"), 1
     while span <= longest:  # afterwards x covers all blocks up to q; its shape depends on q alone
-        before = long_ones.select("conv_id", (F.col("q") + span).alias("q"), F.col("x").alias("y"))
-        long_ones = stash(long_ones.join(before, ["conv_id", "q"], "left").select(
+        before = ends.select("conv_id", (F.col("q") + span).alias("q"), F.col("x").alias("y"))
+        ends = stash(ends.join(before, ["conv_id", "q"], "left").select(
             "conv_id", "q", F.when(F.col("y").isNull(), F.col("x")).otherwise(_digest(F.lit(b"pair"), "y", "x")).alias("x")))
         span *= 2
-    ends = long_ones.select("conv_id", "q", F.col("x").alias("_own")) if longest else None
-    if ends is None:
-        full = F.when(F.col("size") == BLOCK, F.col("x"))
-        return rows.select("conv_id", "q", F.lit(ROOT).alias("prior"), *_COLUMNS, "size", full.alias("full"), "total")
-    prior = ends.select("conv_id", (F.col("q") + 1).alias("q"), F.col("_own").alias("_prior"))
-    joined = rows.join(ends, ["conv_id", "q"], "left").join(prior, ["conv_id", "q"], "left")
-    return stash(joined.select("conv_id", "q", F.coalesce("_prior", F.lit(ROOT)).alias("prior"), *_COLUMNS, "size",
-                               F.when(F.col("size") == BLOCK, F.coalesce("_own", "x")).alias("full"), "total"))
+    own, prior = ends.withColumnRenamed("x", "_own"), ends.select("conv_id", (F.col("q") + 1).alias("q"), F.col("x").alias("_prior"))
+    joined = rows.join(own, ["conv_id", "q"], "left").join(prior, ["conv_id", "q"], "left")
+    return stash(joined.select("conv_id", "q", F.coalesce("_prior", F.lit(ROOT)).alias("prior"), *kept, F.when(F.col("size") == BLOCK, F.coalesce("_own", "x")).alias("full")))
 
 
 def _rolled(rows: DataFrame, *aggs) -> DataFrame:
@@ -102,10 +102,18 @@ def _rolled(rows: DataFrame, *aggs) -> DataFrame:
     return out.withColumn("level", F.lit(BLOCK) - F.col("_free")).drop("_free")
 
 
-def _key(level, full):
-    """Key of a node: its block's root and its turns, or the key of the block's end."""
-    inner = _digest("prior", *[F.when(level >= k, F.col(c)["id"]).otherwise(F.lit(b"")) for k, c in enumerate(_COLUMNS[:-1], 1)])
-    return F.when(level == 0, F.col("prior")).when(level == BLOCK, full).otherwise(inner)
+def _real(root):
+    """Whether a group is a node: its last column is set. The root of a further block is the end of the one before."""
+    real = F.when(F.col("level") == 0, root)
+    for k, c in enumerate(_COLUMNS, 1):
+        real = real.when(F.col("level") == k, F.col(c).isNotNull())
+    return real
+
+
+def _key(level):
+    """Key of a node: a digest of its block's root and its turns, or the key of the block's end."""
+    inner = _digest("prior", *[F.when(level >= k, F.col(c)).otherwise(F.lit(b"")) for k, c in enumerate(_COLUMNS[:-1], 1)])
+    return F.when(level == 0, F.col("prior")).when(level == BLOCK, F.col("full")).otherwise(inner)
 
 
 def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -156,7 +164,7 @@ def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _ends(rows: DataFrame) -> DataFrame:
     """key, ends_sha256: the digest of the conversations that end at a node. Ids travel in runs; only the runs of one node meet."""
     last = rows.filter(F.col("q") == F.floor(F.greatest(F.col("total") - 1, F.lit(0)) / BLOCK))
-    ends = last.select(_key(F.col("size"), F.col("full")).alias("key"), "conv_id")
+    ends = last.select(_key(F.col("size")).alias("key"), "conv_id")
     runs = ends.repartitionByRange("key", "conv_id").sortWithinPartitions("key", "conv_id").mapInArrow(_pieces, "key binary, first long, piece string")
     return runs.repartition("key").sortWithinPartitions("key", "first").select("key", "piece").mapInArrow(_hashed, "key binary, ends_sha256 string")
 
@@ -183,40 +191,29 @@ def trie(built: DataFrame) -> DataFrame:
     ``built`` has conv_id, pos and t as :func:`rebuilt` gives them. Without any conversation there is no node.
     """
     rows = blocks(built)
-    level = F.col("level")
-    lengths = [F.max(F.col(c)["n"]).alias(f"n{k}") for k, c in enumerate(_COLUMNS, 1)]
+    level, steps = F.col("level"), range(BLOCK + 1)
     found = _rolled(
-        rows, F.min("conv_id").alias("conv_id"), F.count("*").alias("n_convs"), F.max("full").alias("full"), F.max("q").alias("q"),
-        *[F.count_if(F.col("total") == F.col("q") * BLOCK + k).alias(f"e{k}") for k in range(BLOCK + 1)], *lengths)
-    # levels beyond a conversation's end are no nodes; the root of a further block is the end of the one before
-    real = F.when(level == 0, F.col("q") == 0)
-    for k, c in enumerate(_COLUMNS, 1):
-        real = real.when(level == k, F.col(c).isNotNull())
-    pick = lambda p: F.get(F.array(*[F.col(f"{p}{k}") if p == "e" or k else F.lit(0).cast("long") for k in range(BLOCK + 1)]), level)
-    parent = F.when(level == 1, F.col("prior")).when(level > 1, _key(level - 1, F.lit(None).cast("binary")))
-    nodes = stash(found.filter(real).select(
-        "prior", *_COLUMNS, "level", _key(level, F.col("full")).alias("key"), parent.alias("parent"), "conv_id", (F.col("q") * BLOCK + level).cast("long").alias("depth"),
-        "n_convs", (pick("e") == F.col("n_convs")).cast("long").alias("leaf"), ((F.col("n_convs") - 1) * pick("n")).alias("saved")))
+        rows, F.min("conv_id").alias("conv_id"), F.count("*").alias("n_convs"), F.max("q").alias("q"),
+        *[F.count_if(F.col("total") == F.col("q") * BLOCK + k).alias(f"e{k}") for k in steps], *[F.max(f"n{k}").alias(f"n{k}") for k in steps[1:]])
+    ending, chars = F.get(F.array(*[F.col(f"e{k}") for k in steps]), level), F.get(F.array(F.lit(0).cast("long"), *[F.col(f"n{k}") for k in steps[1:]]), level)
+    nodes = stash(found.filter(_real(F.col("q") == 0)).select(
+        "prior", *_COLUMNS, "level", _key(level).alias("key"), F.when(level == 1, F.col("prior")).when(level > 1, _key(level - 1)).alias("parent"), "conv_id",
+        (F.col("q") * BLOCK + level).cast("long").alias("depth"), "n_convs", (ending == F.col("n_convs")).cast("long").alias("leaf"),
+        ((F.col("n_convs") - 1) * chars).alias("saved")))
     deepest = nodes.agg(F.max("depth").alias("d")).first()["d"] or 0
-    own = nodes.withColumn("_children", F.lit(0).cast("long"))
-    if deepest > BLOCK:
-        below = _below(nodes, deepest // BLOCK).select("key", "children", F.col("leaves").alias("_l"), F.col("saved").alias("_s"))
-        ends, others = nodes.filter(level == BLOCK), nodes.filter(level != BLOCK)
-        more = ends.join(below, "key", "left").select(
-            *others.drop("leaf", "saved").columns, (F.col("leaf") + F.coalesce("_l", F.lit(0))).alias("leaf"), (F.col("saved") + F.coalesce("_s", F.lit(0))).alias("saved"),
-            F.coalesce("children", F.lit(0)).alias("_children"))
-        own = others.withColumn("_children", F.lit(0).cast("long")).unionByName(more)
-    # the second rollup: each node counts for itself and for the nodes above it in its block
-    node = F.struct("key", "parent", "conv_id", "depth", "n_convs", "_children")
-    sums = _rolled(
-        own.withColumn("_level", level).withColumn("_node", node).drop("level"),
-        *[F.max(F.when(F.col("_level") == k, F.col("_node"))).alias(f"s{k}") for k in range(BLOCK + 1)],
-        *[F.count_if(F.col("_level") == k).alias(f"c{k}") for k in range(1, BLOCK + 1)], F.sum("leaf").alias("n_leaves"), F.sum("saved").alias("saved_tokens"))
-    here = F.get(F.array(*[F.col(f"s{k}") for k in range(BLOCK + 1)]), level)
-    inner = F.get(F.array(*[F.col(f"c{k}") for k in range(1, BLOCK + 1)], F.lit(0).cast("long")), level)
-    whole = sums.select(here.alias("s"), inner.alias("c"), "n_leaves", "saved_tokens").filter(F.col("s").isNotNull()).select(
-        "s.*", (F.col("c") + F.col("s._children")).alias("n_children"), "n_leaves", "saved_tokens")
+    own = nodes.select("prior", *_COLUMNS, "level", "key", "leaf", "saved", F.lit(0).cast("long").alias("children"))
+    if deepest > BLOCK:  # ends of full blocks take in what hangs below them
+        below = _below(nodes, deepest // BLOCK).select("key", F.col("children").alias("_c"), F.col("leaves").alias("_l"), F.col("saved").alias("_s"))
+        plus = lambda a, b: (F.col(a) + F.coalesce(b, F.lit(0))).alias(a)
+        ends = own.filter(level == BLOCK).join(below, "key", "left").select(*own.columns[:-3], plus("leaf", "_l"), plus("saved", "_s"), plus("children", "_c"))
+        own = own.filter(level != BLOCK).unionByName(ends)
+    # the second rollup: each node counts for itself and for the nodes above it in its block; a block's end has only itself
+    sums = _rolled(own.withColumnRenamed("level", "_level"), *[F.count_if(F.col("_level") == k).alias(f"c{k}") for k in steps[1:]],
+                   F.sum("leaf").alias("n_leaves"), F.sum("saved").alias("saved_tokens"), F.sum("children").alias("_below"))
+    inner = F.get(F.array(*[F.col(f"c{k}") for k in steps[1:]]), level)
+    sums = sums.filter(_real(F.col("prior") == F.lit(ROOT))).select(
+        _key(level).alias("key"), F.when(level == BLOCK, F.col("_below")).otherwise(inner).alias("n_children"), "n_leaves", "saved_tokens")
     parents = nodes.select(F.col("key").alias("parent"), F.col("conv_id").alias("parent_conv_id"))
     none = hashlib.sha256(b"").hexdigest()
-    return whole.join(_ends(rows), "key", "left").join(parents, "parent", "left").select(
-        "conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", F.coalesce("ends_sha256", F.lit(none)).alias("ends_sha256"))
+    told = nodes.select("key", "parent", "conv_id", "depth", "n_convs").join(sums, "key").join(_ends(rows), "key", "left").join(parents, "parent", "left")
+    return told.select("conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", F.coalesce("ends_sha256", F.lit(none)).alias("ends_sha256"))
