@@ -4,7 +4,9 @@ import hashlib
 import json
 import math
 import random
+import time
 
+import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
@@ -352,6 +354,25 @@ def test_manifest_sets_keep_their_path(spark, tmp_path):
     assert {r["name"] for r in I.build_manifest(spark, str(tmp_path), by_folder=False).collect()} == {"x/a/config.json", "y/a/config.json", "top.txt"}
 
 
+def test_files_of_any_size_are_read_in_pieces(spark, tmp_path):
+    size = (2 << 30) + 12345  # more than a row can hold; sparse on disk
+    with open(tmp_path / "weights.bin", "wb") as f:
+        f.truncate(size)
+    (tmp_path / "pointer.csv").write_text("version https://git-lfs.github.com/spec/v1\noid sha256:" + "a" * 64 + "\nsize 5\n")
+    (tmp_path / "late.csv").write_bytes(b"a,b\n" * 400_000 + b"\xff")  # not UTF-8 after the first piece
+    (tmp_path / "split.csv").write_text("é" * 700_000)  # a character lies across two pieces
+    (tmp_path / "page.csv").write_text(" \n" * 600_000 + "<!DOCTYPE html>")
+    zero = hashlib.sha256()
+    for _ in range(size >> 20):
+        zero.update(bytes(1 << 20))
+    zero.update(bytes(size & ((1 << 20) - 1)))
+    got = {r["name"]: (r["bytes"], r["sha256"]) for r in I.build_manifest(spark, str(tmp_path)).collect()}
+    assert got["weights.bin"] == (size, zero.hexdigest())
+    assert got["late.csv"][1] == hashlib.sha256(b"a,b\n" * 400_000 + b"\xff").hexdigest()
+    kinds = {r["path"].rsplit("/", 1)[1]: r["verdict"] for r in B.classify_files(spark, str(tmp_path)).collect()}
+    assert kinds == {"weights.bin": "table", "pointer.csv": "git_lfs_pointer", "late.csv": "not_utf8", "split.csv": "table", "page.csv": "web_page"}
+
+
 def test_all_flags_are_returned(spark):
     probes = spark.createDataFrame([(1, [f"flag{i:02d}" for i in range(12)])], "e int, flags array<string>")
     aspects = spark.createDataFrame([(1, "O", 0)], "e int, aspect string, aspect_score int")
@@ -382,3 +403,73 @@ def test_degenerate_kappa(spark):
     df = spark.createDataFrame([(i, r, "YES") for i in range(9) for r in range(3)], "item int, rater int, v string").withColumn("g", F.lit(1))
     assert one(A.fleiss(df, ["g"], ["item"], "v"))["kappa"] is None
     assert one(A.fleiss(df, ["g"], ["item"], "v", degenerate=1.0))["kappa"] == 1.0
+
+
+# --- streams -----------------------------------------------------------------
+
+
+def test_prefix_states_equal_a_loop():
+    rows, maps = W.transition_maps(L.TRANSITIONS, L.STATES)
+    rnd = random.Random(2)
+    for n in (0, 1, 2, 3, 17, 200):
+        events = [rnd.choice([*L.TRANSITIONS, "unknown"]) for _ in range(n)]
+        state, want = "NONE", ["NONE"]
+        for e in events:
+            target, sources = L.TRANSITIONS.get(e, (None, ()))
+            state = target if state in sources else state
+            want.append(state)
+        got = W.prefix_states(np.array([rows.get(e, len(maps) - 1) for e in events], np.int64), maps, 0)
+        assert [L.STATES[i] for i in got] == want
+
+
+def test_stuck_row_after_the_timer_and_late_ids(spark, tmp_path):
+    def put(rows):
+        spark.createDataFrame(rows, "evaluation_id long, id long, event_type string").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+
+    put([(1, 10, "created"), (1, 11, "started"), (2, 12, "created")])
+    stream = W.read_events(spark, str(tmp_path / "in"), "*.parquet", spark.read.parquet(str(tmp_path / "in")).schema, 1)
+    q = W.lifecycle_stream(stream, idle_ms=1500).writeStream.format("parquet").option("path", str(tmp_path / "out")).option(
+        "checkpointLocation", str(tmp_path / "chk")).trigger(processingTime="200 milliseconds").start()
+    schema = "evaluation_id long, id long, event_type string, accepted boolean, state string, late boolean"
+
+    def rows():
+        return sorted(tuple(r) for r in spark.read.schema(schema).parquet(str(tmp_path / "out")).collect()) if (tmp_path / "out").exists() else []
+
+    def wait(done):
+        until = time.monotonic() + 90
+        while not done() and time.monotonic() < until:
+            time.sleep(0.3)
+        assert done(), rows()
+
+    try:
+        wait(lambda: any(r[2] == "stuck" for r in rows()))
+        put([(1, 5, "failed"), (1, 13, "probes_completed"), (2, 14, "failed")])
+        wait(lambda: len(rows()) >= 7)
+    finally:
+        q.stop()
+    got = rows()
+    assert (1, 11, "stuck", False, "RUNNING", False) in got and (1, 5, "failed", False, "RUNNING", True) in got
+    assert (1, 13, "probes_completed", True, "PROBES_COMPLETED", False) in got and (2, 14, "failed", False, "PENDING", False) in got
+    assert not any(r[0] == 2 and r[2] == "stuck" for r in got)  # a pending evaluation is not in progress
+
+
+def test_mean_interval_of_many_distinct_values(spark):
+    """Two-level draws: bounds follow the normal law, and no array is longer than a block."""
+    n, b = 120_000, 400
+    df = spark.range(n).select(F.lit("k").alias("k"), (F.pmod(F.xxhash64("id"), F.lit(1_000_003)) / 1000.0).alias("x"))
+    row = one(U.mean_ci(df, ["k"], "x", b, seed=7))
+    stats = one(df.agg(F.avg("x").alias("m"), F.stddev_pop("x").alias("s")))
+    half = 1.96 * stats["s"] / math.sqrt(n)
+    assert row["n"] == n and abs(row["mean"] - stats["m"]) < 1e-6
+    assert abs(row["ci_lower"] - (stats["m"] - half)) < 0.3 * half and abs(row["ci_upper"] - (stats["m"] + half)) < 0.3 * half
+    cells = df.groupBy("k", F.col("x").alias("value")).agg(F.count("*").alias("n"))
+    longest = U._block_cells(cells, ["k"], 4096).agg(F.max(F.size("_values")).alias("m"), F.count("*").alias("blocks"))
+    assert one(longest)["m"] < 2 * 4096 and one(longest)["blocks"] > 20
+
+
+def test_replicate_sums_do_not_depend_on_partitions(spark):
+    df = spark.createDataFrame([("a", float(i % 37), 1 + i % 3) for i in range(37)] + [(None, 2.0, 5)], "k string, value double, n long")
+    told = lambda x: sorted(((r["k"] or "", r["b"], r["total"]) for r in U.replicate_sums(x, ["k"], 30, 1, block=8, step=7).collect()))
+    a = told(df)
+    assert len(a) == 60 and {t for k, _, t in a if k == ""} == {10.0}
+    assert [(k, b, round(t, 6)) for k, b, t in told(df.repartition(5))] == [(k, b, round(t, 6)) for k, b, t in a]

@@ -52,14 +52,14 @@ def _(v):
     return A.fleiss(ratings(v), ["study"], ITEM, "q1", 8)
 
 
-_PAIR = """, pa AS (SELECT item, max(q2) FILTER (WHERE rater = 'R1') AS a, max(q2) FILTER (WHERE rater = 'R2') AS b, max(study) AS study FROM rt GROUP BY 1)"""
 
 
-@query("agr_05_cohen", _RT + _PAIR + """, n AS (SELECT study, count(*) AS n, avg((a = b)::INT) AS po FROM pa GROUP BY 1), ma AS (SELECT study, a AS cat, count(*) AS x FROM pa GROUP BY 1, 2), mb AS (SELECT study, b AS cat, count(*) AS y FROM pa GROUP BY 1, 2),
- e AS (SELECT study, sum(x * y)::DOUBLE AS e FROM ma JOIN mb USING (study, cat) GROUP BY 1) SELECT study, n, CASE WHEN n >= 8 THEN round((po - e / (n * n)) / (1 - e / (n * n)), 4) END AS kappa FROM n JOIN e USING (study)""", ("v_ratings",))
+@query("agr_05_cohen", _RT + """, pa AS (SELECT a.study, a.rater AS rater_a, b.rater AS rater_b, a.q2 AS a, b.q2 AS b FROM rt a JOIN rt b ON a.item = b.item AND a.rater < b.rater),
+ n AS (SELECT study, rater_a, rater_b, count(*) AS n, avg((a = b)::INT) AS po FROM pa GROUP BY 1, 2, 3), ma AS (SELECT study, rater_a, rater_b, a AS cat, count(*) AS x FROM pa GROUP BY 1, 2, 3, 4),
+ mb AS (SELECT study, rater_a, rater_b, b AS cat, count(*) AS y FROM pa GROUP BY 1, 2, 3, 4), e AS (SELECT study, rater_a, rater_b, sum(x * y)::DOUBLE AS e FROM ma JOIN mb USING (study, rater_a, rater_b, cat) GROUP BY 1, 2, 3)
+SELECT study, rater_a, rater_b, n, CASE WHEN n >= 8 THEN round((po - e / (n * n)) / (1 - e / (n * n)), 4) END AS kappa FROM n JOIN e USING (study, rater_a, rater_b)""", ("v_ratings",))
 def _(v):
-    r = ratings(v).groupBy("item").agg(F.max(F.when(F.col("rater") == "R1", F.col("q2"))).alias("a"), F.max(F.when(F.col("rater") == "R2", F.col("q2"))).alias("b"), F.max("study").alias("study"))
-    return A.cohen(r, ["study"], "a", "b")
+    return A.cohen(A.rater_pairs(ratings(v), ["study"], ITEM, "rater", "q2"), ["study", "rater_a", "rater_b"], "a", "b")
 
 
 @query("agr_06_kripp_interval", _RT + """, u AS (SELECT study, item, count(sev) AS m FROM rt GROUP BY 1, 2 HAVING count(sev) >= 2), v AS (SELECT rt.study, rt.item, rater, sev::DOUBLE AS x, m FROM rt JOIN u ON u.item = rt.item WHERE sev IS NOT NULL),

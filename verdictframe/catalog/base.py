@@ -52,6 +52,18 @@ def flat(df: DataFrame, digits: int = 6) -> DataFrame:
     return df.select(*cols)
 
 
+def folded(df: DataFrame, by: list[str], cols: list[str], out: str) -> DataFrame:
+    """One row per key: its rows as text, columns joined by commas, rows by semicolons, in order."""
+    row = F.concat_ws(",", *[F.coalesce(F.col(c).cast("string"), F.lit("-")) for c in cols])
+    return df.groupBy(*by).agg(F.array_join(F.array_sort(F.collect_list(row)), ";").alias(out))
+
+
+def folded_sql(cols: list[str], out: str) -> str:
+    """The aggregate that says the same in SQL."""
+    row = "concat_ws(','" + "".join(f", coalesce(CAST({c} AS VARCHAR), '-')" for c in cols) + ")"
+    return f"string_agg({row}, ';' ORDER BY {row}) AS {out}"
+
+
 def query(name: str, sql: str | None = None, views: tuple[str, ...] = ()):
     """Register a query; ``views`` are prepended to the oracle text as CTEs."""
 

@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from ..operators import integrity as I
+from ..streaming.operators import scratch
 from .base import query
 from .documents import _LOW, _SIG, any_sql
 
@@ -140,6 +141,15 @@ def _(v):
     return I.expected_files(observed, shards, ["set_id"]).select("set_id", "name", "sharded")
 
 
+@query("int_11_build_manifest", """SELECT 'event_type=' || event_type AS set_id, CAST(sum(strlen(props) + 1) AS BIGINT) AS bytes,
+ sha256(string_agg(props || chr(10), '' ORDER BY event_id)) AS sha256 FROM events GROUP BY 1""")
+def _(v):
+    # one file per event type, its lines in order of id, below a folder of the type's name
+    folder = scratch(v.spark, "manifest")
+    v("events").repartition("event_type").sortWithinPartitions("event_type", "event_id").select("event_type", F.col("props").alias("value")).write.partitionBy("event_type").text(folder)
+    return I.build_manifest(v.spark, folder).filter(F.col("name").endswith(".txt")).select("set_id", "bytes", "sha256")
+
+
 @query("int_11_pick_manifest", """, c AS (SELECT set_id, name, sha256(content) AS sha256, CASE WHEN doc_id % 3 = 0 THEN 'operator' WHEN doc_id % 3 = 1 THEN 'set' ELSE 'legacy' END AS source FROM v_files),
  r AS (SELECT *, CASE source WHEN 'operator' THEN 0 WHEN 'set' THEN 1 ELSE 2 END AS k FROM c)
 SELECT set_id, name, sha256, source FROM r QUALIFY k = min(k) OVER (PARTITION BY set_id)""", ("v_files",))

@@ -99,15 +99,17 @@ def _(v):
     return L.publish(r.filter("status = 'FINALIZED'"), done, ["run_id"], F.lit("2020-01-01 00:00:00").cast("timestamp"))
 
 
-_ASOF = ", ve AS (SELECT * FROM v_events WHERE created_at < TIMESTAMP '2024-01-04')" + _REPLAY.replace("v_events", "ve")
+# an evaluation of a day is one of its own, so that some are left in progress; the log's newest entry is its present
+_DAYS = ", ve AS (SELECT id, evaluation_id * 100 + day(created_at) AS evaluation_id, created_at, event_type FROM v_events)" + _REPLAY.replace("v_events", "ve")
 
 
-@query("life_10_stuck_runs", _ASOF + """ SELECT evaluation_id, state, round((epoch_us(TIMESTAMP '2024-01-04') - epoch_us(last_event)) / 1e6, 6) AS idle_s FROM fs
-WHERE state IN ('RUNNING', 'PROBES_COMPLETED') AND (epoch_us(TIMESTAMP '2024-01-04') - epoch_us(last_event)) / 1e6 > 3600""", ("v_events",))
+@query("life_10_stuck_runs", _DAYS + """, nw AS (SELECT max(created_at) AS t FROM v_events)
+SELECT evaluation_id, state, round((epoch_us(t) - epoch_us(last_event)) / 1e6, 6) AS idle_s FROM fs CROSS JOIN nw
+WHERE state IN ('RUNNING', 'PROBES_COMPLETED') AND (epoch_us(t) - epoch_us(last_event)) / 1e6 > 3600""", ("v_events",))
 def _(v):
-    now = F.lit("2024-01-04 00:00:00").cast("timestamp")
-    e = v("v_events").filter(F.col("created_at") < now)  # the log as it stood at that moment
-    return L.stuck_runs(e, L.final_states(e, BY), BY, now, 3600).select("evaluation_id", "state", "idle_s")
+    e = v("v_events").withColumn("evaluation_id", F.col("evaluation_id") * 100 + F.day("created_at"))
+    newest = e.agg(F.max("created_at").cast("string").alias("t")).first()["t"]
+    return L.stuck_runs(e, L.final_states(e, BY), BY, F.lit(newest).cast("timestamp"), 3600).select("evaluation_id", "state", "idle_s")
 
 
 @query("life_11_stamp", """SELECT evaluation_id, dimension, coalesce(rule_version, 'legacy') AS rule_version, CASE WHEN coalesce(rule_version, 'legacy') = 'legacy' THEN 'fixed_five' ELSE 'without_not_applicable' END AS required_aspects_rule FROM v_probes""", ("v_probes",))

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from ..operators import ratings as S
-from .base import query
+from .base import folded, folded_sql, query
 
 BY = ["evaluation_id"]
 _LIST = lambda c: f"CASE WHEN {c} = '' THEN [] ELSE string_split({c}, ';') END"
@@ -103,9 +103,9 @@ def _osd(df):
     return df.withColumnsRenamed({"O": "o", "S": "s", "D": "d"})
 
 
-@query("sco_06_propose", PROP_SQL + ' SELECT evaluation_id, aspect, "O" AS o, "S" AS s, "D" AS d, confidence, status FROM pp', ("v_probes",))
+@query("sco_06_propose", PROP_SQL + " SELECT evaluation_id, " + folded_sql(["aspect", '"O"', '"S"', '"D"', "CAST(round(confidence * 10000) AS BIGINT)", "status"], "proposals") + " FROM pp GROUP BY 1", ("v_probes",))
 def _(v):
-    return _osd(proposals(v))
+    return folded(_osd(proposals(v)).withColumn("c", F.round(F.col("confidence") * 10000).cast("bigint")), BY, ["aspect", "o", "s", "d", "c", "status"], "proposals")
 
 
 @query("sco_06_overall_confidence", PROP_SQL + " SELECT evaluation_id, round(avg(confidence), 4) AS overall_confidence FROM pp GROUP BY 1", ("v_probes",))
@@ -132,13 +132,14 @@ _EXT = """, ext AS (SELECT evaluation_id, dimension, (1 + evaluation_id % 9)::IN
 
 @query("sco_09_merge_judgments", V4_SQL + _EXT + """, j AS (SELECT v4.*, eo, es, ed, dimension IN ('INTEGRITY', 'EXPLAINABILITY', 'SAFETY') AS tgt, rule_version = 'current' AS judged,
   dimension IN ('INTEGRITY', 'EXPLAINABILITY', 'SAFETY') AND "O" IS NOT NULL AND eo IS NOT NULL AND NOT (dimension = 'SAFETY' AND severe_fnr IS NOT NULL) AS use FROM v4 LEFT JOIN ext USING (evaluation_id, dimension))
-SELECT evaluation_id, dimension, CASE WHEN use THEN eo ELSE "O" END AS o, CASE WHEN use THEN es ELSE "S" END AS s, CASE WHEN use THEN ed ELSE "D" END AS d,
- CASE WHEN "O" IS NULL THEN NULL WHEN use THEN 'external' WHEN tgt AND judged IS NOT TRUE THEN 'fallback' ELSE 'heuristic' END AS source FROM j""", ("v_probes",))
+, m AS (SELECT evaluation_id, dimension, CASE WHEN use THEN eo ELSE "O" END AS o, CASE WHEN use THEN es ELSE "S" END AS s, CASE WHEN use THEN ed ELSE "D" END AS d,
+ CASE WHEN "O" IS NULL THEN NULL WHEN use THEN 'external' WHEN tgt AND judged IS NOT TRUE THEN 'fallback' ELSE 'heuristic' END AS source FROM j)
+SELECT evaluation_id, """ + folded_sql(["dimension", "o", "s", "d", "source"], "merged") + " FROM m GROUP BY 1", ("v_probes",))
 def _(v):
     p = typed(v)
     ext = p.filter((F.col("rule_version") == "current") & F.col("dimension").isin(*S.JUDGED_DIMENSIONS)).select(
         "evaluation_id", "dimension", (1 + F.col("evaluation_id") % 9).alias("o"), (1 + F.col("evaluation_id") % 7).alias("s"), (1 + F.col("evaluation_id") % 5).alias("d"))
-    return _osd(S.merge_judgments(S.bands_v4(p), ext, BY))
+    return folded(_osd(S.merge_judgments(S.bands_v4(p), ext, BY)), BY, ["dimension", "o", "s", "d", "source"], "merged")
 
 
 @query("sco_10_risk_score", """SELECT l_orderkey, l_linenumber, l_partkey, round(CASE WHEN q > 10 OR l > 10 OR t > 10 THEN NULL WHEN q * l * t = 0 THEN 0 ELSE cbrt(q * l * t) END, 6) AS pi, count(*) AS n

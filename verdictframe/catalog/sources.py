@@ -4,10 +4,56 @@ from pyspark.sql import functions as F
 
 from ..sources import labelled as L
 from ..sources import registry as G
+from ..streaming.operators import scratch
 from .base import query
 from .rows import missing_sql, strip_sql
 
 
+@query("src_01_labelled_scan", """, c AS (SELECT unnest(['text', 'target', 'grp', 'severe', 'length']) AS name, unnest([text, target, grp, severe, length]) AS cell FROM v_raw)
+SELECT name, count(*) AS cells, count(*) FILTER (WHERE coalesce(cell, '') = '') AS empty, CAST(sum(length(coalesce(cell, ''))) AS BIGINT) AS chars, count(DISTINCT coalesce(cell, '')) AS distinct_cells FROM c GROUP BY 1""", ("v_raw",))
+def _(v):
+    # the raw table as CSV files with padded header names, quoted line breaks and absent cells, read back as strings
+    folder = scratch(v.spark, "labelled")
+    raw = v("v_raw").select(*_RAWCOLS)
+    raw.toDF(*[f" {c}" for c in _RAWCOLS]).write.option("header", True).option("escape", '"').option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(folder)
+    back = L.read_labelled(v.spark, folder)
+    cells = back.select(F.explode(F.array(*[F.struct(F.lit(c).alias("name"), F.coalesce(c, F.lit("")).alias("cell")) for c in _RAWCOLS])).alias("x")).select("x.*")
+    return cells.groupBy("name").agg(F.count("*").alias("cells"), F.count_if(F.col("cell") == "").alias("empty"), F.sum(F.length("cell")).cast("bigint").alias("chars"),
+                                     F.countDistinct("cell").alias("distinct_cells"))
+
+
+@query("src_02_classify_files", """SELECT 'kind=' || k AS kind, verdict, count(*) AS files, CAST(sum(bytes) AS BIGINT) AS bytes FROM (
+ SELECT 'page' AS k, 'web_page' AS verdict, sum(strlen(html) + 1) AS bytes FROM pages UNION ALL SELECT 'props', 'markup_or_json', sum(strlen(props) + 1) FROM events UNION ALL SELECT 'words', 'table', sum(strlen(o_orderpriority) + 1) FROM orders) GROUP BY 1, 2""")
+def _(v):
+    # three large text files, one of pages, one of JSON lines and one of plain cells
+    folder = scratch(v.spark, "files")
+    rows = v("pages").select(F.lit("page").alias("kind"), F.col("html").alias("value")).unionByName(
+        v("events").select(F.lit("props").alias("kind"), F.col("props").alias("value"))).unionByName(
+        v("orders").select(F.lit("words").alias("kind"), F.col("o_orderpriority").alias("value")))
+    rows.repartition("kind").write.partitionBy("kind").text(folder)
+    out = L.classify_files(v.spark, folder).filter(F.col("path").contains("/kind=") & F.col("path").endswith(".txt"))
+    return out.groupBy(F.regexp_extract("path", "(kind=[a-z]+)", 1).alias("kind"), "verdict").agg(F.count("*").alias("files"), F.sum("length").alias("bytes"))
+
+
+_DIMS = ("FAIRNESS", "ROBUSTNESS", "INTEGRITY", "EXPLAINABILITY", "SAFETY")
+
+
+@query("src_09_read_runs", f"""SELECT 'n' || c_nationkey AS model, CAST(c_custkey % 4 AS INTEGER) AS run, 'FINALIZED' AS run_status, list_extract({list(_DIMS)}, CAST(c_custkey % 5 + 1 AS INTEGER)) AS dimension,
+ CASE WHEN min(c_acctbal) < -900 THEN 'FAILED' ELSE 'COMPLETED' END AS status, round(count(*) / 10000.0, 6) AS confidence, round(max(c_acctbal), 6) AS score FROM customer GROUP BY 1, 2, 3, 4""")
+def _(v):
+    # one document per nation and run, written as a file of its own and read by its name
+    folder = scratch(v.spark, "runs")
+    dim = F.element_at(F.array(*[F.lit(d) for d in _DIMS]), (F.col("c_custkey") % 5 + 1).cast("int")).alias("dimension")
+    cells = v("customer").groupBy(F.col("c_nationkey").alias("model"), (F.col("c_custkey") % 4).alias("run"), dim).agg(
+        F.when(F.min("c_acctbal") < -900, "FAILED").otherwise("COMPLETED").alias("status"), (F.count("*") / 10000.0).alias("confidence"), F.max("c_acctbal").alias("score"))
+    probes = F.collect_list(F.struct("dimension", "status", "confidence"))  # five dimensions
+    scores = F.map_from_entries(F.collect_list(F.struct("dimension", "score")))
+    body = F.to_json(F.struct(F.lit("FINALIZED").alias("status"), F.struct(scores.alias("dimension_scores")).alias("final_score"), probes.alias("probes")))
+    docs = cells.groupBy("model", "run").agg(body.alias("doc")).select(F.format_string("n%d__run%d.json", "model", "run").alias("name"), "doc")
+    G.write_documents(docs, folder)
+    return G.read_runs(v.spark, folder).select("model", "run", "run_status", "dimension", "status", "confidence", "score")
+
+
 @query("src_02_content_verdict", """WITH b AS (SELECT 'page' AS kind, page_id AS id, html AS t FROM pages UNION ALL SELECT 'doc', doc_id, text FROM documents UNION ALL SELECT 'props', event_id, props FROM events)
 SELECT kind, CASE WHEN lower(substr(ltrim(t, ' ' || chr(9) || chr(10) || chr(13)), 1, 14)) = '<!doctype html' OR lower(substr(ltrim(t, ' ' || chr(9) || chr(10) || chr(13)), 1, 5)) = '<html' THEN 'web_page'
  WHEN substr(ltrim(t, ' ' || chr(9) || chr(10) || chr(13)), 1, 1) IN ('<', '{', '[') THEN 'markup_or_json' ELSE 'table' END AS verdict, count(*) AS n FROM b GROUP BY 1, 2""")
@@ -99,10 +145,11 @@ def _(v):
         "n": ("$.n_evaluated", "int"), "first_risk": ("$.result.risks[0]", "string")}).drop("doc")
 
 
-@query("src_14_supplement", """, g AS (SELECT packet_id, dimension, run_index, provider, fallback FROM v_judgments), x AS (SELECT packet_id, dimension, run_index, 'delta' AS provider, 0 AS fallback FROM v_judgments WHERE run_index <= 3)
-SELECT *, 'original' AS provenance FROM g WHERE fallback = 0 OR run_index > 3 UNION ALL SELECT x.*, 'supplement' FROM x JOIN (SELECT packet_id, dimension, run_index FROM g WHERE fallback = 1) USING (packet_id, dimension, run_index)""", ("v_judgments",))
+@query("src_14_supplement", """, g AS (SELECT packet_id, dimension, run_index, provider, fallback, parse_failures FROM v_judgments), x AS (SELECT packet_id, dimension, run_index, 'delta' AS provider, 0 AS fallback FROM v_judgments WHERE parse_failures = 0)
+SELECT packet_id, dimension, run_index, provider, fallback, 'original' AS provenance FROM g WHERE fallback = 0 OR parse_failures > 0 UNION ALL SELECT x.*, 'supplement' FROM x JOIN (SELECT packet_id, dimension, run_index FROM g WHERE fallback = 1) USING (packet_id, dimension, run_index)""", ("v_judgments",))
 def _(v):
     keys = ["packet_id", "dimension", "run_index"]
     g = v("v_judgments").select(*keys, "provider", "fallback")
-    x = g.filter("run_index <= 3").select(*keys, F.lit("delta").alias("provider"), F.lit(0).alias("fallback"))
+    # only what could be parsed was asked for again
+    x = v("v_judgments").filter("parse_failures = 0").select(*keys, F.lit("delta").alias("provider"), F.lit(0).alias("fallback"))
     return G.supplement(g, x, keys, F.col("fallback") == 1)

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from ..operators import ratings as S
 from ..operators import study as U
-from .base import query
+from .base import folded, folded_sql, query
 from .metrics import RATES_SQL, confusion_sql
 from .ratings import PROP_SQL, V4_SQL, proposals, typed
 
@@ -33,12 +33,12 @@ def _(v):
     return U.aspect_means(v("v_runs"), ["model"], ["FAIRNESS", "SAFETY"])
 
 
-@query("stu_03_compare_modes", """, a AS (SELECT model, seed, avg(score) AS a FROM v_runs WHERE status = 'FINALIZED' GROUP BY 1, 2), b AS (SELECT model, seed, avg(score) AS b FROM v_runs WHERE status = 'FAILED' AND seed > 1997 GROUP BY 1, 2), c AS (SELECT model, seed, avg(score) AS c FROM v_runs WHERE status = 'AWAITING_REVIEW' GROUP BY 1, 2)
+@query("stu_03_compare_modes", """, a AS (SELECT model, seed, avg(score) AS a FROM v_runs WHERE status = 'FINALIZED' GROUP BY 1, 2), b AS (SELECT model, seed, avg(score) AS b FROM v_runs WHERE status = 'FAILED' GROUP BY 1, 2), c AS (SELECT model, seed, avg(score) AS c FROM v_runs WHERE status = 'AWAITING_REVIEW' GROUP BY 1, 2)
 SELECT model, seed, round(a, 6) AS a, round(b, 6) AS b, round(c, 6) AS c, round(c - a, 6) AS c_minus_a, round(b - a, 6) AS b_minus_a, round(b - c, 6) AS b_minus_c FROM a JOIN c USING (model, seed) LEFT JOIN b USING (model, seed)""", ("v_runs",))
 def _(v):
     r = v("v_runs")
     mean = lambda cond: r.filter(cond).groupBy("model", "seed").agg(F.avg("score").alias("value"))
-    return U.compare_modes(mean("status = 'FINALIZED'"), mean("status = 'FAILED' and seed > 1997"), mean("status = 'AWAITING_REVIEW'"), ["model", "seed"])
+    return U.compare_modes(mean("status = 'FINALIZED'"), mean("status = 'FAILED'"), mean("status = 'AWAITING_REVIEW'"), ["model", "seed"])
 
 
 def _override(v):
@@ -75,12 +75,11 @@ def _(v):
     return U.confidence_rank(m, {"confidence vs card": ("conf", "card"), "confidence vs skipped": ("conf", "skip")})
 
 
-@query("stu_07_determinism", """, b AS (SELECT model, seed, run_id AS base_run, robustness_skip, wall_s, status FROM v_runs WHERE repeat LIKE 'seed-%' AND seed <> 1999 QUALIFY row_number() OVER (PARTITION BY model, seed ORDER BY run_id DESC) = 1),
+@query("stu_07_determinism", """, b AS (SELECT model, seed, run_id AS base_run, robustness_skip, wall_s, status FROM v_runs WHERE repeat LIKE 'seed-%' QUALIFY row_number() OVER (PARTITION BY model, seed ORDER BY run_id DESC) = 1),
  j AS (SELECT d.model, d.seed, d.run_id, base_run, concat_ws('|', CASE WHEN d.robustness_skip IS DISTINCT FROM b.robustness_skip THEN 'robustness_skip' END, CASE WHEN d.status IS DISTINCT FROM b.status THEN 'status' END) AS dk FROM v_runs d LEFT JOIN b USING (model, seed) WHERE repeat = 'det-check')
 SELECT model, seed, run_id, base_run, CASE WHEN base_run IS NOT NULL THEN dk END AS diff_keys, CASE WHEN base_run IS NULL THEN 'MISSING_BASELINE' WHEN dk = '' THEN 'identical' ELSE 'differs' END AS verdict FROM j""", ("v_runs",))
 def _(v):
-    r = v("v_runs").filter("repeat = 'det-check' or seed <> 1999")
-    return U.determinism(r, ["model", "seed"], ["robustness_skip", "status"])
+    return U.determinism(v("v_runs"), ["model", "seed"], ["robustness_skip", "status"])
 
 
 @query("stu_08_agreement", """, a AS (SELECT model, seed, max(score) AS a FROM v_runs WHERE status = 'FINALIZED' GROUP BY 1, 2), b AS (SELECT model, seed, max(score) AS b FROM v_runs WHERE status = 'FAILED' GROUP BY 1, 2), j AS (SELECT * FROM a JOIN b USING (model, seed))""" +
@@ -107,15 +106,18 @@ def _(v):
     return U.average_ranks(v("v_runs"), ["model"], "wall_s")
 
 
+_ASPECTS = ("FAIRNESS", "ROBUSTNESS", "INTEGRITY", "EXPLAINABILITY", "SAFETY")
+
+
 @query("stu_11_export_runs", PROP_SQL + """, w AS (SELECT evaluation_id, """ + ", ".join(
-    f"""max("{c}") FILTER (WHERE aspect = '{a}') AS "{a}_{c}\"""" for a in ("FAIRNESS", "SAFETY") for c in "OSD") + ", " + ", ".join(
-    f"""round(max(cbrt("O" * "S" * "D")) FILTER (WHERE aspect = '{a}'), 6) AS "{a}_Ti\"""" for a in ("FAIRNESS", "SAFETY")) + """ FROM pp GROUP BY 1),
+    f"""max("{c}") FILTER (WHERE aspect = '{a}') AS "{a}_{c}\"""" for a in _ASPECTS for c in "OSD") + ", " + ", ".join(
+    f"""round(max(cbrt("O" * "S" * "D")) FILTER (WHERE aspect = '{a}'), 6) AS "{a}_Ti\"""" for a in _ASPECTS) + """ FROM pp GROUP BY 1),
  m AS (SELECT DISTINCT evaluation_id, model FROM v_probes), e AS (SELECT evaluation_id, any_value(rule_version) AS rule_version FROM v_probes GROUP BY 1)
 SELECT * FROM m LEFT JOIN e USING (evaluation_id) LEFT JOIN w USING (evaluation_id)""", ("v_probes",))
 def _(v):
     p = v("v_probes")
     return U.export_runs(p.select("evaluation_id", "model").distinct(), p.groupBy("evaluation_id").agg(F.first("rule_version").alias("rule_version")),
-                         proposals(v), ["evaluation_id"], ("FAIRNESS", "SAFETY"))
+                         proposals(v), ["evaluation_id"], _ASPECTS)
 
 
 @query("stu_12_repeat_summary", """, l AS (SELECT model, status = 'FINALIZED' AS ok, d.dimension, CASE d.dimension WHEN 'score' THEN score ELSE wall_s END AS x FROM v_runs CROSS JOIN (VALUES ('score'), ('wall_s')) AS d(dimension)), f AS (SELECT *, CASE WHEN ok THEN x END AS v FROM l)
@@ -153,9 +155,9 @@ def _major(v):
     return U.majority_state(_states(v), ["model", "dimension"])
 
 
-@query("stu_14_evidence_states", _STATE + " SELECT evaluation_id, dimension, state FROM es", ("v_probes",))
+@query("stu_14_evidence_states", _STATE + " SELECT evaluation_id, " + folded_sql(["dimension", "state"], "states") + " FROM es GROUP BY 1", ("v_probes",))
 def _(v):
-    return _states(v).select("evaluation_id", "dimension", "state")
+    return folded(_states(v), ["evaluation_id"], ["dimension", "state"], "states")
 
 
 @query("stu_15_majority_state", _STATE + " SELECT model, dimension, n_runs, majority, round(CASE majority WHEN 'FLAGGED' THEN f WHEN 'NOT_FLAGGED' THEN nf ELSE a END / n_runs, 6) AS run_agreement FROM mj", ("v_probes",))

@@ -89,6 +89,17 @@ def cohen(pairs: DataFrame, by: list[str], a: str, b: str, min_items: int = MIN_
     return j.select(*by, "n", F.when(ok, F.round((p_o - p_e) / F.when(p_e != 1.0, 1.0 - p_e), 4)).alias("kappa"))
 
 
+def rater_pairs(df: DataFrame, by: list[str], item: list[str], rater: str, value: str) -> DataFrame:
+    """by, item, rater_a, rater_b, a, b: the answers of every two raters to an item, the smaller name first.
+
+    Only the answers of one panel meet; summed cells of the pairs leave the map side, as :func:`cohen` groups them.
+    """
+    panel = df.groupBy(*by, *item).agg(F.array_sort(F.collect_list(F.struct(F.col(rater).alias("r"), F.col(value).alias("x")))).alias("_p"))
+    two = F.flatten(F.transform("_p", lambda a, i: F.transform(F.slice("_p", i + 2, F.size("_p")), lambda b: F.struct(
+        a["r"].alias("rater_a"), b["r"].alias("rater_b"), a["x"].alias("a"), b["x"].alias("b")))))
+    return panel.select(*by, *item, F.inline(two))
+
+
 def kripp_interval(df: DataFrame, by: list[str], item: list[str], value: str) -> DataFrame:
     """Krippendorff's alpha for interval data from sums only; items with fewer than two values drop out."""
     v = F.col(value).cast("double")

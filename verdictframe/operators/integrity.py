@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import re
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.columns import contains_any, first_case, let, reasons, strip
+from ..sources.files import below, scan_files
 from .documents import REPRO_SIGNALS, families
 
 # License wording in a card, weight formats and the files a loader reads.
@@ -163,19 +163,17 @@ def artifact_status(observed: DataFrame, files: DataFrame, by: list[str]) -> Dat
 
 
 def build_manifest(spark: SparkSession, path: str, by_folder: bool = True) -> DataFrame:
-    """(set, name, sha256) of every file below a folder; hashing runs where the file is read.
+    """(set, name, sha256) of every file below a folder; files are hashed in pieces by the tasks that get them.
 
     A set is the folder's path below ``path`` ('.' for files directly in it); without ``by_folder`` all files are one
     set and names keep their folders.
     """
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    root = path.rstrip("/").split(":", 1)[-1].lstrip("/")
-    below = F.element_at(F.split("path", re.escape(f"/{root}/"), 2), -1)
-    parts = F.split(below, "/")
+    files = scan_files(spark, path)
+    parts = F.split(below("path", path), "/")
     folder = F.array_join(F.slice(parts, 1, F.size(parts) - 1), "/")
     set_id = F.when(folder == "", ".").otherwise(folder) if by_folder else F.lit(".")
-    return files.select(set_id.alias("set_id"), (F.element_at(parts, -1) if by_folder else below).alias("name"),
-                        F.sha2("content", 256).alias("sha256"), F.col("length").alias("bytes"))
+    return files.select(set_id.alias("set_id"), (F.element_at(parts, -1) if by_folder else below("path", path)).alias("name"),
+                        "sha256", F.col("length").alias("bytes"))
 
 
 def pick_manifest(candidates: DataFrame, by: list[str], priority: list[str], source: str = "source") -> DataFrame:

@@ -149,11 +149,65 @@ def accuracy_drop_ci(df: DataFrame, by: list[str], b: int = REPLICATES, seed: in
     return _with_point(drop(cell_df, by, "point"), bounds, by)
 
 
+def _block_cells(cell_df: DataFrame, by: list[str], size: int) -> DataFrame:
+    """Cells (by, value, n) packed into blocks of about ``size``, dealt by a hash of the value: by, _block, _values, _counts, _total."""
+    many = cell_df.groupBy(*by).agg(F.ceil(F.count("*") / size).alias("_blocks"))
+    dealt = join_keys(cell_df, many, by).withColumn("_block", F.pmod(F.xxhash64("value"), F.col("_blocks")).cast("int"))
+    cell = F.sort_array(F.collect_list(F.struct(F.col("value").cast("double").alias("v"), F.col("n").cast("bigint").alias("n"))))
+    packed = dealt.groupBy(*by, "_block").agg(cell.alias("_c"), F.sum("n").alias("_total"))
+    return packed.select(*by, "_block", F.transform("_c", lambda c: c["v"]).alias("_values"), F.transform("_c", lambda c: c["n"]).alias("_counts"), "_total")
+
+
+def _seed_of(seed: int, key: str, *more: int) -> np.random.Generator:
+    return np.random.default_rng([seed, zlib.crc32(key.encode()), *more])
+
+
+def replicate_sums(cell_df: DataFrame, by: list[str], b: int, seed: int, block: int = _BLOCK, step: int = 500) -> DataFrame:
+    """(by, replicate b, sum of the resampled values) for keys with any number of distinct values.
+
+    A multinomial draw is made in two levels: first how many draws fall to each block of cells, then the draw inside each
+    block, on its own task and summed at once. Only block totals of a key meet, and no array is longer than a block.
+    """
+    key = F.to_json(F.struct(*by)) if by else F.lit("")
+    blocks = _block_cells(cell_df, by, block)
+    fields = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in blocks.select(*by).schema)
+    totals = blocks.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct("_block", "_total"))).alias("_t"))
+    starts = F.explode(F.sequence(F.lit(0), F.lit(b - 1), F.lit(step))).alias("_from")
+    first = totals.select(*by, key.alias("_key"), F.transform("_t", lambda t: t["_block"]).alias("_ids"), F.transform("_t", lambda t: t["_total"]).alias("_sizes"), starts)
+
+    def deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for row in pdf.to_dict("records"):
+                sizes = np.asarray(row["_sizes"], dtype=np.int64)
+                drawn = _seed_of(seed, row["_key"], int(row["_from"])).multinomial(int(sizes.sum()), sizes / sizes.sum(), size=min(step, b - int(row["_from"])))
+                yield pd.DataFrame({**{c: [row[c]] * len(sizes) for c in by}, "_block": np.asarray(row["_ids"], np.int32), "_from": np.int32(row["_from"]), "_drawn": list(drawn.T)})
+
+    def inside(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out = []
+            for row in pdf.to_dict("records"):
+                counts, drawn = np.asarray(row["_counts"], dtype=np.int64), np.asarray(row["_drawn"], dtype=np.int64)
+                rng, sums = _seed_of(seed, row["_key"], int(row["_from"]), 1 + int(row["_block"])), []
+                for i in range(0, len(drawn), 50):  # replicates held at once
+                    sums.append(rng.multinomial(drawn[i : i + 50], counts / counts.sum()) @ np.asarray(row["_values"]))
+                out.append({**{c: row[c] for c in by}, "_from": np.int32(row["_from"]), "_sums": np.concatenate(sums)})
+            yield pd.DataFrame(out)
+
+    dealt = first.mapInPandas(deal, f"{fields}_block int, _from int, _drawn array<bigint>")
+    keyed = join_keys(dealt, blocks, [*by, "_block"]).withColumn("_key", key).select(*by, "_key", "_block", "_from", "_drawn", "_values", "_counts")
+    parts = keyed.mapInPandas(inside, f"{fields}_from int, _sums array<double>")
+    return parts.select(*by, "_from", F.posexplode("_sums").alias("_i", "_s")).groupBy(*by, (F.col("_from") + F.col("_i")).alias("b")).agg(F.sum("_s").alias("total"))
+
+
 def mean_ci(df: DataFrame, by: list[str], value: str, b: int = 5000, seed: int = 0, sampler: str = "multinomial") -> DataFrame:
     """Interval of a mean over items; plain index bounds floor(0.025 B) and floor(0.975 B) - 1."""
-    cell_df = df.groupBy(*by, F.col(value).alias("value")).agg(F.count("*").alias("n"))
-    reps = replicate_cells(cell_df, by, ["value"], b, seed, sampler)
-    means = reps.groupBy(*by, "b").agg((F.sum(F.col("value") * F.col("n")) / F.sum("n")).alias("mean"))
+    cell_df = df.filter(F.col(value).isNotNull()).groupBy(*by, F.col(value).alias("value")).agg(F.count("*").alias("n"))
+    if sampler == "multinomial":
+        size = cell_df.groupBy(*by).agg(F.sum("n").alias("_n"))
+        means = join_keys(replicate_sums(cell_df, by, b, seed), size, by).withColumn("mean", F.col("total") / F.col("_n"))
+    else:
+        reps = replicate_cells(cell_df, by, ["value"], b, seed, sampler)
+        means = reps.groupBy(*by, "b").agg((F.sum(F.col("value") * F.col("n")) / F.sum("n")).alias("mean"))
     arr = means.groupBy(*by).agg(F.sort_array(F.collect_list("mean")).alias("_v"))
     point = cell_df.groupBy(*by).agg((F.sum(F.col("value") * F.col("n")) / F.sum("n")).alias("mean"), F.sum("n").alias("n"))
     return point.join(arr, by).select(

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.columns import first_case, is_missing, strip
+from .files import scan_files
 
 # What a file is when it is not a table.
 LFS_POINTER = r"^version https://git-lfs\.github\.com/spec/v1\r?\noid sha256:[0-9a-f]{64}\r?\nsize [0-9]+\r?\n?"
@@ -19,11 +20,11 @@ class SourceError(ValueError):
     """A table that cannot be read as declared."""
 
 
-def read_labelled(spark: SparkSession, path: str, fmt: str = "csv") -> DataFrame:
+def read_labelled(spark: SparkSession, path: str, fmt: str = "csv", multi_line: bool = True) -> DataFrame:
     """Read a labelled table; CSV cells stay strings, names are trimmed, duplicate names are refused.
 
     The header of the first file fixes the schema and every other file's header is checked
-    against it by the reader.
+    against it by the reader. Without ``multi_line`` no cell may hold a line break, and large files are split.
     """
     if fmt == "parquet":
         return spark.read.parquet(path)
@@ -36,7 +37,7 @@ def read_labelled(spark: SparkSession, path: str, fmt: str = "csv") -> DataFrame
     raw_names = [n.lstrip("﻿") for n in next(csv.reader([head[0][0]]))]
     schema = T.StructType([T.StructField(n, T.StringType()) for n in raw_names])
     df = (
-        spark.read.schema(schema).option("header", True).option("multiLine", True).option("quote", '"').option("escape", '"')
+        spark.read.schema(schema).option("header", True).option("multiLine", multi_line).option("quote", '"').option("escape", '"')
         .option("enforceSchema", False).option("encoding", "UTF-8").option("emptyValue", "").csv(path))
     return df.toDF(*names)
 
@@ -52,10 +53,8 @@ def content_verdict(text: Column) -> Column:
 
 
 def classify_files(spark: SparkSession, path: str) -> DataFrame:
-    """(path, verdict) for many files; only strings that decode as UTF-8 count as text."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    text = F.when(F.is_valid_utf8(F.col("content").cast("string")), F.col("content").cast("string"))
-    return files.select("path", "length", content_verdict(text).alias("verdict"))
+    """(path, length, verdict) for many files of any size; only files that are UTF-8 throughout count as text."""
+    return scan_files(spark, path).select("path", "length", content_verdict(F.col("head")).alias("verdict"))
 
 
 def profile_columns(df: DataFrame) -> DataFrame:

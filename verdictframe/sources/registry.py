@@ -48,6 +48,23 @@ def read_runs(spark: SparkSession, path: str) -> DataFrame:
                        F.try_element_at("final_score.dimension_scores", F.col("p.dimension")).alias("score"))
 
 
+def write_documents(docs: DataFrame, folder: str, name: str = "name", doc: str = "doc") -> None:
+    """Write every row as a file of its own below a folder that the executors share; a retried task writes the same file."""
+    from pyarrow import fs
+
+    store, root = fs.FileSystem.from_uri(folder if "://" in folder else "file:///" + folder.split(":", 1)[-1].lstrip("/"))
+    store.create_dir(root)
+
+    def put(batches):
+        for b in batches:
+            for n, d in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                with store.open_output_stream(f"{root}/{n}") as f:
+                    f.write(d.encode())
+            yield b.slice(0, 0)
+
+    docs.select(F.col(name).alias("name"), F.col(doc).alias("doc")).mapInArrow(put, "name string, doc string").write.format("noop").mode("overwrite").save()
+
+
 def union_tables(tables: list[DataFrame]) -> DataFrame:
     """Union with all columns in first-seen order; absent ones are NULL."""
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), tables)

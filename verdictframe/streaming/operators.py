@@ -6,17 +6,20 @@ which is how the stream results are checked.
 
 from __future__ import annotations
 
+import time
 import uuid
 from collections.abc import Callable, Iterator
 from typing import Any
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQueryListener
+from pyspark.sql.streaming.stateful_processor import TimerValues
 
-from ..operators.lifecycle import IN_PROGRESS, TRANSITIONS
+from ..operators.lifecycle import IN_PROGRESS, STATES, TRANSITIONS
 from ..session import ensure_checkpoint_dir
 
 
@@ -26,19 +29,58 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
 
 
-def windowed_cells(rows: DataFrame, ts: str, width: str, delay: str, by: list[str], slide: str | None = None,
+def windowed_cells(rows: DataFrame, ts: str, width: str, delay: str | None, by: list[str], slide: str | None = None,
                    grp: str = "grp", label: str = "label", pred: str = "y_hat") -> DataFrame:
-    """Confusion cells per event-time window; every group metric follows from them."""
+    """Confusion cells per event-time window; every group metric follows from them.
+
+    ``delay`` sets the watermark of a stream; None keeps the one it has, as after :func:`once`.
+    """
     win = F.window(ts, width, slide) if slide else F.window(ts, width)
-    marked = rows.withWatermark(ts, delay) if rows.isStreaming else rows
+    marked = rows.withWatermark(ts, delay) if rows.isStreaming and delay else rows
     return marked.groupBy(win.alias("w"), *by, F.col(grp).alias("grp"), F.col(label).alias("label"), F.col(pred).alias("y_hat")).agg(
         F.count("*").alias("n")).select(F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), *by, "grp", "label", "y_hat", "n")
 
 
-def late_rows(rows: DataFrame, ts: str, delay_s: float, seen_until: Any) -> DataFrame:
-    """Rows of a batch that the watermark already excludes, counted so that nothing is lost silently."""
-    limit = F.lit(seen_until).cast("timestamp") - F.make_dt_interval(secs=F.lit(float(delay_s)))
-    return rows.filter(F.col(ts) < limit).agg(F.count("*").alias("late_rows"))
+class DroppedRows(StreamingQueryListener):
+    """Rows that a query's watermark has dropped so far, per micro-batch.
+
+    Only operators that meet raw rows count them: an aggregation meets partial groups, so put :func:`once` before it.
+    """
+
+    def __init__(self) -> None:
+        self.by_batch: dict[tuple[str, int], int] = {}
+        self.ended: set[str] = set()
+
+    def onQueryStarted(self, event: Any) -> None:
+        pass
+
+    def onQueryProgress(self, event: Any) -> None:
+        states = [x for x in event.progress.stateOperators if x.operatorName in ("dedupeWithinWatermark", "transformWithStateInPandasExec")]
+        # a batch may report more than once
+        self.by_batch[str(event.progress.runId), event.progress.batchId] = sum(x.numRowsDroppedByWatermark for x in states)
+
+    def onQueryTerminated(self, event: Any) -> None:
+        self.ended.add(str(event.runId))
+
+    def total(self, run_id: str, patience_s: float = 30.0) -> int:
+        """Dropped rows of an ended query; its last reports arrive a little after its end."""
+        until = time.monotonic() + patience_s
+        while run_id not in self.ended:
+            if time.monotonic() > until:
+                raise TimeoutError("the query's reports have not arrived")
+            time.sleep(0.05)
+        return sum(n for (run, _), n in self.by_batch.items() if run == run_id)
+
+
+def once(rows: DataFrame, keys: list[str], ts: str, delay: str) -> DataFrame:
+    """Rows within the watermark, each key once: late rows and redeliveries go, and the late ones are counted by the query.
+
+    A row is late when its time is not after the watermark with which the micro-batch before its own ran: the newest time
+    of the batches before that one, less ``delay``.
+    """
+    if not rows.isStreaming:
+        return rows.dropDuplicates(keys)
+    return rows.withWatermark(ts, delay).dropDuplicatesWithinWatermark(keys)
 
 
 def sessions(events: DataFrame, key: list[str], ts: str, gap: str, delay: str) -> DataFrame:
@@ -62,45 +104,90 @@ def distinct_content(files: DataFrame, content: str, ts: str, delay: str) -> Dat
     return hashed.dropDuplicates(["sha256"])
 
 
-_LIFE_SCHEMA = "evaluation_id bigint, id bigint, event_type string, accepted boolean, state string"
+_LIFE_SCHEMA = "evaluation_id bigint, id bigint, event_type string, accepted boolean, state string, late boolean"
+
+
+def transition_maps(transitions: dict[str, tuple[str, tuple[str, ...]]], states: tuple[str, ...]) -> tuple[dict[str, int], np.ndarray]:
+    """Row number of each event and one map per row, from state number to state number; the last row changes nothing."""
+    maps = np.tile(np.arange(len(states)), (len(transitions) + 1, 1))
+    for k, (target, sources) in enumerate(transitions.values()):
+        maps[k, [states.index(s) for s in sources]] = states.index(target)
+    return {event: k for k, event in enumerate(transitions)}, maps
 
 
-def lifecycle_stream(events: DataFrame, idle: str | None = None, idle_ms: int = 0) -> DataFrame:
-    """Accepted or rejected per event with the state kept per evaluation.
+def prefix_states(rows: np.ndarray, maps: np.ndarray, start: int) -> np.ndarray:
+    """State before the first event and after each one; maps are composed by doubling, without a loop over events."""
+    chain = maps[rows]
+    span = 1
+    while span < len(chain):
+        chain[span:] = np.take_along_axis(chain[span:], chain[:-span].copy(), axis=1)
+        span *= 2
+    return np.concatenate([[start], chain[:, start]])
 
-    Events of a micro-batch are applied in id order.  With ``idle_ms`` an evaluation left in
-    progress emits a synthetic 'stuck' row once no event came for that long.
+
+class LifecycleProcessor(StatefulProcessor):
+    """Status of one evaluation: the state name, the largest id seen and the number of late ids are kept as a value state.
+
+    The events of a micro-batch are applied in order of id. An id that is not larger than one of an earlier batch is late:
+    it is reported, counted and not applied. With ``idle_ms`` every batch sets a timer; when it ends and the evaluation is
+    in progress, one row 'stuck' is sent, and the state stays.
     """
-    def step(key: tuple, chunks: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        current = state.get[0] if state.exists else "NONE"
-        if state.hasTimedOut:
-            state.remove()
-            if current in IN_PROGRESS:
-                yield pd.DataFrame({"evaluation_id": [key[0]], "id": [-1], "event_type": ["stuck"], "accepted": [False], "state": [current]})
-            return
-        rows = pd.concat(list(chunks)).sort_values("id")  # one evaluation's events of one micro-batch
-        out = []
-        for event_id, event in zip(rows["id"], rows["event_type"], strict=True):
-            target, sources = TRANSITIONS.get(event, (None, ()))
-            accepted = current in sources
-            current = target if accepted else current
-            out.append((key[0], int(event_id), event, accepted, current))
-        state.update((current,))
-        if idle_ms:
-            state.setTimeoutDuration(idle_ms)
-        yield pd.DataFrame(out, columns=["evaluation_id", "id", "event_type", "accepted", "state"])
-
-    timeout = GroupStateTimeout.ProcessingTimeTimeout if idle_ms else GroupStateTimeout.NoTimeout
-    return events.groupBy("evaluation_id").applyInPandasWithState(step, _LIFE_SCHEMA, "state string", "append", timeout)
-
-
-def read_events(spark: SparkSession, folder: str, name: str, schema: T.StructType) -> DataFrame:
+
+    def __init__(self, idle_ms: int, transitions: dict[str, tuple[str, tuple[str, ...]]], states: tuple[str, ...], in_progress: tuple[str, ...]) -> None:
+        self.idle_ms, self.states, self.in_progress = idle_ms, states, in_progress
+        self.rows, self.maps = transition_maps(transitions, states)
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.value = handle.getValueState("status", "state string, last_id bigint, late bigint")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
+        current, last, late_before = self.value.get() if self.value.exists() else (self.states[0], -1, 0)
+        batch = pd.concat(list(rows)).sort_values("id", kind="stable")  # one evaluation's events of one micro-batch
+        ids, events = batch["id"].to_numpy(), batch["event_type"]
+        late = ids <= last
+        at = events[~late].map(self.rows).fillna(len(self.maps) - 1).to_numpy(np.int64)
+        path = prefix_states(at, self.maps, self.states.index(current))
+        names = np.array(self.states, object)
+        accepted, state = np.zeros(len(ids), bool), np.full(len(ids), current, object)
+        accepted[~late], state[~late] = path[1:] != path[:-1], names[path[1:]]
+        self.value.update((str(names[path[-1]]), int(max(last, ids[-1])), int(late_before + late.sum())))
+        if self.idle_ms:
+            for timer in self.handle.listTimers():
+                self.handle.deleteTimer(timer)
+            self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.idle_ms)
+        yield pd.DataFrame({"evaluation_id": key[0], "id": ids, "event_type": events.to_numpy(), "accepted": accepted, "state": state, "late": late})
+
+    def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
+        current, last, _ = self.value.get()
+        if current in self.in_progress:
+            yield pd.DataFrame({"evaluation_id": [key[0]], "id": [last], "event_type": ["stuck"], "accepted": [False], "state": [current], "late": [False]})
+
+    def close(self) -> None:
+        pass
+
+
+def lifecycle_stream(events: DataFrame, idle_ms: int = 0, transitions: dict[str, tuple[str, tuple[str, ...]]] = TRANSITIONS,
+                     states: tuple[str, ...] = STATES, in_progress: tuple[str, ...] = IN_PROGRESS) -> DataFrame:
+    """Accepted or rejected per event with the state kept per evaluation; see :class:`LifecycleProcessor`.
+
+    ``events`` holds evaluation_id, id and event_type. The state needs the RocksDB store, which is set for the session.
+    """
+    spark = events.sparkSession
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    processor = LifecycleProcessor(idle_ms, transitions, states, in_progress)
+    return events.select("evaluation_id", "id", "event_type").groupBy("evaluation_id").transformWithStateInPandas(
+        processor, _LIFE_SCHEMA, "append", "ProcessingTime" if idle_ms else "None")
+
+
+def read_events(spark: SparkSession, folder: str, name: str, schema: T.StructType, files_per_batch: int | None = None) -> DataFrame:
     """File stream over the parquet files called ``name`` in a folder."""
-    return spark.readStream.schema(schema).option("pathGlobFilter", name).parquet(folder)
+    reader = spark.readStream.schema(schema).option("pathGlobFilter", name)
+    return (reader.option("maxFilesPerTrigger", files_per_batch) if files_per_batch else reader).parquet(folder)
 
 
-def run_to_table(stream: DataFrame, mode: str, name: str) -> DataFrame:
-    """Drain a stream (available-now) into parquet and read it back.
+def run_to_table(stream: DataFrame, mode: str, name: str, dropped: DroppedRows | None = None) -> DataFrame:
+    """Drain a stream (available-now) into parquet and read it back; ``dropped`` adds its late rows as column late_rows.
 
     Append results go to the exactly-once file sink.  For update mode every micro-batch is
     written under its own epoch folder, so a replayed epoch overwrites itself.
@@ -113,8 +200,15 @@ def run_to_table(stream: DataFrame, mode: str, name: str) -> DataFrame:
     else:
         q = writer.foreachBatch(lambda df, epoch: df.write.mode("overwrite").parquet(f"{out}/epoch={epoch}")).start()
     q.awaitTermination()
+    late = [F.lit(dropped.total(str(q.runId))).cast("bigint").alias("late_rows")] if dropped else []
     schema = stream.schema if mode == "append" else T.StructType([*stream.schema.fields, T.StructField("epoch", T.LongType())])
-    return spark.read.schema(schema).parquet(out)
+    return spark.read.schema(schema).parquet(out).select("*", *late)
+
+
+def run_into(stream: DataFrame, sink: Callable[[DataFrame, int], None], name: str) -> None:
+    """Drain a stream (available-now) into a foreachBatch sink."""
+    writer = stream.writeStream.option("checkpointLocation", scratch(stream.sparkSession, f"{name}-chk")).trigger(availableNow=True)
+    writer.foreachBatch(sink).start().awaitTermination()
 
 
 def upsert_registry(registry_path: str, build: Callable[[DataFrame, DataFrame], DataFrame]) -> Callable[[DataFrame, int], None]:
