@@ -26,6 +26,7 @@ from verdictframe.operators import metrics as M
 from verdictframe.operators import ratings as S
 from verdictframe.operators import rows as R
 from verdictframe.operators import study as T
+from verdictframe.plans import audit as P
 from verdictframe.operators.ordering import cumulative_counts, hash_ranks, lowest_hashes, previous_by_id
 from verdictframe.sources import labelled as B
 from verdictframe.sources import registry as Q
@@ -473,3 +474,78 @@ def test_replicate_sums_do_not_depend_on_partitions(spark):
     a = told(df)
     assert len(a) == 60 and {t for k, _, t in a if k == ""} == {10.0}
     assert [(k, b, round(t, 6)) for k, b, t in told(df.repartition(5))] == [(k, b, round(t, 6)) for k, b, t in a]
+
+
+# --- probe registry ----------------------------------------------------------
+
+
+def audit_inputs(spark):
+    rnd = random.Random(9)
+    rows = [(e, rnd.choice("ab"), y, y if rnd.random() < 0.9 else 1 - y, y if rnd.random() < 0.8 else 1 - y, int(rnd.random() < 0.3))
+            for e in ("e1", "e2", "e3") for y in (rnd.randint(0, 1) for _ in range(300))]
+    rows = spark.createDataFrame(rows, "e string, grp string, label int, y_hat int, y_robust int, severe int")
+    cards = spark.createDataFrame([(e, "m/x", "a" * 40, ["f"], ["f"], "# T\nsome text", "mit", None, None) for e in ("e1", "e2", "e4")],
+                                  "e string, model_ref string, revision string, files array<string>, live_files array<string>, card_text string, license string, reference_hash string, local_hash string")
+    return rows, cards
+
+
+def test_a_sixth_probe_and_side_inputs(spark):
+    rows, cards = audit_inputs(spark)
+    checks = spark.createDataFrame([("e1", 0.5, 1.0, False, False), ("e2", 1.0, 1.0, True, False)],
+                                   "e string, label_fraction double, coverage double, domain_mismatch boolean, allow_mismatch boolean")
+    artifacts = spark.createDataFrame([("e1", "MISMATCH")], "e string, artifact_status string")
+    leaks = spark.createDataFrame([("e1", 3), ("e2", 0)], "e string, n int")
+
+    def privacy(x):
+        found = F.col("n") > 0
+        return P.verdict_row(x.extra["leaks"], x.by, "PRIVACY", probe_status=F.lit("EVALUATED"), has_checks=F.lit(True),
+                             aspect_scoring=F.when(found, "risk_detected").otherwise("no_material_risk"), risks=C.reasons((found, "P-LEAK")))
+
+    probes = P.with_probe(P.PROBES, P.Probe("PRIVACY", privacy, ("leaks",)), before="SAFETY")
+    assert [p.dimension for p in probes] == ["FAIRNESS", "ROBUSTNESS", "INTEGRITY", "EXPLAINABILITY", "PRIVACY", "SAFETY"]
+    got = {(r["e"], r["dimension"]): r for r in P.verdicts(rows, cards, "e", probes=probes, checks=checks, artifacts=artifacts, extra={"leaks": leaks}).collect()}
+    assert len(got) == 4 * 6
+    assert got["e1", "PRIVACY"]["risks"] == ["P-LEAK"] and got["e2", "PRIVACY"]["risks"] == [] and got["e4", "PRIVACY"]["failed_gates"] == [P.NO_INPUT]
+    assert got["e1", "ROBUSTNESS"]["failed_gates"][0] == "G-ROB-LABEL-COMPAT" and got["e2", "ROBUSTNESS"]["failed_gates"][0] == "G-ROB-DOMAIN"
+    assert got["e1", "INTEGRITY"]["artifact_status"] == "MISMATCH" and got["e2", "INTEGRITY"]["artifact_status"] is None
+    plain = {(r["e"], r["dimension"]): r for r in P.verdicts(rows, cards, "e", probes=probes).collect()}
+    assert plain["e1", "PRIVACY"]["failed_gates"] == [P.NO_INPUT]  # its table was not given, so it did not run
+    assert plain["e1", "FAIRNESS"]["probe_status"] == got["e1", "FAIRNESS"]["probe_status"]
+
+
+def test_the_registry_refuses_what_is_no_probe(spark):
+    with pytest.raises(ValueError, match="registered already"):
+        P.with_probe(P.PROBES, P.Probe("SAFETY", P.safety_probe))
+    rows, cards = audit_inputs(spark)
+    odd = P.with_probe(P.PROBES, P.Probe("ODD", lambda x: x.models.select("e")))
+    with pytest.raises(ValueError, match="verdict columns"):
+        P.verdicts(rows, cards, "e", probes=odd)
+
+
+def test_bucketwise_reconciliation_misses_nothing(spark):
+    rnd = random.Random(6)
+    left = [(i, None if i % 50 == 3 else rnd.uniform(-5, 5)) for i in range(600)] + [(9001, float("nan")), (9002, 1.0)]
+    right = [(i, x if x is None or i % 40 else x + rnd.choice([-1, 1]) * rnd.uniform(0.02, 2)) for i, x in left[5:-2]] + [(9001, float("nan")), (None, 2.0)]
+    a, b = spark.createDataFrame(left, "k int, x double"), spark.createDataFrame(right, "k int, x double")
+    told = lambda d: sorted(str(tuple(r)) for r in d.collect())
+    assert told(Q.reconcile_buckets(a, b, ["k"], "x", 0.01, 64)) == told(Q.reconcile(a, b, ["k"], "x", 0.01))
+    assert told(Q.reconcile_buckets(a, b, ["k"], "x", 0, 64)) == told(Q.reconcile(a, b, ["k"], "x", 0))
+    assert Q.differing_buckets(a, a, ["k"], "x", 0.01).count() == 0
+
+
+def test_replay_with_a_transition_table_of_its_own(spark):
+    rnd = random.Random(8)
+    events = [(e, i, rnd.choice([*L.ASSISTED_TRANSITIONS, "other"])) for e in range(4) for i in range(300)]
+    events += [(9, i, n) for i, n in enumerate(["created", "started", "probes_completed", "agent_completed", "awaiting_review", "finalized"])]
+    want = {}
+    state = {}
+    for e, i, name in events:
+        target, sources = L.ASSISTED_TRANSITIONS.get(name, (None, ()))
+        now = state.get(e, "NONE")
+        state[e] = target if now in sources else now
+        want[e, i] = (now in sources, state[e])
+    df = spark.createDataFrame(events, "e int, id long, event_type string").repartition(3)
+    rows = L.replay_status(df, ["e"], block=32, span=3, legal=L.ASSISTED_TRANSITIONS, states=L.ASSISTED_STATES).collect()
+    assert {(r["e"], r["id"]): (r["accepted"], r["state"]) for r in rows} == want
+    last = L.final_states(df, ["e"], block=32, span=3, legal=L.ASSISTED_TRANSITIONS, states=L.ASSISTED_STATES).collect()
+    assert {r["e"]: r["state"] for r in last} == state and state[9] == "FINALIZED"

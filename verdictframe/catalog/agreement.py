@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from ..operators import agreement as A
+from ..sources.registry import reconcile_buckets
 from .base import query
 from .generate import hash_sql
 from .ratings import V4_SQL, typed
@@ -280,13 +281,11 @@ def _(v):
     return A.match_count(A.plurality(v("v_ratings"), ITEM, "q3"), F.when(F.col("item") % 2 == 0, "SAFETY").otherwise("FAIRNESS"))
 
 
-_PUBLISHED = """, g AS (SELECT item, max(study) AS study, avg(CASE WHEN q1 = 'YES' THEN 1.0::DOUBLE ELSE 0 END) AS x FROM rt GROUP BY 1), a AS (SELECT study, round(avg(x), 2) AS x FROM g GROUP BY 1), b AS (SELECT study, avg(x) AS x FROM g GROUP BY 1)"""
-
-
-@query("agr_20_recompute", _RT + _PUBLISHED + """ SELECT study, a.x AS left_value, round(b.x, 6) AS right_value, 'differs' AS problem FROM a JOIN b USING (study) WHERE abs(a.x - b.x) > 0.001""", ("v_ratings",))
+# the published agreement of an item is rounded, and off by a tenth in some; it is recomputed answer pair by answer pair
+@query("agr_20_recompute", _RT + """, p AS (SELECT a.item, avg((a.q1 = b.q1)::INT) AS x FROM rt a JOIN rt b ON a.item = b.item AND a.rater < b.rater GROUP BY 1),
+ s AS (SELECT item, round(x, 4) + CASE WHEN item % 17 = 0 THEN 0.1::DOUBLE ELSE 0 END AS x FROM p)
+SELECT item, round(s.x, 6) AS left_value, round(p.x, 6) AS right_value, 'differs' AS problem FROM s JOIN p USING (item) WHERE abs(s.x - p.x) > 0.001""", ("v_ratings",))
 def _(v):
-    from ..sources.registry import reconcile
-
-    share = ratings(v).groupBy("item").agg(F.max("study").alias("study"), F.avg((F.col("q1") == "YES").cast("double")).alias("x"))
-    recomputed = share.groupBy("study").agg(F.avg("x").alias("x"))
-    return reconcile(recomputed.withColumn("x", F.round("x", 2)), recomputed, ["study"], "x", 0.001)
+    published = A.pair_agree(ratings(v), ITEM, "q1").select("item", (F.round("agreement", 4) + F.when(F.col("item") % 17 == 0, 0.1).otherwise(0.0)).alias("x"))
+    recomputed = A.rater_pairs(ratings(v), [], ITEM, "rater", "q1").groupBy("item").agg(F.avg((F.col("a") == F.col("b")).cast("double")).alias("x"))
+    return reconcile_buckets(published, recomputed, ITEM, "x", 0.001)

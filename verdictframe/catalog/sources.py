@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from ..functions.columns import is_missing, strip
 from ..sources import labelled as L
 from ..sources import registry as G
 from ..streaming.operators import scratch
@@ -77,6 +78,24 @@ def _(v):
     return L.profile_columns(v("v_raw").select(*_RAWCOLS))
 
 
+def _distinct_sql(cols):
+    return ", ex AS (" + " UNION ALL ".join(f"SELECT '{c}' AS \"column\", count(DISTINCT CASE WHEN NOT {missing_sql(c)} THEN {strip_sql(c)} END) AS exact FROM s" for c in cols) + ")"
+
+
+@query("src_03_union_profile", ", s AS (SELECT text, target, grp, severe, length FROM v_raw)" + _distinct_sql(_RAWCOLS) + _profile_sql(_RAWCOLS).replace(
+    " FROM p", ", exact AS distinct_exact, true AS estimate_close FROM p JOIN ex USING (\"column\")"), ("v_raw",))
+def _(v):
+    # every dataset is profiled when it comes in; the profile of all of them is read from the stored ones alone
+    raw = v("v_raw").select("dataset_id", *_RAWCOLS)
+    folder = scratch(v.spark, "profiles")
+    L.column_sketches(raw, ["dataset_id"]).write.parquet(folder)
+    merged = L.merge_profiles(v.spark.read.parquet(folder))
+    cells = raw.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("v")) for c in _RAWCOLS])).alias("x")).select("x.*")
+    exact = cells.groupBy("column").agg(F.count_distinct(F.when(~is_missing("v"), strip("v"))).alias("distinct_exact"))
+    close = F.abs(F.col("distinct_estimate") - F.col("distinct_exact")) <= F.col("distinct_exact") * 0.03 + 1
+    return merged.join(exact, "column").select("column", "position", "non_missing", "inferred_type", "distinct_exact", close.alias("estimate_close"))
+
+
 @query("src_04_row_count", "SELECT count(*) AS rows FROM v_raw", ("v_raw",))
 def _(v):
     return L.row_count(v("v_raw"))
@@ -128,7 +147,7 @@ def _(v):
     a = o.groupBy(F.col("o_custkey").alias("k")).agg(F.round(F.sum("o_totalprice"), 2).alias("x"))
     changed = F.when(F.col("o_orderkey") % 97 == 0, F.col("o_totalprice") + 5).otherwise(F.col("o_totalprice"))
     b = o.filter((F.col("o_orderstatus") != "P") | (F.col("o_custkey") % 2 == 0)).groupBy(F.col("o_custkey").alias("k")).agg(F.round(F.sum(changed), 2).alias("x"))
-    return G.reconcile(a, b, ["k"], "x", 1.0)
+    return G.reconcile_buckets(a, b, ["k"], "x", 1.0)
 
 
 @query("src_13_flatten_probe", """SELECT evaluation_id, dimension, probe_status AS status, aspect_scoring, CASE WHEN evaluation_id % 8 = 3 THEN NULL ELSE round(coverage_ratio, 6) END AS coverage, CASE WHEN evaluation_id % 8 = 3 THEN NULL ELSE n_evaluated END AS n, CASE WHEN risks <> '' THEN risks END AS first_risk FROM v_probes""", ("v_probes",))

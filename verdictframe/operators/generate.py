@@ -88,7 +88,7 @@ def stratified_sample(df: DataFrame, key: str, size: int, pos_rate: float, seed:
     n_pos = round(size * pos_rate)
     rows = without_texts(df, exclude, text).withColumn("_hash", hash_rank(seed, key))
     quota = F.when(F.col(label) == 1, F.lit(n_pos)).otherwise(F.lit(size - n_pos))
-    return lowest_hashes(rows, quota, "_hash", [label], [key]).drop("_hash")
+    return lowest_hashes(rows, quota, "_hash", [label], [key], max(n_pos, size - n_pos)).drop("_hash")
 
 
 def quota_sample(df: DataFrame, key: str, cells: list[str], quotas: dict[tuple, int], seed: int, text: str = "text",
@@ -96,13 +96,16 @@ def quota_sample(df: DataFrame, key: str, cells: list[str], quotas: dict[tuple,
     """Text-unique rows per cell up to its quota; copies of a text keep the row that comes first in seeded order."""
     cols = df.columns
     rows = without_texts(df, exclude, text).withColumn("_hash", hash_rank(seed, key))
-    first = rows.groupBy(F.xxhash64(text).alias("_th"), F.col(text).alias("_t")).agg(
-        F.min_by(F.struct(*cols, "_hash"), F.struct("_hash", key)).alias("_r")).select("_r.*")
+    # copies are told apart on keys alone: the first key of a text stays; bodies are read for the winners only
+    first = rows.groupBy(F.sha2(text, 256).alias("_th")).agg(F.min(F.struct("_hash", F.col(key).alias("_k"))).alias("_f"))
+    cell = rows.select(key, "_hash", *[c for c in cells if c != key], F.sha2(text, 256).alias("_th"))
+    unique = cell.join(first, cell["_th"].eqNullSafe(first["_th"]) & (cell["_hash"] == first["_f._hash"]) & (cell[key] == first["_f._k"]), "left_semi")
     quota = F.lit(0)
     for values, n in quotas.items():
         cond = reduce(lambda a, b: a & b, [F.col(c) == x for c, x in zip(cells, values, strict=True)])
         quota = F.when(cond, n).otherwise(quota)
-    return lowest_hashes(first, quota, "_hash", cells, [key]).drop("_hash")
+    chosen = lowest_hashes(unique, quota, "_hash", cells, [key], max(quotas.values(), default=0))
+    return rows.join(chosen.select(key, "_hash"), [key, "_hash"], "left_semi").select(*cols)
 
 
 def quota_shortfall(sample: DataFrame, cells: list[str], quotas: dict[tuple, int]) -> DataFrame:
@@ -119,7 +122,7 @@ def quota_shortfall(sample: DataFrame, cells: list[str], quotas: dict[tuple, int
 def seeded_slice(df: DataFrame, key: str, n: int, seed: int, exclude: DataFrame | None = None, text: str = "text") -> DataFrame:
     """First ``n`` rows in seeded order."""
     rows = without_texts(df, exclude, text).withColumn("_hash", hash_rank(seed, key))
-    return lowest_hashes(rows, F.lit(n), "_hash", None, [key]).drop("_hash")
+    return lowest_hashes(rows, F.lit(n), "_hash", None, [key], n).drop("_hash")
 
 
 def flip_labels(df: DataFrame, key: str, where: Column, to: int, rate: float, seed: int, label: str = "label",

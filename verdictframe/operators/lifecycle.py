@@ -25,15 +25,23 @@ ACTIVE = ("PENDING", "RUNNING", "PROBES_COMPLETED", "AGENT_COMPLETED")
 LEGACY = "legacy"
 
 
-def _state(name: str) -> int:
-    return STATES.index(name)
+#: Evaluations with an agent and a reviewer pass two more states; without a reviewer they end after the agent.
+ASSISTED_STATES = ("NONE", "PENDING", "RUNNING", "PROBES_COMPLETED", "AGENT_COMPLETED", "AWAITING_REVIEW", "FINALIZED", "FAILED")
+ASSISTED_TRANSITIONS = {
+    **TRANSITIONS,
+    "agent_completed": ("AGENT_COMPLETED", ("PROBES_COMPLETED",)),
+    "awaiting_review": ("AWAITING_REVIEW", ("AGENT_COMPLETED",)),
+    "finalized": ("FINALIZED", ("AGENT_COMPLETED", "AWAITING_REVIEW")),
+    "failed": ("FAILED", ("RUNNING", "PROBES_COMPLETED", "AGENT_COMPLETED")),
+}
+Legal = dict[str, tuple[str, tuple[str, ...]]]
 
 
-def _apply(event: Column, state: Column) -> Column:
+def _apply(event: Column, state: Column, legal: Legal, states: tuple[str, ...]) -> Column:
     """Next state number of a compare-and-set transition; an event from a wrong state changes nothing."""
     return first_case(*[
-        ((event == name) & state.isin(*[_state(x) for x in sources]), _state(target))
-        for name, (target, sources) in TRANSITIONS.items()], default=state)
+        ((event == name) & state.isin(*[states.index(x) for x in sources]), states.index(target))
+        for name, (target, sources) in legal.items()], default=state)
 
 
 def _compose(maps: Column, start: Column) -> Column:
@@ -41,59 +49,62 @@ def _compose(maps: Column, start: Column) -> Column:
     return F.aggregate(maps, start, lambda s, m: F.element_at(m, s + 1))
 
 
-def _starts() -> list[Column]:
-    return [F.lit(i) for i in range(len(STATES))]
-
-
-def _blocks(events: DataFrame, by: list[str], order: str, event: str, block: int, span: int) -> DataFrame:
+def _blocks(events: DataFrame, by: list[str], order: str, event: str, block: int, span: int, legal: Legal, states: tuple[str, ...]) -> DataFrame:
     """Blocks of consecutive ids with their events in order and their transition map."""
     b = F.floor(F.col(order) / block).cast("bigint")
     item = F.struct(F.col(order).cast("bigint").alias("id"), F.col(event).alias("e"))
     packed = events.groupBy(*by, b.alias("_b")).agg(F.sort_array(F.collect_list(item)).alias("_ev"))
-    ends = F.array(*[F.aggregate("_ev", s, lambda acc, x: _apply(x["e"], acc)) for s in _starts()])
+    ends = F.array(*[F.aggregate("_ev", F.lit(s), lambda acc, x: _apply(x["e"], acc, legal, states)) for s in range(len(states))])
     return packed.withColumn("_map", ends).withColumn("_span", F.floor(F.col("_b") / span).cast("bigint"))
 
 
-def _spans(blocks: DataFrame, by: list[str]) -> DataFrame:
+def _spans(blocks: DataFrame, by: list[str], states: tuple[str, ...]) -> DataFrame:
     """Transition map of every span of blocks."""
     maps = F.transform(F.sort_array(F.collect_list(F.struct("_b", "_map"))), lambda x: x["_map"])
     packed = blocks.groupBy(*by, "_span").agg(maps.alias("_maps"))
-    return packed.select(*by, "_span", F.array(*[_compose(F.col("_maps"), s) for s in _starts()]).alias("_smap"))
+    return packed.select(*by, "_span", F.array(*[_compose(F.col("_maps"), F.lit(s)) for s in range(len(states))]).alias("_smap"))
 
 
-def _name(state: Column) -> Column:
-    return F.element_at(F.array(*[F.lit(s) for s in STATES]), state + 1)
+def _name(state: Column, states: tuple[str, ...]) -> Column:
+    return F.element_at(F.array(*[F.lit(s) for s in states]), state + 1)
 
 
 def replay_status(events: DataFrame, by: list[str], order: str = "id", event: str = "event_type", block: int = 10_000,
-                  span: int = 1_000) -> DataFrame:
+                  span: int = 1_000, legal: Legal = TRANSITIONS, states: tuple[str, ...] = STATES) -> DataFrame:
     """Accepted or rejected per event, and the state after it, in id order.
 
-    A block of events is a map from start state to end state.  Blocks hold at most
+    ``legal`` names for each event the state it leads to and the states it may come from; the first of ``states`` is the
+    start. A block of events is a map from start state to end state.  Blocks hold at most
     ``block`` events and are folded apart; spans of blocks are composed the same way, and
     only their maps are chained, so one busy evaluation is spread over many tasks.
     """
-    blocks = _blocks(events, by, order, event, block, span)
+    blocks = _blocks(events, by, order, event, block, span, legal, states)
     earlier = W.partitionBy(*by).orderBy("_span").rowsBetween(W.unboundedPreceding, -1)
-    entry = _spans(blocks, by).select(*by, "_span", _compose(F.collect_list("_smap").over(earlier), F.lit(0)).alias("_enter"))
+    entry = _spans(blocks, by, states).select(*by, "_span", _compose(F.collect_list("_smap").over(earlier), F.lit(0)).alias("_enter"))
     inside = W.partitionBy(*by, "_span").orderBy("_b").rowsBetween(W.unboundedPreceding, -1)
     started = blocks.withColumn("_before", F.collect_list("_map").over(inside)).join(entry, [*by, "_span"]).withColumn(
         "_start", _compose(F.col("_before"), F.col("_enter")))
-    # running states of a block: each event knows the state it met
-    met = F.aggregate(
-        F.col("_ev"), F.array(F.col("_start")), lambda acc, x: F.concat(acc, F.array(_apply(x["e"], F.element_at(acc, -1)))))
+    # running states of a block as one character each: a string grows without its parts being copied one by one
+    mark = lambda state: F.char(state + 48)
+    start = F.struct(mark(F.col("_start")).alias("told"), F.col("_start").alias("now"))
+
+    def step(acc: Column, x: Column) -> Column:
+        after = _apply(x["e"], acc["now"], legal, states)
+        return F.struct(F.concat(acc["told"], mark(after)).alias("told"), after.alias("now"))
+
+    met = F.transform(F.split(F.aggregate("_ev", start, step)["told"], ""), lambda c: F.ascii(c) - 48)
     rows = started.withColumn("_met", met).select(*by, "_met", F.posexplode("_ev").alias("_i", "_x"))
     before, after = F.element_at("_met", F.col("_i") + 1), F.element_at("_met", F.col("_i") + 2)
     return rows.select(*by, F.col("_x.id").alias(order), F.col("_x.e").alias(event),
-                       (before != after).alias("accepted"), _name(after).alias("state"))
+                       (before != after).alias("accepted"), _name(after, states).alias("state"))
 
 
 def final_states(events: DataFrame, by: list[str], order: str = "id", event: str = "event_type", block: int = 10_000,
-                 span: int = 1_000) -> DataFrame:
+                 span: int = 1_000, legal: Legal = TRANSITIONS, states: tuple[str, ...] = STATES) -> DataFrame:
     """Last state per evaluation, from the composed maps only."""
-    spans = _spans(_blocks(events, by, order, event, block, span), by)
+    spans = _spans(_blocks(events, by, order, event, block, span, legal, states), by, states)
     maps = F.transform(F.sort_array(F.collect_list(F.struct("_span", "_smap"))), lambda x: x["_smap"])
-    return spans.groupBy(*by).agg(maps.alias("_maps")).select(*by, _name(_compose(F.col("_maps"), F.lit(0))).alias("state"))
+    return spans.groupBy(*by).agg(maps.alias("_maps")).select(*by, _name(_compose(F.col("_maps"), F.lit(0)), states).alias("state"))
 
 
 def _micros(c: Column) -> Column:

@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 from ..functions.columns import join_keys
 from ..session import materialize
 
+#: Largest top-k of a whole table, and of a key; the latter is also the limit up to which Spark ranks before a shuffle.
+TOP_ROWS, TOP_GROUP = 100_000, 1000
 _SLICES_SHIFT = 16  # a 32-bit hash leaves 65,536 slices per key
 
 
@@ -24,12 +26,21 @@ def lowest_hashes(
     hash_col: str,
     by: list[str] | None = None,
     ties: list[str] | None = None,
+    bound: int | None = None,
 ) -> DataFrame:
     """Rows whose (hash, ties) rank within ``by`` is at most ``quota``.
 
-    A histogram over hash slices finds the slice in which the quota is reached.
-    Lower slices are kept without sorting; only the boundary slice is ranked.
+    A small ``bound`` on all quotas makes it a top-k: every task keeps its first ``bound`` rows per key, and only those
+    are shuffled, so the rows are read once. Otherwise a histogram over hash slices finds the slice in which the quota is
+    reached; lower slices are kept without sorting, and only the boundary slice is ranked.
     """
+    if bound is not None and not by and bound <= TOP_ROWS:
+        return df.orderBy(hash_col, *(ties or [])).limit(bound)
+    if bound is not None and by and bound <= TOP_GROUP:
+        first = W.partitionBy(*by).orderBy(hash_col, *(ties or []))
+        most = F.col(quota) if isinstance(quota, str) else quota
+        ranked = df.withColumn("_rank", F.row_number().over(first)).filter(F.col("_rank") <= bound)
+        return ranked.filter(F.col("_rank") <= most).drop("_rank")
     keys = by or ["_all"]
     src = df if by else df.withColumn("_all", F.lit(0))
     quota_col = F.col(quota) if isinstance(quota, str) else quota

@@ -1,12 +1,16 @@
 """The whole audit of many evaluations as one lazily built plan.
 
-Prediction rows and model cards go in; verdicts of the five dimensions, evidence
-strength, ratings and a score (or its withholding) come out.  A probe is any function
-that returns the columns of :data:`VERDICT`; the ratings read nothing else.
+Prediction rows and model cards go in; verdicts of the probes, evidence strength,
+ratings and a score (or its withholding) come out.  Probes are an ordered registry:
+each names its dimension and the inputs it needs and returns the columns of
+:data:`VERDICT`, and nothing else is read from it.  The ratings cover the five built-in
+dimensions; verdicts cover every registered one.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from dataclasses import dataclass, field
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -53,65 +57,125 @@ def _one(c: str) -> Column:
     return F.filter(F.array(F.col(c)), lambda x: x.isNotNull())
 
 
-def fairness_probe(rows: DataFrame, by: list[str], min_group_n: int, seed: int = 42) -> DataFrame:
-    v = G.binary_verdict(rows, by, min_group_n, seed=seed, weight="n").drop("confidence")
-    j = v.join(M.fairness_bundle(rows, by, weight="n").select(*by, "n", "dpd", "eod", "excess_dpd", "min_group_n_observed"), by)
-    return verdict_row(j, by, "FAIRNESS", probe_status="status", aspect_scoring="aspect_scoring", risks=_one("risk"), failed_gates=_one("failed_gate"), flags="flags",
+@dataclass(frozen=True)
+class Inputs:
+    """What probes work on: the cube of the rows, one row of documentation per evaluation, and optional tables by evaluation.
+
+    ``checks`` holds label_fraction, coverage, domain_mismatch and allow_mismatch; ``artifacts`` holds artifact_status;
+    ``extra`` is for probes of your own.
+    """
+
+    rows: DataFrame
+    models: DataFrame
+    by: list[str]
+    min_group_n: int = 30
+    fallbacks: dict = field(default_factory=dict)
+    seed: int = 42
+    checks: DataFrame | None = None
+    artifacts: DataFrame | None = None
+    extra: dict[str, DataFrame] = field(default_factory=dict)
+
+
+@dataclass(frozen=True)
+class Probe:
+    """A dimension, what it needs of :class:`Inputs` (a missing need means that the probe does not run), and its verdicts."""
+
+    dimension: str
+    run: Callable[[Inputs], DataFrame]
+    needs: tuple[str, ...] = ()
+
+    def ready(self, inputs: Inputs) -> bool:
+        return all(getattr(inputs, n, None) is not None or n in inputs.extra for n in self.needs)
+
+
+def with_probe(probes: tuple[Probe, ...], probe: Probe, before: str | None = None) -> tuple[Probe, ...]:
+    """The registry with one more probe, last or before a dimension; a dimension is registered once."""
+    if any(p.dimension == probe.dimension for p in probes):
+        raise ValueError(f"dimension {probe.dimension} is registered already")
+    names = [p.dimension for p in probes]
+    at = len(probes) if before is None else names.index(before)
+    return (*probes[:at], probe, *probes[at:])
+
+
+def checked(df: DataFrame, by: list[str]) -> DataFrame:
+    """Exactly the verdict columns, or an error that names what is wrong with a probe's result."""
+    wrong = sorted({*by, *VERDICT} ^ set(df.columns))
+    if wrong:
+        raise ValueError(f"a probe returns the evaluation key and the verdict columns; differing: {wrong}")
+    return df.select(*by, *[F.col(n).cast(t).alias(n) for n, t in VERDICT.items()])
+
+
+def fairness_probe(x: Inputs) -> DataFrame:
+    v = G.binary_verdict(x.rows, x.by, x.min_group_n, seed=x.seed, weight="n").drop("confidence")
+    j = v.join(M.fairness_bundle(x.rows, x.by, weight="n").select(*x.by, "n", "dpd", "eod", "excess_dpd", "min_group_n_observed"), x.by)
+    return verdict_row(j, x.by, "FAIRNESS", probe_status="status", aspect_scoring="aspect_scoring", risks=_one("risk"), failed_gates=_one("failed_gate"), flags="flags",
                        needs_human_review=F.lit(True), dpd="dpd", eod="eod", excess_dpd="excess_dpd", min_group_n_observed="min_group_n_observed",
-                       min_group_n=F.lit(min_group_n), n_evaluated="n", ci_lower="eopp_lower", ci_upper="eopp_upper")
+                       min_group_n=F.lit(x.min_group_n), n_evaluated="n", ci_lower="eopp_lower", ci_upper="eopp_upper")
 
 
-def robustness_probe(rows: DataFrame, by: list[str], label_fraction: Column, coverage: Column, seed: int = 42) -> DataFrame:
-    v = G.robustness_verdict(rows, by, label_fraction, coverage, F.lit(False), F.lit(False), seed=seed, weight="n").select(*by, "status", "aspect_scoring", "risk", "all_gates")
-    j = v.join(M.robustness_metrics(rows, by, weight="n").select(*by, "n_evaluated", "clean_accuracy", "robust_accuracy", "clean_lo", "clean_hi"), by)
-    return verdict_row(j, by, "ROBUSTNESS", probe_status="status", aspect_scoring="aspect_scoring", risks=_one("risk"), failed_gates="all_gates", n_evaluated="n_evaluated",
+def robustness_probe(x: Inputs) -> DataFrame:
+    """The perturbation verdict; label compatibility, coverage and domain come from ``checks``, and count as fine where it has no row."""
+    given = {"label_fraction": F.lit(1.0), "coverage": F.lit(1.0), "domain_mismatch": F.lit(False), "allow_mismatch": F.lit(False)}
+    rows = x.rows if x.checks is None else join_keys(x.rows, x.checks.select(*x.by, *given), x.by, "left")
+    told = [F.coalesce(F.first(c), d) if x.checks is not None else d for c, d in given.items()]
+    v = G.robustness_verdict(rows, x.by, *told, seed=x.seed, weight="n").select(*x.by, "status", "aspect_scoring", "risk", "all_gates")
+    j = v.join(M.robustness_metrics(x.rows, x.by, weight="n").select(*x.by, "n_evaluated", "clean_accuracy", "robust_accuracy", "clean_lo", "clean_hi"), x.by)
+    return verdict_row(j, x.by, "ROBUSTNESS", probe_status="status", aspect_scoring="aspect_scoring", risks=_one("risk"), failed_gates="all_gates", n_evaluated="n_evaluated",
                        clean_accuracy=F.round("clean_accuracy", 4), robust_accuracy=F.round("robust_accuracy", 4), ci_lower="clean_lo", ci_upper="clean_hi")
 
 
-def integrity_probe(models: DataFrame, by: list[str]) -> DataFrame:
-    v = I.integrity_verdict(models, by[0])
-    return verdict_row(v, by, "INTEGRITY", probe_status="status", aspect_scoring="aspect_scoring", risks="risks", failed_gates="failed_gates", flags="flags",
+def integrity_probe(x: Inputs) -> DataFrame:
+    v = I.integrity_verdict(x.models, x.by[0])
+    status = F.lit(None).cast("string")
+    if x.artifacts is not None:
+        v, status = join_keys(v, x.artifacts.select(*x.by, "artifact_status"), x.by, "left"), F.col("artifact_status")
+    return verdict_row(v, x.by, "INTEGRITY", probe_status="status", aspect_scoring="aspect_scoring", risks="risks", failed_gates="failed_gates", flags="flags",
                        has_checks=F.col("pass_count") > 0, pass_count="pass_count", fail_count="fail_count", hash_comparison="hash_state",
-                       files_listed="files_listed", sha_like="revision_pinned")
+                       files_listed="files_listed", sha_like="revision_pinned", artifact_status=status)
 
 
-def documentation_probe(models: DataFrame, by: list[str], fallbacks: dict) -> DataFrame:
-    v = D.documentation_verdict(models, by[0], fallbacks)
-    return verdict_row(v, by, "EXPLAINABILITY", probe_status="status", aspect_scoring="aspect_scoring", risks=_one("risk"), failed_gates=_one("failed_gate"), flags="flags",
+def documentation_probe(x: Inputs) -> DataFrame:
+    v = D.documentation_verdict(x.models, x.by[0], x.fallbacks)
+    return verdict_row(v, x.by, "EXPLAINABILITY", probe_status="status", aspect_scoring="aspect_scoring", risks=_one("risk"), failed_gates=_one("failed_gate"), flags="flags",
                        has_checks=F.col("card_chars") > 0, card_chars="card_chars", coverage_ratio="coverage_ratio")
 
 
-def safety_probe(rows: DataFrame, models: DataFrame, by: list[str], fallbacks: dict) -> DataFrame:
+def safety_probe(x: Inputs) -> DataFrame:
     """Disclosures of the card, with the measured severe-miss rate on top of them."""
-    card = D.disclosure_verdict(models, by[0], fallbacks)
-    behavior = M.severe_with_collapse(rows, by, weight="n").select(*by, F.col("status").alias("behavior_status"), "severe_fnr", "severe_lo", "severe_hi", "fnr_ratio", "benign_fpr")
-    miss = G.severe_miss(rows, by, weight="n").select(*by, "fires")
-    j = card.join(behavior, by, "left").join(miss, by, "left")
+    card = D.disclosure_verdict(x.models, x.by[0], x.fallbacks)
+    behavior = M.severe_with_collapse(x.rows, x.by, weight="n").select(
+        *x.by, F.col("status").alias("behavior_status"), "severe_fnr", "severe_lo", "severe_hi", "fnr_ratio", "benign_fpr")
+    miss = G.severe_miss(x.rows, x.by, weight="n").select(*x.by, "fires")
+    j = card.join(behavior, x.by, "left").join(miss, x.by, "left")
     fires = F.coalesce("fires", F.lit(False)) & (F.col("behavior_status") == "EVALUATED")
-    return verdict_row(j, by, "SAFETY", probe_status="status", aspect_scoring=F.when(fires, "risk_detected").otherwise(F.col("aspect_scoring")),
+    return verdict_row(j, x.by, "SAFETY", probe_status="status", aspect_scoring=F.when(fires, "risk_detected").otherwise(F.col("aspect_scoring")),
                        risks=reasons((fires, G.SEVERE_RISK)), failed_gates=_one("failed_gate"), flags="flags", has_checks=F.col("card_chars") > 0,
                        card_chars="card_chars", coverage_ratio="coverage_ratio", high_impact=F.size("high_impact_claims") > 0, severe_fnr="severe_fnr",
                        fnr_ratio="fnr_ratio", benign_fpr="benign_fpr", behavior_status="behavior_status", ci_lower="severe_lo", ci_upper="severe_hi")
 
 
-def verdicts(rows: DataFrame, models: DataFrame, key: str, min_group_n: int = 30, fallbacks: dict | None = None, seed: int = 42) -> DataFrame:
-    """Verdict rows of all five dimensions for every evaluation.
+PROBES = (
+    Probe("FAIRNESS", fairness_probe, ("rows",)), Probe("ROBUSTNESS", robustness_probe, ("rows",)), Probe("INTEGRITY", integrity_probe, ("models",)),
+    Probe("EXPLAINABILITY", documentation_probe, ("models",)), Probe("SAFETY", safety_probe, ("rows", "models")))
+
+
+def verdicts(rows: DataFrame, models: DataFrame, key: str, min_group_n: int = 30, fallbacks: dict | None = None, seed: int = 42,
+             probes: tuple[Probe, ...] = PROBES, checks: DataFrame | None = None, artifacts: DataFrame | None = None,
+             extra: dict[str, DataFrame] | None = None) -> DataFrame:
+    """Verdict rows of all registered dimensions for every evaluation.
 
     The prediction rows are read once: they are counted into a cube whose size does not
     depend on their number, and every probe works on that cube.  Every evaluation of either
-    input has five rows: one without a card keeps what was measured on its rows, and a probe
-    without any input has insufficient evidence.
+    input has one row per probe: one without a card keeps what was measured on its rows, and a
+    probe without any input has insufficient evidence.
     """
-    by, fb = [key], fallbacks or {}
+    by = [key]
     rows = materialize(M.cube(rows, by, ["grp", "label", "y_hat", "y_robust", "severe"]))
     every = rows.select(key).union(models.select(key)).distinct()
-    models = join_keys(every, models, by, "left")
-    full = F.lit(1.0)
-    probes = [
-        fairness_probe(rows, by, min_group_n, seed), robustness_probe(rows, by, full, full, seed), integrity_probe(models, by),
-        documentation_probe(models, by, fb), safety_probe(rows, models, by, fb)]
-    spine = every.select(key, F.explode(F.array(*[F.lit(d) for d in S.DIMENSIONS])).alias("dimension"))
-    found = join_keys(spine, reduce(DataFrame.unionByName, probes), [key, "dimension"], "left")
+    inputs = Inputs(rows, join_keys(every, models, by, "left"), by, min_group_n, fallbacks or {}, seed, checks, artifacts, extra or {})
+    results = [checked(p.run(inputs), by) for p in probes if p.ready(inputs)]
+    spine = every.select(key, F.explode(F.array(*[F.lit(p.dimension) for p in probes])).alias("dimension"))
+    found = join_keys(spine, reduce(DataFrame.unionByName, results), [key, "dimension"], "left")
     missing = F.col("probe_status").isNull()
     empty = F.array().cast(_STRINGS)
     filled = found.withColumns({
@@ -125,10 +189,16 @@ def verdicts(rows: DataFrame, models: DataFrame, key: str, min_group_n: int = 30
     return graded.withColumn("confidence", F.col("combined"))
 
 
-def audit(rows: DataFrame, models: DataFrame, key: str, min_group_n: int = 30, fallbacks: dict | None = None, seed: int = 42) -> DataFrame:
-    """One row per evaluation: aspect ratings, evidence strength and the score or its withholding."""
+def audit(rows: DataFrame, models: DataFrame, key: str, min_group_n: int = 30, fallbacks: dict | None = None, seed: int = 42,
+          probes: tuple[Probe, ...] = PROBES, checks: DataFrame | None = None, artifacts: DataFrame | None = None,
+          extra: dict[str, DataFrame] | None = None) -> DataFrame:
+    """One row per evaluation: aspect ratings, evidence strength and the score or its withholding.
+
+    Dimensions beyond the five built-in ones have verdicts but no rating.
+    """
     by = [key]
-    graded = materialize(verdicts(rows, models, key, min_group_n, fallbacks, seed))  # five rows per evaluation, read four times
+    graded = materialize(verdicts(rows, models, key, min_group_n, fallbacks, seed, probes, checks, artifacts, extra))  # a row per probe, read four times
+    graded = graded.filter(F.col("dimension").isin(*S.DIMENSIONS))
     proposed = S.propose(graded, S.bands_v4(graded), by)
     item = F.struct("aspect", "O", "S", "D", "status")
     aspects = proposed.groupBy(*by).agg(F.sort_array(F.collect_list(item)).alias("aspects"))  # five aspects
