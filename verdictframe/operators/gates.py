@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import first_case, is_missing, join_keys, reasons, strip
-from ..session import materialize
+from ..session import keep
 from .intervals import accuracy_drop_ci, fairness_ci
 from .metrics import cells, collapse, cube, fairness_bundle, group_stats, robustness_metrics, severe_behavior
 
@@ -58,7 +58,7 @@ def binary_verdict(df: DataFrame, by: list[str], min_group_n: int, grp: str = "g
                    sampler: str = "multinomial", weight: str | None = None) -> DataFrame:
     """Binary fairness verdict per evaluation: status, finding, gates, flags and confidence."""
     if weight is None:  # rows are counted once and the counts kept; all that follows shares them
-        df, weight = materialize(cube(df, by, [grp, "label", "y_hat"])), "n"
+        df, weight = keep(cube(df, by, [grp, "label", "y_hat"])), "n"
     names = ["dpd", "eod", "f1_spread", "eopp"]
     wide = fairness_ci(df, by, names, grp, b, seed, min_group_n, sampler, weight=weight).groupBy(*by).agg(*[
         F.first(F.when(F.col("stat") == s, F.col(c)), ignorenulls=True).alias(f"{s}_{c}")
@@ -96,7 +96,7 @@ def binary_verdict(df: DataFrame, by: list[str], min_group_n: int, grp: str = "g
 def multiclass_verdict(df: DataFrame, by: list[str], min_total_n: int, min_group_n: int, grp: str = "grp", b: int = 1000,
                        seed: int = 42, sampler: str = "multinomial") -> DataFrame:
     """Accuracy-gap verdict for more than two classes."""
-    df = materialize(cube(df, by, [grp, "label", "y_hat"]))
+    df = keep(cube(df, by, [grp, "label", "y_hat"]))
     ci = fairness_ci(df, by, ["acc_gap"], grp, b, seed, min_group_n, sampler, weight="n").drop("stat")
     g = group_stats(cells(df, by, grp, weight="n"), by)
     shape = g.groupBy(*by).agg(F.sum("n").alias("n"), F.count_if(F.col("n") >= min_group_n).alias("compared"),
@@ -125,7 +125,7 @@ def robustness_verdict(df: DataFrame, by: list[str], label_fraction: Column, cov
     side = df.groupBy(*by).agg(label_fraction.alias("label_fraction"), coverage.alias("coverage"),
                                domain_mismatch.alias("mismatch"), allow_mismatch.alias("allowed"))
     if weight is None:
-        df, weight = materialize(cube(df, by, ["label", "y_hat", "y_robust"])), "n"
+        df, weight = keep(cube(df, by, ["label", "y_hat", "y_robust"])), "n"
     ci = accuracy_drop_ci(df, by, b, seed, sampler, weight=weight).drop("stat", "replicates")
     j = (
         robustness_metrics(df, by, weight=weight).transform(join_keys, side, by)

@@ -162,9 +162,18 @@ def _flip_cut(src: DataFrame, key: str, rates: list[float]) -> DataFrame:
 
 
 def flip_chain(df: DataFrame, key: str, specs: list[tuple[str, Column, int, float, int]], label: str = "label") -> DataFrame:
-    """Several flips in sequence: (mark, where, to, rate, seed) each on the outcome of the one before."""
+    """Several flips in sequence: (mark, where, to, rate, seed) each on the outcome of the one before.
+
+    Each cut-off is one row; it is fetched and fixed as a literal, so a flip is a column expression, the result is one
+    scan, and the cut-offs take two scans a flip, however long the chain is.
+    """
     for mark, where, to, rate, seed in specs:
-        df = flip_labels(df, key, where, to, rate, seed, label, mark)
+        src = df.withColumn("_hash", hash_rank(seed, key)).withColumn("_cand", F.coalesce(where, F.lit(False)))
+        cut = _flip_cut(src, key, [rate]).first()
+        last = [F.lit(cut[c]).cast(t) for c, t in (("_ch", src.schema["_hash"].dataType), ("_ck", src.schema[key].dataType))]
+        upto = (F.col("_hash") < last[0]) | ((F.col("_hash") == last[0]) & (F.col(key) <= last[1]))
+        df = src.withColumn(mark, F.col("_cand") & F.coalesce(upto, F.lit(False))).withColumn(
+            label, F.when(F.col(mark), F.lit(to)).otherwise(F.col(label))).drop("_hash", "_cand")
     return df
 
 

@@ -22,7 +22,7 @@ from ..operators import gates as G
 from ..operators import integrity as I
 from ..operators import metrics as M
 from ..operators import ratings as S
-from ..session import materialize
+from ..session import keep
 
 _STRINGS = "array<string>"
 
@@ -170,7 +170,7 @@ def verdicts(rows: DataFrame, models: DataFrame, key: str, min_group_n: int = 30
     probe without any input has insufficient evidence.
     """
     by = [key]
-    rows = materialize(M.cube(rows, by, ["grp", "label", "y_hat", "y_robust", "severe"]))
+    rows = keep(M.cube(rows, by, ["grp", "label", "y_hat", "y_robust", "severe"]))
     every = rows.select(key).union(models.select(key)).distinct()
     inputs = Inputs(rows, join_keys(every, models, by, "left"), by, min_group_n, fallbacks or {}, seed, checks, artifacts, extra or {})
     results = [checked(p.run(inputs), by) for p in probes if p.ready(inputs)]
@@ -197,7 +197,7 @@ def audit(rows: DataFrame, models: DataFrame, key: str, min_group_n: int = 30, f
     Dimensions beyond the five built-in ones have verdicts but no rating.
     """
     by = [key]
-    graded = materialize(verdicts(rows, models, key, min_group_n, fallbacks, seed, probes, checks, artifacts, extra))  # a row per probe, read four times
+    graded = keep(verdicts(rows, models, key, min_group_n, fallbacks, seed, probes, checks, artifacts, extra))  # a row per probe, read four times
     graded = graded.filter(F.col("dimension").isin(*S.DIMENSIONS))
     proposed = S.propose(graded, S.bands_v4(graded), by)
     item = F.struct("aspect", "O", "S", "D", "status")
