@@ -13,19 +13,22 @@ All statistics of an evaluation are computed from one replicate table.
 
 from __future__ import annotations
 
+import hashlib
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import hash_rank, join_keys, let, ratio
+from ..functions.columns import join_keys, ratio
 from .metrics import cells, gap_columns, group_stats, rows_of
 
 REPLICATES = 1000
-_BLOCK = 4096  # draws per generated row
+_BLOCK = 4096  # cells per block of a mean
+_DRAWS = 1 << 16  # hashed draws per generated row
 
 
 def _cell_vectors(cell_df: DataFrame, by: list[str], cell_cols: list[str]) -> DataFrame:
@@ -39,14 +42,36 @@ def _cell_vectors(cell_df: DataFrame, by: list[str], cell_cols: list[str]) -> Da
 
 
 def _hash_counts(vectors: DataFrame, by: list[str], b: int, seed: int) -> DataFrame:
-    """(evaluation, replicate, cell index, count) from hashed draws."""
+    """(evaluation, replicate, cell index, count) from hashed draws: ``hash_rank(seed, b, k) % n`` for k below n.
+
+    Few evaluations make few rows, so blocks of draws are dealt to all cores before they are hashed; a task holds one block
+    and hands on its counts.
+    """
     rep = vectors.select(*by, "_cum", "_n", F.explode(F.sequence(F.lit(0), F.lit(b - 1))).alias("b"))
-    blocks = rep.withColumn("_j", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("_n") - 1) / _BLOCK))))
-    draws = blocks.withColumn("_k", F.explode(F.sequence(
-        F.col("_j") * _BLOCK, F.least(F.col("_n") - 1, F.col("_j") * _BLOCK + (_BLOCK - 1)))))
-    pick = hash_rank(seed, "b", "_k") % F.col("_n")
-    cell = let(pick, lambda u: F.size(F.filter(F.col("_cum"), lambda x: x <= u)))
-    return draws.select(*by, "b", cell.alias("_cell")).groupBy(*by, "b", "_cell").agg(F.count("*").alias("n"))
+    blocks = rep.withColumn("_j", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("_n") - 1) / _DRAWS))))
+    # a given number of partitions: by their bytes, which say nothing of the work, they would all be merged into one
+    dealt = blocks.repartition(4 * vectors.sparkSession.sparkContext.defaultParallelism, "b", "_j", *by)
+    fields = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in vectors.select(*by).schema)
+
+    def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = [batch.column(i) for i in range(len(by))]
+            for row, (cum, n, rep_no, j) in enumerate(zip(*(batch.column(len(by) + i).to_pylist() for i in range(4)), strict=True)):
+                head = hashlib.md5(f"{seed}:{rep_no}:".encode())
+                first = []
+                for k in range(j * _DRAWS, min(n, (j + 1) * _DRAWS)):
+                    h = head.copy()
+                    h.update(b"%d" % k)
+                    first.append(h.digest()[:4])
+                u = np.frombuffer(b"".join(first), ">u4").astype(np.int64) % n
+                cell, count = np.unique(np.searchsorted(np.asarray(cum, np.int64), u, side="right"), return_counts=True)
+                at = pa.array(np.full(len(cell), row))
+                yield pa.RecordBatch.from_arrays(
+                    [*(c.take(at) for c in keys), pa.array(np.full(len(cell), rep_no, np.int32)), pa.array(cell, pa.int32()), pa.array(count, pa.int64())],
+                    names=[*by, "b", "_cell", "n"])
+
+    drawn = dealt.select(*by, "_cum", "_n", "b", "_j").mapInArrow(draw, f"{fields}b int, _cell int, n bigint")
+    return drawn.groupBy(*by, "b", "_cell").agg(F.sum("n").alias("n"))
 
 
 def _multinomial_counts(vectors: DataFrame, by: list[str], b: int, seed: int) -> DataFrame:
