@@ -4,6 +4,7 @@ import hashlib
 from collections import Counter
 
 from verdictframe.operators import intervals as U
+from verdictframe.sources import labelled as L
 
 
 def widest(spark, group, action):
@@ -30,3 +31,14 @@ def test_hash_draws_are_dealt(spark):
     assert {(r["b"], r["cell"]): r["n"] for r in rows} == dict(want)
     assert {r["e"] for r in rows} == {None}
     assert tasks >= spark.sparkContext.defaultParallelism
+
+
+def test_file_in_parts_is_one_file(spark, tmp_path):
+    # a large file used to be written by one task, as only single files were classified
+    for name, parts in {"a": [b" \n", b"<html>x\n", b"{}\n"], "b": [b"x,y\n", b"\xff\xfe\n"], "c": [b"\n", b" \n"], "d": [b"x,y\n", b"{}\n"]}.items():
+        (tmp_path / name).mkdir()
+        for i, data in enumerate(parts):
+            (tmp_path / name / f"part-{i:05d}.txt").write_bytes(data)
+        (tmp_path / name / "other.log").write_bytes(b"[]")
+    got = {r["path"].rsplit("/", 1)[1]: (r["length"], r["verdict"]) for r in L.classify_parts(spark, str(tmp_path), ".txt").collect()}
+    assert got == {"a": (13, "web_page"), "b": (7, "not_utf8"), "c": (3, "table"), "d": (7, "table")}

@@ -57,6 +57,20 @@ def classify_files(spark: SparkSession, path: str) -> DataFrame:
     return scan_files(spark, path).select("path", "length", content_verdict(F.col("head")).alias("verdict"))
 
 
+def classify_parts(spark: SparkSession, path: str, suffix: str = "") -> DataFrame:
+    """As :func:`classify_files` for files stored in parts: a folder is one file (path, length, verdict), its parts follow by name.
+
+    Parts end at line ends, as Spark writes them, and are read whole, each by one task. The beginning is that of the first
+    part that is not blank.
+    """
+    parts = scan_files(spark, path).filter(F.col("path").endswith(suffix))
+    whole = parts.groupBy(F.regexp_extract("path", "^(.*)/[^/]*$", 1).alias("path")).agg(
+        F.sum("length").alias("length"), F.bool_and("is_utf8").alias("_text"),
+        F.min_by("head", F.when(F.col("head") != "", F.col("path"))).alias("_head"))
+    head = F.when(F.col("_text"), F.coalesce("_head", F.lit("")))
+    return whole.select("path", "length", content_verdict(head).alias("verdict"))
+
+
 def profile_columns(df: DataFrame) -> DataFrame:
     """Non-missing values and inferred kind per column, from all rows.
 
