@@ -232,36 +232,62 @@ def components(links: DataFrame) -> DataFrame:
         before = state
 
 
-def _block_compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Likely pairs of two blocks of a band's members, each pair in the first band whose key it shares."""
-    for b in batches:
-        a, c = [], []
-        for number, x_nodes, x_roots, x_sigs, y_nodes, y_roots, y_sigs in zip(*(col.to_pylist() for col in b.columns)):
-            xs, ys = (np.frombuffer(b"".join(s), dtype=np.uint8).reshape(len(s), -1) for s in (x_sigs, y_sigs))
-            xk, yk = (np.ascontiguousarray(s[:, K:]).view(np.int64) for s in (xs, ys))
-            xs, ys = xs[:, :K], ys[:, :K]
-            xr, yr = np.array(x_roots), np.array(y_roots)
-            for i in range(len(xs)):
-                near = np.flatnonzero((yr != xr[i]) & ((ys == xs[i]).sum(axis=1) >= AGREE))
-                for j in near[np.argmax(yk[near] == xk[i], axis=1) == number]:
-                    a.append(min(x_nodes[i], y_nodes[j]))
-                    c.append(max(x_nodes[i], y_nodes[j]))
-        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(c, pa.int64())], ["a", "b"])
-
-
-def _open_pairs(bands: DataFrame, rooted: DataFrame, signed: DataFrame) -> DataFrame:
-    """Likely pairs within bands whose members are in several classes: members in blocks, blocks against blocks."""
+def _block_compare(similar: tuple[int, int]):
+    """Links between two blocks of a band's members, each pair checked in the first band whose key it shares. Likely pairs
+    are checked on their shingles here; of the links only those are sent that join classes still apart, so a row
+    sends fewer links than it has members."""
+    def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            a, c = [], []
+            for r in range(b.num_rows):
+                number = b.column(0)[r].as_py()
+                (xn, xr, xk, xs, xe), (yn, yr, yk, ys, ye) = (_members(*(b.column(k)[r].values for k in side)) for side in (range(1, 5), range(5, 9)))
+                size, joined = np.array([len(e) for e in ye]), {}
+                for i in range(len(xn)):
+                    near = np.flatnonzero((yr != xr[i]) & ((ys == xs[i]).sum(axis=1) >= AGREE))
+                    near = near[np.argmax(yk[near] == xk[i], axis=1) == number]
+                    if not len(near):
+                        continue
+                    sets = np.concatenate([ye[j] for j in near])
+                    place = np.minimum(np.searchsorted(xe[i], sets), len(xe[i]) - 1)
+                    common = np.add.reduceat((xe[i][place] == sets).astype(np.int64), np.cumsum(size[near]) - size[near])
+                    for j in near[common * similar[1] >= (len(xe[i]) + size[near] - common) * similar[0]]:
+                        p, q = (_top(joined, int(root)) for root in (xr[i], yr[j]))
+                        if p != q:
+                            joined[p] = q
+                            a.append(min(xn[i], yn[j]))
+                            c.append(max(xn[i], yn[j]))
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(c, pa.int64())], ["a", "b"])
+
+    return go
+
+
+def _members(nodes: pa.Array, roots: pa.Array, sigs: pa.Array, shingles: pa.Array) -> tuple:
+    """Nodes, roots, keys of bands, coordinates and sorted sets of one block."""
+    sig = np.frombuffer(b"".join(sigs.to_pylist()), dtype=np.uint8).reshape(len(sigs), -1)
+    at, flat = shingles.offsets.to_numpy(), shingles.values.to_numpy()
+    sets = [np.unique(flat[s:e]) for s, e in zip(at[:-1], at[1:])]
+    return nodes.to_numpy(), roots.to_numpy(), np.ascontiguousarray(sig[:, K:]).view(np.int64), sig[:, :K], sets
+
+
+def _top(joined: dict[int, int], root: int) -> int:
+    while root in joined:
+        root = joined[root]
+    return root
+
+
+def _open_links(bands: DataFrame, rooted: DataFrame, signed: DataFrame, sets: DataFrame, similar: tuple[int, int] = SIMILAR) -> DataFrame:
+    """Links within bands whose members are in several classes: members in blocks, blocks against blocks."""
     with_root = bands.join(rooted, "node", "left").select("band", "number", "node", F.coalesce("root", "node").alias("root"))
     stats = with_root.groupBy("band").agg(F.min("root").alias("p"), F.max("root").alias("q"), F.count(F.lit(1)).alias("n"))
     mixed = stats.where("p <> q").select("band", F.ceil(F.col("n") / BLOCK).alias("blocks"))
-    member = with_root.join(mixed, "band").join(signed, "node")
+    member = with_root.join(mixed, "band").join(signed.join(sets, "node"), "node")
     member = member.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
-    block = member.groupBy("band", "number", "block").agg(F.collect_list(F.struct("node", "root", "sig")).alias("m"), F.first("blocks").alias("blocks"))
+    block = member.groupBy("band", "number", "block").agg(F.collect_list(F.struct("node", "root", "sig", "shingles")).alias("m"), F.first("blocks").alias("blocks"))
     left = block.select("band", "number", F.col("m").alias("x"), F.explode(F.sequence(F.col("block"), F.col("blocks") - 1)).alias("other"))
     right = block.select("band", F.col("block").alias("other"), F.col("m").alias("y"))
-    both = left.join(right, ["band", "other"]).select(
-        "number", "x.node", "x.root", "x.sig", F.col("y.node").alias("n2"), F.col("y.root").alias("r2"), F.col("y.sig").alias("s2"))
-    return both.mapInArrow(_block_compare, "a long, b long").distinct()
+    both = left.join(right, ["band", "other"]).select("number", *[F.col(f"{side}.{c}").alias(f"{side}_{c}") for side in "xy" for c in ("node", "root", "sig", "shingles")])
+    return both.mapInArrow(_block_compare(similar), "a long, b long").distinct()
 
 
 def classes(docs: DataFrame, weighted: bool = False, similar: tuple[int, int] = SIMILAR) -> DataFrame:
@@ -284,19 +310,15 @@ def classes(docs: DataFrame, weighted: bool = False, similar: tuple[int, int] =
     shared = bands.groupBy("band").agg(F.min("node").alias("p"), F.max("node").alias("q")).where("p <> q").select("band")
     bands = stash(bands.join(shared, "band", "left_semi"))
     sets = stash(sets_of(docs, chosen.join(bands.select("node").distinct(), "node", "left_semi")))
-    links, rooted, tried = None, None, []
+    links, rooted = None, None
     for turn in range(HUB_ROUNDS):
         pairs = stash(_hub_pairs(bands, rooted, turn))
         if turn and pairs.isEmpty():
             break
-        tried.append(pairs)
         found = similar_pairs(pairs, sets, similar)
         links = stash(found if links is None else links.unionByName(found))
         rooted = components(links)
-    likely = stash(_open_pairs(bands, rooted, reps.select("node", "sig").dropDuplicates(["node"])))
-    for pairs in tried:
-        likely = likely.join(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
-    more = stash(similar_pairs(likely, sets, similar))
+    more = stash(_open_links(bands, rooted, reps.select("node", "sig").dropDuplicates(["node"]), sets, similar))
     if not more.isEmpty():
         rooted = components(links.unionByName(more))
     names = chosen.select("node", "doc_id").join(rooted, "node", "left").select("node", "doc_id", F.coalesce("root", "node").alias("root"))
