@@ -232,42 +232,47 @@ def components(links: DataFrame) -> DataFrame:
         before = state
 
 
-def _block_compare(similar: tuple[int, int]):
-    """Links between two blocks of a band's members, each pair checked in the first band whose key it shares. Likely pairs
-    are checked on their shingles here; of the links only those are sent that join classes still apart, so a row
-    sends fewer links than it has members."""
-    def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            a, c = [], []
-            for r in range(b.num_rows):
-                number = b.column(0)[r].as_py()
-                (xn, xr, xk, xs, xe), (yn, yr, yk, ys, ye) = (_members(*(b.column(k)[r].values for k in side)) for side in (range(1, 5), range(5, 9)))
-                size, joined = np.array([len(e) for e in ye]), {}
-                for i in range(len(xn)):
-                    near = np.flatnonzero((yr != xr[i]) & ((ys == xs[i]).sum(axis=1) >= AGREE))
-                    near = near[np.argmax(yk[near] == xk[i], axis=1) == number]
-                    if not len(near):
-                        continue
-                    sets = np.concatenate([ye[j] for j in near])
-                    place = np.minimum(np.searchsorted(xe[i], sets), len(xe[i]) - 1)
-                    common = np.add.reduceat((xe[i][place] == sets).astype(np.int64), np.cumsum(size[near]) - size[near])
-                    for j in near[common * similar[1] >= (len(xe[i]) + size[near] - common) * similar[0]]:
-                        p, q = (_top(joined, int(root)) for root in (xr[i], yr[j]))
-                        if p != q:
-                            joined[p] = q
-                            a.append(min(xn[i], yn[j]))
-                            c.append(max(xn[i], yn[j]))
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(c, pa.int64())], ["a", "b"])
+def _block_compare(batches: Iterator[pa.RecordBatch], similar: tuple[int, int] | None = None) -> Iterator[pa.RecordBatch]:
+    """Likely pairs of two blocks of a band's members, each pair in the first band whose key it shares.
 
-    return go
+    With ``similar`` the last two columns hold the members' shingles. Likely pairs are then checked on them here, and of
+    the links only those are sent that join classes still apart, so a row sends fewer links than it has members.
+    """
+    for b in batches:
+        a, c = [], []
+        for r in range(b.num_rows):
+            number = b.column(0)[r].as_py()
+            (xn, xr, xk, xs), (yn, yr, yk, ys) = (_members(*(b.column(k)[r].values for k in side)) for side in ((1, 2, 3), (4, 5, 6)))
+            xe, ye = (_sets(b.column(k)[r].values) for k in (7, 8)) if similar else ([], [])
+            size, joined = np.array([len(e) for e in ye], np.int64), {}
+            for i in range(len(xn)):
+                near = np.flatnonzero((yr != xr[i]) & ((ys == xs[i]).sum(axis=1) >= AGREE))
+                near = near[np.argmax(yk[near] == xk[i], axis=1) == number]
+                if similar and len(near):
+                    others = np.concatenate([ye[j] for j in near])
+                    place = np.minimum(np.searchsorted(xe[i], others), len(xe[i]) - 1)
+                    common = np.add.reduceat((xe[i][place] == others).astype(np.int64), np.cumsum(size[near]) - size[near])
+                    near = near[common * similar[1] >= (len(xe[i]) + size[near] - common) * similar[0]]
+                for j in near:
+                    if similar:
+                        p, q = (_top(joined, int(root)) for root in (xr[i], yr[j]))
+                        if p == q:
+                            continue
+                        joined[p] = q
+                    a.append(min(xn[i], yn[j]))
+                    c.append(max(xn[i], yn[j]))
+        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(c, pa.int64())], ["a", "b"])
 
 
-def _members(nodes: pa.Array, roots: pa.Array, sigs: pa.Array, shingles: pa.Array) -> tuple:
-    """Nodes, roots, keys of bands, coordinates and sorted sets of one block."""
+def _members(nodes: pa.Array, roots: pa.Array, sigs: pa.Array) -> tuple[np.ndarray, ...]:
+    """Nodes, roots, keys of bands and coordinates of one block."""
     sig = np.frombuffer(b"".join(sigs.to_pylist()), dtype=np.uint8).reshape(len(sigs), -1)
+    return nodes.to_numpy(), roots.to_numpy(), np.ascontiguousarray(sig[:, K:]).view(np.int64), sig[:, :K]
+
+
+def _sets(shingles: pa.Array) -> list[np.ndarray]:
     at, flat = shingles.offsets.to_numpy(), shingles.values.to_numpy()
-    sets = [np.unique(flat[s:e]) for s, e in zip(at[:-1], at[1:])]
-    return nodes.to_numpy(), roots.to_numpy(), np.ascontiguousarray(sig[:, K:]).view(np.int64), sig[:, :K], sets
+    return [np.unique(flat[s:e]) for s, e in zip(at[:-1], at[1:])]
 
 
 def _top(joined: dict[int, int], root: int) -> int:
@@ -286,8 +291,9 @@ def _open_links(bands: DataFrame, rooted: DataFrame, signed: DataFrame, sets: Da
     block = member.groupBy("band", "number", "block").agg(F.collect_list(F.struct("node", "root", "sig", "shingles")).alias("m"), F.first("blocks").alias("blocks"))
     left = block.select("band", "number", F.col("m").alias("x"), F.explode(F.sequence(F.col("block"), F.col("blocks") - 1)).alias("other"))
     right = block.select("band", F.col("block").alias("other"), F.col("m").alias("y"))
-    both = left.join(right, ["band", "other"]).select("number", *[F.col(f"{side}.{c}").alias(f"{side}_{c}") for side in "xy" for c in ("node", "root", "sig", "shingles")])
-    return both.mapInArrow(_block_compare(similar), "a long, b long").distinct()
+    columns = [f"{side}.{c}" for side in "xy" for c in ("node", "root", "sig")] + ["x.shingles", "y.shingles"]
+    both = left.join(right, ["band", "other"]).select("number", *[F.col(c).alias(c.replace(".", "_")) for c in columns])
+    return both.mapInArrow(lambda batches: _block_compare(batches, similar), "a long, b long").distinct()
 
 
 def classes(docs: DataFrame, weighted: bool = False, similar: tuple[int, int] = SIMILAR) -> DataFrame:
