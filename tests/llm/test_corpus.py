@@ -112,6 +112,12 @@ def test_line_dedup_edges(spark):
     assert op2_line_dedup.clean(df.limit(0)).count() == 0
 
 
+def test_line_dedup_sends_a_text_once_in_its_row(spark):
+    plan = op2_line_dedup.dedup(docs_of(spark, ["a b", "a b"]))._jdf.queryExecution().analyzed().toString()
+    rows = [x for x in plan.splitlines() if " AS __l_row" in x]
+    assert rows and not any(" AS text#" in x for x in rows)
+
+
 def test_near_dedup_checks_no_pairs_of_unlinked_copies_outside_blocks(spark, monkeypatch):
     """Copies of one text that differ from each other: their number of checked pairs stays that of bands and members."""
     rng = random.Random(23)

@@ -146,7 +146,8 @@ def repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     place = F.struct("doc_id", "th", "start")
     firsts = near.groupBy("content").agg(F.min(place).alias("source"), F.count(F.lit(1)).alias("n"))
     firsts = firsts.where(F.col("n") > 1).select("content", "source")
-    later = near.join(firsts, "content").where(~place.eqNullSafe(F.col("source"))).select("doc_id", "th", "start", "stop").distinct()
+    later = near.join(firsts, "content").where(~place.eqNullSafe(F.col("source"))).select("doc_id", "th", "start", "stop")
+    # rows of one id and text have their windows several times, which grow to the same runs
     return _grown(later).unionByName(copies.select("doc_id", "th", "start", "stop").distinct())
 
 
@@ -167,13 +168,13 @@ def dedup(docs: DataFrame, min_words: int = MIN_WORDS, text: str = "text", key:
     an empty result; other columns are carried along under one name, so they can't clash.
     """
     own = docs.columns
-    rows = docs.select(
-        F.struct(*[F.col(f"`{c}`") for c in own]).alias("__l_row"), F.col(key).alias("doc_id"), text_of(text).alias("text"))
-    rows = rows.withColumn("th", F.xxhash64("text"))
-    runs = repeated_runs(rows.select("doc_id", "text"), min_words)
+    # the text travels once, inside its row
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in own]).alias("__l_row"), F.col(key).alias("doc_id"), F.xxhash64(text_of(text)).alias("th"))
+    runs = repeated_runs(docs.select(F.col(key).alias("doc_id"), text_of(text).alias("text")), min_words)
     per = runs.groupBy("doc_id", "th").agg(F.sort_array(F.collect_list(F.struct("start", "stop"))).alias("runs"))
     per = per.select(F.col("doc_id").alias("r_id"), F.col("th").alias("r_th"), "runs")
     joined = rows.join(per, rows["doc_id"].eqNullSafe(per["r_id"]) & (rows["th"] == per["r_th"]), "left")
+    joined = joined.withColumn("text", F.coalesce(F.col("__l_row").getField(text), F.lit("")))
     runs_of = F.coalesce("runs", F.array().cast("array<struct<start:bigint,stop:bigint>>"))
     size = F.char_length("text").cast("long")
     # the gaps between runs: from the end of one to the start of the next, without white space behind a run
