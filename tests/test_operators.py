@@ -9,6 +9,7 @@ import time
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from verdictframe.catalog import load_all
@@ -423,6 +424,29 @@ def test_prefix_states_equal_a_loop():
         assert [L.STATES[i] for i in got] == want
 
 
+def test_lifecycle_processor_works_on_plain_rows():
+    class Value:
+        held = None
+
+        def exists(self):
+            return self.held is not None
+
+        def get(self):
+            return self.held
+
+        def update(self, held):
+            self.held = held
+
+    event = Row("id", "event_type")
+    p = W.LifecycleProcessor(0, L.TRANSITIONS, L.STATES, L.IN_PROGRESS)
+    p.value = Value()
+    first = list(p.handleInputRows((7,), iter([event(3, "started"), event(1, "created"), event(2, None)]), None))
+    assert [tuple(r) for r in first] == [(7, 1, "created", True, "PENDING", False), (7, 2, None, False, "PENDING", False), (7, 3, "started", True, "RUNNING", False)]
+    second = list(p.handleInputRows((7,), iter([event(4, "failed"), event(2, "created")]), None))
+    assert [tuple(r) for r in second] == [(7, 2, "created", False, "RUNNING", True), (7, 4, "failed", True, "FAILED", False)]
+    assert p.value.held == ("FAILED", 4, 1)
+
+
 def test_stuck_row_after_the_timer_and_late_ids(spark, tmp_path):
     def put(rows):
         spark.createDataFrame(rows, "evaluation_id long, id long, event_type string").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))

@@ -12,8 +12,7 @@ from collections.abc import Callable, Iterator
 from typing import Any
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQueryListener
@@ -55,7 +54,7 @@ class DroppedRows(StreamingQueryListener):
         pass
 
     def onQueryProgress(self, event: Any) -> None:
-        states = [x for x in event.progress.stateOperators if x.operatorName in ("dedupeWithinWatermark", "transformWithStateInPandasExec")]
+        states = [x for x in event.progress.stateOperators if x.operatorName in ("dedupeWithinWatermark", "transformWithStateInPandasExec", "transformWithStateInPySparkExec")]
         # a batch may report more than once
         self.by_batch[str(event.progress.runId), event.progress.batchId] = sum(x.numRowsDroppedByWatermark for x in states)
 
@@ -105,6 +104,7 @@ def distinct_content(files: DataFrame, content: str, ts: str, delay: str) -> Dat
 
 
 _LIFE_SCHEMA = "evaluation_id bigint, id bigint, event_type string, accepted boolean, state string, late boolean"
+_LIFE_ROW = Row("evaluation_id", "id", "event_type", "accepted", "state", "late")
 
 
 def transition_maps(transitions: dict[str, tuple[str, tuple[str, ...]]], states: tuple[str, ...]) -> tuple[dict[str, int], np.ndarray]:
@@ -135,33 +135,36 @@ class LifecycleProcessor(StatefulProcessor):
 
     def __init__(self, idle_ms: int, transitions: dict[str, tuple[str, tuple[str, ...]]], states: tuple[str, ...], in_progress: tuple[str, ...]) -> None:
         self.idle_ms, self.states, self.in_progress = idle_ms, states, in_progress
-        self.rows, self.maps = transition_maps(transitions, states)
+        self.rows, maps = transition_maps(transitions, states)
+        self.maps = maps.tolist()
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.value = handle.getValueState("status", "state string, last_id bigint, late bigint")
 
-    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues: TimerValues) -> Iterator[Row]:
         current, last, late_before = self.value.get() if self.value.exists() else (self.states[0], -1, 0)
-        batch = pd.concat(list(rows)).sort_values("id", kind="stable")  # one evaluation's events of one micro-batch
-        ids, events = batch["id"].to_numpy(), batch["event_type"]
-        late = ids <= last
-        at = events[~late].map(self.rows).fillna(len(self.maps) - 1).to_numpy(np.int64)
-        path = prefix_states(at, self.maps, self.states.index(current))
-        names = np.array(self.states, object)
-        accepted, state = np.zeros(len(ids), bool), np.full(len(ids), current, object)
-        accepted[~late], state[~late] = path[1:] != path[:-1], names[path[1:]]
-        self.value.update((str(names[path[-1]]), int(max(last, ids[-1])), int(late_before + late.sum())))
+        batch = sorted(rows, key=lambda r: r["id"])  # one evaluation's events of one micro-batch
+        at, late, out = self.states.index(current), 0, []
+        for row in batch:
+            if row["id"] <= last:
+                late += 1
+                out.append(_LIFE_ROW(key[0], row["id"], row["event_type"], False, current, True))
+                continue
+            to = self.maps[self.rows.get(row["event_type"], -1)][at]
+            out.append(_LIFE_ROW(key[0], row["id"], row["event_type"], to != at, self.states[to], False))
+            at = to
+        self.value.update((self.states[at], max(last, batch[-1]["id"]), late_before + late))
         if self.idle_ms:
             for timer in self.handle.listTimers():
                 self.handle.deleteTimer(timer)
             self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.idle_ms)
-        yield pd.DataFrame({"evaluation_id": key[0], "id": ids, "event_type": events.to_numpy(), "accepted": accepted, "state": state, "late": late})
+        yield from out
 
-    def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
+    def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: Any) -> Iterator[Row]:
         current, last, _ = self.value.get()
         if current in self.in_progress:
-            yield pd.DataFrame({"evaluation_id": [key[0]], "id": [last], "event_type": ["stuck"], "accepted": [False], "state": [current], "late": [False]})
+            yield _LIFE_ROW(key[0], last, "stuck", False, current, False)
 
     def close(self) -> None:
         pass
@@ -176,7 +179,7 @@ def lifecycle_stream(events: DataFrame, idle_ms: int = 0, transitions: dict[str,
     spark = events.sparkSession
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     processor = LifecycleProcessor(idle_ms, transitions, states, in_progress)
-    return events.select("evaluation_id", "id", "event_type").groupBy("evaluation_id").transformWithStateInPandas(
+    return events.select("evaluation_id", "id", "event_type").groupBy("evaluation_id").transformWithState(
         processor, _LIFE_SCHEMA, "append", "ProcessingTime" if idle_ms else "None")
 
 
