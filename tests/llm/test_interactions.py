@@ -7,6 +7,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 from oracle_check import compare, duck
@@ -135,6 +136,21 @@ def test_bpe_of_odd_texts(spark, vocabulary, library):
     assert op12_bpe.encode(df.limit(0), vocabulary).collect() == []
 
 
+def test_rare_words_are_merged_in_batches(spark, vocabulary, library):
+    # each used to go through the fold by itself, where it stood
+    rng = random.Random(12)
+    words = ["".join(rng.choices("etaoinshr", k=rng.randint(1, 64))) for _ in range(9000)] + ["".join(rng.choices("aé字💥\0 ", k=rng.randint(1, 64))) for _ in range(900)]
+    got = vocabulary.merges.coded(pa.array(["x", *words])[1:]).to_pylist()
+    assert [[ord(c) for c in g] for g in got] == [library._core_bpe.encode_single_piece(w.encode()) for w in words]
+    assert vocabulary.merges.coded(pa.array([], pa.string())).to_pylist() == []
+    texts = spark.createDataFrame([(i, " ".join(words[i::100]) if i % 7 else None) for i in range(100)], "doc_id long, text string")
+    for known in (op12_bpe.HotWords.build([]), None):
+        coded = op12_bpe.encode(texts, vocabulary, known)
+        assert "aggregate(" not in coded._jdf.queryExecution().optimizedPlan().toString()
+        for r in coded.select("text", op12_bpe.ids(F.col("coded")).alias("ids")).collect():
+            assert r["ids"] == library.encode_ordinary(r["text"] or "")
+
+
 def test_places_hold_every_pair(vocabulary):
     table = vocabulary.pairs
     held = {table[i : i + 4]: table[i + 4 : i + 6] for i in range(0, len(table), 6) if table[i : i + 6] != b"\xff" * 6}

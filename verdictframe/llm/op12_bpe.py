@@ -3,8 +3,9 @@
 A text is cut into words by the tokenizer's pattern. A word's bytes become ids, and a fold merges the adjacent pair of the
 lowest rank, leftmost first, until no pair of neighbours is in the vocabulary. The rank map is a binary literal: a hash of the
 two ids names two places, and one of them holds the pair and its rank if the pair can be merged. Frequent distinct words are
-folded once, and their ids become a second literal map; the other words are folded where they stand. Ids are coded as a
-string with one character per id while they are joined. Decoding joins the byte strings of the ids.
+folded once, and their ids become a second literal map; the other words go through the same merges in Arrow batches, all
+distinct words of a batch at once. Ids are coded as a string with one character per id while they are joined. Decoding joins
+the byte strings of the ids.
 """
 
 from __future__ import annotations
@@ -15,7 +16,8 @@ from dataclasses import dataclass
 from functools import cached_property
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -24,6 +26,10 @@ from .common import stash, text_of, total_bytes
 
 #: A longer word is merged by a heap instead of the fold, whose cost is quadratic in a word's bytes.
 LONG_CHARS = 64
+#: So many words are merged at once, side by side; a word of LONG_CHARS characters has at most 256 bytes.
+SIDE_BY_SIDE = 1 << 13
+#: No id, and the key of a pair that can't be merged.
+NO_ID, NO_KEY = 0xFFFF, 1 << 30
 #: At most this many frequent words are kept as a literal map: about 1 MB of words and as much of ids.
 HOT_WORDS = 1 << 16
 #: They are counted in a sample of about this many bytes of text.
@@ -92,6 +98,83 @@ def _code(rank: int) -> bytes:
     return rank.to_bytes(2, "big")
 
 
+@dataclass(frozen=True)
+class Merges:
+    """Ids of the 256 bytes; sorted pairs of ids, each as one number, and their ranks."""
+
+    byte_ids: np.ndarray
+    keys: np.ndarray
+    ranks: np.ndarray
+
+    def rank(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Rank of each pair of ids, -1 if it can't be merged."""
+        key = a.astype(np.uint32) << np.uint32(16) | b.astype(np.uint32)
+        at = np.searchsorted(self.keys, key)
+        return np.where(self.keys[at] == key, self.ranks[at], -1)
+
+    def key(self, a: np.ndarray, b: np.ndarray, place: np.ndarray) -> np.ndarray:
+        """Smaller for a lower rank, then for a place further left."""
+        rank = self.rank(a, b)
+        return np.where(rank < 0, NO_KEY, rank << 8 | place).astype(np.int32)
+
+    @cached_property
+    def first(self) -> np.ndarray:
+        """Ranks of all pairs of bytes."""
+        return self.rank(np.repeat(self.byte_ids, 256), np.tile(self.byte_ids, 256)).astype(np.int32)
+
+    def side_by_side(self, data: np.ndarray, at: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the words at ``at``, one word after the other, and how many each has; one merge per word and step."""
+        n, high = len(at), int(sizes.max(initial=0))
+        place = np.arange(high)[:, None]
+        inside = place < sizes
+        raw = data[np.minimum(at + place, max(0, len(data) - 1))]
+        # a word is a column; the last row stands for what lies beyond either end
+        ids = np.full((high + 1, n), NO_ID, np.uint16)
+        ids[:high] = np.where(inside, self.byte_ids[raw], NO_ID)
+        keys = np.full((high + 1, n), NO_KEY, np.int32)
+        rank = self.first[raw[:-1].astype(np.int32) << 8 | raw[1:]]
+        keys[: high - 1] = np.where((rank < 0) | ~inside[1:], NO_KEY, rank << 8 | place[:-1])
+        after = np.repeat(np.minimum(np.arange(1, high + 2), high).astype(np.int16)[:, None], n, axis=1)
+        before = np.repeat(np.arange(-1, high, dtype=np.int16)[:, None], n, axis=1)
+        own = np.arange(n)
+        while True:
+            low = keys.min(axis=0)
+            k = np.flatnonzero(low < NO_KEY)
+            if not len(k):
+                break
+            if 4 * len(k) < 3 * len(own):
+                own, keys, low = own[k], keys[:, k], low[k]
+                k = np.arange(len(k))
+            w, low = own[k], low[k]
+            i, new = low & 255, low >> 8
+            j, h = after[i, w], before[i, w]
+            beyond = after[j, w]
+            ids[i, w], ids[j, w] = new, NO_ID
+            after[i, w], before[beyond, w] = beyond, i
+            keys[j, k] = NO_KEY
+            keys[i, k] = self.key(new, ids[beyond, w], i)
+            keys[h, k] = self.key(ids[h, w], new, h.astype(np.int32))
+        left = ids[:high].T
+        held = left != NO_ID
+        return left[held], held.sum(axis=1)
+
+    def coded(self, words: pa.Array) -> pa.Array:
+        """The coded ids of each word, by the same merges as :meth:`Vocabulary.fold`."""
+        words = words.cast(pa.large_string())
+        if not len(words):
+            return words
+        _, off, data = words.buffers()
+        off = np.frombuffer(off, np.int64)[words.offset : words.offset + len(words) + 1]
+        data, sizes = np.frombuffer(data, np.uint8), np.diff(off)
+        order = np.argsort(sizes, kind="stable")
+        parts = [self.side_by_side(data, off[o], sizes[o]) for o in np.split(order, range(SIDE_BY_SIDE, len(order), SIDE_BY_SIDE))]
+        ids, counts = (np.concatenate(x) for x in zip(*parts))
+        ends = np.concatenate([[0], np.cumsum(1 + (ids >= 0x80) + (ids >= 0x800), dtype=np.int64)])[np.concatenate([[0], np.cumsum(counts)])]
+        text = ids.astype("<u2").tobytes().decode("utf-16-le").encode()
+        out = pa.LargeStringArray.from_buffers(len(order), pa.py_buffer(ends.tobytes()), pa.py_buffer(text))
+        return out.take(pa.array(np.argsort(order)))
+
+
 @dataclass(frozen=True)
 class Vocabulary:
     """Ranks of byte strings, each id being its rank, and the pattern that cuts texts into words."""
@@ -128,6 +211,16 @@ class Vocabulary:
             table[6 * p : 6 * p + 6] = key + rank
         return bytes(table)
 
+    @cached_property
+    def merges(self) -> Merges:
+        """The rank map for whole arrays of pairs."""
+        held = np.frombuffer(self.pairs, ">u2").reshape(-1, 3)
+        held = held[held[:, 2] != NO_ID].astype(np.uint32)
+        keys = held[:, 0] << np.uint32(16) | held[:, 1]
+        order = np.argsort(keys)
+        return Merges(np.array([self.ranks[bytes([i])] for i in range(256)], np.uint16),
+                      np.append(keys[order], np.uint32(0xFFFFFFFF)), np.append(held[order, 2].astype(np.int32), -1).astype(np.int32))
+
     def words(self, text: Column) -> Column:
         return F.regexp_extract_all(text, F.lit(java_pattern(self.pattern)), F.lit(0))
 
@@ -238,24 +331,31 @@ def encode(texts: DataFrame, vocabulary: Vocabulary, hot: HotWords | None = None
     """``texts`` with a column of coded token ids, as tiktoken's ``encode_ordinary`` gives them; see :func:`ids`.
 
     A null text counts as empty and has no ids; rows are kept as they are, repeated ones too, and so are other columns,
-    except that ``out`` replaces a column of its name. ``hot`` defaults to frequent words of these texts. Words of more
-    than ``LONG_CHARS`` characters go through a heap in Arrow batches, all others through the fold; only texts with such a
-    word are sent to Python.
+    except that ``out`` replaces a column of its name. ``hot`` defaults to frequent words of these texts, which the fold has
+    merged. All other words go through the same merges in Arrow batches, those of more than ``LONG_CHARS`` characters through a
+    heap, each once per batch.
     """
     hot = hot or hot_words(texts, vocabulary, text)
-    words = vocabulary.words(text_of(text))
-
-    ranks = vocabulary.ranks
-
-    @F.pandas_udf("array<string>")
-    def heaped(batch: pd.Series) -> pd.Series:
-        return batch.map(lambda ws: ["".join(map(chr, heap_merge(ranks, w.encode()))) if len(w) > LONG_CHARS else None for w in ws])
+    ranks, merges = vocabulary.ranks, vocabulary.merges
+    merges.first  # noqa: B018  computed here, so that it is sent along
+
+    @F.arrow_udf("array<string>")
+    def merged(batch: pa.Array) -> pa.Array:
+        words = batch.flatten().dictionary_encode()
+        long = pc.utf8_length(words.dictionary).to_numpy(zero_copy_only=False) > LONG_CHARS
+        short = merges.coded(words.dictionary.filter(pa.array(~long))).cast(pa.string())
+        heaped = pa.array(["".join(map(chr, heap_merge(ranks, w.encode()))) for w in words.dictionary.filter(pa.array(long)).to_pylist()], pa.string())
+        # a word's place among the short ones, or behind them among the long ones
+        where = np.where(long, len(short) + np.cumsum(long), np.cumsum(~long)) - 1
+        flat = pa.concat_arrays([short, heaped]).take(pa.array(where, pa.int64()).take(words.indices))
+        return pa.ListArray.from_arrays(pc.subtract(batch.offsets, batch.offsets[0]), flat)
 
     keep = [c for c in texts.columns if c.lower() != out.lower()]
-    many = F.exists("_words", lambda w: F.length(w) > LONG_CHARS)
-    cut = texts.select(*keep, words.alias("_words")).withColumn("_long", heaped(F.when(many, F.col("_words")).otherwise(F.array().cast("array<string>"))))
-    whole = F.transform("_words", lambda w, i: F.coalesce(F.get("_long", i), hot.look_up(w, vocabulary.fold(w))))
-    return cut.select(*keep, F.array_join(whole, "").alias(out))
+    cut = texts.select(*keep, vocabulary.words(text_of(text)).alias("_words"))
+    cut = cut.withColumn("_known", F.transform("_words", lambda w: hot.look_up(w, F.lit(None).cast("string"))))
+    rest = F.transform("_words", lambda w, i: F.when(F.get("_known", i).isNull(), w))
+    cut = cut.withColumn("_rest", merged(rest))
+    return cut.select(*keep, F.array_join(F.transform("_known", lambda c, i: F.coalesce(c, F.get("_rest", i))), "").alias(out))
 
 
 def ids(coded: Column) -> Column:
