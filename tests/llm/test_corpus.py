@@ -5,6 +5,7 @@ import itertools
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -112,6 +113,37 @@ def test_line_dedup_edges(spark):
     assert op2_line_dedup.clean(df.limit(0)).count() == 0
 
 
+def test_line_dedup_keeps_no_shuffle_files(spark):
+    # those of every step used to stay until the driver collected garbage
+    def files():
+        found, out = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().iterator(), set()
+        while found.hasNext():
+            out.add(found.next().getName())
+        return {n for n in out if n.startswith("shuffle_")}
+
+    rng = random.Random(3)
+    passage = prose(rng, 60)
+    df, before = docs_of(spark, [" ".join(prose(rng, 30) + passage + passage + prose(rng, 30)) for _ in range(20)]), files()
+    runs = op2_line_dedup.repeated_runs(df)
+    for _ in range(50):
+        if not files() - before:
+            break
+        time.sleep(0.1)
+    assert not files() - before
+    assert runs.count() == 20
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"
+
+
+def test_line_dedup_orders_null_and_negative_ids(spark):
+    # a number stands for the text among the windows, in order of id and text
+    rng = random.Random(4)
+    passage = " ".join(prose(rng, 25))
+    rows = [(d, " ".join(prose(rng, 5)) + " " + passage + " " + " ".join(prose(rng, 5))) for d in (5, -7, None, 3)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert {r["doc_id"] for r in op2_line_dedup.report(df).collect() if r["n_runs"]} == {5, -7, 3}
+    assert {r["doc_id"] for r in op2_line_dedup.report(df.where("doc_id is not null")).collect() if r["n_runs"]} == {5, 3}
+
+
 def test_line_dedup_sends_a_text_once_in_its_row(spark):
     plan = op2_line_dedup.dedup(docs_of(spark, ["a b", "a b"]))._jdf.queryExecution().analyzed().toString()
     rows = [x for x in plan.splitlines() if " AS __l_row" in x]

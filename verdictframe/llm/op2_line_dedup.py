@@ -68,16 +68,18 @@ def _range_min(x: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def _cutter(min_words: int):
-    """Windows of each text at the text's repeated fingerprints."""
+    """Windows of each text at the text's repeated fingerprints; ``again`` if the text has the same window further left."""
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for i, data, off in slices(b.column(2)):
+            for i, data, off in slices(b.column(1)):
                 w = windows(data, off, min_words)
-                own = np.flatnonzero(np.isin(w["fingerprint"], b.column(3).slice(i, len(off) - 1).flatten().to_numpy()))
-                take = pa.array(w["doc"][own] + i)
+                own = np.flatnonzero(np.isin(w["fingerprint"], b.column(2).slice(i, len(off) - 1).flatten().to_numpy()))
+                key = mix(w["doc"][own].astype(U) + U(1)) + w["content"][own].astype(np.int64).view(U)
+                again = np.ones(len(own), dtype=bool)
+                again[np.unique(key, return_index=True)[1]] = False
                 yield pa.RecordBatch.from_arrays(
-                    [b.column(0).take(take), b.column(1).take(take)] + [pa.array(w[k][own], pa.int64()) for k in ("content", "start", "stop")],
-                    ["doc_id", "th", "content", "start", "stop"])
+                    [b.column(0).take(pa.array(w["doc"][own] + i)), pa.array(w["content"][own], pa.int64()), pa.array(w["start"][own], pa.int64()),
+                     pa.array(w["stop"][own] - w["start"][own], pa.int64()), pa.array(again)], ["place", "content", "start", "size", "again"])
 
     return go
 
@@ -127,37 +129,41 @@ def repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     The first place of a run is the one with the smallest (doc_id, text hash, start); null ids come first. Rows that
     agree in doc_id and text are one document and are cut alike. Texts are read for their bounds, for the fingerprints
     and for the windows at those that stand in several places; only the last sends a text on, once for all its copies.
+    Each step is written, and the files of its shuffles go before the next one starts.
     """
     t = text_of()
     keyed = docs.select("doc_id", F.xxhash64(t).alias("th"), t.alias("text"))
     kind = docs.schema["doc_id"].dataType.simpleString()
     whole = stash(keyed.mapInArrow(_bounder(min_words), f"doc_id {kind}, th long, start long, stop long"))
     # the first of equal texts stands for them all, the others are cut from their first word to their last
-    first = stash(whole.groupBy("th").agg(F.min(F.struct("doc_id")).alias("f"), F.max(F.struct("doc_id")).alias("l")).select("th", F.col("f.doc_id").alias("f_id"), (~F.col("f").eqNullSafe(F.col("l"))).alias("copied")))
+    first = whole.groupBy("th").agg(F.min(F.struct("doc_id")).alias("f"), F.max(F.struct("doc_id")).alias("l")).select("th", F.col("f.doc_id").alias("f_id"), (~F.col("f").eqNullSafe(F.col("l"))).alias("copied"))
+    # a number in order of (doc_id, text hash) stands for the text among the windows
+    first = stash(first.orderBy(F.asc_nulls_first("f_id"), "th").withColumn("place", F.monotonically_increasing_id()), free=True)
     copies = whole.join(first.where("copied").select("th", "f_id"), "th").where(~F.col("doc_id").eqNullSafe(F.col("f_id")))
-    marks = keyed.select("th", "text").mapInArrow(_marker(min_words), "th long, fingerprint long, twice boolean")
+    marks = stash(keyed.select("th", "text").mapInArrow(_marker(min_words), "th long, fingerprint long, twice boolean"))
     spread = marks.groupBy("fingerprint").agg(F.min("th").alias("p"), F.max("th").alias("q"), F.max("twice").alias("twice"))
     shared = spread.where("p <> q or twice").select("fingerprint")
     wanted = marks.select("th", "fingerprint").join(shared, "fingerprint", "left_semi").groupBy("th").agg(F.collect_set("fingerprint").alias("prints"))
-    wanted = stash(wanted.join(first.select("th", "f_id"), "th").select(F.col("th").alias("w_th"), "f_id", "prints"))
-    texts = keyed.join(wanted, (keyed["th"] == wanted["w_th"]) & keyed["doc_id"].eqNullSafe(wanted["f_id"])).select("doc_id", "th", "text", "prints")
-    near = stash(texts.mapInArrow(_cutter(min_words), f"doc_id {kind}, th long, content long, start long, stop long"))
-    # the first place of each content, unless it is the only one
-    place = F.struct("doc_id", "th", "start")
-    firsts = near.groupBy("content").agg(F.min(place).alias("source"), F.count(F.lit(1)).alias("n"))
-    firsts = firsts.where(F.col("n") > 1).select("content", "source")
-    later = near.join(firsts, "content").where(~place.eqNullSafe(F.col("source"))).select("doc_id", "th", "start", "stop")
+    wanted = stash(wanted.join(first.select("th", "f_id", "place"), "th").select(F.col("th").alias("w_th"), "f_id", "place", "prints"), free=True)
+    texts = keyed.join(wanted, (keyed["th"] == wanted["w_th"]) & keyed["doc_id"].eqNullSafe(wanted["f_id"])).select("place", "text", "prints")
+    near = stash(texts.mapInArrow(_cutter(min_words), "place long, content long, start long, size long, again boolean"), free=True)
+    # the first text with each content, unless it is the only one
+    own = near.where(~F.col("again")).select("content", "place", "start", "size")
+    firsts = own.groupBy("content").agg(F.min("place").alias("source"), F.count(F.lit(1)).alias("n")).where(F.col("n") > 1).select("content", "source")
+    later = own.join(firsts, "content").where(F.col("place") != F.col("source")).select("place", "start", "size")
+    later = later.unionByName(near.where("again").select("place", "start", "size")).select("place", "start", (F.col("start") + F.col("size")).alias("stop"))
     # rows of one id and text have their windows several times, which grow to the same runs
-    return _grown(later).unionByName(copies.select("doc_id", "th", "start", "stop").distinct())
+    runs = _grown(later).join(first, "place").select(F.col("f_id").alias("doc_id"), "th", "start", "stop")
+    return stash(runs.unionByName(copies.select("doc_id", "th", "start", "stop").distinct()), free=True)
 
 
 def _grown(matches: DataFrame) -> DataFrame:
     """Matched windows of a text that overlap or touch become one run."""
-    order = Window.partitionBy("doc_id", "th").orderBy("start", "stop")
+    order = Window.partitionBy("place").orderBy("start", "stop")
     reach = F.max("stop").over(order.rowsBetween(Window.unboundedPreceding, -1))
     marked = matches.withColumn("new", F.when(reach.isNull() | (F.col("start") > reach + 1), 1).otherwise(0))
     marked = marked.withColumn("run", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-    return marked.groupBy("doc_id", "th", "run").agg(F.min("start").alias("start"), F.max("stop").alias("stop")).drop("run")
+    return marked.groupBy("place", "run").agg(F.min("start").alias("start"), F.max("stop").alias("stop")).drop("run")
 
 
 def dedup(docs: DataFrame, min_words: int = MIN_WORDS, text: str = "text", key: str = "doc_id") -> DataFrame:
