@@ -3,7 +3,12 @@
 import hashlib
 from collections import Counter
 
+import pytest
+
+from verdictframe.catalog import load_all
+from verdictframe.catalog.base import run
 from verdictframe.operators import intervals as U
+from verdictframe.operators import ratings as S
 from verdictframe.sources import labelled as L
 
 
@@ -42,3 +47,16 @@ def test_file_in_parts_is_one_file(spark, tmp_path):
         (tmp_path / name / "other.log").write_bytes(b"[]")
     got = {r["path"].rsplit("/", 1)[1]: (r["length"], r["verdict"]) for r in L.classify_parts(spark, str(tmp_path), ".txt").collect()}
     assert got == {"a": (13, "web_page"), "b": (7, "not_utf8"), "c": (3, "table"), "d": (7, "table")}
+
+
+@pytest.mark.parametrize("name", ["sco_11_total_score", "stu_11_export_runs"])
+def test_ratings_are_dealt_by_rows(spark, monkeypatch, name):
+    # partitions used to be joined by their compressed size, so that a task's rows grew with the table
+    load_all()
+    sf = "/root/testdata/sf0.001"
+    want, _ = widest(spark, f"{name} whole", lambda: sorted(map(str, run(name, spark, sf).collect())))
+    rows = 5 * spark.read.parquet(f"{sf}/orders.parquet").count()
+    monkeypatch.setattr(S, "TASK_ROWS", rows // 40)
+    got, tasks = widest(spark, f"{name} dealt", lambda: sorted(map(str, run(name, spark, sf).collect())))
+    assert got == want
+    assert tasks >= 40

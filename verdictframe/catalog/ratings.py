@@ -94,9 +94,14 @@ PROP_SQL = V4_SQL + f""", sp AS (SELECT DISTINCT evaluation_id, d.aspect FROM v_
    WHEN probe_status IN ('FAILED', 'INSUFFICIENT_EVIDENCE') THEN 'SKIPPED' ELSE probe_status END AS status FROM sp LEFT JOIN (SELECT * FROM v4 WHERE {_LOST}) v4 ON v4.evaluation_id = sp.evaluation_id AND v4.dimension = sp.aspect)"""
 
 
+def parts(v):
+    """Tasks for the probes, by their number."""
+    return S.parts_of(v("v_probes").count())
+
+
 def proposals(v):
     p = typed(v)
-    return S.propose(p, S.bands_v4(p.filter(_LOST)), BY)
+    return S.propose(p, S.bands_v4(p.filter(_LOST)), BY, parts(v))
 
 
 def _osd(df):
@@ -164,7 +169,7 @@ def _(v):
     w = F.when(e % 10 == 7, F.when(d == "SAFETY", 0.05).when(d == "FAIRNESS", 0.35).otherwise(0.2)).when(e % 10 == 8, 0.3).otherwise(
         F.when(d == "SAFETY", 0.4).when(d == "FAIRNESS", 0.3).otherwise(0.1))
     weights = v("v_probes").select("evaluation_id", d.alias("aspect"), w.alias("weight"))
-    return S.total_score(proposals(v), BY, weights)
+    return S.total_score(proposals(v), BY, weights, parts(v))
 
 
 @query("sco_12_score_or_withhold", PROP_SQL + """ SELECT evaluation_id, count("O") AS complete_aspect_count, count(*) - count(*) FILTER (WHERE status = 'NOT_APPLICABLE') AS required_aspect_count,

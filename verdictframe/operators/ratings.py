@@ -170,18 +170,32 @@ def bands_v4(probes: DataFrame, anchors: dict[str, tuple[float, float]] | None =
     return level.withColumns({c: F.when(use, F.col("_level")).otherwise(F.col(c)) for c in ("O", "S")}).drop("_raw", "_level")
 
 
-def _spine(evaluations: DataFrame, by: list[str]) -> DataFrame:
-    return evaluations.select(*by).distinct().withColumn("dimension", F.explode(F.array(*[F.lit(x) for x in DIMENSIONS])))
+#: Rows of a task where rows are dealt by key, however well they compress.
+TASK_ROWS = 1 << 18
+
+
+def parts_of(rows: int) -> int:
+    """Number of partitions for so many rows."""
+    return max(1, -(-rows // TASK_ROWS))
+
+
+def dealt(df: DataFrame, parts: int | None, *keys: str) -> DataFrame:
+    """``df`` in so many partitions by key; Spark's own choice, by compressed bytes, without a number."""
+    return df if parts is None else df.repartition(parts, *keys)
+
+
+def _spine(evaluations: DataFrame, by: list[str], parts: int | None = None) -> DataFrame:
+    return dealt(evaluations.select(*by), parts, *by).distinct().withColumn("dimension", F.explode(F.array(*[F.lit(x) for x in DIMENSIONS])))
 
 
 def _complete() -> Column:
     return F.col("O").isNotNull() & F.col("S").isNotNull() & F.col("D").isNotNull()
 
 
-def propose(evaluations: DataFrame, banded: DataFrame, by: list[str]) -> DataFrame:
-    """Five aspects per evaluation; a missing probe gives NULL ratings at confidence 0.2."""
+def propose(evaluations: DataFrame, banded: DataFrame, by: list[str], parts: int | None = None) -> DataFrame:
+    """Five aspects per evaluation; a missing probe gives NULL ratings at confidence 0.2. ``parts``: see :func:`dealt`."""
     rated = banded.select(*by, "dimension", "probe_status", "confidence", "O", "S", "D", F.lit(True).alias("_has"))
-    j = _spine(evaluations, by).join(rated, [*by, "dimension"], "left")
+    j = dealt(_spine(evaluations, by, parts), parts, *by, "dimension").join(dealt(rated, parts, *by, "dimension"), [*by, "dimension"], "left")
     status = first_case(
         (F.col("_has").isNull(), "INSUFFICIENT_EVIDENCE"), (_complete(), F.coalesce("probe_status", F.lit("EVALUATED"))),
         (_is("probe_status", "NOT_APPLICABLE"), "NOT_APPLICABLE"), (_is("probe_status", *NON_SCORING), "SKIPPED"),
@@ -226,21 +240,21 @@ def merge_judgments(base: DataFrame, external: DataFrame, by: list[str]) -> Data
                     F.when(rated, source).alias("source"))
 
 
-def total_score(risks: DataFrame, by: list[str], weights: DataFrame | None = None) -> DataFrame:
+def total_score(risks: DataFrame, by: list[str], weights: DataFrame | None = None, parts: int | None = None) -> DataFrame:
     """Weighted total of the aspect means, with the rule violations that forbid it.
 
     ``risks``: by + aspect, O, S, D (several risks per aspect allowed, abstained ones ignored);
-    ``weights``: by + aspect, weight (equal weights without it).
+    ``weights``: by + aspect, weight (equal weights without it); ``parts``: see :func:`dealt`.
     """
     pi = risk_score("O", "S", "D")
-    aspects = risks.groupBy(*by, F.upper("aspect").alias("aspect")).agg(
+    aspects = dealt(risks.select(*by, F.upper("aspect").alias("aspect"), "O", "S", "D"), parts, *by, "aspect").groupBy(*by, "aspect").agg(
         F.avg(pi).alias("aspect_score"), F.bool_or(_complete() & pi.isNull()).alias("_bad"))
     if weights is None:
         w = aspects.withColumn("weight", F.lit(1.0 / len(DIMENSIONS)))
     else:
         ws = weights.select(*by, F.upper("aspect").alias("aspect"), "weight")
-        w = aspects.join(ws, [*by, "aspect"], "full_outer")
-    out = w.groupBy(*by).agg(
+        w = aspects.join(dealt(ws, parts, *by, "aspect"), [*by, "aspect"], "full_outer")
+    out = dealt(w, parts, *by).groupBy(*by).agg(
         F.sum(F.col("weight") * F.col("aspect_score")).alias("_total"),
         F.count_if(F.col("aspect").isin(*DIMENSIONS) & F.col("aspect_score").isNotNull()).alias("aspects"),
         F.count_if(~F.col("aspect").isin(*DIMENSIONS)).alias("_unknown"),
