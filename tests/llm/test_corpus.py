@@ -11,6 +11,7 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 from pyspark.sql import functions as F
 from test_rows import DOCS, LOW, ODD, SF, WORD, docs_of
@@ -134,6 +135,57 @@ def test_line_dedup_keeps_no_shuffle_files(spark):
     assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"
 
 
+def test_line_dedup_sends_few_rows(spark):
+    # each window and each fingerprint used to be a row of several shuffles and files
+    def records():
+        store, gate = spark.sparkContext._jsc.sc().statusStore(), spark.sparkContext._gateway
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+        stages = store.stageList(None, False, False, gate.new_array(gate.jvm.double, 0), None)
+        return {stages.apply(k).stageId(): stages.apply(k).shuffleWriteRecords() + stages.apply(k).outputRecords() for k in range(stages.size())}
+
+    rng = random.Random(5)
+    passages = [prose(rng, 300, 10**6) for _ in range(20)]
+    df = docs_of(spark, [" ".join(prose(rng, 30, 10**6) + rng.choice(passages) + prose(rng, 30, 10**6)) for _ in range(200)]).repartition(4).localCheckpoint()
+    before = records()
+    assert op2_line_dedup.repeated_runs(df).count() == 180
+    sent = sum(n for k, n in records().items() if k not in before)
+    assert sent < 10_000 < 200 * 281
+
+
+@pytest.mark.parametrize("block", [1, 50, 10**6])
+def test_line_dedup_blocks_and_parts_do_not_matter(block, monkeypatch):
+    # the same steps in this process: blocks of any size settle the same windows, whatever part they go to
+    monkeypatch.setattr(op2_line_dedup, "BLOCK", block)
+    rng, n, min_words = random.Random(6), 5, 20
+    _, texts = line_fixture()
+    texts = [*texts, "a b c " * 9, "la " * 21, " ".join(["x y z"] * 7 + prose(rng, 40) + ["x y z"] * 7), texts[0] + " " + texts[0]]
+    texts = [t for t in dict.fromkeys(texts) if len(t.split()) >= min_words]
+
+    def batches(table):
+        return iter(table.to_batches(max_chunksize=7))
+
+    def by_part(found, judge):
+        t = pa.Table.from_batches(found)
+        return pa.concat_tables([judge(t.filter(pc.equal(t["part"], p))) for p in t["part"].unique()])
+
+    ids = pa.array(range(len(texts)), pa.int64())
+    whole = pa.Table.from_batches(op2_line_dedup._reader(min_words)(batches(pa.table({"doc_id": ids, "th": ids, "text": texts}))))
+    wanted = by_part(op2_line_dedup._print_dealer(n)(batches(whole.select(["th", "prints", "n"]))), op2_line_dedup._print_judge(n))
+    wanted = by_part(wanted.to_batches(), op2_line_dedup._gatherer)
+    assert len(set(wanted["th"].to_pylist())) == wanted.num_rows
+    texts_of = pa.table({"place": wanted["th"], "text": [texts[i] for i in wanted["th"].to_pylist()], "prints": wanted["prints"]})
+    texts_of = pa.concat_tables([texts_of, texts_of.slice(0, 20)])  # rows of one id and text
+    later = by_part(op2_line_dedup._cutter(min_words, n)(batches(texts_of)), op2_line_dedup._window_judge(n))
+    got = {i: [] for i in range(len(texts))}
+    for r in sorted(later.to_pylist(), key=lambda r: (r["place"], r["start"], r["stop"])):
+        runs = got[r["place"]]
+        if runs and r["start"] <= runs[-1][1] + 1:
+            runs[-1][1] = max(runs[-1][1], r["stop"])
+        else:
+            runs.append([r["start"], r["stop"]])
+    assert {i: ",".join(f"{a}-{b}" for a, b in x) for i, x in got.items()} == brute_runs(list(enumerate(texts)), min_words)
+
+
 def test_line_dedup_orders_null_and_negative_ids(spark):
     # a number stands for the text among the windows, in order of id and text
     rng = random.Random(4)

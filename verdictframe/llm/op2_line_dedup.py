@@ -5,6 +5,9 @@ runs of GRAM words in it, so equal windows have equal fingerprints and neighbour
 fingerprint that stands in one place only can't begin a match; windows at the others are looked up word by word at their
 first place in the corpus, so that matches reach to their true ends both ways, and the runs of matched windows are cut
 from all but the first place. A text that equals another one is cut as a whole, without its windows.
+
+Fingerprints and windows travel packed: a task settles what it can among BLOCK entries, and sends the rest as one row of
+byte strings per part, a range of fingerprints. Parts are as many as keep each at some PART entries.
 """
 
 from __future__ import annotations
@@ -24,25 +27,67 @@ from .wordhash import INK, U, mix, slices, split
 MIN_WORDS = 20
 #: Words of a hash that a fingerprint is chosen from.
 GRAM = 6
-
-
-def windows(data: np.ndarray, offsets: np.ndarray, min_words: int = MIN_WORDS) -> dict[str, np.ndarray]:
-    """All windows of a slice of texts: doc, fingerprint, content, and the bounds as code points of the text."""
-    w = split(data, offsets, kind=INK, lower=False)
-    a = np.flatnonzero(w.doc[: max(0, len(w.hash) - min_words + 1)] == w.doc[min_words - 1 :])
-    if not len(a):
-        return {k: np.zeros(0, np.int64) for k in ("doc", "fingerprint", "content", "start", "stop")}
-    size = min(GRAM, min_words)
-    m = len(w.hash) - size + 1
-    g = w.hash[:m].copy()
-    for k in range(1, size):
-        g = mix(g * U(0x9E3779B97F4A7C15) + w.hash[k : k + m])
-    chars = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
-    base = chars[offsets[w.doc[a]]]
-    # from the window's first character to the end of its last word
-    return {"doc": w.doc[a], "fingerprint": _range_min(g, a, a + min_words - size).view(np.int64),
-            "content": _run_hash(w.hash)(a, a + min_words).view(np.int64),
-            "start": chars[w.at[a]] - base, "stop": chars[w.end[a + min_words - 1]] - base}
+#: Fingerprints or windows that a task gathers before it sends them on, and that a part gets on average.
+BLOCK, PART = 1 << 20, 1 << 19
+#: The lowest bit of a fingerprint is free for a mark.
+MARK = U(1)
+
+
+class Windows:
+    """All windows of a slice of texts, in order: ``at`` (first word), ``doc``, ``print`` (fingerprint, unmarked)."""
+
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, min_words: int = MIN_WORDS):
+        w = self.words = split(data, offsets, kind=INK, lower=False)
+        self.min_words, size = min_words, min(GRAM, min_words)
+        self.grams = min_words - size + 1
+        self.at = np.flatnonzero(w.doc[: max(0, len(w.hash) - min_words + 1)] == w.doc[min_words - 1 :])
+        self.doc, self.print = w.doc[self.at], np.zeros(0, U)
+        if len(self.at):
+            m = len(w.hash) - size + 1
+            g = w.hash[:m].copy()
+            for k in range(1, size):
+                g = mix(g * U(0x9E3779B97F4A7C15) + w.hash[k : k + m])
+            self.print = mix(_slide_min(g, self.grams)[self.at]) & ~MARK
+        self._hash, self._chars = None, None
+
+    def content(self, own=slice(None)) -> np.ndarray:
+        """Hash of the words of each window."""
+        self._hash = self._hash or _run_hash(self.words.hash)
+        return self._hash(self.at[own], self.at[own] + self.min_words)
+
+    def chars(self, doc: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Code points of each text before a byte of the slice."""
+        if self._chars is None:
+            self._chars = np.zeros(len(self.words.data) + 1, np.int32)
+            np.cumsum((self.words.data & 0xC0) != 0x80, dtype=np.int32, out=self._chars[1:])
+        return self._chars[at] - self._chars[self.words.offsets[doc]]
+
+    def bounds(self, own=slice(None)) -> tuple[np.ndarray, np.ndarray]:
+        """Start and size as code points, from the window's first character to the end of its last word."""
+        doc, at = self.doc[own], self.at[own]
+        start = self.chars(doc, self.words.at[at])
+        return start, self.chars(doc, self.words.end[at + self.min_words - 1]) - start
+
+    def stretches(self) -> np.ndarray:
+        """Indices of the windows whose fingerprint isn't that of the window before."""
+        return _starts(self.doc, self.print)
+
+    def prints(self) -> tuple[np.ndarray, np.ndarray]:
+        """(text, fingerprint), each fingerprint once a text, marked if a window of it may stand twice in the text."""
+        new = self.stretches()
+        # equal windows that share a stretch of the length that one place of a fingerprint can have, or lie in two or a longer one
+        twice, content = np.zeros(len(self.at), dtype=bool), self.content()
+        for d in range(1, self.grams):
+            twice[d:] |= (content[d:] == content[:-d]) & (self.doc[d:] == self.doc[:-d])
+        twice = np.logical_or.reduceat(twice, new) | (np.diff(np.append(new, len(self.at))) > self.grams)
+        key = mix(self.doc[new].astype(U) + U(1)) + self.print[new]
+        order = np.argsort(key)
+        group = _starts(key[order])
+        twice = np.logical_or.reduceat(twice[order], group) | (np.diff(np.append(group, len(order))) > 1)
+        own = np.minimum.reduceat(order, group)
+        back = np.argsort(own)
+        own = new[own[back]]
+        return self.doc[own], self.print[own] | twice[back].astype(U)
 
 
 def _run_hash(h: np.ndarray):
@@ -55,103 +100,227 @@ def _run_hash(h: np.ndarray):
     return lambda a, b: mix((total[b] - total[a]) * down[a] + (b - a).astype(U))
 
 
-def _range_min(x: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """min(x[a..b]) for each pair, from minima over powers of two."""
-    level, out = x, np.empty(len(a), x.dtype)
-    width = np.frexp((b - a + 1).astype(float))[1] - 1
-    for k in range(int(width.max()) + 1):
-        own = width == k
-        out[own] = np.minimum(level[a[own]], level[b[own] - (1 << k) + 1])
-        if len(level) > (1 << k):
-            level = np.minimum(level[: len(level) - (1 << k)], level[1 << k :])
-    return out
+def _slide_min(x: np.ndarray, n: int) -> np.ndarray:
+    """min(x[i..i+n-1]) for each i, from minima over powers of two."""
+    level, width = x, 1
+    while 2 * width <= n:
+        level, width = np.minimum(level[:-width], level[width:]), 2 * width
+    return np.minimum(level[: len(x) - n + 1], level[n - width :])
+
+
+def _starts(*columns: np.ndarray) -> np.ndarray:
+    """Indices at which one of the columns changes, with the first."""
+    new = np.ones(len(columns[0]), dtype=bool)
+    new[1:] = np.logical_or.reduce([c[1:] != c[:-1] for c in columns])
+    return np.flatnonzero(new)
+
+
+def _part(key: np.ndarray, n: int) -> np.ndarray:
+    """Part 0 to n - 1 of an evenly spread key."""
+    return (((key >> U(32)) * U(n)) >> U(32)).astype(np.int32)
+
+
+def _blocks(entries: Iterator[tuple[np.ndarray, ...]]) -> Iterator[list[np.ndarray]]:
+    """The same columns in blocks of about BLOCK entries."""
+    held, n = [], 0
+
+    def cut() -> Iterator[list[np.ndarray]]:
+        columns = [np.concatenate(c) for c in zip(*held)]
+        for k in range(0, n, 2 * BLOCK):
+            yield [c[k : k + 2 * BLOCK] for c in columns]
+
+    for e in entries:
+        held.append(e)
+        n += len(e[0])
+        if n >= BLOCK:
+            yield from cut()
+            held, n = [], 0
+    if n:
+        yield from cut()
 
 
-def _cutter(min_words: int):
-    """Windows of each text at the text's repeated fingerprints; ``again`` if the text has the same window further left."""
+def _binary(column: np.ndarray, bounds: np.ndarray) -> pa.Array:
+    """Byte strings of the entries between the bounds."""
+    column = np.ascontiguousarray(column)
+    return pa.Array.from_buffers(pa.binary(), len(bounds) - 1, [None, pa.py_buffer((bounds * column.itemsize).astype(np.int32)), pa.py_buffer(column)])
+
+
+def _packed(part: np.ndarray, **columns: np.ndarray) -> pa.RecordBatch:
+    """One row for each part, entries in the order in which they stand."""
+    order = np.argsort(part, kind="stable")
+    part = part[order]
+    first = _starts(part)
+    bounds = np.append(first, len(part))
+    return pa.RecordBatch.from_pydict({"part": pa.array(part[first], pa.int32())} | {k: _binary(c[order], bounds) for k, c in columns.items()})
+
+
+def _flat(column: pa.ChunkedArray | pa.Array, kind: type) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), dtype=kind)
+
+
+def _reader(min_words: int):
+    """Of each text of enough words: the first word's start, the last word's end, the fingerprints and their number."""
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for i, data, off in slices(b.column(1)):
-                w = windows(data, off, min_words)
-                own = np.flatnonzero(np.isin(w["fingerprint"], b.column(2).slice(i, len(off) - 1).flatten().to_numpy()))
-                key = mix(w["doc"][own].astype(U) + U(1)) + w["content"][own].astype(np.int64).view(U)
-                again = np.ones(len(own), dtype=bool)
-                again[np.unique(key, return_index=True)[1]] = False
+            for i, data, off in slices(b.column(2)):
+                v = Windows(data, off, min_words)
+                if not len(v.at):
+                    continue
+                w, (doc, prints) = v.words, v.prints()
+                own = np.flatnonzero(w.counts >= min_words)
+                bounds, take = np.append(np.searchsorted(doc, own), len(doc)), pa.array(own + i)
+                start, stop = v.chars(own, w.at[w.first[own]]), v.chars(own, w.end[w.first[own + 1] - 1])
                 yield pa.RecordBatch.from_arrays(
-                    [b.column(0).take(pa.array(w["doc"][own] + i)), pa.array(w["content"][own], pa.int64()), pa.array(w["start"][own], pa.int64()),
-                     pa.array(w["stop"][own] - w["start"][own], pa.int64()), pa.array(again)], ["place", "content", "start", "size", "again"])
+                    [b.column(0).take(take), b.column(1).take(take), pa.array(start, pa.int64()), pa.array(stop, pa.int64()), _binary(prints, bounds), pa.array(np.diff(bounds), pa.int64())],
+                    ["doc_id", "th", "start", "stop", "prints", "n"])
 
     return go
 
 
-def _marker(min_words: int):
-    """Fingerprints of each text; ``twice`` if a window of it stands twice in the text."""
+def _shared(th: np.ndarray, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """th, prints in order of fingerprint; where each begins; whether it is marked or stands in several texts."""
+    order = np.argsort(prints | MARK)
+    th, prints = th[order], prints[order]
+    first = _starts(prints | MARK)
+    marked = np.bitwise_or.reduceat(prints & MARK, first) > 0 if len(first) else np.zeros(0, dtype=bool)
+    several = np.minimum.reduceat(th, first) != np.maximum.reduceat(th, first) if len(first) else marked
+    return th, prints, first, marked | several
+
+
+def _print_dealer(n: int):
+    """Each fingerprint once a block to its part, marked if it is shared in the block; then its texts need no answer."""
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ...]]:
+        for b in batches:
+            yield np.repeat(b.column(0).to_numpy().view(U), b.column(2).to_numpy()), _flat(b.column(1), U)
+
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for th, prints in _blocks(read(batches)):
+            th, prints, first, sure = _shared(th, prints)
+            done = np.flatnonzero(np.repeat(sure, np.diff(np.append(first, len(th)))))
+            yield _packed(np.concatenate([_part(prints[first], n), n + _part(mix(th[done]), n)]), th=np.concatenate([th[first], th[done]]),
+                          prints=np.concatenate([(prints[first] & ~MARK) | sure.astype(U), prints[done] & ~MARK]))
+
+    return go
+
+
+def _print_judge(n: int):
+    """(text, fingerprint) for the shared fingerprints of a part, dealt by text."""
+    def go(t: pa.Table) -> pa.Table:
+        th, prints = _flat(t["th"], U), _flat(t["prints"], U)
+        if t["part"][0].as_py() < n:
+            th, prints, first, sure = _shared(th, prints)
+            own = np.flatnonzero(np.repeat(sure, np.diff(np.append(first, len(th)))) & ((prints & MARK) == 0))
+            th, prints = th[own], prints[own]
+        return pa.Table.from_batches([_packed(_part(mix(th), n), th=th, prints=prints)])
+
+    return go
+
+
+def _gatherer(t: pa.Table) -> pa.Table:
+    """The shared fingerprints of each text and their number."""
+    th, prints = _flat(t["th"], U), _flat(t["prints"], U)
+    order = np.argsort(th)
+    th = th[order]
+    bounds = np.append(_starts(th), len(th))
+    return pa.table({"th": pa.array(th[bounds[:-1]].view(np.int64)), "prints": _binary(prints[order], bounds), "n": pa.array(np.diff(bounds), pa.int64())})
+
+
+def _first(content: np.ndarray, place: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """True for the windows that stand at the first place and start of their content."""
+    order = np.argsort(content)
+    group = _starts(content[order])
+    size = np.diff(np.append(group, len(order)))
+    # contents that stand once are the first
+    own = order[np.repeat(size > 1, size)]
+    out = np.ones(len(content), dtype=bool)
+    if len(own):
+        size = size[size > 1]
+        group = np.cumsum(size) - size
+        here = place[own] == np.repeat(np.minimum.reduceat(place[own], group), size)
+        at = np.where(here, start[own], np.iinfo(start.dtype).max)
+        out[own] = here & (at == np.repeat(np.minimum.reduceat(at, group), size))
+    return out
+
+
+def _joined(place: np.ndarray, start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Windows that overlap or touch the one before become one run: place, start, size."""
+    if not len(place):
+        return place, start, size
+    stop = start + size
+    new = np.ones(len(place), dtype=bool)
+    new[1:] = (place[1:] != place[:-1]) | (start[1:] > stop[:-1] + 1) | (start[1:] < start[:-1])
+    first = np.flatnonzero(new)
+    return place[first], start[first], stop[np.append(first[1:], len(place)) - 1] - start[first]
+
+
+def _cutter(min_words: int, n: int):
+    """Windows at the shared fingerprints, first ones of their block by part; the others as runs, which need no answer."""
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ...]]:
         for b in batches:
+            places = b.column(0).to_numpy()
             for i, data, off in slices(b.column(1)):
-                w = windows(data, off, min_words)
-                new = np.ones(len(w["doc"]), dtype=bool)
-                new[1:] = (w["doc"][1:] != w["doc"][:-1]) | (w["fingerprint"][1:] != w["fingerprint"][:-1])
-                new = np.flatnonzero(new)
-                key = mix(w["doc"].astype(U) + U(1)) + w["content"].astype(np.int64).view(U)
-                order = np.argsort(key)
-                again = order[1:][key[order[1:]] == key[order[:-1]]]
-                # each fingerprint once a text, so that one which fills a text isn't frequent
-                at = np.concatenate([again, new])
-                _, own = np.unique(mix(w["doc"][at].astype(U) + U(1)) + w["fingerprint"][at].view(U), return_index=True)
-                at = at[own]
-                yield pa.RecordBatch.from_arrays(
-                    [b.column(0).take(pa.array(w["doc"][at] + i)), pa.array(w["fingerprint"][at], pa.int64()), pa.array(own < len(again))],
-                    ["th", "fingerprint", "twice"])
+                v = Windows(data, off, min_words)
+                if not len(v.at):
+                    continue
+                new = v.stretches()
+                wanted = np.isin(v.print[new], _flat(b.column(2).slice(i, len(off) - 1), U))
+                own = np.flatnonzero(np.repeat(wanted, np.diff(np.append(new, len(v.at)))))
+                yield _part(v.print[own], n), v.content(own), places[v.doc[own] + i], *v.bounds(own)
+
+    def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, content, place, start, size in _blocks(read(batches)):
+            first = _first(content, place, start)
+            own, rest = np.flatnonzero(first), np.flatnonzero(~first)
+            done = _joined(place[rest], start[rest], size[rest])
+            yield _packed(np.concatenate([part[own], n + _part(mix(done[0].view(U)), n)]), content=np.concatenate([content[own], np.zeros(len(done[0]), U)]),
+                          **{k: np.concatenate([c[own], d]) for k, c, d in zip(("place", "start", "size"), (place, start, size), done)})
 
     return go
 
 
-def _bounder(min_words: int):
-    """First word's start and last word's end of each text of enough words."""
-    def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for i, data, off in slices(b.column(2)):
-                w = split(data, off, kind=INK, lower=False)
-                own = np.flatnonzero(w.counts >= max(1, min_words))
-                chars = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
-                base, take = chars[off[own]], pa.array(own + i)
-                yield pa.RecordBatch.from_arrays(
-                    [b.column(0).take(take), b.column(1).take(take), pa.array(chars[w.at[w.first[own]]] - base, pa.int64()), pa.array(chars[w.end[w.first[own + 1] - 1]] - base, pa.int64())],
-                    ["doc_id", "th", "start", "stop"])
+def _window_judge(n: int):
+    """Runs of the windows of a part that aren't the first of their content."""
+    def go(t: pa.Table) -> pa.Table:
+        place, start, size = _flat(t["place"], np.int64), _flat(t["start"], np.int32), _flat(t["size"], np.int32)
+        if t["part"][0].as_py() < n:
+            rest = np.flatnonzero(~_first(_flat(t["content"], U), place, start))
+            place, start, size = _joined(place[rest], start[rest], size[rest])
+        return pa.table({"place": pa.array(place), "start": pa.array(start, pa.int64()), "stop": pa.array(start.astype(np.int64) + size)})
 
     return go
 
 
+def _parts(df: DataFrame, each: int = 1) -> int:
+    """So many parts that each gets about PART entries, ``each`` for each that ``n`` counts."""
+    return 1 + (stash(df.agg(F.sum("n").alias("n")), free=True).first()["n"] or 0) * each // PART
+
+
 def repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """doc_id, th (hash of the text), start, stop: runs to cut, as code points, disjoint within a text.
 
     The first place of a run is the one with the smallest (doc_id, text hash, start); null ids come first. Rows that
-    agree in doc_id and text are one document and are cut alike. Texts are read for their bounds, for the fingerprints
-    and for the windows at those that stand in several places; only the last sends a text on, once for all its copies.
+    agree in doc_id and text are one document and are cut alike. Texts are read once for their bounds and fingerprints,
+    and once for the windows at those that stand in several places; only the last sends a text on, once for all its copies.
     Each step is written, and the files of its shuffles go before the next one starts.
     """
     t = text_of()
     keyed = docs.select("doc_id", F.xxhash64(t).alias("th"), t.alias("text"))
     kind = docs.schema["doc_id"].dataType.simpleString()
-    whole = stash(keyed.mapInArrow(_bounder(min_words), f"doc_id {kind}, th long, start long, stop long"))
+    whole = stash(keyed.mapInArrow(_reader(min_words), f"doc_id {kind}, th long, start long, stop long, prints binary, n long"))
     # the first of equal texts stands for them all, the others are cut from their first word to their last
     first = whole.groupBy("th").agg(F.min(F.struct("doc_id")).alias("f"), F.max(F.struct("doc_id")).alias("l")).select("th", F.col("f.doc_id").alias("f_id"), (~F.col("f").eqNullSafe(F.col("l"))).alias("copied"))
     # a number in order of (doc_id, text hash) stands for the text among the windows
     first = stash(first.orderBy(F.asc_nulls_first("f_id"), "th").withColumn("place", F.monotonically_increasing_id()), free=True)
     copies = whole.join(first.where("copied").select("th", "f_id"), "th").where(~F.col("doc_id").eqNullSafe(F.col("f_id")))
-    marks = stash(keyed.select("th", "text").mapInArrow(_marker(min_words), "th long, fingerprint long, twice boolean"))
-    spread = marks.groupBy("fingerprint").agg(F.min("th").alias("p"), F.max("th").alias("q"), F.max("twice").alias("twice"))
-    shared = spread.where("p <> q or twice").select("fingerprint")
-    wanted = marks.select("th", "fingerprint").join(shared, "fingerprint", "left_semi").groupBy("th").agg(F.collect_set("fingerprint").alias("prints"))
-    wanted = stash(wanted.join(first.select("th", "f_id", "place"), "th").select(F.col("th").alias("w_th"), "f_id", "place", "prints"), free=True)
-    texts = keyed.join(wanted, (keyed["th"] == wanted["w_th"]) & keyed["doc_id"].eqNullSafe(wanted["f_id"])).select("place", "text", "prints")
-    near = stash(texts.mapInArrow(_cutter(min_words), "place long, content long, start long, size long, again boolean"), free=True)
-    # the first text with each content, unless it is the only one
-    own = near.where(~F.col("again")).select("content", "place", "start", "size")
-    firsts = own.groupBy("content").agg(F.min("place").alias("source"), F.count(F.lit(1)).alias("n")).where(F.col("n") > 1).select("content", "source")
-    later = own.join(firsts, "content").where(F.col("place") != F.col("source")).select("place", "start", "size")
-    later = later.unionByName(near.where("again").select("place", "start", "size")).select("place", "start", (F.col("start") + F.col("size")).alias("stop"))
+    n, packed = _parts(whole), "part int, th binary, prints binary"
+    wanted = whole.select("th", "prints", "n").mapInArrow(_print_dealer(n), packed).groupBy("part").applyInArrow(_print_judge(n), packed)
+    wanted = wanted.groupBy("part").applyInArrow(_gatherer, "th long, prints binary, n long")
+    wanted = stash(wanted.join(first.select("th", "f_id", "place"), "th").select(F.col("th").alias("w_th"), "f_id", "place", "prints", "n"), free=True)
+    # one place of a fingerprint begins the gram of so many windows, about half of them choose it
+    n = _parts(wanted, max(1, min_words // 2))
+    texts = keyed.join(wanted.hint("shuffle_hash"), (keyed["th"] == wanted["w_th"]) & keyed["doc_id"].eqNullSafe(wanted["f_id"])).select("place", "text", "prints")
+    near = texts.mapInArrow(_cutter(min_words, n), "part int, content binary, place binary, start binary, size binary")
+    later = near.groupBy("part").applyInArrow(_window_judge(n), "place long, start long, stop long")
     # rows of one id and text have their windows several times, which grow to the same runs
     runs = _grown(later).join(first, "place").select(F.col("f_id").alias("doc_id"), "th", "start", "stop")
     return stash(runs.unionByName(copies.select("doc_id", "th", "start", "stop").distinct()), free=True)
@@ -179,7 +348,7 @@ def dedup(docs: DataFrame, min_words: int = MIN_WORDS, text: str = "text", key:
     runs = repeated_runs(docs.select(F.col(key).alias("doc_id"), text_of(text).alias("text")), min_words)
     per = runs.groupBy("doc_id", "th").agg(F.sort_array(F.collect_list(F.struct("start", "stop"))).alias("runs"))
     per = per.select(F.col("doc_id").alias("r_id"), F.col("th").alias("r_th"), "runs")
-    joined = rows.join(per, rows["doc_id"].eqNullSafe(per["r_id"]) & (rows["th"] == per["r_th"]), "left")
+    joined = rows.join(per.hint("shuffle_hash"), rows["doc_id"].eqNullSafe(per["r_id"]) & (rows["th"] == per["r_th"]), "left")
     joined = joined.withColumn("text", F.coalesce(F.col("__l_row").getField(text), F.lit("")))
     runs_of = F.coalesce("runs", F.array().cast("array<struct<start:bigint,stop:bigint>>"))
     size = F.char_length("text").cast("long")
