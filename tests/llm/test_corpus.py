@@ -152,8 +152,8 @@ def test_line_dedup_sends_few_rows(spark):
     assert sent < 10_000 < 200 * 281
 
 
-@pytest.mark.parametrize("block", [1, 50, 10**6])
-def test_line_dedup_blocks_and_parts_do_not_matter(block, monkeypatch):
+@pytest.mark.parametrize("block, most", [(1, 10**6), (50, 10), (50, 0), (10**6, 10)])
+def test_line_dedup_blocks_and_parts_do_not_matter(block, most, monkeypatch):
     # the same steps in this process: blocks of any size settle the same windows, whatever part they go to
     monkeypatch.setattr(op2_line_dedup, "BLOCK", block)
     rng, n, min_words = random.Random(6), 5, 20
@@ -170,20 +170,36 @@ def test_line_dedup_blocks_and_parts_do_not_matter(block, monkeypatch):
 
     ids = pa.array(range(len(texts)), pa.int64())
     whole = pa.Table.from_batches(op2_line_dedup._reader(min_words)(batches(pa.table({"doc_id": ids, "th": ids, "text": texts}))))
-    wanted = by_part(op2_line_dedup._print_dealer(n)(batches(whole.select(["th", "prints", "n"]))), op2_line_dedup._print_judge(n))
-    wanted = by_part(wanted.to_batches(), op2_line_dedup._gatherer)
+    wanted = by_part(op2_line_dedup._print_dealer(n)(batches(whole.select(["th", "prints", "n"]))), op2_line_dedup._print_judge(n, most))
+    hot = np.unique(op2_line_dedup._flat(wanted.filter(pc.less(wanted["part"], 0))["prints"], np.uint64))
+    assert (len(hot) > 0) == (most <= 10)
+    wanted = by_part(wanted.filter(pc.greater_equal(wanted["part"], 0)).to_batches(), op2_line_dedup._gatherer)
     assert len(set(wanted["th"].to_pylist())) == wanted.num_rows
     texts_of = pa.table({"place": wanted["th"], "text": [texts[i] for i in wanted["th"].to_pylist()], "prints": wanted["prints"]})
     texts_of = pa.concat_tables([texts_of, texts_of.slice(0, 20)])  # rows of one id and text
-    later = by_part(op2_line_dedup._cutter(min_words, n)(batches(texts_of)), op2_line_dedup._window_judge(n))
+    later = by_part(op2_line_dedup._cutter(min_words, n, hot)(batches(texts_of)), op2_line_dedup._window_judge(n))
     got = {i: [] for i in range(len(texts))}
-    for r in sorted(later.to_pylist(), key=lambda r: (r["place"], r["start"], r["stop"])):
-        runs = got[r["place"]]
-        if runs and r["start"] <= runs[-1][1] + 1:
-            runs[-1][1] = max(runs[-1][1], r["stop"])
-        else:
-            runs.append([r["start"], r["stop"]])
-    assert {i: ",".join(f"{a}-{b}" for a, b in x) for i, x in got.items()} == brute_runs(list(enumerate(texts)), min_words)
+    for r in by_part(later.to_batches(), op2_line_dedup._grower).to_pylist():
+        got[r["place"]].append(f"{r['start']}-{r['stop']}")
+    assert {i: ",".join(x) for i, x in got.items()} == brute_runs(list(enumerate(texts)), min_words)
+
+
+def test_line_dedup_deals_windows_of_a_common_line(spark, monkeypatch):
+    # a line in most texts has one fingerprint, whose windows would all go to one part
+    monkeypatch.setattr(op2_line_dedup, "HOT", 20)
+    monkeypatch.setattr(op2_line_dedup, "PART", 500)
+    rng = random.Random(8)
+    line, passage = prose(rng, 12), prose(rng, 40)
+    texts = [" ".join(prose(rng, 25) + line + prose(rng, 25) + (passage if k % 3 else [])) for k in range(90)]
+    assert {r["doc_id"]: r["runs"] for r in op2_line_dedup.report(docs_of(spark, texts)).collect()} == brute_runs(list(enumerate(texts)), op2_line_dedup.MIN_WORDS)
+    (_, data, offsets), = wordhash.slices(pa.array(texts))
+    common = Counter((op2_line_dedup.Windows(data, offsets).prints()[1] & ~op2_line_dedup.MARK).tolist()).most_common(1)[0][0]
+    of = pa.record_batch({"place": pa.array(range(90)), "text": texts, "prints": [common.to_bytes(8, "little")] * 90})
+    dealt = []
+    for hot in ([], [common]):
+        found = [r for b in op2_line_dedup._cutter(20, 50, np.array(hot, np.uint64))(iter([of])) for r in b.to_pylist() if r["part"] < 50]
+        dealt.append([len(r["start"]) // 4 for r in found])
+    assert len(dealt[0]) == 1 and sum(dealt[1]) == dealt[0][0] and max(dealt[1]) < dealt[0][0] / 10
 
 
 def test_line_dedup_orders_null_and_negative_ids(spark):

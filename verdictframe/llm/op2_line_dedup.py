@@ -7,7 +7,8 @@ first place in the corpus, so that matches reach to their true ends both ways, a
 from all but the first place. A text that equals another one is cut as a whole, without its windows.
 
 Fingerprints and windows travel packed: a task settles what it can among BLOCK entries, and sends the rest as one row of
-byte strings per part, a range of fingerprints. Parts are as many as keep each at some PART entries.
+byte strings per part, a range of fingerprints. Parts are as many as keep each at some PART entries; a fingerprint in
+more than HOT texts, as of a common line, has its windows dealt to all parts.
 """
 
 from __future__ import annotations
@@ -18,7 +19,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from .common import stash, text_of
 from .wordhash import INK, U, mix, slices, split
@@ -27,8 +27,10 @@ from .wordhash import INK, U, mix, slices, split
 MIN_WORDS = 20
 #: Words of a hash that a fingerprint is chosen from.
 GRAM = 6
-#: Fingerprints or windows that a task gathers before it sends them on, and that a part gets on average.
-BLOCK, PART = 1 << 20, 1 << 19
+#: Fingerprints or windows that a task gathers before it sends them on, and that a part gets on average; tasks get several parts, so that they are even.
+BLOCK, PART = 1 << 20, 1 << 17
+#: The windows at a fingerprint that stands in more texts are dealt by their content.
+HOT = 1 << 15
 #: The lowest bit of a fingerprint is free for a mark.
 MARK = U(1)
 
@@ -177,14 +179,14 @@ def _reader(min_words: int):
     return go
 
 
-def _shared(th: np.ndarray, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """th, prints in order of fingerprint; where each begins; whether it is marked or stands in several texts."""
+def _shared(th: np.ndarray, prints: np.ndarray, *more: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Where each fingerprint begins; whether it is marked or stands in several texts; the columns in order of fingerprint."""
     order = np.argsort(prints | MARK)
-    th, prints = th[order], prints[order]
+    th, prints, *more = (c[order] for c in (th, prints, *more))
     first = _starts(prints | MARK)
     marked = np.bitwise_or.reduceat(prints & MARK, first) > 0 if len(first) else np.zeros(0, dtype=bool)
     several = np.minimum.reduceat(th, first) != np.maximum.reduceat(th, first) if len(first) else marked
-    return th, prints, first, marked | several
+    return first, marked | several, th, prints, *more
 
 
 def _print_dealer(n: int):
@@ -195,23 +197,27 @@ def _print_dealer(n: int):
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for th, prints in _blocks(read(batches)):
-            th, prints, first, sure = _shared(th, prints)
-            done = np.flatnonzero(np.repeat(sure, np.diff(np.append(first, len(th)))))
+            first, sure, th, prints = _shared(th, prints)
+            texts = np.diff(np.append(first, len(th)))
+            done = np.flatnonzero(np.repeat(sure, texts))
             yield _packed(np.concatenate([_part(prints[first], n), n + _part(mix(th[done]), n)]), th=np.concatenate([th[first], th[done]]),
-                          prints=np.concatenate([(prints[first] & ~MARK) | sure.astype(U), prints[done] & ~MARK]))
+                          prints=np.concatenate([(prints[first] & ~MARK) | sure.astype(U), prints[done] & ~MARK]), texts=np.concatenate([texts, np.zeros(len(done), np.int64)]).astype(np.int32))
 
     return go
 
 
-def _print_judge(n: int):
-    """(text, fingerprint) for the shared fingerprints of a part, dealt by text."""
+def _print_judge(n: int, most: int):
+    """(text, fingerprint) for the shared fingerprints of a part, dealt by text; as part -1 those in more than ``most`` texts."""
     def go(t: pa.Table) -> pa.Table:
-        th, prints = _flat(t["th"], U), _flat(t["prints"], U)
+        th, prints, hot = _flat(t["th"], U), _flat(t["prints"], U), np.zeros(0, U)
         if t["part"][0].as_py() < n:
-            th, prints, first, sure = _shared(th, prints)
+            first, sure, th, prints, texts = _shared(th, prints, _flat(t["texts"], np.int32))
+            hot = prints[first][np.add.reduceat(texts, first, dtype=np.int64) > most] & ~MARK
+            # a marked one has been sent to its texts
             own = np.flatnonzero(np.repeat(sure, np.diff(np.append(first, len(th)))) & ((prints & MARK) == 0))
             th, prints = th[own], prints[own]
-        return pa.Table.from_batches([_packed(_part(mix(th), n), th=th, prints=prints)])
+        part = np.concatenate([_part(mix(th), n), np.full(len(hot), -1, np.int32)])
+        return pa.Table.from_batches([_packed(part, th=np.concatenate([th, hot]), prints=np.concatenate([prints, hot]))])
 
     return go
 
@@ -253,7 +259,7 @@ def _joined(place: np.ndarray, start: np.ndarray, size: np.ndarray) -> tuple[np.
     return place[first], start[first], stop[np.append(first[1:], len(place)) - 1] - start[first]
 
 
-def _cutter(min_words: int, n: int):
+def _cutter(min_words: int, n: int, hot: np.ndarray):
     """Windows at the shared fingerprints, first ones of their block by part; the others as runs, which need no answer."""
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ...]]:
         for b in batches:
@@ -265,31 +271,49 @@ def _cutter(min_words: int, n: int):
                 new = v.stretches()
                 wanted = np.isin(v.print[new], _flat(b.column(2).slice(i, len(off) - 1), U))
                 own = np.flatnonzero(np.repeat(wanted, np.diff(np.append(new, len(v.at)))))
-                yield _part(v.print[own], n), v.content(own), places[v.doc[own] + i], *v.bounds(own)
+                content = v.content(own)
+                # neighbours mostly go to one part, where they grow to runs
+                yield _part(np.where(np.isin(v.print[own], hot), content, v.print[own]) if len(hot) else v.print[own], n), content, places[v.doc[own] + i], *v.bounds(own)
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, content, place, start, size in _blocks(read(batches)):
             first = _first(content, place, start)
             own, rest = np.flatnonzero(first), np.flatnonzero(~first)
             done = _joined(place[rest], start[rest], size[rest])
-            yield _packed(np.concatenate([part[own], n + _part(mix(done[0].view(U)), n)]), content=np.concatenate([content[own], np.zeros(len(done[0]), U)]),
-                          **{k: np.concatenate([c[own], d]) for k, c, d in zip(("place", "start", "size"), (place, start, size), done)})
+            yield _packed(np.concatenate([part[own], n + _part(mix(done[0].view(U)), n)]), **{k: np.concatenate([c[own], d]) for k, c, d in zip(("place", "start", "size"), (place, start, size), done)},
+                          content=np.concatenate([content[own], np.zeros(len(done[0]), U)]))
 
     return go
 
 
 def _window_judge(n: int):
-    """Runs of the windows of a part that aren't the first of their content."""
+    """Runs of the windows of a part that aren't the first of their content, dealt by text."""
     def go(t: pa.Table) -> pa.Table:
         place, start, size = _flat(t["place"], np.int64), _flat(t["start"], np.int32), _flat(t["size"], np.int32)
         if t["part"][0].as_py() < n:
             rest = np.flatnonzero(~_first(_flat(t["content"], U), place, start))
             place, start, size = _joined(place[rest], start[rest], size[rest])
-        return pa.table({"place": pa.array(place), "start": pa.array(start, pa.int64()), "stop": pa.array(start.astype(np.int64) + size)})
+        return pa.Table.from_batches([_packed(_part(mix(place.view(U)), n), place=place, start=start, size=size)])
 
     return go
 
 
+def _grower(t: pa.Table) -> pa.Table:
+    """Runs of a text that overlap or touch become one run."""
+    place, start, size = _flat(t["place"], np.int64), _flat(t["start"], np.int32).astype(np.int64), _flat(t["size"], np.int32)
+    order = np.lexsort((start, place))
+    place, start, stop = place[order], start[order], (start + size)[order]
+    # the greatest stop so far in the text
+    text = np.zeros(len(place), np.int64)
+    text[_starts(place)] = 1
+    base = np.cumsum(text) << 32
+    reach = np.maximum.accumulate(base + stop) - base
+    new = text > 0
+    new[1:] |= start[1:] > reach[:-1] + 1
+    first = np.flatnonzero(new)
+    return pa.table({"place": place[first], "start": start[first], "stop": reach[np.append(first[1:], len(place)) - 1]})
+
+
 def _parts(df: DataFrame, each: int = 1) -> int:
     """So many parts that each gets about PART entries, ``each`` for each that ``n`` counts."""
     return 1 + (stash(df.agg(F.sum("n").alias("n")), free=True).first()["n"] or 0) * each // PART
@@ -313,28 +337,22 @@ def repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     first = stash(first.orderBy(F.asc_nulls_first("f_id"), "th").withColumn("place", F.monotonically_increasing_id()), free=True)
     copies = whole.join(first.where("copied").select("th", "f_id"), "th").where(~F.col("doc_id").eqNullSafe(F.col("f_id")))
     n, packed = _parts(whole), "part int, th binary, prints binary"
-    wanted = whole.select("th", "prints", "n").mapInArrow(_print_dealer(n), packed).groupBy("part").applyInArrow(_print_judge(n), packed)
-    wanted = wanted.groupBy("part").applyInArrow(_gatherer, "th long, prints binary, n long")
+    judged = whole.select("th", "prints", "n").mapInArrow(_print_dealer(n), packed + ", texts binary").groupBy("part").applyInArrow(_print_judge(n, HOT), packed)
+    judged = stash(judged, free=True)
+    # at most one for each HOT fingerprints of texts
+    hot = np.frombuffer(b"".join(r["prints"] for r in judged.where("part < 0").select("prints").collect()), dtype=U)
+    wanted = judged.where("part >= 0").groupBy("part").applyInArrow(_gatherer, "th long, prints binary, n long")
     wanted = stash(wanted.join(first.select("th", "f_id", "place"), "th").select(F.col("th").alias("w_th"), "f_id", "place", "prints", "n"), free=True)
-    # one place of a fingerprint begins the gram of so many windows, about half of them choose it
-    n = _parts(wanted, max(1, min_words // 2))
+    # windows that choose one place of a fingerprint, on average
+    n, packed = _parts(wanted, max(1, min_words // 2)), "part int, place binary, start binary, size binary"
     texts = keyed.join(wanted.hint("shuffle_hash"), (keyed["th"] == wanted["w_th"]) & keyed["doc_id"].eqNullSafe(wanted["f_id"])).select("place", "text", "prints")
-    near = texts.mapInArrow(_cutter(min_words, n), "part int, content binary, place binary, start binary, size binary")
-    later = near.groupBy("part").applyInArrow(_window_judge(n), "place long, start long, stop long")
+    later = texts.mapInArrow(_cutter(min_words, n, hot), packed + ", content binary").groupBy("part").applyInArrow(_window_judge(n), packed)
+    grown = later.groupBy("part").applyInArrow(_grower, "place long, start long, stop long")
     # rows of one id and text have their windows several times, which grow to the same runs
-    runs = _grown(later).join(first, "place").select(F.col("f_id").alias("doc_id"), "th", "start", "stop")
+    runs = grown.join(first, "place").select(F.col("f_id").alias("doc_id"), "th", "start", "stop")
     return stash(runs.unionByName(copies.select("doc_id", "th", "start", "stop").distinct()), free=True)
 
 
-def _grown(matches: DataFrame) -> DataFrame:
-    """Matched windows of a text that overlap or touch become one run."""
-    order = Window.partitionBy("place").orderBy("start", "stop")
-    reach = F.max("stop").over(order.rowsBetween(Window.unboundedPreceding, -1))
-    marked = matches.withColumn("new", F.when(reach.isNull() | (F.col("start") > reach + 1), 1).otherwise(0))
-    marked = marked.withColumn("run", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-    return marked.groupBy("place", "run").agg(F.min("start").alias("start"), F.max("stop").alias("stop")).drop("run")
-
-
 def dedup(docs: DataFrame, min_words: int = MIN_WORDS, text: str = "text", key: str = "doc_id") -> DataFrame:
     """The rows of ``docs`` with ``__l_text`` (the text without its repeated runs) and ``__l_runs`` (start, stop of each).
 
